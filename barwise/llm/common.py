@@ -39,3 +39,18 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def slices(batch, column: int, most_bytes: int = 8_000_000):
+    """Parts of an Arrow batch with at most `most_bytes` in a string or binary column, or one row if that is larger."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
