@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barwise.llm.chat import conversation_digests
 from barwise.llm.common import table
 from barwise.llm.decontamination import contamination
+from barwise.llm.merkle import fingerprints_of_edits
 from barwise.llm.sharding import assign_shards
 from barwise.llm.token_counts import length_histogram, suffix_sums
 
@@ -25,6 +26,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_of_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
@@ -36,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op7_decontamination": op7_decontamination,
+    "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
