@@ -140,6 +140,26 @@ def _shard(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray]:
     return words, np.cumsum([0] + [len(w) + 1 for w in words])
 
 
+def _verdicts(texts: list[bytes | None], blocks) -> tuple[list[int], np.ndarray, list[set[str]]]:
+    """Of each text: its words, how many are hit, and the items that hit it."""
+    words, start = _shard(texts)
+    hit = np.zeros(start[-1] + 1, dtype=np.int32)
+    found: list[set[str]] = [set() for _ in words]
+    for block in blocks:
+        suffixes = _suffixes(block)
+        shard = np.zeros(start[-1], dtype=np.int64)
+        for k, w in enumerate(words):
+            shard[start[k] : start[k] + len(w)] = suffixes.numbers(w)
+        place, source, width = matches(shard, suffixes)
+        np.add.at(hit, place, 1)
+        np.add.at(hit, place + width, -1)
+        pairs = np.unique((np.searchsorted(start, place, side="right") - 1) * len(suffixes.items) + suffixes.item[source])
+        for doc, item in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(suffixes.items))))):
+            found[doc].add(suffixes.items[item])
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
+    return [len(w) for w in words], covered[start[1:]] - covered[start[:-1]], found
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -153,31 +173,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     def judged(batches):
         for whole in batches:
             for batch in slices(whole, 1):
-                words, start = _shard(batch.column(1).to_pylist())
-                n = len(words)
-                hit = np.zeros(start[-1] + 1, dtype=np.int32)
-                found: list[set[str]] = [set() for _ in range(n)]
-                for block in blocks:
-                    suffixes = _suffixes(block)
-                    shard = np.zeros(start[-1], dtype=np.int64)
-                    for k, w in enumerate(words):
-                        shard[start[k] : start[k] + len(w)] = suffixes.numbers(w)
-                    place, source, width = matches(shard, suffixes)
-                    np.add.at(hit, place, 1)
-                    np.add.at(hit, place + width, -1)
-                    pairs = np.unique((np.searchsorted(start, place, side="right") - 1) * len(suffixes.items) + suffixes.item[source])
-                    for doc, item in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(suffixes.items))))):
-                        found[doc].add(suffixes.items[item])
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-                n_hit = covered[start[1:]] - covered[start[:-1]]
+                n_words, n_hit, found = _verdicts(batch.column(1).to_pylist(), blocks)
                 yield pa.record_batch(
-                    [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]), pa.array(n_hit > 0)],
+                    [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]), pa.array(n_hit > 0)],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(judged, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
+    """`docs` without the affected documents. All columns stay and nothing is shuffled."""
+    blocks = list(_blocks(benchmark, window, block_bytes))
+    text = docs.columns.index("text")
+
+    def kept(batches):
+        for whole in batches:
+            for batch in slices(whole, text):
+                texts = batch.column(text).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array(_verdicts(texts, blocks)[1] == 0))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words): every maximal verbatim match of at least `window` words."""
     blocks = list(_blocks(benchmark, window, block_bytes))
@@ -205,9 +223,3 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
                     )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(located, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` without the affected documents; all columns stay. The verdict is joined back by doc_id."""
-    affected = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(affected, "doc_id", "left_anti")

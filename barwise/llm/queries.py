@@ -12,9 +12,14 @@ from barwise.llm.common import table
 from barwise.llm.decontamination import contamination
 from barwise.llm.merkle import fingerprints_of_edits
 from barwise.llm.sharding import assign_shards
+from barwise.llm.simhash import near_duplicates
 from barwise.llm.token_counts import length_histogram, suffix_sums
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -39,6 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_chat_formatting": op4_chat_formatting,
     "op7_decontamination": op7_decontamination,
     "op8_fingerprints": op8_fingerprints,
