@@ -12,6 +12,7 @@ from barwise.llm.chat import conversation_digests
 from barwise.llm.common import table
 from barwise.llm.decontamination import contamination
 from barwise.llm.merkle import fingerprints_of_edits
+from barwise.llm.pieces import round_trips
 from barwise.llm.sharding import assign_shards
 from barwise.llm.simhash import near_duplicates
 from barwise.llm.token_counts import length_histogram, suffix_sums
@@ -36,6 +37,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(rows.unionByName(own))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_decontamination": op7_decontamination,
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
