@@ -11,6 +11,7 @@ from barwise.llm import language, toxicity
 from barwise.llm.chat import conversation_digests
 from barwise.llm.common import table
 from barwise.llm.decontamination import contamination
+from barwise.llm.lm_scoring import held_out_scores
 from barwise.llm.merkle import fingerprints_of_edits
 from barwise.llm.pieces import round_trips
 from barwise.llm.sharding import assign_shards
@@ -41,6 +42,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_decontamination": op7_decontamination,
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
