@@ -63,13 +63,13 @@ def forecast(train: DataFrame, test: DataFrame, target: str, logged: list[str],
     xs = [*[f"_x_{c}" for c in logged], *plain]
     ready = lambda df: df.withColumns({f"_x_{c}": F.col(c) if level else safe_log(c) for c in logged})
     rows = ready(train).withColumn("_y", F.col(target) if level else safe_log(target))
-    fits = fit_ols(rows, "_y", xs, by, ridge)
+    fits = fit_ols(rows, "_y", xs, by, ridge).persist()  # one row a group; the smear and the test rows read it
     out = predicted(ready(test), fits, xs, by, "_f")
     if level:
         floor = train.groupBy(*by).agg(F.percentile(target, 0.005).alias("_floor"))
         out = out.join(floor, list(by)).withColumn(name, F.greatest("_f", "_floor", F.lit(EPS)))
     elif spec == "log_smear":
-        smear = predicted(rows, fits, xs, by, "_f").groupBy(*by).agg(F.avg(F.exp(F.col("_y") - F.col("_f"))).alias("_smear"))
+        smear = predicted(rows, fits, xs, by, "_f").groupBy(*by).agg(F.avg(F.exp(F.col("_y") - F.col("_f"))).alias("_smear")).persist()
         out = out.join(smear, list(by)).withColumn(name, floored(F.exp("_f") * F.col("_smear")))
     else:
         out = out.withColumn(name, floored(F.exp("_f")))

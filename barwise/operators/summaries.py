@@ -90,6 +90,7 @@ def pooled_series(detail: DataFrame, pools: DataFrame, loss: str) -> DataFrame:
 
 def pooled_tests(detail: DataFrame, pools: DataFrame, lags: int | None = None) -> DataFrame:
     """Newey-West tests of both losses for every pool and horizon."""
+    detail = detail.persist()
     tests = [newey_west(pooled_series(detail, pools, k), "x", ("pool", "horizon"), ("ts",), lags).withColumn("loss", F.lit(k)) for k in ("mse", "qlike")]
     return tests[0].unionByName(tests[1])
 
