@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.scalars import EPS, clark_west, floored, qlike, safe_log, squared_error
 from barwise.operators.inference import newey_west
+from barwise.operators.settle import settled
 from barwise.operators.splits import complete, gated, in_split, nonoverlapping
 
 FAMILIES = {"HAR": (), "HARQ": ("rq",), "RSV-HAR": ("rsv_neg", "rsv_pos")}
@@ -63,13 +64,13 @@ def forecast(train: DataFrame, test: DataFrame, target: str, logged: list[str],
     xs = [*[f"_x_{c}" for c in logged], *plain]
     ready = lambda df: df.withColumns({f"_x_{c}": F.col(c) if level else safe_log(c) for c in logged})
     rows = ready(train).withColumn("_y", F.col(target) if level else safe_log(target))
-    fits = fit_ols(rows, "_y", xs, by, ridge).persist()  # one row a group; the smear and the test rows read it
+    fits = settled(fit_ols(rows, "_y", xs, by, ridge))  # one row a group; the smear and the test rows read it
     out = predicted(ready(test), fits, xs, by, "_f")
     if level:
         floor = train.groupBy(*by).agg(F.percentile(target, 0.005).alias("_floor"))
         out = out.join(floor, list(by)).withColumn(name, F.greatest("_f", "_floor", F.lit(EPS)))
     elif spec == "log_smear":
-        smear = predicted(rows, fits, xs, by, "_f").groupBy(*by).agg(F.avg(F.exp(F.col("_y") - F.col("_f"))).alias("_smear")).persist()
+        smear = settled(predicted(rows, fits, xs, by, "_f").groupBy(*by).agg(F.avg(F.exp(F.col("_y") - F.col("_f"))).alias("_smear")))
         out = out.join(smear, list(by)).withColumn(name, floored(F.exp("_f") * F.col("_smear")))
     else:
         out = out.withColumn(name, floored(F.exp("_f")))
@@ -112,7 +113,7 @@ def details(frame: DataFrame, frames: tuple[str, ...], horizons: dict[int, str |
 def comparison(detail: DataFrame, law: str = "t", by=("asset", "horizon", "family")) -> DataFrame:
     """One row per group: mean losses, improvements, and Newey-West tests of both loss differences and of Clark-West."""
     by, series = list(by), ("mse_diff", "qlike_diff", "cw")
-    detail = detail.persist()  # origins only; three passes read them
+    detail = settled(detail)  # origins only; three passes read them
     means = detail.groupBy(*by).agg(F.count("*").alias("n_test"), *[F.avg(c).alias(c) for c in ("baseline_mse", "augmented_mse", "baseline_qlike", "augmented_qlike")])
     out = means.withColumns({"mse_improvement": 1 - F.col("augmented_mse") / F.nullif(F.col("baseline_mse"), F.lit(0.0)), "qlike_improvement": F.col("baseline_qlike") - F.col("augmented_qlike")})
     long = detail.select(*by, "ts", F.expr(f"stack({len(series)}, {', '.join(f"'{c}', {c}" for c in series)}) as (series, x)"))

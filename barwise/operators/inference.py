@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.distributions import normal_p_two_sided, normal_p_upper, student_p_upper
 from barwise.functions.scalars import ratio
+from barwise.operators.settle import settled
 
 
 def lagged_sums(df: DataFrame, columns: list[str], max_lag: int, by=("asset",), order=("ts",)) -> DataFrame:
@@ -52,7 +53,7 @@ def newey_west(df: DataFrame, value: str, by=("asset",), order=("ts",), lags: in
 
     t and p are null for fewer than 3 rows and for series without variance.
     """
-    rows = _centred(df.select(*by, *order, value).persist(), value, by)
+    rows = _centred(settled(df.select(*by, *order, value)), value, by)
     most = lags if lags is not None else int((rows.agg(F.max("n")).first()[0] or 0) ** 0.5)
     sums = lagged_sums(rows, ["c"], most, by, order)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barwise.functions.distributions import student_p_two_sided
 from barwise.functions.scalars import ratio, underprediction
 from barwise.operators.inference import moments, newey_west
+from barwise.operators.settle import settled
 from barwise.operators.splits import with_split
 
 
@@ -90,7 +91,7 @@ def pooled_series(detail: DataFrame, pools: DataFrame, loss: str) -> DataFrame:
 
 def pooled_tests(detail: DataFrame, pools: DataFrame, lags: int | None = None) -> DataFrame:
     """Newey-West tests of both losses for every pool and horizon."""
-    detail = detail.persist()
+    detail = settled(detail)
     tests = [newey_west(pooled_series(detail, pools, k), "x", ("pool", "horizon"), ("ts",), lags).withColumn("loss", F.lit(k)) for k in ("mse", "qlike")]
     return tests[0].unionByName(tests[1])
 

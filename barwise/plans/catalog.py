@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwise.functions import scalars as S
-from barwise.operators import asof, features, forecasting, inference, recursion, resampling, simulation, splits, summaries
+from barwise.operators import asof, features, forecasting, inference, recursion, resampling, settle, simulation, splits, summaries
 from barwise.sources import harness
 
 QUERIES: dict = {}
@@ -367,6 +367,7 @@ def hac_regression(spark: SparkSession, d: str) -> DataFrame:
 def simple_detail(spark: SparkSession, d: str) -> DataFrame:
     """Origins 5 rows apart in the test year: forecasts from the variance of the last 5 rows, and of the last 22."""
     rows = splits.complete(day_frame(spark, d), ["Z", "rv_past_d", "rv_past_w", "rv_future_5"], ["rv_future_5"]).select("asset", "ts", "Z", "rv_past_d", "rv_past_w", F.col("rv_future_5").alias("rv_future"))
+    rows = settle.settled(rows)
     train, test = splits.in_split(rows, ("train", "validation")), splits.nonoverlapping(splits.in_split(rows, "test"), 5)
     both = forecasting.forecast(train, test, "rv_future", ["rv_past_d"], ridge=0.0, name="baseline_forecast")
     both = forecasting.forecast(train, both, "rv_future", ["rv_past_w"], ridge=0.0, name="augmented_forecast")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.scalars import minutes_to_schedule
 from barwise.operators import asof, features, forecasting, inference, splits
+from barwise.operators.settle import settled
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -21,13 +22,13 @@ def _same(horizons, frames: dict[str, int]) -> dict[int, str | None]:
 
 def family_tests(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], families=tuple(forecasting.FAMILIES)) -> DataFrame:
     """Every family with and without Z, at every horizon: losses and tests."""
-    long = forecasting.by_horizon(frame, horizons, tuple(frames)).persist()
+    long = settled(forecasting.by_horizon(frame, horizons, tuple(frames)))
     return forecasting.comparison(_union([forecasting.details(long, tuple(frames), _same(horizons, frames), f) for f in families]))
 
 
 def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int]) -> DataFrame:
     """Each asset's and horizon's family of least validation loss, then refitted with the validation rows and tested."""
-    long = forecasting.by_horizon(frame, horizons, tuple(frames)).persist()
+    long = settled(forecasting.by_horizon(frame, horizons, tuple(frames)))
     tried = _union([forecasting.details(long, tuple(frames), _same(horizons, frames), f, train=("train",), test=("validation",)) for f in forecasting.FAMILIES])
     best = forecasting.best_family(tried)
     tested = forecasting.comparison(_union([forecasting.details(long, tuple(frames), _same(horizons, frames), f) for f in forecasting.FAMILIES]))
@@ -36,7 +37,7 @@ def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[st
 
 def specification_sweep(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], clips=((0.01, 0.99),), specs=("log_smear", "log_no_smear", "level_floor")) -> DataFrame:
     """The static test under several specifications and clips of Z (None: no clip); bounds come from training rows alone."""
-    long = forecasting.by_horizon(frame, horizons, tuple(frames)).persist()
+    long = settled(forecasting.by_horizon(frame, horizons, tuple(frames)))
     parts = []
     for clip in clips:
         rows = long
@@ -59,7 +60,7 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
     whole = features.with_har(features.with_realized_variance(flagged, horizons), frames)
     rate = ("abs_rate_z", "rate_change_bps")
     long = forecasting.by_horizon(whole, horizons, tuple(frames), ("Z", *rate, "in_window"))
-    long = splits.complete(long, ["Z", *rate, "rv_future"], ["rv_future"]).persist()
+    long = settled(splits.complete(long, ["Z", *rate, "rv_future"], ["rv_future"]))
     models = {"HAR+F": ((), rate), "HAR+Z": ((), ("Z",)), "HAR+F+Z": ((), (*rate, "Z")), "HAR+F+Z+window": ((), (*rate, "Z", "in_window")), "HAR+F+Z vs HAR+F": (rate, ("Z",)), "HAR+F+Z vs HAR+Z": (("Z",), rate)}
     parts = []
     for name, (base, extra) in models.items():
@@ -70,12 +71,12 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
 
 def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], windows=(144, 288, 576), smoothings=(1, 3, 6), poolings=("max", "mean")) -> DataFrame:
     """The HAR comparison under every window, smoothing and pooling of the signal; the variances are shared."""
-    base = features.with_har(features.with_realized_variance(returns, horizons), frames).persist()
+    base = settled(features.with_har(features.with_realized_variance(returns, horizons), frames))
     parts = []
     for w in windows:
         for s in smoothings:
             for p in poolings:
-                long = forecasting.by_horizon(features.with_activation(base, w, s, p), horizons, tuple(frames)).persist()
+                long = settled(forecasting.by_horizon(features.with_activation(base, w, s, p), horizons, tuple(frames)))
                 out = forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames)))
                 parts.append(out.withColumns({"window": F.lit(w), "smoothing": F.lit(s), "pooling": F.lit(p)}))
     return _union(parts)
