@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.scalars import EPS, clark_west, floored, qlike, safe_log, squared_error
+from barwise.functions.scalars import EPS, clark_west, finite, floored, qlike, safe_log, squared_error
 from barwise.operators.inference import newey_west
 from barwise.operators.settle import settled
-from barwise.operators.splits import complete, gated, in_split, nonoverlapping
+from barwise.operators.splits import gated, in_split, nonoverlapping
 
 FAMILIES = {"HAR": (), "HARQ": ("rq",), "RSV-HAR": ("rsv_neg", "rsv_pos")}
 
@@ -91,23 +92,88 @@ def by_horizon(features: DataFrame, horizons: tuple[int, ...], frames: tuple[str
     return features.select("asset", "ts", *shared, each.alias("_h")).select("asset", "_h.horizon", "ts", *shared, "_h.rv_h", "_h.rv_future")
 
 
-def details(frame: DataFrame, frames: tuple[str, ...], horizons: dict[int, str | None], family: str = "HAR", extra: tuple[str, ...] = ("Z",), train=("train", "validation"), test=("test",), splits=None, spec: str = "log_smear", gates: tuple[int, int] = (100, 20), baseline_extra: tuple[str, ...] = ()) -> DataFrame:
-    """Losses by origin of `family` with and without `extra`, on test origins `horizon` rows apart.
+class Nested(NamedTuple):
+    """A pair of models: `family`'s frames and the columns of `base`, and the same with `extra`. The spec is forecast()'s."""
+
+    name: str
+    family: str = "HAR"
+    extra: tuple[str, ...] = ("Z",)
+    base: tuple[str, ...] = ()
+    spec: str = "log_smear"
+
+    def row(self, frames: tuple[str, ...], same: list[int], width: int) -> Column:
+        """Whether the row is complete, and y and x of the pair: intercept, frames, base, extra, then zeros.
+
+        rv_h is zero, and so without a coefficient, at the horizons `same` that one of the frames equals.
+        """
+        value = F.col if self.spec == "level_floor" else safe_log
+        logged = ["rv_h", *[f"{kind}_past_{k}" for kind in ("rv", *FAMILIES[self.family]) for k in frames]]
+        own = F.when(F.col("horizon").isin(same), 0.0).otherwise(value("rv_h"))
+        base = [F.lit(1.0), own, *[value(c) for c in logged[1:]], *[F.col(c).cast("double") for c in self.base]]
+        x = [*base, *[F.col(c).cast("double") for c in self.extra]]
+        whole = reduce(lambda a, b: a & b, [*[finite(c) for c in (*logged, *self.base, *self.extra, "rv_future")], F.col("rv_future") > 0])
+        return F.struct(whole.alias("whole"), F.lit(self.name).alias("family"), F.lit(self.spec).alias("spec"), F.lit(len(base)).alias("n_base"), value("rv_future").alias("y"), F.array(*x, *[F.lit(0.0)] * (width - len(x))).alias("x"))
+
+    def width(self, frames: tuple[str, ...]) -> int:
+        return 2 + len(frames) * (1 + len(FAMILIES[self.family])) + len(self.base) + len(self.extra)
+
+
+def _fit_nested(train: DataFrame, by: list[str], width: int, least: int, ridge: float) -> DataFrame:
+    """(by..., base, more): both models' coefficients. The smaller one's sums are a corner of the larger one's."""
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    x = lambda i: F.col("x")[i]
+    totals = train.groupBy(*by, "n_base").agg(F.count("*").alias("n"), F.array(*[F.sum(x(i) * x(j)) for i, j in pairs]).alias("g"), F.array(*[F.sum(x(i) * F.col("y")) for i in range(width)]).alias("b"))
+    schema = train.select(*by).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", base array<double>, more array<double>"
+
+    def coefficients(g: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        used = np.flatnonzero(np.diag(g)[:n] > 0)
+        a = g[np.ix_(used, used)] + ridge * np.diag((used > 0).astype(float))
+        out = np.zeros(width)
+        try:
+            out[used] = np.linalg.solve(a, b[used])
+        except np.linalg.LinAlgError:
+            out[used] = np.linalg.pinv(a) @ b[used]
+        return out
 
-    `horizons` says for each which frame equals it, so that it does not enter twice (None: none).
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                g, b = np.zeros((width, width)), np.array(row["b"], dtype=float)
+                for (i, j), v in zip(pairs, row["g"]):
+                    g[i, j] = g[j, i] = v
+                out.append({c: row[c] for c in by} | {"base": coefficients(g, b, row["n_base"]), "more": coefficients(g, b, width)})
+            yield pd.DataFrame(out, columns=[*by, "base", "more"])
+
+    return totals.where(F.col("n") >= least).mapInPandas(solve, schema)
+
+
+def details(frame: DataFrame, frames: tuple[str, ...], horizons: dict[int, str | None], models: list[Nested], train=("train", "validation"), test=("test",), splits=None, gates: tuple[int, int] = (100, 20), also: tuple[str, ...] = (), ridge: float = 1e-10) -> DataFrame:
+    """Losses by origin of every pair in `models` (its name is `family`), on test origins `horizon` rows apart.
+
+    `horizons` says for each which frame equals it, so that it does not enter twice (None: none). `also` are
+    further keys of the series. All pairs share one pass for their sums, one for their smears and one over the
+    test rows; `frame` is read three times and should be a settled table.
     """
-    kinds, by = FAMILIES[family], ("asset", "horizon")
-    parts = []
-    for same in sorted(set(horizons.values()), key=str):
-        logged = ["rv_h"] * (same is None) + [f"rv_past_{k}" for k in frames] + [f"{kind}_past_{k}" for kind in kinds for k in frames]
-        own = F.col("horizon").isin([h for h, x in horizons.items() if x == same])
-        rows = complete(frame.where(own), [*logged, *extra, *baseline_extra, "rv_future"], ["rv_future"])
-        fit_rows, asked = (in_split(rows, s, splits) if splits else in_split(rows, s) for s in (train, test))
-        fit_rows, asked = gated(fit_rows, list(by), gates[0]), gated(nonoverlapping(asked, "horizon", by), list(by), gates[1])
-        both = forecast(fit_rows, asked, "rv_future", logged, list(baseline_extra), by, spec, name="baseline_forecast")
-        both = forecast(fit_rows, both, "rv_future", logged, [*baseline_extra, *extra], by, spec, name="augmented_forecast")
-        parts.append(with_losses(both, "rv_future", "baseline_forecast", "augmented_forecast").select("asset", "horizon", F.lit(family).alias("family"), "ts", "rv_future", *dict.fromkeys(["Z", *extra]), "baseline_forecast", "augmented_forecast", "baseline_mse", "augmented_mse", "baseline_qlike", "augmented_qlike", "mse_diff", "qlike_diff", "cw"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    by, width = ["asset", "horizon", *also, "family"], max(m.width(frames) for m in models)
+    same = [h for h, k in horizons.items() if k is not None]
+    each = F.explode(F.array(*[m.row(frames, same, width) for m in models]))
+    in_range = lambda names: in_split(frame, names, splits) if splits else in_split(frame, names)
+    spread = lambda df: df.where(F.col("horizon").isin(list(horizons))).select("asset", "horizon", *also, "ts", "rv_future", "Z", each.alias("_m")).where("_m.whole").select("*", "_m.family", "_m.spec", "_m.n_base", "_m.y", "_m.x").drop("_m")
+    fitted = lambda beta: reduce(lambda a, b: a + b, [F.col("x")[i] * F.col(beta)[i] for i in range(width)])
+    fit_rows = spread(in_range(train))
+    fits = settled(_fit_nested(fit_rows, by, width, gates[0], ridge))  # a row a model
+    floor = [F.percentile("rv_future", 0.005).alias("floor")] if any(m.spec == "level_floor" for m in models) else [F.lit(None).cast("double").alias("floor")]
+    smears = fit_rows.join(fits, by).groupBy(*by).agg(*[F.avg(F.exp(F.col("y") - fitted(k))).alias(f"{k}_smear") for k in ("base", "more")], *floor)
+    known = settled(fits.join(smears, by))
+    asked = gated(nonoverlapping(spread(in_range(test)), "horizon", by), by, gates[1]).join(known, by)
+
+    def made(k: str) -> Column:
+        f = fitted(k)
+        return F.when(F.col("spec") == "log_smear", floored(F.exp(f) * F.col(f"{k}_smear"))).when(F.col("spec") == "log_no_smear", floored(F.exp(f))).otherwise(F.greatest(f, "floor", F.lit(EPS)))
+
+    both = asked.withColumns({"baseline_forecast": made("base"), "augmented_forecast": made("more")})
+    return with_losses(both, "rv_future", "baseline_forecast", "augmented_forecast").select(*by, "ts", "rv_future", "Z", "baseline_forecast", "augmented_forecast", "baseline_mse", "augmented_mse", "baseline_qlike", "augmented_qlike", "mse_diff", "qlike_diff", "cw")
 
 
 def comparison(detail: DataFrame, law: str = "t", by=("asset", "horizon", "family")) -> DataFrame:

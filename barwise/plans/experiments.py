@@ -23,31 +23,31 @@ def _same(horizons, frames: dict[str, int]) -> dict[int, str | None]:
 def family_tests(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], families=tuple(forecasting.FAMILIES)) -> DataFrame:
     """Every family with and without Z, at every horizon: losses and tests."""
     long = settled(forecasting.by_horizon(frame, horizons, tuple(frames)))
-    return forecasting.comparison(_union([forecasting.details(long, tuple(frames), _same(horizons, frames), f) for f in families]))
+    return forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in families]))
 
 
 def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int]) -> DataFrame:
     """Each asset's and horizon's family of least validation loss, then refitted with the validation rows and tested."""
     long = settled(forecasting.by_horizon(frame, horizons, tuple(frames)))
-    tried = _union([forecasting.details(long, tuple(frames), _same(horizons, frames), f, train=("train",), test=("validation",)) for f in forecasting.FAMILIES])
-    best = forecasting.best_family(tried)
-    tested = forecasting.comparison(_union([forecasting.details(long, tuple(frames), _same(horizons, frames), f) for f in forecasting.FAMILIES]))
-    return tested.join(best, ["asset", "horizon", "family"])
+    setting = (long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in forecasting.FAMILIES])
+    best = settled(forecasting.best_family(forecasting.details(*setting, train=("train",), test=("validation",))))
+    chosen = forecasting.details(*setting).join(best, ["asset", "horizon", "family"], "left_semi")
+    return forecasting.comparison(chosen).join(best, ["asset", "horizon", "family"])
 
 
 def specification_sweep(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], clips=((0.01, 0.99),), specs=("log_smear", "log_no_smear", "level_floor")) -> DataFrame:
     """The static test under several specifications and clips of Z (None: no clip); bounds come from training rows alone."""
-    long = settled(forecasting.by_horizon(frame, horizons, tuple(frames)))
+    long = forecasting.by_horizon(frame, horizons, tuple(frames))
     parts = []
     for clip in clips:
         rows = long
         if clip:
             bounds = splits.clip_bounds(splits.in_split(frame.where("Z is not null"), "train"), "Z", *clip)
             rows = splits.winsorized(long, bounds, "Z")
-        for spec in specs:
-            detail = forecasting.details(rows, tuple(frames), _same(horizons, frames), spec=spec, gates=(50, 10))
-            parts.append(forecasting.comparison(detail, law="normal").withColumns({"spec": F.lit(spec), "clip": F.lit("none" if clip is None else f"{clip[0]}-{clip[1]}")}))
-    return _union(parts)
+        parts.append(rows.withColumn("clip", F.lit("none" if clip is None else f"{clip[0]}-{clip[1]}")))
+    models = [forecasting.Nested(spec, spec=spec) for spec in specs]
+    detail = forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), models, gates=(50, 10), also=("clip",))
+    return forecasting.comparison(detail, law="normal", by=("asset", "horizon", "clip", "family")).withColumnRenamed("family", "spec").withColumn("family", F.lit("HAR"))
 
 
 def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...], frames: dict[str, int] | None = None, tolerance_minutes: float = 60) -> DataFrame:
@@ -62,24 +62,22 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
     long = forecasting.by_horizon(whole, horizons, tuple(frames), ("Z", *rate, "in_window"))
     long = settled(splits.complete(long, ["Z", *rate, "rv_future"], ["rv_future"]))
     models = {"HAR+F": ((), rate), "HAR+Z": ((), ("Z",)), "HAR+F+Z": ((), (*rate, "Z")), "HAR+F+Z+window": ((), (*rate, "Z", "in_window")), "HAR+F+Z vs HAR+F": (rate, ("Z",)), "HAR+F+Z vs HAR+Z": (("Z",), rate)}
-    parts = []
-    for name, (base, extra) in models.items():
-        detail = forecasting.details(long, tuple(frames), _same(horizons, frames), extra=extra, baseline_extra=base, splits=splits.HOUR_SPLITS)
-        parts.append(forecasting.comparison(detail.withColumn("family", F.lit(name))))
-    return _union(parts).withColumnRenamed("family", "model")
+    pairs = [forecasting.Nested(name, "HAR", extra, base) for name, (base, extra) in models.items()]
+    detail = forecasting.details(long, tuple(frames), _same(horizons, frames), pairs, splits=splits.HOUR_SPLITS)
+    return forecasting.comparison(detail).withColumnRenamed("family", "model")
 
 
 def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], windows=(144, 288, 576), smoothings=(1, 3, 6), poolings=("max", "mean")) -> DataFrame:
     """The HAR comparison under every window, smoothing and pooling of the signal; the variances are shared."""
     base = settled(features.with_har(features.with_realized_variance(returns, horizons), frames))
-    parts = []
+    keys, parts = ("window", "smoothing", "pooling"), []
     for w in windows:
         for s in smoothings:
             for p in poolings:
-                long = settled(forecasting.by_horizon(features.with_activation(base, w, s, p), horizons, tuple(frames)))
-                out = forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames)))
-                parts.append(out.withColumns({"window": F.lit(w), "smoothing": F.lit(s), "pooling": F.lit(p)}))
-    return _union(parts)
+                tagged = features.with_activation(base, w, s, p).withColumns({"window": F.lit(w), "smoothing": F.lit(s), "pooling": F.lit(p)})
+                parts.append(forecasting.by_horizon(tagged, horizons, tuple(frames), ("Z", *keys)))
+    detail = forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), [forecasting.Nested("HAR")], also=keys)
+    return forecasting.comparison(detail, by=("asset", "horizon", *keys, "family"))
 
 
 def calibration(bars: DataFrame, split_ranges, window: int, horizons: tuple[int, ...], days_per_row: float) -> dict[str, DataFrame]:
