@@ -1,7 +1,7 @@
 """Toxicity with a counterfactual-regularised classifier.
 
-Features are words and word beginnings. How many toxic and clean documents have each is counted over all
-labelled training rows; the features most associated with the label enter a logistic regression. Its loss
+Features are words and word beginnings. How many toxic and clean documents have each is counted over
+labelled training rows, of which a documented number are used; the features most associated with the label enter a logistic regression. Its loss
 has a penalty on score changes when identity terms in a labelled text's sentences are swapped for others,
 so that naming a group does not move the score.
 """
@@ -63,7 +63,7 @@ class Picker:
 
 
 def _associated(labelled: DataFrame, most_features: int) -> list[str]:
-    """The features with the clearest association with label 1, by the z of their log odds, over all rows."""
+    """The features with the clearest association with label 1, by the z of their log odds."""
 
     def counted(batches):
         seen = (Counter(), Counter())
@@ -114,18 +114,26 @@ def _fit(rows: list[tuple[int, list[int], list[int] | None]], n_features: int, l
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_features: int = 4096, l2: float = 1e-4, consistency: float = 1.0) -> dict:
+def _some(ids: DataFrame, most: int, n: int) -> DataFrame:
+    """About `most` of n rows at most, picked by a hash of the id."""
+    return ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < 1e9 * most / n) if n > most else ids
+
+
+def train(docs: DataFrame, labels: DataFrame, count_rows: int = 100_000, fit_rows: int = 20_000, most_features: int = 4096, l2: float = 1e-4, consistency: float = 1.0) -> dict:
     """A model from the non-null texts of `docs` with a 0/1 label in `labels`.
 
-    Feature counts cover all labelled rows; the regression is fitted on a bounded sample of about
-    `fit_rows` of them, picked by a hash of the id. Without labels the model scores 0 everywhere.
+    A bounded sample of labelled rows is used: about `count_rows` of them, picked by a hash of the id, for the
+    counts of features and about `fit_rows` of those for the regression; where there are fewer, all. The
+    bound makes the picked ids small enough to broadcast, so no text is shuffled. An id with several labels
+    is toxic if one of them says so. Without labels the model scores 0 everywhere.
     """
-    marked = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    labelled = docs.where("text is not null").select("doc_id", "text").join(marked, "doc_id")
-    names = _associated(labelled, most_features)
+    marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = marked.count()
     if not n:
         return {"names": [], "weights": np.zeros(0), "bias": -np.inf}
+    texts = docs.where("text is not null").select("doc_id", "text")
+    labelled = texts.join(F.broadcast(_some(marked, count_rows, n)), "doc_id")
+    names = _associated(labelled, most_features)
     known = docs.sparkSession.sparkContext.broadcast(names)
 
     def picked(batches):
@@ -135,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_featu
             other = [counterfactual(t) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array([pick(t) for t in texts], pa.list_(pa.int32())), pa.array([None if o is None else pick(o) for o in other], pa.list_(pa.int32()))], names=["toxic", "found", "swapped"])
 
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000.0 * fit_rows / n)
+    sample = texts.join(F.broadcast(_some(marked, fit_rows, n)), "doc_id")
     rows = sample.select("toxic", "text").mapInArrow(picked, "toxic int, found array<int>, swapped array<int>").collect()
     weights, bias = _fit([tuple(r) for r in rows], len(names), l2, consistency)
     return {"names": names, "weights": weights, "bias": bias}
