@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
 Training counts character trigrams of words by language. A word's score per language is the sum of its
-trigrams' log-probabilities; languages that do not use the word's script are out, as script ranges tell.
+trigrams' log-probabilities, less those of trigrams never seen; languages that do not use the word's script are out, as script ranges tell.
 A Viterbi path over a document's words, with a penalty for each switch, labels spans; the language with most
 letters in its spans is the document's, and its share of the letters is the score.
 """
@@ -46,12 +46,13 @@ def trigrams(word: str) -> list[str]:
     return [framed[i : i + 3] for i in range(len(framed) - 2)]
 
 
-def train(docs: DataFrame, docs_per_language: int = 2000, most_trigrams: int = 200_000) -> dict:
+def train(docs: DataFrame, docs_per_language: int = 2000, unseen_share: float = 0.01) -> dict:
     """A model from the texts and non-null lang of `docs`: trigram and script counts by language.
 
     The fit uses a bounded sample: about `docs_per_language` whole documents of each language, picked by a
-    hash of their ids, and the `most_trigrams` most frequent (language, trigram) counts. No rows give a
-    model without languages.
+    hash of their ids, and all their trigrams. A trigram that a language lacks has the same probability in every
+    language, `unseen_share` over the number of trigrams, whatever the language's total; the model holds by how
+    much the log-probabilities of seen ones exceed it. No rows give a model without languages.
     """
     labelled = docs.where("lang is not null and text is not null")
     sizes = labelled.groupBy("lang").count().withColumnRenamed("count", "n")
@@ -70,19 +71,24 @@ def train(docs: DataFrame, docs_per_language: int = 2000, most_trigrams: int = 2
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["lang", "kind", "what", "n"])
 
     counts = picked.select("lang", "text").mapInArrow(counted, "lang string, kind long, what string, n long").groupBy("kind", "lang", "what").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy("kind", F.desc("n"), "lang", "what").limit(most_trigrams).collect()
-    langs = sorted({r.lang for r in rows})
+    rows = counts.orderBy("kind", "what", "lang").toArrow()
+    kinds, what, spoken, n = (rows.column(c).to_pylist() for c in ("kind", "what", "lang", "n"))
+    langs = sorted(set(spoken))
     number = {lang: k for k, lang in enumerate(langs)}
-    table = {gram: k for k, gram in enumerate(sorted({r.what for r in rows if r.kind == 3}))}
-    n = np.full((len(table) + 1, len(langs)), 0.5)  # the last row is for trigrams never seen
     scripts: dict[str, np.ndarray] = {}
-    for r in rows:
-        if r.kind == 3:
-            n[table[r.what], number[r.lang]] += r.n
-        else:
-            scripts.setdefault(r.what, np.zeros(len(langs)))[number[r.lang]] = r.n
+    cut = sum(k == 0 for k in kinds)
+    for name, lang, c in zip(what[:cut], spoken[:cut], n[:cut]):
+        scripts.setdefault(name, np.zeros(len(langs)))[number[lang]] = c
     words = sum(scripts.values()) if scripts else np.zeros(len(langs))
-    return {"langs": langs, "trigrams": table, "scores": np.log(n / n.sum(axis=0)).astype(np.float32) if langs else n, "scripts": {s: v / np.maximum(words, 1) >= 1e-3 for s, v in scripts.items()}}
+    grams = what[cut:]
+    table = {gram: k for k, gram in enumerate(dict.fromkeys(grams))}
+    entry_lang = np.array([number[lang] for lang in spoken[cut:]], dtype=np.int64)
+    entry_n = np.array(n[cut:], dtype=np.float64)
+    totals = np.bincount(entry_lang, entry_n, minlength=len(langs))
+    unseen = unseen_share / (len(table) + 1)
+    gains = np.log(((1 - unseen_share) * (entry_n - 0.5) / totals[entry_lang] + unseen) / unseen).astype(np.float32)
+    starts = np.searchsorted(np.array([table[g] for g in grams], dtype=np.int64), np.arange(len(table) + 2))  # one more is for trigrams never seen
+    return {"langs": langs, "trigrams": table, "starts": starts, "gain_langs": entry_lang, "gains": gains, "scripts": {s: v / np.maximum(words, 1) >= 1e-3 for s, v in scripts.items()}}
 
 
 class WordScores:
@@ -101,18 +107,24 @@ class WordScores:
         if len(self.number) + len(new) > self.most:
             self.reset()
             new = list(words)
-        if not new:
-            return
+        parts = [self._scores(new[k : k + 20_000]) for k in range(0, len(new), 20_000)]
+        self.number.update((w, len(self.rows) + k) for k, w in enumerate(new))
+        self.rows = np.concatenate([self.rows, *parts])
+
+    def _scores(self, new: list[str]) -> np.ndarray:
         unseen = len(self.model["trigrams"])
         ids = [[self.model["trigrams"].get(g, unseen) for g in trigrams(w)] for w in new]
-        ends = np.cumsum([len(x) for x in ids])
-        scores = np.add.reduceat(self.model["scores"][np.fromiter((i for x in ids for i in x), dtype=np.int64, count=ends[-1])], np.concatenate([[0], ends[:-1]]), axis=0)
+        word = np.repeat(np.arange(len(new)), [len(x) for x in ids])
+        flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=len(word))
+        first, n = self.model["starts"][flat], np.diff(self.model["starts"])[flat]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())  # the entries of each trigram
+        place = np.repeat(word, n) * len(self.model["langs"]) + self.model["gain_langs"][at]
+        scores = np.bincount(place, self.model["gains"][at], minlength=len(new) * len(self.model["langs"])).astype(np.float32).reshape(len(new), -1)
         for k, word in enumerate(new):
             uses = self.model["scripts"].get(script(word[0]))
             if uses is not None and uses.any():
                 scores[k, ~uses] -= 1e4  # a script narrows the candidates
-        self.number.update((w, len(self.rows) + k) for k, w in enumerate(new))
-        self.rows = np.concatenate([self.rows, scores])
+        return scores
 
 
 def viterbi(scores: np.ndarray, words: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -153,8 +165,9 @@ def viterbi(scores: np.ndarray, words: list[np.ndarray], penalty: float) -> list
 def _labelled(texts: list[str | None], scorer: WordScores, penalty: float):
     """Per text: (language, share of letters, runs); runs is a list of (language number, words, letters)."""
     langs = scorer.model["langs"]
-    runs = [[w for w in letter_runs(t) if w[0].isalpha() or any(map(str.isalpha, w))] if t and langs else [] for t in texts]
-    scorer.learn(set().union(*runs))
+    once: dict[str, str] = {}  # a word that comes again is held once
+    runs = [[once.setdefault(w, w) for w in letter_runs(t) if w[0].isalpha() or any(map(str.isalpha, w))] if t and langs else [] for t in texts]
+    scorer.learn(set(once))
     words = [np.fromiter(map(scorer.number.__getitem__, r), dtype=np.int64, count=len(r)) for r in runs]
     for run, path in zip(runs, viterbi(scorer.rows, words, penalty)):
         if not run:
