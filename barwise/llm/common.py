@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,41 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batch, column: int, most_bytes: int = 8_000_000):
+class Kept(dict):
+    """Values by text, kept while they take about `most_bytes`, and then all dropped.
+
+    Each task makes its own, so nothing stays in a reused worker when the task ends.
+    """
+
+    def __init__(self, most_bytes: int):
+        self.most_bytes, self.used = most_bytes, 0
+
+    def keep(self, key, value, n_bytes: int) -> None:
+        self.used += n_bytes + 200
+        if self.used > self.most_bytes:
+            self.clear()
+            self.used = n_bytes + 200
+        self[key] = value
+
+
+def rows_where(docs: DataFrame, judge: Callable[[], Callable[[list[str | None]], object]], most_bytes: int = 4_000_000) -> DataFrame:
+    """The rows of `docs` of whose texts the judge says yes.
+
+    `judge()` runs once in each task and gives a function from a list of texts to as many booleans. Only the
+    texts go to Python, and only the booleans come back; the rows themselves stay where they are.
+    """
+
+    @F.arrow_udf("boolean")
+    def kept(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judged = judge()
+        for whole in texts:
+            parts = [pa.array(judged(part.column(0).to_pylist()), pa.bool_()) for part in slices(pa.record_batch([whole], names=["text"]), 0, most_bytes)]
+            yield pa.concat_arrays(parts) if parts else pa.nulls(0, pa.bool_())
+
+    return docs.where(kept("text"))
+
+
+def slices(batch, column: int, most_bytes: int = 4_000_000):
     """Parts of an Arrow batch with at most `most_bytes` in a string or binary column, or one row if that is larger."""
     import numpy as np
     import pyarrow.compute as pc

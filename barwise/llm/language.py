@@ -1,23 +1,29 @@
 """Language identification of mixed-language text.
 
 Training counts character trigrams of words by language. A word's score per language is the sum of its
-trigrams' log-probabilities, less those of trigrams never seen; languages that do not use the word's script are out, as script ranges tell.
-A Viterbi path over a document's words, with a penalty for each switch, labels spans; the language with most
-letters in its spans is the document's, and its share of the letters is the score.
+trigrams' log-probabilities, less those of trigrams never seen; languages that do not use the word's script are
+out, as script ranges tell. A Viterbi path over a document's words, with a penalty for each switch, labels spans.
+
+A word supports its label if its trigrams are likelier in that language than in a background in which all trigrams
+ever seen are equally likely. Words of a script that no language uses, and random letters, support none. The
+language with most letters in words that support it is the document's, and their share of all letters is the score.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import id_remainder, slices
+from barwise.llm.common import id_remainder, rows_where, slices
 
 #: First code points of script ranges, in order; what lies between is "other".
 SCRIPTS = (
@@ -28,7 +34,16 @@ SCRIPTS = (
     (0xAC00, "hangul"), (0xD800, "other"), (0x20000, "han"), (0x30000, "other"),
 )
 _STARTS = [start for start, _ in SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """The combining marks as ranges of a character class; they belong to the letters that they follow."""
+    points = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(points), lambda x: x[1] - x[0])]
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
 UNDETERMINED = "und"
 
 
@@ -54,7 +69,7 @@ def train(docs: DataFrame, docs_per_language: int = 2000, unseen_share: float =
     language, `unseen_share` over the number of trigrams, whatever the language's total; the model holds by how
     much the log-probabilities of seen ones exceed it. No rows give a model without languages.
     """
-    labelled = docs.where("lang is not null and text is not null")
+    labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     sizes = labelled.groupBy("lang").count().withColumnRenamed("count", "n")
     picked = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000.0 * docs_per_language) / F.col("n"))
 
@@ -88,33 +103,40 @@ def train(docs: DataFrame, docs_per_language: int = 2000, unseen_share: float =
     unseen = unseen_share / (len(table) + 1)
     gains = np.log(((1 - unseen_share) * (entry_n - 0.5) / totals[entry_lang] + unseen) / unseen).astype(np.float32)
     starts = np.searchsorted(np.array([table[g] for g in grams], dtype=np.int64), np.arange(len(table) + 2))  # one more is for trigrams never seen
-    return {"langs": langs, "trigrams": table, "starts": starts, "gain_langs": entry_lang, "gains": gains, "scripts": {s: v / np.maximum(words, 1) >= 1e-3 for s, v in scripts.items()}}
+    background = float(np.log(1 / ((len(table) + 1) * unseen)))
+    return {"langs": langs, "background": background, "trigrams": table, "starts": starts, "gain_langs": entry_lang, "gains": gains, "scripts": {s: v / np.maximum(words, 1) >= 1e-3 for s, v in scripts.items()}}
 
 
 class WordScores:
-    """Scores of words, kept while there are at most `most` of them."""
+    """Scores of words, kept while they take about `most_bytes`. `needed` is what a word's score must reach to support a language."""
 
-    def __init__(self, model: dict, most: int = 400_000):
-        self.model, self.most = model, most
+    def __init__(self, model: dict, most_bytes: int = 24_000_000):
+        self.model, self.most_bytes = model, most_bytes
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.used = 0
         self.rows = np.zeros((0, len(self.model["langs"])), dtype=np.float32)
+        self.needed = np.zeros(0, dtype=np.float32)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.number]
-        if len(self.number) + len(new) > self.most:
+        size = lambda ws: sum(map(len, ws)) * 2 + len(ws) * (200 + 4 * len(self.model["langs"]))
+        if self.used + size(new) > self.most_bytes and self.number:
             self.reset()
             new = list(words)
-        parts = [self._scores(new[k : k + 20_000]) for k in range(0, len(new), 20_000)]
+        self.used += size(new)
+        parts = [self._scores(new[k : k + 5_000]) for k in range(0, len(new), 5_000)]
         self.number.update((w, len(self.rows) + k) for k, w in enumerate(new))
-        self.rows = np.concatenate([self.rows, *parts])
+        self.rows = np.concatenate([self.rows, *(p for p, _ in parts)])
+        self.needed = np.concatenate([self.needed, *(n for _, n in parts)])
 
-    def _scores(self, new: list[str]) -> np.ndarray:
+    def _scores(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         unseen = len(self.model["trigrams"])
         ids = [[self.model["trigrams"].get(g, unseen) for g in trigrams(w)] for w in new]
-        word = np.repeat(np.arange(len(new)), [len(x) for x in ids])
+        sizes = np.array([len(x) for x in ids])
+        word = np.repeat(np.arange(len(new)), sizes)
         flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=len(word))
         first, n = self.model["starts"][flat], np.diff(self.model["starts"])[flat]
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())  # the entries of each trigram
@@ -124,7 +146,7 @@ class WordScores:
             uses = self.model["scripts"].get(script(word[0]))
             if uses is not None and uses.any():
                 scores[k, ~uses] -= 1e4  # a script narrows the candidates
-        return scores
+        return scores, (sizes * self.model["background"]).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, words: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -169,40 +191,32 @@ def _labelled(texts: list[str | None], scorer: WordScores, penalty: float):
     runs = [[once.setdefault(w, w) for w in letter_runs(t) if w[0].isalpha() or any(map(str.isalpha, w))] if t and langs else [] for t in texts]
     scorer.learn(set(once))
     words = [np.fromiter(map(scorer.number.__getitem__, r), dtype=np.int64, count=len(r)) for r in runs]
-    for run, path in zip(runs, viterbi(scorer.rows, words, penalty)):
+    for run, numbers, path in zip(runs, words, viterbi(scorer.rows, words, penalty)):
         if not run:
             yield UNDETERMINED, 0.0, []
             continue
         letters = np.fromiter(map(len, run), dtype=np.int64, count=len(run))
-        totals = np.bincount(path, weights=letters, minlength=len(langs))
+        supports = scorer.rows[numbers, path] >= scorer.needed[numbers]
+        sure, all_of = (np.bincount(path, weights=letters * x, minlength=len(langs)) for x in (supports, 1))
+        best = int(np.lexsort((-np.arange(len(langs)), all_of, sure))[-1])
         heads = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
         spans = zip(path[heads].tolist(), np.diff(np.append(heads, len(path))).tolist(), np.add.reduceat(letters, heads).tolist())
-        yield langs[int(totals.argmax())], float(totals.max() / letters.sum()), list(spans)
-
-
-_SCORERS: dict[int, WordScores] = {}
-
-
-def _scorer(broadcast) -> WordScores:
-    model = broadcast.value
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = WordScores(model)
-    return _SCORERS[id(model)]
+        yield langs[best], float(sure[best] / letters.sum()), list(spans)
 
 
 def identify(docs: DataFrame, model: dict, penalty: float = 8.0) -> DataFrame:
     """(doc_id, lang_pred, score, spans) per row: spans lists (lang, words, letters) in text order.
 
-    A null text and one without letters get `und`, score 0 and no spans. Repeated rows each give a row.
+    A null text and one without letters get `und`, score 0 and no spans; one whose words support no language gets
+    its path's most frequent one and score 0. Repeated rows and rows of a null doc_id each give a row.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def labelled(batches):
-        scorer = _scorer(known)
+        scorer = WordScores(known.value)
         langs = scorer.model["langs"]
         for whole in batches:
-            for batch in slices(whole, 1, 16_000_000):
+            for batch in slices(whole, 1):
                 found = list(_labelled(batch.column(1).to_pylist(), scorer, penalty))
                 spans = pa.array([[{"lang": langs[k], "words": w, "letters": c} for k, w, c in s] for _, _, s in found], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64()), ("letters", pa.int64())])))
                 yield pa.record_batch([batch.column(0), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64()), spans], names=["doc_id", "lang_pred", "score", "spans"])
@@ -211,18 +225,17 @@ def identify(docs: DataFrame, model: dict, penalty: float = 8.0) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict, least_share: float = 0.3, penalty: float = 8.0) -> DataFrame:
-    """`docs` without those whose language is undetermined or has less than `least_share` of the letters."""
+    """`docs` without those whose language is undetermined, or is supported by less than `least_share` of the letters.
+
+    All columns stay, whatever their names. Repeated rows and rows of a null doc_id are judged one by one.
+    """
     known = docs.sparkSession.sparkContext.broadcast(model)
-    text = docs.columns.index("text")
 
-    def kept(batches):
-        scorer = _scorer(known)
-        for whole in batches:
-            for batch in slices(whole, text, 16_000_000):
-                found = _labelled(batch.column(text).to_pylist(), scorer, penalty)
-                yield batch.filter(pa.array([lang != UNDETERMINED and share >= least_share for lang, share, _ in found], pa.bool_()))
+    def judge():
+        scorer = WordScores(known.value)
+        return lambda texts: [lang != UNDETERMINED and share >= least_share for lang, share, _ in _labelled(texts, scorer, penalty)]
 
-    return docs.mapInArrow(kept, docs.schema)
+    return rows_where(docs, judge)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import slices, vocabulary_path
+from barwise.llm.common import Kept, slices, vocabulary_path
 
 BLANK = "▁"
 _INFINITE = float("inf")
@@ -30,7 +29,9 @@ _START = -1
 
 
 class PieceTransducer:
-    def __init__(self, path: str, most_chunks: int = 600_000, most_pairs: int = 1_000_000):
+    """The compiled machines. `pairs` and `known` keep what was composed so far, in bounded memory."""
+
+    def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -61,9 +62,12 @@ class PieceTransducer:
                 node = node.setdefault(char, {})
             node[""] = number
         self.chunk = self._chunks()
-        self.pairs: dict[tuple[int, int], float] = {}
-        self.known: dict[str, bytes] = {}
-        self.most_chunks, self.most_pairs = most_chunks, most_pairs
+        self.emptied()
+
+    def emptied(self, pair_bytes: int = 32_000_000, chunk_bytes: int = 32_000_000) -> PieceTransducer:
+        """This machine with nothing kept; tasks begin and end so."""
+        self.pairs, self.known = Kept(pair_bytes), Kept(chunk_bytes)
+        return self
 
     def _chunks(self) -> re.Pattern:
         """A pattern of chunks that no piece reaches across."""
@@ -88,10 +92,9 @@ class PieceTransducer:
     def pair_weight(self, a: int, b: int) -> float:
         weight = self.pairs.get((a, b))
         if weight is None:
-            if len(self.pairs) >= self.most_pairs:
-                self.pairs.clear()
             left, right = self.text_of[a], self.text_of[b]
-            weight = self.pairs[a, b] = 0.0 if self._merged(left + right) == [left, right] else _INFINITE
+            weight = 0.0 if self._merged(left + right) == [left, right] else _INFINITE
+            self.pairs.keep((a, b), weight, 0)
         return weight
 
     def shortest_path(self, chunk: str) -> list[int]:
@@ -140,9 +143,7 @@ class PieceTransducer:
             if ids is None:
                 ids = np.array(self.shortest_path(chunk), dtype="<i4").tobytes()
                 if len(chunk) <= 48:
-                    if len(known) >= self.most_chunks:
-                        known.clear()
-                    known[chunk] = ids
+                    known.keep(chunk, ids, 2 * len(chunk) + len(ids))
             found.append(ids)
         return b"".join(found)
 
@@ -155,33 +156,37 @@ class PieceTransducer:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
-def _transducer(path: str) -> PieceTransducer:
-    return PieceTransducer(path)
+def _compiled(docs: DataFrame, model_path: str | None):
+    """The machine compiled once, as a broadcast of the vocabulary's size; workers drop it with the stage."""
+    return docs.sparkSession.sparkContext.broadcast(PieceTransducer(model_path or vocabulary_path("piece_bpe_32k.model")))
 
 
 def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, ids, n_pieces) per row, for whole texts; a null or empty text has no ids."""
-    path = model_path or vocabulary_path("piece_bpe_32k.model")
+    """(doc_id, ids, n_pieces) per row, for whole texts; a null or empty text has no ids.
+
+    Repeated rows and rows of a null doc_id each give a row; an empty table gives none. Other columns are not read.
+    """
+    compiled = _compiled(docs, model_path)
 
     def encoded(batches):
-        machine = _transducer(path)
+        machine = compiled.value.emptied()
         for whole in batches:
             for batch in slices(whole, 1):
                 raw = [machine.encode_bytes(t or "") for t in batch.column(1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
                 yield pa.record_batch([batch.column(0), ids, pa.array(np.diff(ends).astype(np.int64))], names=["doc_id", "ids", "n_pieces"])
+        machine.emptied()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, ids array<int>, n_pieces long")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids)."""
-    path = model_path or vocabulary_path("piece_bpe_32k.model")
+    compiled = _compiled(encoded, model_path)
 
     def decoded(batches):
-        machine = _transducer(path)
+        machine = compiled.value.emptied()
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([machine.decode(ids or ()) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -194,11 +199,11 @@ def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     round_trip tells whether the decoded text is the text itself; only U+2581 in a text, which reads as a
     blank, can make it false. A null text counts as empty.
     """
-    path = model_path or vocabulary_path("piece_bpe_32k.model")
+    compiled = _compiled(docs, model_path)
     names = ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"]
 
     def digested(batches):
-        machine = _transducer(path)
+        machine = compiled.value.emptied()
         for whole in batches:
             for batch in slices(whole, 1):
                 rows = []
@@ -206,6 +211,8 @@ def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
                     ids = np.frombuffer(machine.encode_bytes(text or ""), dtype="<i4")
                     back = machine.decode(ids.tolist())
                     rows.append((len(ids), int(machine.is_byte[ids].sum()), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows))], names=names)
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows), kinds)], names=names)
+        machine.emptied()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(digested, "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

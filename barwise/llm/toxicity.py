@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import id_remainder, slices
+from barwise.llm.common import id_remainder, rows_where, slices
 from barwise.llm.language import letter_runs
 
 #: Terms that name a group, by kind; a term is swapped for the next one of its line.
@@ -168,17 +168,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
-    """`docs` without those that score `threshold` or more. All columns stay and nothing is shuffled."""
+    """`docs` without those that score `threshold` or more. All columns and null texts stay and nothing is shuffled."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    text = docs.columns.index("text")
 
-    def kept(batches):
+    def judge():
         pick = Picker(known.value["names"])
-        for whole in batches:
-            for batch in slices(whole, text):
-                yield batch.filter(pa.array(_scores(batch.column(text).to_pylist(), pick, known.value) < threshold))
+        return lambda texts: _scores(texts, pick, known.value) < threshold
 
-    return docs.mapInArrow(kept, docs.schema)
+    return rows_where(docs, judge)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

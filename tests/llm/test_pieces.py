@@ -5,9 +5,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from barwise.llm.common import vocabulary_path
-from barwise.llm.pieces import _transducer, decode, encode, round_trips
+from barwise.llm.pieces import PieceTransducer, decode, encode, round_trips
 
 PATH = vocabulary_path("piece_bpe_32k.model")
+MACHINE = PieceTransducer(PATH)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 TEXT = st.lists(st.one_of(st.sampled_from([" ", "  ", "   ", "      ", "\n", "\t", "the", "ing", "é", "漢", "☃", "a", "1", "###", "<s>", "<0x0A>", "▁", "²", ".", "_", "ation", "Ü", " "]), st.text(max_size=4)), max_size=14).map("".join)
 
@@ -16,8 +17,8 @@ TEXT = st.lists(st.one_of(st.sampled_from([" ", "  ", "   ", "      ", "\n", "\t
 @settings(max_examples=1500, deadline=None)
 def test_shortest_path_is_the_model_s_encoding(text):
     if "\x00" not in text:
-        assert _transducer(PATH).encode(text) == LIBRARY.encode(text)
-    assert _transducer(PATH).decode(_transducer(PATH).encode(text)) == text.replace("▁", " ")
+        assert MACHINE.encode(text) == LIBRARY.encode(text)
+    assert MACHINE.decode(MACHINE.encode(text)) == text.replace("▁", " ")
 
 
 def test_words_against_the_library():
@@ -25,13 +26,13 @@ def test_words_against_the_library():
     parts = ["th", "re", "un", "able", "ly", "est", "qu", "ción", "schaft", "ung", "x", "zz", "ou", "er", "heit"]
     for _ in range(20_000):
         word = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 7)))
-        assert _transducer(PATH).encode(word) == LIBRARY.encode(word), word
+        assert MACHINE.encode(word) == LIBRARY.encode(word), word
 
 
 def test_runs_of_blanks_and_long_runs():
     for n in [*range(1, 70), 333]:
         for text in (" " * n, " " * n + "a", "a" + " " * n + "b", "x" * n, "=" * n, "\n" * n, "漢" * n):
-            assert _transducer(PATH).encode(text) == LIBRARY.encode(text), (n, text[:5])
+            assert MACHINE.encode(text) == LIBRARY.encode(text), (n, text[:5])
 
 
 def test_frames(spark):
