@@ -1,225 +1,272 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-A shard is a bounded slice of a partition of documents. Its suffix array is built by prefix doubling over
-word numbers; after each doubling only the suffixes whose prefix also starts a test suffix stay, so the
-array that remains is sorted by the first `window` words and holds just the suffixes that any test suffix
-can match. Every test suffix is then binary-searched in it, which gives all verbatim matches and their
-places. Documents are read once and nothing is shuffled.
-
-The benchmark is sent to the tasks in blocks of at most `block_bytes` of text (a larger item is a block of
-its own), so no broadcast grows with it; documents meet the blocks one after the other.
+A shard is a bounded slice of a partition of documents. Prefix doubling over word numbers ranks the shard's
+suffixes by their first 1, 2, 4, ... words among the test suffixes' prefixes; a suffix whose prefix starts no
+test suffix drops out, as nothing can match it any further. The suffixes that share `window` words with some
+test suffix, sorted by rank, are the shard's suffix array. Every test suffix is binary-searched in it, which
+gives the range of all places where it begins, and each such match is extended to its longest by a descent
+over the ranks of 2^k words. Documents with a match are the affected ones. Nothing is shuffled.
+
+The benchmark is sent to the tasks in blocks of at most `block_bytes` of text (a larger item is a block of its
+own). Each block is a pass of its own over the documents, and its broadcast is dropped after it, so what a
+task holds does not grow with the benchmark; one of up to `block_bytes` takes a single pass.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import slices
+from barwise.llm.common import rows_where, settled_table, slices
 
 #: Lower-cases A-Z and turns all but digits, letters and non-ASCII bytes into blanks.
 _WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+#: Text of a shard, in bytes.
+SHARD_BYTES = 2_000_000
+HITS = "array<struct<doc_word: long, n_words: long, item_id: string, item_word: long>>"
+_HIT = pa.struct([("doc_word", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_word", pa.int64())])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+def _halves(width: int) -> tuple[int, int]:
+    """The greatest power of two below a width, and the rest."""
+    left = 1 << (width - 1).bit_length() - 1
+    return left, width - left
+
+
+def _pairs(ranks: np.ndarray, after: np.ndarray, left: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where both halves of a prefix have ranks, and the key that the two make."""
+    at = np.flatnonzero(ranks[: max(0, len(ranks) - left)] >= 0)
+    at = at[after[at + left] >= 0]
+    return at, ranks[at].astype(np.int64) * base + after[at + left]
+
+
 class TestSuffixes:
-    """One block of benchmark items: word numbers and, for each window length, the ranks of the test suffixes."""
+    """One block of benchmark items: word numbers, and the ranks of all its suffixes by their first words."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[str] = []
-        tokens, item, left = [], [], []
+        tokens, item, searched, starts = [], [], [], []
         for name, text in items:
             if not (words := words_of(text)):
                 continue
+            starts.append(len(tokens))
             tokens += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words] + [0]
             item += [len(self.items)] * (len(words) + 1)
-            # a test suffix is searched by its first `window` words; a shorter item by all of its words
-            left += [(window if len(words) >= window else len(words)) if at <= max(0, len(words) - window) else 0 for at in range(len(words))] + [0]
+            # a test suffix is searched by its first `window` words, that of a shorter item by all of them
+            width = min(window, len(words))
+            searched += [width] * (len(words) - width + 1) + [0] * width
             self.items.append(name)
-        self.tokens, self.item, self.left = (np.array(x, dtype=np.int64) for x in (tokens, item, left))
+        self.tokens, self.item, self.searched, self.starts = (np.array(x, dtype=np.int64) for x in (tokens, item, searched, starts))
+        self.base = len(self.tokens) + 1
+        self.longest = int(np.diff(np.append(self.starts, len(self.tokens))).max(initial=1)) - 1
+        self._ranks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
 
-
-def _doubled(shard, test, at, after, width_left):
-    """Ranks of the prefixes of summed width from those of two widths; -1 where no test suffix has the prefix."""
-    (shard_a, test_a), (shard_b, test_b) = at, after
-    base = len(test) + 2
-
-    def keys(a, b, live):
-        where = np.flatnonzero(a[: max(0, len(a) - width_left)] >= 0) if live is None else live
-        where = where[where + width_left < len(b)]
-        where = where[b[where + width_left] >= 0]
-        return where, a[where] * base + b[where + width_left]
-
-    test_at, test_keys = keys(test_a, test_b, None)
-    ranks, inverse = np.unique(test_keys, return_inverse=True)
-    test_out = np.full(len(test), -1, dtype=np.int64)
-    test_out[test_at] = inverse
-    shard_out = np.full(len(shard), -1, dtype=np.int64)
-    if len(ranks):
-        shard_at, shard_keys = keys(shard_a, shard_b, None)
-        found = np.minimum(np.searchsorted(ranks, shard_keys), len(ranks) - 1)
-        same = ranks[found] == shard_keys
-        shard_out[shard_at[same]] = found[same]
-    return shard_out, test_out
-
-
-def matches(shard: np.ndarray, suffixes: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in shard, place in test tokens, words) of each verbatim window match.
-
-    One row per shard place and test suffix; equal test suffixes each give a row.
-    """
-    out = [(np.zeros(0, np.int64),) * 3]
-    test = suffixes.tokens
-    doubles = {1: (np.where(shard > 0, shard, -1), np.where(test > 0, test, -1))}
-    for window in sorted({int(x) for x in np.unique(suffixes.left)} - {0}):
-        ranks, width = None, 0
-        for power in (1 << k for k in range(window.bit_length())):
-            if power not in doubles:
-                half = doubles[power // 2]
-                doubles[power] = _doubled(shard, test, half, half, power // 2)
-        for power in (1 << k for k in reversed(range(window.bit_length()))):
-            if window & power:
-                ranks = doubles[power] if ranks is None else _doubled(shard, test, ranks, doubles[power], width)
-                width += power
-        places = np.flatnonzero(ranks[0] >= 0)
-        suffix_array = places[np.argsort(ranks[0][places], kind="stable")]
-        ordered = ranks[0][suffix_array]
-        searched = np.flatnonzero(suffixes.left == window)
-        low, high = (np.searchsorted(ordered, ranks[1][searched], side=side) for side in ("left", "right"))
-        n = high - low
-        if n.sum():
-            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out.append((suffix_array[at], np.repeat(searched, n), np.full(n.sum(), window)))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
-    """Broadcasts of the benchmark's rows, each with at most `block_bytes` of text or a single item."""
-    sc = benchmark.sparkSession.sparkContext
+    def ranks(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rank of each test suffix by its first `width` words, -1 if it has fewer; the sorted keys of those ranks)."""
+        if width not in self._ranks:
+            if width == 1:
+                self._ranks[1] = np.where(self.tokens > 0, self.tokens, -1).astype(np.int32), np.zeros(0, np.int64)
+            else:
+                left, right = _halves(width)
+                at, keys = _pairs(self.ranks(left)[0], self.ranks(right)[0], left, self.base)
+                known, inverse = np.unique(keys, return_inverse=True)
+                out = np.full(len(self.tokens), -1, dtype=np.int32)
+                out[at] = inverse
+                self._ranks[width] = out, known
+        return self._ranks[width]
+
+
+class Shard:
+    """The word numbers of a shard's documents, each followed by a 0, ranked among the test suffixes."""
+
+    def __init__(self, tokens: np.ndarray, test: TestSuffixes):
+        self.tokens, self.test = tokens, test
+        self._ranks: dict[int, np.ndarray] = {1: np.where(tokens > 0, tokens, -1).astype(np.int32)}
+
+    def ranks(self, width: int) -> np.ndarray:
+        """The rank of each suffix by its first `width` words; -1 where no test suffix begins with them."""
+        if width not in self._ranks:
+            left, right = _halves(width)
+            known = self.test.ranks(width)[1]
+            out = np.full(len(self.tokens), -1, dtype=np.int32)
+            if len(known):
+                at, keys = _pairs(self.ranks(left), self.ranks(right), left, self.test.base)
+                found = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                same = known[found] == keys
+                out[at[same]] = found[same]
+            self._ranks[width] = out
+        return self._ranks[width]
+
+    @cached_property
+    def powers(self) -> list[int]:
+        """Widths of the extending descent, the largest first."""
+        return [1 << k for k in reversed(range(self.test.longest.bit_length()))]
+
+    def longest_matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the shard, place in the test tokens, words) of each longest verbatim match.
+
+        One row per place and test suffix that no match one word to the left holds already.
+        """
+        out = [(np.zeros(0, np.int64),) * 3]
+        for window in sorted({int(x) for x in np.unique(self.test.searched)} - {0}):
+            ranks = self.ranks(window)
+            places = np.flatnonzero(ranks >= 0)
+            if not len(places):
+                continue
+            suffix_array = places[np.argsort(ranks[places], kind="stable")]
+            ordered = ranks[suffix_array]
+            searched = np.flatnonzero(self.test.searched == window)
+            low, high = (np.searchsorted(ordered, self.test.ranks(window)[0][searched], side=side) for side in ("left", "right"))
+            n = high - low
+            place = suffix_array[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            source = np.repeat(searched, n)
+            before = np.where(place > 0, self.tokens[place - 1], 0)
+            heads = (before == 0) | (before != np.where(source > 0, self.test.tokens[source - 1], 0))
+            place, source = place[heads], source[heads]
+            out.append((place, source, self._extended(place, source, window)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _extended(self, place: np.ndarray, source: np.ndarray, window: int) -> np.ndarray:
+        length = np.full(len(place), window, dtype=np.int64)
+        for power in self.powers:
+            at, to = place + length, source + length
+            inside = (at < len(self.tokens)) & (to < len(self.test.tokens))
+            a, b = (ranks[np.where(inside, x, 0)] for ranks, x in ((self.ranks(power), at), (self.test.ranks(power)[0], to)))
+            length[inside & (a >= 0) & (a == b)] += power
+        return length
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark's rows in lists of at most `block_bytes` of text, or of a single item."""
     rows, size = [], 0
     for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary")).orderBy("item_id", "text").toLocalIterator():
         if rows and size + len(row[1]) > block_bytes:
-            yield sc.broadcast((rows, window))
+            yield rows
             rows, size = [], 0
         rows.append((row[0], bytes(row[1])))
         size += len(row[1])
     if rows:
-        yield sc.broadcast((rows, window))
-
-
-_BUILT: dict[int, TestSuffixes] = {}
-
-
-def _suffixes(block) -> TestSuffixes:
-    """The block's index, kept by each worker while it fits among the last few."""
-    rows, window = block.value
-    key = hash((window, tuple(rows)))
-    if key not in _BUILT:
-        while len(_BUILT) >= 4:
-            _BUILT.pop(next(iter(_BUILT)))
-        _BUILT[key] = TestSuffixes(rows, window)
-    return _BUILT[key]
-
-
-def _shard(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray]:
-    words = [words_of(t) for t in texts]
-    return words, np.cumsum([0] + [len(w) + 1 for w in words])
-
-
-def _verdicts(texts: list[bytes | None], blocks) -> tuple[list[int], np.ndarray, list[set[str]]]:
-    """Of each text: its words, how many are hit, and the items that hit it."""
-    words, start = _shard(texts)
-    hit = np.zeros(start[-1] + 1, dtype=np.int32)
-    found: list[set[str]] = [set() for _ in words]
-    for block in blocks:
-        suffixes = _suffixes(block)
-        shard = np.zeros(start[-1], dtype=np.int64)
-        for k, w in enumerate(words):
-            shard[start[k] : start[k] + len(w)] = suffixes.numbers(w)
-        place, source, width = matches(shard, suffixes)
-        np.add.at(hit, place, 1)
-        np.add.at(hit, place + width, -1)
-        pairs = np.unique((np.searchsorted(start, place, side="right") - 1) * len(suffixes.items) + suffixes.item[source])
-        for doc, item in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(suffixes.items))))):
-            found[doc].add(suffixes.items[item])
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-    return [len(w) for w in words], covered[start[1:]] - covered[start[:-1]], found
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    n_hit counts words inside any verbatim match of `window` consecutive item words (of all words of an item
-    that has fewer); n_items the distinct items with a match, whose ids, sorted as strings and comma-joined,
-    items_sha256 digests. A null or empty text has no words; items without an id or text are skipped; an
-    empty benchmark hits nothing. Repeated rows each give a row.
+        yield rows
+
+
+def _shard(texts: list[bytes | None], test: TestSuffixes) -> tuple[Shard, np.ndarray]:
+    """A shard of the texts, and where in it each text begins, with the end of all."""
+    parts, starts = [np.zeros(0, dtype=np.int64)], [0]
+    for text in texts:
+        words = words_of(text)
+        parts += [test.numbers(words), np.zeros(1, dtype=np.int64)]
+        starts.append(starts[-1] + len(words) + 1)
+    return Shard(np.concatenate(parts), test), np.array(starts)
+
+
+def _hits_of(texts: list[bytes | None], test: TestSuffixes) -> tuple[np.ndarray, list[list[dict]]]:
+    """(words, longest matches) of each text."""
+    shard, starts = _shard(texts, test)
+    place, source, length = shard.longest_matches()
+    doc, item = np.searchsorted(starts, place, side="right") - 1, test.item[source]
+    hits: list[list[dict]] = [[] for _ in texts]
+    for d, p, n, k, q in zip(*(x.tolist() for x in (doc, place - starts[doc], length, item, source - test.starts[item]))):
+        hits[d].append({"doc_word": p, "n_words": n, "item_id": test.items[k], "item_word": q})
+    return np.diff(starts) - 1, hits
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
+    """(doc_id, n_words, hits) of every row of `docs`; hits are its longest verbatim matches with benchmark items.
+
+    A match has at least `window` words, or is the whole of an item that has fewer, and says where it begins in
+    the document and in the item. A null or empty text has no words; items without an id or text are skipped.
+    """
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"))
+    blocks = _blocks(benchmark, block_bytes)
+    block = next(blocks, [])
+    while True:
+        following = next(blocks, None)
+        sent = sc.broadcast((block, window))
+        again = following is not None
+        names = ["doc_id", *["text"] * again, "n_words", "hits"]
+
+        def searched(batches, sent=sent, again=again, names=names):
+            test = TestSuffixes(*sent.value)
+            for whole in batches:
+                for batch in slices(whole, 1, SHARD_BYTES):
+                    n_words, found = _hits_of(batch.column(1).to_pylist(), test)
+                    hits = [[*(old or ()), *new] for old, new in zip(batch.column(3).to_pylist(), found)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(1)] * again, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(_HIT))], names=names)
+
+        rows = rows.mapInArrow(searched, f"doc_id long, {'text binary, ' * again}n_words long, hits {HITS}")
+        if not again:
+            return rows
+        rows = settled_table(rows)
+        sent.destroy()
+        block = following
+
+
+def covered_words(hits: Column) -> Column:
+    """How many words lie inside any of a row's matches."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(so_far, hit):
+        end = F.greatest(so_far["end"], hit["doc_word"] + hit["n_words"])
+        return F.struct(end.alias("end"), (so_far["n"] + end - F.least(end, F.greatest(so_far["end"], hit["doc_word"]))).alias("n"))
+
+    return F.aggregate(F.array_sort(hits), start, step, lambda x: x["n"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
+    """Per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match.
+
+    n_hit counts words inside any match of `matched`; n_items the distinct items with a match, whose ids, sorted
+    as strings and comma-joined, items_sha256 digests. An empty benchmark hits nothing. Repeated rows and rows
+    of a null doc_id each give a row; other columns are not read.
+    """
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    rows = matched(docs, benchmark, window, block_bytes).withColumns({"n_hit": covered_words(F.col("hits")), "items": items})
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.coalesce(F.array_max(F.transform("hits", lambda h: h["n_words"])), F.lit(0).cast("long")).alias("longest_match"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
+    """`docs` without the documents that have a longest match as in `matched`. All columns stay, nothing is shuffled.
+
+    Null texts stay. Where the benchmark has several blocks, the rows that one leaves are written before the next.
     """
-    blocks = list(_blocks(benchmark, window, block_bytes))
-
-    def judged(batches):
-        for whole in batches:
-            for batch in slices(whole, 1):
-                n_words, n_hit, found = _verdicts(batch.column(1).to_pylist(), blocks)
-                yield pa.record_batch(
-                    [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]), pa.array(n_hit > 0)],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(judged, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
-    """`docs` without the affected documents. All columns stay and nothing is shuffled."""
-    blocks = list(_blocks(benchmark, window, block_bytes))
-    text = docs.columns.index("text")
-
-    def kept(batches):
-        for whole in batches:
-            for batch in slices(whole, text):
-                texts = batch.column(text).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array(_verdicts(texts, blocks)[1] == 0))
-
-    return docs.mapInArrow(kept, docs.schema)
-
-
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_id, doc_word, item_word, n_words): every maximal verbatim match of at least `window` words."""
-    blocks = list(_blocks(benchmark, window, block_bytes))
-
-    def located(batches):
-        for whole in batches:
-            for batch in slices(whole, 1):
-                words, start = _shard(batch.column(1).to_pylist())
-                ids = batch.column(0)
-                for block in blocks:
-                    suffixes = _suffixes(block)
-                    shard = np.concatenate([np.append(suffixes.numbers(w), 0) for w in words])
-                    place, source, width = matches(shard, suffixes)
-                    order = np.lexsort((place, place - source))  # matches that go on lie on one diagonal
-                    place, source, width = place[order], source[order], width[order]
-                    first = np.ones(len(place), dtype=bool)
-                    first[1:] = (np.diff(place - source) != 0) | (np.diff(place) != 1)
-                    heads = np.flatnonzero(first)
-                    tails = np.append(heads[1:], len(place)) - 1
-                    doc = np.searchsorted(start, place[heads], side="right") - 1
-                    item_start = np.searchsorted(suffixes.item, suffixes.item[source[heads]])
-                    yield pa.record_batch(
-                        [ids.take(pa.array(doc)), pa.array([suffixes.items[k] for k in suffixes.item[source[heads]]], pa.string()), pa.array(place[heads] - start[doc]), pa.array(source[heads] - item_start), pa.array(place[tails] - place[heads] + width[tails])],
-                        names=["doc_id", "item_id", "doc_word", "item_word", "n_words"],
-                    )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(located, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
+    blocks = _blocks(benchmark, block_bytes)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        sent = docs.sparkSession.sparkContext.broadcast((block, window))
+
+        def judge(sent=sent):
+            test = TestSuffixes(*sent.value)
+            return lambda texts: [not hits for hits in _hits_of([None if t is None else t.encode() for t in texts], test)[1]]
+
+        docs = rows_where(docs, judge, SHARD_BYTES)
+        if following is not None:
+            docs = settled_table(docs)
+            sent.destroy()
+        block = following
+    return docs
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
+    """(doc_id, item_id, doc_word, item_word, n_words): every longest verbatim match of at least `window` words."""
+    return matched(docs, benchmark, window, block_bytes).select("doc_id", F.inline("hits")).select("doc_id", "item_id", "doc_word", "item_word", "n_words")

@@ -6,7 +6,7 @@ from barwise.llm.decontamination import contamination, decontaminate, longest_ma
 
 def brute(text, items, window):
     words = words_of(text.encode()) if text else []
-    hit, found = set(), set()
+    hit, found, longest = set(), set(), 0
     for name, item in items:
         w = words_of(item.encode()) if item else []
         n = min(window, len(w))
@@ -17,7 +17,8 @@ def brute(text, items, window):
             if tuple(words[i : i + n]) in grams:
                 hit |= set(range(i, i + n))
                 found.add(str(name))
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+                longest = max(longest, max(k for k in range(n, len(words) - i + 1) if any(words[i : i + k] == w[j : j + k] for j in range(len(w)))))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest
 
 
 def fixture():
