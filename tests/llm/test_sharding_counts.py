@@ -1,8 +1,9 @@
 import zlib
 
+import numpy as np
 import pytest
 
-from barwise.llm.sharding import assign_shards
+from barwise.llm.sharding import assign_shards, pack
 from barwise.llm.token_counts import _encoding, encoded_lengths, length_histogram, length_quantiles, suffix_sums, truncated_totals
 from barwise.llm.common import vocabulary_path
 
@@ -14,21 +15,44 @@ def docs(spark, texts):
 
 
 def test_sharding_balances_and_numbers_slots(spark):
-    texts = [f"some words {k} " * (1 + k % 17) for k in range(900)] + ["the same text " * 20] * 500 + [None, "", "", "héé"]
-    got = assign_shards(docs(spark, texts), shards=7, slot_rows=20).collect()
+    texts = [f"some words {k} " * (1 + k % 17) for k in range(900)] + ["the same text " * 20] * 500 + ["a pair of copies"] * 40 + [None, "", "", "héé"]
+    got = assign_shards(docs(spark, texts), shards=7).collect()
     assert len(got) == len(texts)
-    size, slots, groups = {}, {}, {}
+    totals, slots, groups, size = {}, {}, {}, {}  # the pieces of the large group differ from the rest in words and rows a byte
     for r in got:
         raw = (texts[r.doc_id] or "").encode()
         assert r["size"] == len(raw) + 8 and r.text_crc32 == zlib.crc32(raw) and r.law == "bytes" and r.grown_shard is None
-        size[r.shard] = size.get(r.shard, 0) + r["size"]
+        totals[r.shard] = totals.get(r.shard, 0) + r["size"]
         slots.setdefault(r.shard, []).append(r.slot)
         groups.setdefault(raw, set()).add(r.shard)
-    assert sorted(size) == list(range(7))
-    assert max(size.values()) < 1.03 * min(size.values())
+        size[raw] = size.get(raw, 0) + r["size"]
+    assert len(totals) == 7 and max(totals.values()) < 1.03 * min(totals.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    hot = {("the same text " * 20).encode()}
-    assert all(len(s) == 1 for raw, s in groups.items() if raw not in hot)
+    part = sum(size.values()) / 7
+    assert all((len(s) == 1) == (size[raw] <= part) for raw, s in groups.items())
+
+
+def test_packing_balances_all_three():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(1, 4, 3000)
+    words = rng.lognormal(4, 1.2, 3000) * rows
+    vectors = np.column_stack([words * rng.normal(6, 0.7, 3000) + 8 * rows, words, rows])
+    shard = pack(vectors, 24)
+    for k in range(3):
+        sums = np.bincount(shard, vectors[:, k], minlength=24)
+        assert sums.max() < 1.03 * sums.min()
+
+
+def test_groups_stay_whole_in_the_tables(spark):
+    for scale in ("sf0.001", "sf0.01"):
+        table = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+        rows = assign_shards(table).join(table.select("doc_id", "text"), "doc_id").select("text", "shard", "size").collect()
+        groups, size = {}, {}
+        for r in rows:
+            groups.setdefault(r.text or "", set()).add(r.shard)
+            size[r.text or ""] = size.get(r.text or "", 0) + r["size"]
+        part = sum(size.values()) / 24
+        assert all(len(s) == 1 for t, s in groups.items() if size[t] <= part)
 
 
 def test_sharding_of_nothing_and_of_repeated_rows(spark):
