@@ -56,6 +56,18 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def only(rows: DataFrame, kept: DataFrame, number: str, most: int = 1_000_000) -> DataFrame:
+    """The rows of a written table whose `number` is in `kept`, both without repeats.
+
+    Where at most `most` rows go, their numbers are broadcast and the rows stay where they are; where more go,
+    rows and numbers are shuffled.
+    """
+    gone = settled(rows.select(number).join(kept, number, "left_anti"))
+    if gone.count() <= most:
+        return rows.join(F.broadcast(gone), number, "left_anti")
+    return rows.join(kept, number, "left_semi")
+
+
 class Kept(dict):
     """Values by text, kept while they take about `most_bytes`, and then all dropped.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import settled, slices
+from barwise.llm.common import only, settled, settled_table, slices
 from barwise.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -146,30 +146,46 @@ def near_links(fps: DataFrame, most: int = 4096) -> DataFrame:
     return links.distinct()
 
 
-def _grouped(hashed: DataFrame, most: int) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of (doc_id, fp) rows."""
-    firsts = settled(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    chained = components(near_links(firsts.select("fp"), most))
-    named = firsts.join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return named.join(least, "component").select("fp", "component_id")
+def _named(firsts: DataFrame, most: int, first: str, salts: int = 32) -> DataFrame:
+    """(fp, least): the least `first` of each fingerprint's component, for rows (fp, first) of distinct fingerprints.
+
+    Only fingerprints with links meet their component again, dealt by component and a salt, so that a large
+    component is many tasks' work; the others are their own.
+    """
+    chained = settled(components(near_links(firsts.select("fp"), most)).select(F.col("node").alias("fp"), "component"))
+    members = firsts.join(chained, "fp")
+    least = members.groupBy("component").agg(F.min(first).alias("least"))
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    linked = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(spread, ["component", "salt"])
+    alone = firsts.join(chained, "fp", "left_anti")
+    return linked.select("fp", "least").union(alone.select("fp", F.col(first).alias("least")))
 
 
 def near_duplicates(docs: DataFrame, most: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row: 16 hex digits and the smallest doc_id reachable by links.
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows each give a row; an
-    empty table gives none. Only columns doc_id and text are read.
+    Null and empty texts have fingerprint zero and link like any other. Rows of a null doc_id link too, but lend
+    no id: a component of such rows alone has a null component_id. Repeated rows each give a row; an empty table
+    gives none. Only columns doc_id and text are read.
     """
     hashed = settled(fingerprints(docs))
-    grouped = _grouped(hashed, most)
-    return hashed.join(grouped, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+    firsts = settled(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    grouped = _named(firsts, most, "first")
+    return hashed.join(grouped, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, most: int = 4096) -> DataFrame:
-    """`docs` with one document of each group: that of the smallest doc_id. All columns stay."""
-    kept = _grouped(settled(fingerprints(docs)), most).select(F.col("component_id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """`docs` with exactly one row of each group: that of the smallest doc_id, ids before nulls, then the first row.
+
+    Repeated rows, and rows of repeated or null ids, are rows like any other. All columns stay. The table is
+    written once with row numbers and read again.
+    """
+    rows = settled_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    hashed = settled(fingerprints(rows.select(F.col("row").alias("doc_id"), "doc.text")))
+    ids = rows.select(F.col("row").alias("doc_id"), F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row")).alias("rank"))
+    firsts = settled(hashed.join(ids, "doc_id").groupBy("fp").agg(F.min("rank").alias("first")))
+    kept = _named(firsts, most, "first").select("least.row").distinct()
+    return only(rows, settled(kept), "row").select("doc.*")
 
 
 def _hex(fp: Column) -> Column:

@@ -77,6 +77,21 @@ def test_components_match_brute_force(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    same, other = "one two three four five six", "quite another text with words of its own"
+    rows = [(None, same), (7, same), (7, same), (7, other), (None, "a text of no id at all"), (None, "a text of no id at all")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, near long")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 0), (0, 7), (7, 7), (7, 7), (7, 7)]
+    assert sorted(r.near for r in deduplicate(docs).collect()) == [1, 3, 4]
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k % 9973}" for k in range(800_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {1}
+
+
 def test_large_buckets_lose_no_link(spark):
     rng = random.Random(2)
     fps = {sum(1 << b for b in rng.sample(range(40), 3)) for _ in range(400)} | {rng.getrandbits(63) for _ in range(50)}
