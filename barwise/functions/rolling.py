@@ -49,8 +49,3 @@ def current_z(x: str | Column, n: int, by=BY, order=ORDER, floor: float = 1e-12)
     """x against the n rows that end with it, for display only: it is not adapted to the past."""
     mean, sd = (framed(f, x, 1 - n, 0, by, order) for f in (F.avg, F.stddev_pop))
     return (col(x) - mean) / F.when(sd.isNotNull(), F.greatest(sd, F.lit(floor)))
-
-
-def filled(x: str | Column, by=BY, order=ORDER) -> Column:
-    """The last non-null value so far."""
-    return F.last(x, ignorenulls=True).over(series(by, order).rowsBetween(Window.unboundedPreceding, 0))

@@ -1,4 +1,8 @@
-"""As-of joins by one sort: events and rows are put on one time line, and the last (or next) event is carried over."""
+"""As-of joins over calendar spans: within a span one sort of both sides carries the last (or next) event over.
+
+The last event of the spans before, and the next one of the spans after, come from a table of one row a span, so
+a long time line is as many tasks as it has spans, and nothing is compared pairwise.
+"""
 
 from __future__ import annotations
 
@@ -6,35 +10,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _line(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: Column, by: list[str]) -> DataFrame:
-    rows = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
+def _line(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: Column, by: list[str], span: str) -> DataFrame:
+    """Both sides' rows (by..., _t, _span, _side 0 for events, _row or _event); those without a time are left out."""
+    rows = left.where(F.col(left_time).isNotNull()).select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
     events = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), payload.alias("_event"))
-    return rows.unionByName(events, allowMissingColumns=True)
+    return rows.unionByName(events, allowMissingColumns=True).withColumn("_span", F.date_trunc(span, "_t"))
+
+
+def _carried(line: DataFrame, by: list[str], **picks: tuple[Column, bool]) -> DataFrame:
+    """`line` with an event of other spans per pick: (which event of a span, whether of the spans before or after)."""
+    spans = line.groupBy(*by, "_span").agg(*[F.max(F.when(F.col("_side") == 0, x)).alias(name) if before else F.min(F.when(F.col("_side") == 0, x)).alias(name) for name, (x, before) in picks.items()])
+    order = lambda before: Window.partitionBy(*by).orderBy("_span" if before else F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    known = spans.select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_span")], *[F.last(name, ignorenulls=True).over(order(before)).alias(name) for name, (_, before) in picks.items()])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_span")]
+    return line.join(known, same, "left").select(*line.columns, *picks)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: list[str], by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: list[str], by: list[str] | None = None, ties: list[str] | None = None, span: str = "month") -> DataFrame:
     """`left` with `columns` of the newest right row at or before its time (null: none), of equal times the last by `ties`.
 
-    Every left row stays, those without a time too. Costs one sort of both sides.
+    Every left row stays, those without a time too. Rows are sorted within calendar spans of the given unit.
     """
     by = by or []
     payload = F.struct(*[F.col(c).alias(f"_{c}") for c in ties or []], *[F.col(c) for c in columns])
+    line = _line(left, right, left_time, right_time, payload, by, span)
+    held = _carried(line, by, _before=(F.struct("_t", "_event"), True))
     order = ["_t", "_side"] + ["_event"] * bool(ties)
-    line = _line(left, right, left_time, right_time, payload, by)
-    last = F.last("_event", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    found = line.withColumn("_found", F.when(F.col("_t").isNotNull(), last)).where("_side = 1")
-    return found.select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
+    last = F.last("_event", ignorenulls=True).over(Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = held.withColumn("_found", F.coalesce(last, "_before._event")).where("_side = 1")
+    timed = found.select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
+    untimed = left.where(F.col(left_time).isNull()).select("*", *[F.lit(None).cast(timed.schema[c].dataType).alias(c) for c in columns])
+    return timed.union(untimed)
 
 
-def gap_to_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, tolerance_minutes: float, by: list[str] | None = None) -> DataFrame:
-    """`left` with `name`: minutes to the nearest right row before or after, null if over the tolerance."""
+def gap_to_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, tolerance_minutes: float, by: list[str] | None = None, span: str = "month") -> DataFrame:
+    """`left` with `name`: minutes to the nearest right row before or after, null if over the tolerance or without a time."""
     by = by or []
-    line = _line(left, right, left_time, right_time, F.col(right_time), by)
-    w = Window.partitionBy(*by).orderBy("_t", "_side")
-    before = F.last("_event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_event", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    line = _line(left, right, left_time, right_time, F.col(right_time), by, span)
+    held = _carried(line, by, _earlier=(F.col("_event"), True), _later=(F.col("_event"), False))
+    up_to = lambda *order: F.last("_event", ignorenulls=True).over(Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = held.withColumns({"_before": F.coalesce(up_to("_t", "_side"), "_earlier"), "_after": F.coalesce(up_to(F.desc("_t"), F.desc("_side")), "_later")}).where("_side = 1")
     micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    gaps = [F.abs(micros(F.col("_t")) - micros(t)) / 60e6 for t in (F.col("_before"), F.col("_after"))]
-    near = F.least(*gaps)
-    rows = line.withColumns({"_before": before, "_after": after}).where("_side = 1")
-    return rows.select("_row.*", F.when(near <= tolerance_minutes, near).alias(name))
+    near = F.least(*[F.abs(micros(F.col("_t")) - micros(F.col(t))) / 60e6 for t in ("_before", "_after")])
+    timed = both.select("_row.*", F.when(near <= tolerance_minutes, near).alias(name))
+    return timed.union(left.where(F.col(left_time).isNull()).select("*", F.lit(None).cast("double").alias(name)))

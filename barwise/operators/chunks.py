@@ -1,4 +1,4 @@
-"""Bounded frames over series of any length: numbering and windows without one task per series."""
+"""Frames over series of any length: numbering, windows and carried values without one task per series."""
 
 from __future__ import annotations
 
@@ -32,3 +32,18 @@ def in_chunks(bars: DataFrame, transform: Callable[[DataFrame, tuple[str, ...]],
     homes = F.sequence(F.greatest(F.floor((F.col("rn") - ahead) / rows), F.lit(0)), F.floor((F.col("rn") + back) / rows))
     spread = numbered(bars, by=by).withColumn("_own", own).withColumn("_chunk", F.explode(homes))
     return transform(spread, (*by, "_chunk")).where("_own = _chunk").drop("_own", "_chunk", "rn")
+
+
+def with_last(df: DataFrame, columns: dict[str, str], span: str = "month", by=("asset",)) -> DataFrame:
+    """Adds, by new name, the last non-null value so far of each column.
+
+    Rows are sorted by calendar span; what a span inherits comes from a table of one row a span.
+    """
+    by = list(by)
+    rows = df.withColumn("_span", F.date_trunc(span, "ts"))
+    ends = rows.groupBy(*by, "_span").agg(*[F.max_by(x, F.when(F.col(x).isNotNull(), F.col("ts"))).alias(f"_end_{name}") for name, x in columns.items()])
+    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    held = ends.select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_span")], *[F.last(f"_end_{name}", ignorenulls=True).over(before).alias(f"_held_{name}") for name in columns])
+    joined = rows.join(held, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_span")], "left")
+    so_far = Window.partitionBy(*by, "_span").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(*df.columns, *[F.coalesce(F.last(x, ignorenulls=True).over(so_far), f"_held_{name}").alias(name) for name, x in columns.items()])

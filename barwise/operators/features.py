@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.rolling import BY, current_z, filled, framed, rolling_sum, series, shifted_z, with_prefix_sums
+from barwise.functions.rolling import BY, current_z, framed, rolling_sum, series, shifted_z, with_prefix_sums
 from barwise.functions.scalars import pooled
+from barwise.operators.chunks import with_last
 
 #: Frames over this many rows go by running totals.
 LONG = 300
@@ -66,11 +67,20 @@ def with_semivariance(returns: DataFrame, windows: dict[str, int], by=BY) -> Dat
     return (with_prefix_sums(out, rest, by) if rest else out).drop("_neg", "_pos", "_r4")
 
 
-def with_latched_extrema(signal: DataFrame, zeta: float = 1.0, window: int = 288, by=BY) -> DataFrame:
-    """Adds resistance and support: extremes of quiet log prices (Z below zeta) in the last `window` rows, held on where there are none."""
+def with_quiet_extrema(signal: DataFrame, zeta: float = 1.0, window: int = 288, by=BY) -> DataFrame:
+    """Adds quiet_high and quiet_low: extremes of quiet log prices (Z below zeta) in the last `window` rows; null where there are none."""
     quiet = signal.withColumn("_quiet", F.when(F.col("Z") < zeta, F.col("log_close")))
-    recent = quiet.withColumns({"_r": framed(F.max, "_quiet", 1 - window, 0, by, least=1), "_s": framed(F.min, "_quiet", 1 - window, 0, by, least=1)})
-    return recent.withColumns({"resistance": filled("_r", by), "support": filled("_s", by)}).drop("_quiet", "_r", "_s")
+    return quiet.withColumns({"quiet_high": framed(F.max, "_quiet", 1 - window, 0, by, least=1), "quiet_low": framed(F.min, "_quiet", 1 - window, 0, by, least=1)}).drop("_quiet")
+
+
+def latched(quiet: DataFrame, by=BY) -> DataFrame:
+    """Adds resistance and support: quiet_high and quiet_low, held on where there are none."""
+    return with_last(quiet, {"resistance": "quiet_high", "support": "quiet_low"}, by=by).drop("quiet_high", "quiet_low")
+
+
+def with_latched_extrema(signal: DataFrame, zeta: float = 1.0, window: int = 288, by=BY) -> DataFrame:
+    """Adds resistance and support: extremes of quiet log prices in the last `window` rows, held on where there are none."""
+    return latched(with_quiet_extrema(signal, zeta, window, by), by)
 
 
 def event_features(events: DataFrame, history: int = 90, least: int | None = None, by=(), order=("funding_time", "event_id")) -> DataFrame:

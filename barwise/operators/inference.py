@@ -1,27 +1,55 @@
 """Statistics of dependent series: autocorrelation, Newey-West means, HAC regressions, batch means.
 
-Lagged products come from a frame of the next rows, summed per task before the shuffle, so the rows times
-lags never cross the network.
+Lagged products are summed in NumPy over chunks of a series, each with the rows that follow it, so a long series is
+many tasks and the rows times lags are never rows of a table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwise.functions.distributions import normal_p_two_sided, normal_p_upper, student_p_upper
+from barwise.functions.distributions import normal_p_upper, student_p_upper
 from barwise.functions.scalars import ratio
 from barwise.operators.settle import settled
 
 
-def lagged_sums(df: DataFrame, columns: list[str], max_lag: int, by=("asset",), order=("ts",)) -> DataFrame:
-    """(by..., lag, <a>_<b>...): for each lag, the sum over t of a(t) b(t + lag) for all pairs of columns."""
-    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, max_lag)
-    rows = df.select(*by, *columns, F.collect_list(F.struct(*columns)).over(ahead).alias("_next"))
-    spread = rows.select(*by, *columns, F.posexplode("_next").alias("lag", "_later"))
-    return spread.groupBy(*by, "lag").agg(*[F.sum(F.col(a) * F.col(f"_later.{b}")).alias(f"{a}_{b}") for a in columns for b in columns])
+def lagged_sums(df: DataFrame, columns: list[str], max_lag: int, by=("asset",), time: str = "ts", span: str = "month") -> DataFrame:
+    """(by..., lag, <a>_<b>...): for each lag, the sum over t of a(t) b(t + lag) for all pairs of columns.
+
+    A chunk is a calendar span of a series and the spans after it that its last rows reach by `max_lag` rows, as
+    the spans' counts tell. `df` is read twice and should be a settled table.
+    """
+    by = list(by)
+    rows = df.select(*by, time, *columns).withColumn("_span", F.date_trunc(span, time))
+    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(*by, "_span").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    own, other = (spans.select(*[F.col(c).alias(f"{k}{c}") for c in (*by, "_span", "_n", "_start")]) for k in ("own_", "other_"))
+    same = [F.col(f"own_{c}").eqNullSafe(F.col(f"other_{c}")) for c in by]
+    reached = (F.col("other__start") >= F.col("own__start")) & (F.col("other__start") < F.col("own__start") + F.col("own__n") + max_lag)
+    homes = other.join(own, [*same, reached]).groupBy(*[f"other_{c}" for c in (*by, "_span")]).agg(F.collect_list("own__span").alias("_homes"))
+    meet = [F.col(c).eqNullSafe(F.col(f"other_{c}")) for c in (*by, "_span")]
+    spread = rows.join(homes, meet).select(*by, time, *columns, "_span", F.explode("_homes").alias("_home"))
+    names = [f"{a}_{b}" for a in columns for b in columns]
+    schema = ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in by), "lag int", *(f"`{c}` double" for c in names)])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time, kind="stable")
+        x = np.nan_to_num(pdf[columns].to_numpy(float))
+        n = int((pdf["_span"] == pdf["_home"]).sum())
+        sums = [(x[: len(x[lag : lag + n])].T @ x[lag : lag + n]).ravel() for lag in range(min(max_lag, len(x) - 1) + 1)]
+        out = pd.DataFrame(np.array(sums), columns=names)
+        out.insert(0, "lag", np.arange(len(out), dtype=np.int32))
+        for k, c in enumerate(by):
+            out.insert(k, c, pdf[c].iloc[0])
+        return out
+
+    parts = spread.groupBy(*by, "_home").applyInPandas(summed, schema)
+    return parts.groupBy(*by, "lag").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _centred(df: DataFrame, value: str, by) -> DataFrame:
@@ -32,8 +60,8 @@ def _centred(df: DataFrame, value: str, by) -> DataFrame:
 
 def autocorrelations(df: DataFrame, value: str, max_lag: int, by=("asset",), order=("ts",)) -> DataFrame:
     """(by..., lag, acf) for lags 1..max_lag over the rows where the value is there; short or constant series give none."""
-    rows = _centred(df, value, by).where(F.col("n") > max_lag + 1)
-    sums = lagged_sums(rows, ["c"], max_lag, by, order)
+    rows = settled(_centred(df, value, by).where(F.col("n") > max_lag + 1).select(*by, *order, "c"))
+    sums = lagged_sums(rows, ["c"], max_lag, by, *order)
     whole = sums.where("lag = 0").select(*by, F.col("c_c").alias("_whole"))
     return sums.where("lag > 0").join(whole, list(by)).where("_whole > 0").select(*by, "lag", (F.col("c_c") / F.col("_whole")).alias("acf"))
 
@@ -55,7 +83,7 @@ def newey_west(df: DataFrame, value: str, by=("asset",), order=("ts",), lags: in
     """
     rows = _centred(settled(df.select(*by, *order, value)), value, by)
     most = lags if lags is not None else int((rows.agg(F.max("n")).first()[0] or 0) ** 0.5)
-    sums = lagged_sums(rows, ["c"], most, by, order)
+    sums = lagged_sums(rows, ["c"], most, by, *order)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     used = F.least(F.floor(F.sqrt("n")) if lags is None else F.lit(lags), F.col("n") - 1)
     weight = F.when(F.col("lag") == 0, 1.0).when(F.col("lag") <= used, 2 * (1 - F.col("lag") / (used + 1))).otherwise(0.0)
@@ -75,9 +103,9 @@ def hac_regression(df: DataFrame, y: str, xs: list[str], max_lag: int, by=("asse
     scored = predicted(rows, fits, xs, by, "_fit").withColumn("_e", F.col(y) - F.col("_fit"))
     scored = scored.withColumns({f"u{i}": F.col("_e") * (F.lit(1.0) if i == 0 else F.col(xs[i - 1])) for i in range(k)})
     us = [f"u{i}" for i in range(k)]
-    sums = lagged_sums(scored, us, max_lag, by, order)
+    sums = lagged_sums(settled(scored.select(*by, *order, *us)), us, max_lag, by, *order)
     weighted = sums.groupBy(*by).agg(F.collect_list(F.struct("lag", F.array(*[f"{a}_{b}" for a in us for b in us]).alias("g"))).alias("sums"))
-    schema = fits.select(*by).schema.simpleString()[7:-1].replace(":", " ") + ", n long, coef array<double>, t_hac array<double>, r2 double"
+    schema = fits.select(*by).schema.simpleString()[7:-1].replace(":", " ") + ", n long, coef array<double>, t_hac array<double>, p_hac array<double>, r2 double"
 
     def sandwich(batches):
         for pdf in batches:
@@ -90,12 +118,12 @@ def hac_regression(df: DataFrame, y: str, xs: list[str], max_lag: int, by=("asse
                 inverse = np.linalg.pinv(np.array(row["gram"], dtype=float).reshape(k, k))
                 se = np.sqrt(np.maximum(np.diag(inverse @ s @ inverse), 0))
                 beta = np.array(row["beta"], dtype=float)
-                out.append({c: row[c] for c in by} | {"n": row["n"], "coef": beta, "t_hac": [b / e if e > 0 else None for b, e in zip(beta, se)], "r2": row["r2"]})
-            yield pd.DataFrame(out, columns=[*by, "n", "coef", "t_hac", "r2"])
+                t = [b / e if e > 0 else None for b, e in zip(beta, se)]
+                p = [None if x is None else math.erfc(abs(x) / math.sqrt(2)) for x in t]
+                out.append({c: row[c] for c in by} | {"n": row["n"], "coef": beta, "t_hac": t, "p_hac": p, "r2": row["r2"]})
+            yield pd.DataFrame(out, columns=[*by, "n", "coef", "t_hac", "p_hac", "r2"])
 
-    made = fits.join(weighted, list(by)).mapInPandas(sandwich, schema)
-    tested = made.select("*", F.posexplode_outer("t_hac").alias("_i", "_t")).withColumn("_p", normal_p_two_sided("_t"))
-    return tested.groupBy(*by).agg(F.first("n").alias("n"), F.first("coef").alias("coef"), F.first("t_hac").alias("t_hac"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_p"))), lambda x: x["_p"]).alias("p_hac"), F.first("r2").alias("r2"))
+    return fits.join(weighted, list(by)).mapInPandas(sandwich, schema)
 
 
 def batch_means(df: DataFrame, value: str, batches: int = 100, by=("asset",), order=("ts",)) -> DataFrame:

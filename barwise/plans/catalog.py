@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwise.functions import scalars as S
-from barwise.operators import asof, features, forecasting, inference, recursion, resampling, settle, simulation, splits, summaries
+from barwise.operators import asof, chunks, features, forecasting, inference, recursion, resampling, settle, simulation, splits, summaries
 from barwise.sources import harness
 
 QUERIES: dict = {}
@@ -34,21 +34,32 @@ def query(sql: str | None = None):
 # ---- the derived tables, in Spark and in SQL ----
 
 def day_returns(spark: SparkSession, d: str) -> DataFrame:
-    return features.with_returns(harness.day_bars(spark, d))
+    return chunks.in_chunks(harness.day_bars(spark, d), features.with_returns, back=1)
+
+
+def day_variance(spark: SparkSession, d: str, horizons: tuple[int, ...]) -> DataFrame:
+    framed = lambda bars, by: features.with_realized_variance(features.with_returns(bars, by), horizons, by)
+    return chunks.in_chunks(harness.day_bars(spark, d), framed, back=max(horizons) + 1, ahead=max(horizons))
 
 
 def day_signal(spark: SparkSession, d: str) -> DataFrame:
-    return features.with_activation(day_returns(spark, d), WINDOW)
+    signal = lambda bars, by: features.with_activation(features.with_returns(bars, by), WINDOW, by=by)
+    return chunks.in_chunks(harness.day_bars(spark, d), signal, back=WINDOW + 4)
 
 
-def hour_signal(spark: SparkSession, d: str, **options) -> DataFrame:
-    return features.with_activation(features.with_returns(harness.hour_bars(spark, d)), HOUR_WINDOW, **options)
+def hour_signal(spark: SparkSession, d: str, smoothing: int = 3, pooling: str = "max") -> DataFrame:
+    signal = lambda bars, by: features.with_activation(features.with_returns(bars, by), HOUR_WINDOW, smoothing, pooling, by)
+    return chunks.in_chunks(harness.hour_bars(spark, d), signal, back=HOUR_WINDOW + smoothing + 1)
 
 
 def day_frame(spark: SparkSession, d: str) -> DataFrame:
     """Bars with signal, variances of all horizons and frames, semivariances and quarticities."""
-    rows = features.with_realized_variance(day_signal(spark, d), HORIZONS)
-    return features.with_semivariance(features.with_har(rows, FRAMES), FRAMES)
+
+    def framed(bars, by):
+        rows = features.with_realized_variance(features.with_activation(features.with_returns(bars, by), WINDOW, by=by), HORIZONS, by)
+        return features.with_semivariance(features.with_har(rows, FRAMES, by), FRAMES, by)
+
+    return chunks.in_chunks(harness.day_bars(spark, d), framed, back=max(WINDOW + 4, *HORIZONS, *FRAMES.values()) + 1, ahead=max(HORIZONS))
 
 
 DAY = """day as (select l_returnflag as asset, l_shipdate as ts, sum(l_extendedprice) / sum(l_quantity) as close,
@@ -109,13 +120,14 @@ def activation_custom(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {frame_sql()} select asset, ts, {', '.join(f'round(rv_past_{h}, 9) as rv_past_{h}, round(rv_future_{h}, 9) as rv_future_{h}' for h in HORIZONS)} from fr")
 def realized_variance(spark: SparkSession, d: str) -> DataFrame:
-    rows = features.with_realized_variance(day_returns(spark, d), HORIZONS)
+    rows = day_variance(spark, d, HORIZONS)
     return rounded(rows.select("asset", "ts", *[f"rv_{k}_{h}" for h in HORIZONS for k in ("past", "future")]), 9)
 
 
 @query(f"with {frame_sql()} select asset, ts, {', '.join(f'round(rv_past_{k}, 9) as rv_past_{k}' for k in FRAMES)} from fr")
 def har_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.with_har(day_returns(spark, d), FRAMES).select("asset", "ts", *[f"rv_past_{k}" for k in FRAMES]), 9)
+    framed = lambda bars, by: features.with_har(features.with_returns(bars, by), FRAMES, by)
+    return rounded(chunks.in_chunks(harness.day_bars(spark, d), framed, back=max(FRAMES.values()) + 1).select("asset", "ts", *[f"rv_past_{k}" for k in FRAMES]), 9)
 
 
 def _semi_sql() -> str:
@@ -127,14 +139,17 @@ def _semi_sql() -> str:
 
 @query(_semi_sql())
 def semivariance_quarticity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.with_semivariance(day_returns(spark, d), FRAMES).select("asset", "ts", *[f"{o}_past_{k}" for k in FRAMES for o in ("rsv_neg", "rsv_pos", "rq")]), 9)
+    framed = lambda bars, by: features.with_semivariance(features.with_returns(bars, by), FRAMES, by)
+    return rounded(chunks.in_chunks(harness.day_bars(spark, d), framed, back=max(FRAMES.values()) + 1).select("asset", "ts", *[f"{o}_past_{k}" for k in FRAMES for o in ("rsv_neg", "rsv_pos", "rq")]), 9)
 
 
 @query(f"""with {DAY}, {signal_sql('day', WINDOW)}, qu as (select *, case when Z < 1 then log_close end as q from sig),
  re as (select *, max(q) over f as r, min(q) over f as s from qu window f as (partition by asset order by ts rows between {WINDOW - 1} preceding and current row))
  select asset, ts, round(last_value(r ignore nulls) over u, 6) as resistance, round(last_value(s ignore nulls) over u, 6) as support from re window u as (partition by asset order by ts rows unbounded preceding)""")
 def latched_extrema(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.with_latched_extrema(day_signal(spark, d), 1.0, WINDOW).select("asset", "ts", "resistance", "support"))
+    quiet = lambda bars, by: features.with_quiet_extrema(features.with_activation(features.with_returns(bars, by), WINDOW, by=by), 1.0, WINDOW, by)
+    rows = chunks.in_chunks(harness.day_bars(spark, d), quiet, back=2 * WINDOW + 4)
+    return rounded(features.latched(rows).select("asset", "ts", "resistance", "support"))
 
 
 def _display_sql() -> str:
@@ -147,7 +162,8 @@ def _display_sql() -> str:
 
 @query(_display_sql())
 def display_signal(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.with_display_signal(day_returns(spark, d), WINDOW).select("asset", "ts", "Z_display", "rv_forward"))
+    framed = lambda bars, by: features.with_display_signal(features.with_returns(bars, by), WINDOW, by)
+    return rounded(chunks.in_chunks(harness.day_bars(spark, d), framed, back=WINDOW + 4, ahead=WINDOW).select("asset", "ts", "Z_display", "rv_forward"))
 
 
 # ---- events and as-of joins ----
@@ -204,19 +220,19 @@ def activation_by_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {HOUR}, {signal_sql('hour', HOUR_WINDOW)}, fl as (select *, {SCHEDULE} as w from (select *, hour(ts) * 60 + minute(ts) as m from sig) where Z is not null),
- g as (select asset, count(*) filter (w) as n1, count(*) filter (not w) as n2, avg(Z) filter (w) as m1, avg(Z) filter (not w) as m2, var_samp(Z) filter (w) as v1, var_samp(Z) filter (not w) as v2 from fl group by 1)
+ g as (select asset, count(*) filter (w) as n1, count(*) filter (not w) as n2, avg(Z) filter (w) as m1, avg(Z) filter (not w) as m2, var_samp(Z) filter (w) as v1, var_samp(Z) filter (not w) as v2, corr(Z, w::int) as r from fl group by 1)
  select asset, n1 as n_inside, n2 as n_outside, round(m1, 6) as mean_inside, round(m2, 6) as mean_outside, round(m1 - m2, 6) as diff, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / greatest(1, n1 + n2 - 2)), 6) as cohen_d,
- round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) as welch_t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) as welch_df from g""")
+ round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) as welch_t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) as welch_df, round(r, 6) as corr from g""")
 def window_effect_size(spark: SparkSession, d: str) -> DataFrame:
     rows = hour_signal(spark, d).withColumn("w", S.minutes_to_schedule("ts") <= 60)
     out = summaries.effect_size(rows, "Z", "w").withColumn("welch_df", F.round("welch_df", 4))
-    return rounded(out.drop("welch_p", "corr"))
+    return rounded(out.drop("welch_p"))  # window_effect_p has it: SQL knows no Student tail
 
 
 @query()
 def window_effect_p(spark: SparkSession, d: str) -> DataFrame:
     rows = hour_signal(spark, d).withColumn("w", S.minutes_to_schedule("ts") <= 60)
-    return summaries.effect_size(rows, "Z", "w").select("asset", "welch_t", "welch_df", "welch_p", "corr")
+    return summaries.effect_size(rows, "Z", "w").select("asset", "welch_t", "welch_df", "welch_p")
 
 
 # ---- splits, origins, summaries ----
@@ -266,7 +282,7 @@ def liquidity_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {frame_sql()}, s as (select *, coalesce({SPLIT_SQL}, 'none') as split from fr) select split, round(avg(rv_past_5) filter (asset = 'A'), 9) as \"A\", round(avg(rv_past_5) filter (asset = 'N'), 9) as \"N\", round(avg(rv_past_5) filter (asset = 'R'), 9) as \"R\" from s group by 1")
 def pivot_metric(spark: SparkSession, d: str) -> DataFrame:
-    rows = splits.with_split(features.with_realized_variance(day_returns(spark, d), (5,))).fillna({"split": "none"})
+    rows = splits.with_split(day_variance(spark, d, (5,))).fillna({"split": "none"})
     return rounded(summaries.pivot_mean(rows, "split", "asset", "rv_past_5", ["A", "N", "R"]), 9)
 
 
@@ -342,12 +358,17 @@ def nw_mean_p(spark: SparkSession, d: str) -> DataFrame:
     return inference.newey_west(day_returns(spark, d), "ret", law="normal")
 
 
-@query(f"""with {frame_sql()}, h as (select asset, Z, rv_future_5 as y, ts from fr where {SPLIT_SQL} = 'test' and Z is not null and rv_future_5 is not null)
- select asset, count(*) as n, round(regr_intercept(y, Z), 6) as intercept, round(regr_slope(y, Z), 6) as coef_z, round(regr_r2(y, Z), 6) as r2 from h group by 1""")
+@query(f"""with {frame_sql()}, h as (select asset, Z, rv_future_5 as y, row_number() over (partition by asset order by ts) as rn from fr where {SPLIT_SQL} = 'test' and Z is not null and rv_future_5 is not null),
+ f as (select asset, count(*) as n, regr_intercept(y, Z) as a, regr_slope(y, Z) as b, regr_r2(y, Z) as r2, sum(Z) as sx, sum(Z * Z) as sxx from h group by 1),
+ u as (select asset, rn, y - a - b * Z as u0, (y - a - b * Z) * Z as u1 from h join f using (asset)),
+ g as (select i.asset, (case when j.rn = i.rn then 1 else 2 end) * (1 - (j.rn - i.rn) / 11) as w, i.u0 * j.u0 as g00, i.u1 * j.u1 as g11, (i.u0 * j.u1 + i.u1 * j.u0) / 2 as g01 from u i join u j on i.asset = j.asset and j.rn between i.rn and i.rn + 10),
+ s as (select asset, sum(w * g00) as s00, sum(w * g01) as s01, sum(w * g11) as s11 from g group by 1), v as (select *, n * sxx - sx * sx as det from f join s using (asset))
+ select asset, n, round(a, 6) as intercept, round(b, 6) as coef_z, round(a * det / sqrt(sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11), 4) as t_intercept, round(b * det / sqrt(sx * sx * s00 - 2 * n * sx * s01 + n * n * s11), 4) as t_z, round(r2, 6) as r2 from v""")
 def hac_regression_one(spark: SparkSession, d: str) -> DataFrame:
     rows = splits.in_split(features.with_realized_variance(day_signal(spark, d), (5,)), "test")
     out = inference.hac_regression(rows, "rv_future_5", ["Z"], 10)
-    return rounded(out.select("asset", "n", F.col("coef")[0].alias("intercept"), F.col("coef")[1].alias("coef_z"), "r2"))
+    t = lambda k: F.round(F.col("t_hac")[k], 4)
+    return rounded(out.select("asset", "n", F.col("coef")[0].alias("intercept"), F.col("coef")[1].alias("coef_z"), t(0).alias("t_intercept"), t(1).alias("t_z"), "r2"))
 
 
 @query()
@@ -392,12 +413,11 @@ def dm_test(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.newey_west(simple_detail(spark, d), "qlike_diff").select("asset", "n", "lags", "mean", "t"))
 
 
-@query(f"""with {detail_sql()}, pools(pool, asset) as (values ('all', 'A'), ('all', 'N'), ('all', 'R'), ('AN', 'A'), ('AN', 'N')), no as (select *, (bm - am) / avg(bm) over (partition by asset) as x from dt),
- di as (select pool, ts, avg(x) as x from no join pools using (asset) group by 1, 2), {_nw_sql('di', 'x', 'pool')} select pool, n, lags, round(mean, 6) as mean, round(mean / se, 6) as t from nw3""")
+@query(f"""with {detail_sql()}, pools(pool, asset) as (values ('all', 'A'), ('all', 'N'), ('all', 'R'), ('AN', 'A'), ('AN', 'N')), no as (select asset, ts, 'mse' as loss, (bm - am) / avg(bm) over (partition by asset) as x from dt union all select asset, ts, 'qlike', bq - aq from dt),
+ di as (select pool, loss, ts, avg(x) as x from no join pools using (asset) group by 1, 2, 3), {_nw_sql('di', 'x', 'pool, loss')} select pool, loss, n, lags, round(mean, 6) as mean, round(mean / se, 6) as t from nw3""")
 def pooled_losses(spark: SparkSession, d: str) -> DataFrame:
     pools = spark.createDataFrame([("all", "A"), ("all", "N"), ("all", "R"), ("AN", "A"), ("AN", "N")], "pool string, asset string")
-    tests = summaries.pooled_tests(simple_detail(spark, d), pools).where("loss = 'mse'")
-    return rounded(tests.select("pool", "n", "lags", "mean", "t"))
+    return rounded(summaries.pooled_tests(simple_detail(spark, d), pools).select("pool", "loss", "n", "lags", "mean", "t"))
 
 
 @query(f"""with {detail_sql()}, lo as (select asset, 'baseline' as model, rv_future as y, bf as f from dt union all select asset, 'augmented', rv_future, af from dt), cu as (select *, quantile_cont(y, 0.9) over w as cy, quantile_cont(f, 0.9) over w as cf from lo window w as (partition by asset, model))
@@ -431,11 +451,12 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resampling.moving_block(day_returns(spark, d), "ret", 22, 200))
 
 
-@query(f"""with {DAY}, {returns_sql('day')}, o as (select asset, datediff('day', min(ts) over (partition by asset), ts) // 7 as bin, ret - avg(ret) over (partition by asset) as c from (select * from ret where ret is not null)), bl as (select asset, bin, count(*)::double as s0, sum(c) as s1, sum(c * c) as s2, row_number() over (partition by asset order by bin) - 1 as pick, count(*) over (partition by asset) as blocks from o group by 1, 2),
- dr as (select asset, r, {LCG('r', 'b', 43)} % blocks as pick from (select distinct asset, blocks from bl), (select unnest(range(100)) as r), (select unnest(range(2000)) as b) where b < blocks), su as (select asset, r, sum(s0) as s0, sum(s1) as s1, sum(s2) as s2, any_value(blocks) as blocks from dr join bl using (asset, pick) group by 1, 2)
- select asset, 'mean' as statistic, round(stddev_samp(s1 / s0), 9) as boot_se, any_value(blocks) as blocks from su group by 1 union all select asset, 'std', round(stddev_samp(sqrt(s2 / s0 - pow(s1 / s0, 2))), 9), any_value(blocks) from su group by 1""")
+@query(f"""with {DAY}, {returns_sql('day')}, o as (select asset, datediff('day', min(ts) over (partition by asset), ts) // 7 as bin, ret - avg(ret) over (partition by asset) as c from (select * from ret where ret is not null)), bl as (select asset, bin, count(*)::double as s0, sum(c) as s1, sum(c * c) as s2, sum(c * c * c) as s3, sum(c * c * c * c) as s4, row_number() over (partition by asset order by bin) - 1 as pick, count(*) over (partition by asset) as blocks from o group by 1, 2),
+ dr as (select asset, r, {LCG('r', 'b', 43)} % blocks as pick from (select distinct asset, blocks from bl), (select unnest(range(100)) as r), (select unnest(range(2000)) as b) where b < blocks), su as (select asset, r, sum(s1) / sum(s0) as m1, sum(s2) / sum(s0) as m2, sum(s3) / sum(s0) as m3, sum(s4) / sum(s0) as m4, any_value(blocks) as blocks from dr join bl using (asset, pick) group by 1, 2),
+ st as (select asset, blocks, m1 as mean, sqrt(m2 - m1 * m1) as std, (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / pow(m2 - m1 * m1, 1.5) as skewness, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / pow(m2 - m1 * m1, 2) as kurtosis from su)
+ select asset, statistic, round(stddev_samp(x), 8) as boot_se, any_value(blocks) as blocks from (unpivot st on mean, std, skewness, kurtosis into name statistic value x) group by 1, 2""")
 def calendar_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(resampling.calendar_block(day_returns(spark, d), "ret", 7, 100, 43).where("statistic in ('mean', 'std')"), 9)
+    return rounded(resampling.calendar_block(day_returns(spark, d), "ret", 7, 100, 43), 8)
 
 
 # ---- sequential states and paths ----
@@ -455,10 +476,35 @@ def leaky_extrema(spark: SparkSession, d: str) -> DataFrame:
     return rounded(recursion.leaky_extrema(rows, [(2, 24)]).drop("fast", "slow"))
 
 
-@query()
-def leaky_grid(spark: SparkSession, d: str) -> DataFrame:
+#: The published grid of half-lives, the slow ones in hours as the bars are.
+FAST, SLOW = (1, 3, 6, 12, 24), (6, 12, 24, 48, 84, 168)
+
+SPLIT_HOURS = "case " + " ".join(f"when ts between timestamp '{a}' and timestamp '{b}' then '{k}'" for k, a, b in splits.HOUR_SPLITS) + " end"
+
+LEAKY_GRID = f"""{HOUR}, {signal_sql('hour', HOUR_WINDOW)}, qu as (select *, case when Z < 1 then log_close end as q, {SPLIT_HOURS} as split from sig),
+ ex as (select *, max(q) over f as r0, min(q) over f as s0 from qu window f as (partition by asset order by ts rows between {HOUR_WINDOW - 1} preceding and current row)),
+ lt as (select asset, ts, split, log_close, Z, last_value(r0 ignore nulls) over u as resistance, last_value(s0 ignore nulls) over u as support from ex window u as (partition by asset order by ts rows unbounded preceding)),
+ st as (select *, row_number() over (partition by asset order by ts) as rn from (select *, ts >= min(case when Z is not null and log_close is not null then ts end) over (partition by asset) as live from lt where split is not null) where live),
+ se as (select fast, slow, 1 - pow(2, -1.0 / fast) as a, 1 - pow(2, -1.0 / slow) as b from (values {', '.join(f'({x}.0::double)' for x in FAST)}) f(fast), (values {', '.join(f'({x}.0::double)' for x in SLOW)}) s(slow) where slow > fast),
+ re as (select asset, rn, fast, slow, a, b, log_close as r, log_close as s from st, se where rn = 1 union all
+  select n.asset, n.rn, fast, slow, a, b, case when n.Z < 1 then p.r + (case when n.log_close > p.r then a else b end) * (n.log_close - p.r) else p.r end, case when n.Z < 1 then p.s + (case when n.log_close < p.s then a else b end) * (n.log_close - p.s) else p.s end from re p join st n on n.asset = p.asset and n.rn = p.rn + 1),
+ er as (select asset, split, fast, slow, count(*) as n, avg(abs(resistance - r)) as mae_r, sqrt(avg(pow(resistance - r, 2))) as rmse_r, corr(resistance, r) as corr_r, avg(abs(support - s)) as mae_s, sqrt(avg(pow(support - s, 2))) as rmse_s, corr(support, s) as corr_s
+  from st join re using (asset, rn) where resistance is not null and support is not null group by 1, 2, 3, 4)"""
+
+
+def _calibrated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     latched = splits.with_split(features.with_latched_extrema(hour_signal(spark, d), 1.0, HOUR_WINDOW), splits.HOUR_SPLITS).where("split is not null")
-    return recursion.calibrate(latched.select("asset", "ts", "split", "log_close", "Z", "resistance", "support"), [1, 2, 4], [4, 12, 24])[0]
+    return recursion.calibrate(latched.select("asset", "ts", "split", "log_close", "Z", "resistance", "support"), list(FAST), list(SLOW))
+
+
+@query(f"with recursive {LEAKY_GRID} select asset, split, fast, slow, n, {', '.join(f'round({x}, 6) as {x}' for x in ('mae_r', 'rmse_r', 'corr_r', 'mae_s', 'rmse_s', 'corr_s'))}, round((mae_r + mae_s) / 2, 6) as mean_mae from er")
+def leaky_grid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_calibrated(spark, d)[0])
+
+
+@query(f"with recursive {LEAKY_GRID}, va as (select *, (mae_r + mae_s) / 2 as mean_mae from er where split = 'validation') select asset, arg_min(fast, row(mean_mae, fast, slow)) as fast, arg_min(slow, row(mean_mae, fast, slow)) as slow, round(min(mean_mae), 6) as validation_mae from va group by 1")
+def leaky_best(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_calibrated(spark, d)[1])
 
 
 PATHS = "pa as (select user_id as path_id, row_number() over (partition by user_id order by ts, event_id) - 1 as step, (value - 20) / 100 as price, value / 20 as signal from events)"
