@@ -71,7 +71,8 @@ def only(rows: DataFrame, kept: DataFrame, number: str, most: int = 1_000_000) -
 class Kept(dict):
     """Values by text, kept while they take about `most_bytes`, and then all dropped.
 
-    Each task makes its own, so nothing stays in a reused worker when the task ends.
+    It belongs to a broadcast object: a worker's tasks of one stage share it, and it goes when the worker gets a
+    task of another stage.
     """
 
     def __init__(self, most_bytes: int):

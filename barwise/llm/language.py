@@ -108,9 +108,9 @@ def train(docs: DataFrame, docs_per_language: int = 2000, unseen_share: float =
 
 
 class WordScores:
-    """Scores of words, kept while they take about `most_bytes`. `needed` is what a word's score must reach to support a language."""
+    """Scores of words, kept while they take about `most_bytes` and the broadcast that holds them is in use. `needed` is what a word's score must reach to support a language."""
 
-    def __init__(self, model: dict, most_bytes: int = 24_000_000):
+    def __init__(self, model: dict, most_bytes: int = 72_000_000):
         self.model, self.most_bytes = model, most_bytes
         self.reset()
 
@@ -210,10 +210,10 @@ def identify(docs: DataFrame, model: dict, penalty: float = 8.0) -> DataFrame:
     A null text and one without letters get `und`, score 0 and no spans; one whose words support no language gets
     its path's most frequent one and score 0. Repeated rows and rows of a null doc_id each give a row.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    known = docs.sparkSession.sparkContext.broadcast(WordScores(model))
 
     def labelled(batches):
-        scorer = WordScores(known.value)
+        scorer = known.value
         langs = scorer.model["langs"]
         for whole in batches:
             for batch in slices(whole, 1):
@@ -229,10 +229,10 @@ def keep_identified(docs: DataFrame, model: dict, least_share: float = 0.3, pena
 
     All columns stay, whatever their names. Repeated rows and rows of a null doc_id are judged one by one.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    known = docs.sparkSession.sparkContext.broadcast(WordScores(model))
 
     def judge():
-        scorer = WordScores(known.value)
+        scorer = known.value
         return lambda texts: [lang != UNDETERMINED and share >= least_share for lang, share, _ in _labelled(texts, scorer, penalty)]
 
     return rows_where(docs, judge)

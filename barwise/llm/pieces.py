@@ -62,12 +62,7 @@ class PieceTransducer:
                 node = node.setdefault(char, {})
             node[""] = number
         self.chunk = self._chunks()
-        self.emptied()
-
-    def emptied(self, pair_bytes: int = 32_000_000, chunk_bytes: int = 32_000_000) -> PieceTransducer:
-        """This machine with nothing kept; tasks begin and end so."""
-        self.pairs, self.known = Kept(pair_bytes), Kept(chunk_bytes)
-        return self
+        self.pairs, self.known = Kept(32_000_000), Kept(96_000_000)
 
     def _chunks(self) -> re.Pattern:
         """A pattern of chunks that no piece reaches across."""
@@ -81,12 +76,16 @@ class PieceTransducer:
 
     def _merged(self, text: str) -> list[str]:
         """Merges by score, the leftmost first among equals. Used on single pieces and pairs when compiling."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.score.get(parts[i] + parts[i + 1], -_INFINITE), -i))
-            if parts[best] + parts[best + 1] not in self.score:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        parts, score = list(text), self.score.get
+        scores = [score(a + b, -_INFINITE) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > -_INFINITE:
+            at = scores.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], -_INFINITE)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], -_INFINITE)
         return parts
 
     def pair_weight(self, a: int, b: int) -> float:
@@ -97,35 +96,48 @@ class PieceTransducer:
             self.pairs.keep((a, b), weight, 0)
         return weight
 
+    def _arcs(self, chunk: str, at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the piece machine's arcs from a place, the longest first; of the byte fallback where it has none."""
+        node, end, n, arcs = self.arcs.get(chunk[at]), at + 1, len(chunk), []
+        while node is not None:
+            if (piece := node.get("")) is not None:
+                arcs.append((end, piece))
+            if end == n:
+                break
+            node = node.get(chunk[end])
+            end += 1
+        return arcs[::-1] or [(at + 1, _START)]
+
     def shortest_path(self, chunk: str) -> list[int]:
-        """The ids along the shortest path through normalised `chunk` composed with the piece and pair machines."""
-        n = len(chunk)
-        #: By position: the last piece (START: none, or bytes) -> (weight, (position, last piece) before).
-        reached: list[dict] = [{} for _ in range(n + 1)]
-        reached[0][_START] = (0.0, None)
-        for at in range(n):
-            if not (states := reached[at]):
-                continue
-            node, ends, end = self.arcs.get(chunk[at]), [], at
-            while node is not None:
-                end += 1
-                if "" in node:
-                    ends.append((end, node[""]))
-                node = node.get(chunk[end]) if end < n else None
-            for last, (weight, _) in states.items():
-                for end, piece in ends:
-                    total = weight + (0.0 if last == _START else self.pair_weight(last, piece))
-                    if total < _INFINITE and total < reached[end].get(piece, (_INFINITE,))[0]:
-                        reached[end][piece] = (total, (at, last))
-                if not ends and weight < reached[at + 1].get(_START, (_INFINITE,))[0]:
-                    reached[at + 1][_START] = (weight, (at, last))  # byte fallback: no piece spans it
-        last, at = min(reached[n].items(), key=lambda item: item[1][0])[0], n
+        """The ids along the shortest path through normalised `chunk` composed with the piece and pair machines.
+
+        Finite weights are all 0, so the first whole path without an infinite arc is a shortest one: the search
+        goes depth first and never enters a state (place, last piece) that is known to lead nowhere.
+        """
+        n, arcs, dead, weights = len(chunk), {}, set(), self.pairs
+        trail = [[0, _START, 0]]  # (place, last piece, next arc to try)
+        while (at := trail[-1][0]) < n:
+            _, last, k = trail[-1]
+            if (out := arcs.get(at)) is None:
+                out = arcs[at] = self._arcs(chunk, at)
+            while k < len(out):
+                end, piece = out[k]
+                k += 1
+                if last != _START and piece != _START:
+                    weight = weights.get((last, piece))
+                    if (self.pair_weight(last, piece) if weight is None else weight) == _INFINITE:
+                        continue
+                if (end, piece) not in dead:
+                    trail[-1][2] = k
+                    trail.append([end, piece, 0])
+                    break
+            else:
+                dead.add((at, last))
+                trail.pop()
         ids: list[int] = []
-        while at:
-            before = reached[at][last][1]
-            ids += [last] if last != _START else [self.byte_id[b] for b in reversed(chunk[before[0] : at].encode())]
-            at, last = before
-        return ids[::-1]
+        for (before, *_), (at, piece, _) in zip(trail, trail[1:]):
+            ids += [piece] if piece != _START else [self.byte_id[b] for b in chunk[before:at].encode()]
+        return ids
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
@@ -157,7 +169,7 @@ class PieceTransducer:
 
 
 def _compiled(docs: DataFrame, model_path: str | None):
-    """The machine compiled once, as a broadcast of the vocabulary's size; workers drop it with the stage."""
+    """The machine compiled once, as a broadcast of the vocabulary's size; workers drop it, and what it keeps, with the stage."""
     return docs.sparkSession.sparkContext.broadcast(PieceTransducer(model_path or vocabulary_path("piece_bpe_32k.model")))
 
 
@@ -169,14 +181,13 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     compiled = _compiled(docs, model_path)
 
     def encoded(batches):
-        machine = compiled.value.emptied()
+        machine = compiled.value
         for whole in batches:
             for batch in slices(whole, 1):
                 raw = [machine.encode_bytes(t or "") for t in batch.column(1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
                 yield pa.record_batch([batch.column(0), ids, pa.array(np.diff(ends).astype(np.int64))], names=["doc_id", "ids", "n_pieces"])
-        machine.emptied()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, ids array<int>, n_pieces long")
 
@@ -186,7 +197,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     compiled = _compiled(encoded, model_path)
 
     def decoded(batches):
-        machine = compiled.value.emptied()
+        machine = compiled.value
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([machine.decode(ids or ()) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -203,7 +214,7 @@ def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     names = ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"]
 
     def digested(batches):
-        machine = compiled.value.emptied()
+        machine = compiled.value
         for whole in batches:
             for batch in slices(whole, 1):
                 rows = []
@@ -213,6 +224,5 @@ def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
                     rows.append((len(ids), int(machine.is_byte[ids].sum()), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows), kinds)], names=names)
-        machine.emptied()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(digested, "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
