@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from barwise.functions.scalars import ratio
 
 
-def draw(replicate: Column, block: Column, seed: int) -> Column:
+def draw(replicate: Column, block: Column, seed: int | Column) -> Column:
     """A number from 0 to 2^31 - 1: two rounds of a linear congruence over the key."""
     first = ((replicate * 1_000_003 + block * 7_919 + seed) * 1_103_515_245 + 12_345) % 2_147_483_648
     return (first * 1_103_515_245 + 12_345) % 2_147_483_648
 
 
-def moving_block(df: DataFrame, value: str, length: int, replicates: int, seed: int = 42, by=("asset",), order=("ts",)) -> DataFrame:
+def moving_block(df: DataFrame, value: str, length: int, replicates: int, seed: int | Column = 42, by=("asset",), order=("ts",)) -> DataFrame:
     """(by..., n, mean, ci_low, ci_high, p_nonpositive) of means over overlapping blocks, cut off at n rows.
 
-    Each replicate's block is the difference of two running totals, found by equi-joins on the row number.
+    Each replicate's block is the difference of two running totals, found by equi-joins on the row number. The seed
+    may be a column made of the keys.
     """
     by = list(by)
     w = Window.partitionBy(*by).orderBy(*order)

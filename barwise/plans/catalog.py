@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions import scalars as S
 from barwise.operators import asof, chunks, features, forecasting, inference, recursion, resampling, settle, simulation, splits, summaries
+from barwise.plans import experiments, simulated
 from barwise.sources import harness
 
 QUERIES: dict = {}
@@ -459,6 +460,30 @@ def calendar_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resampling.calendar_block(day_returns(spark, d), "ret", 7, 100, 43), 8)
 
 
+def _batches_sql(k: int) -> str:
+    return f"""bo as (select *, row_number() over (partition by asset, split order by ts) - 1 as rn, count(*) over (partition by asset, split) as n from sp), bb as (select *, rn // (n // {k}) as b from bo where rn // (n // {k}) < {k}), bc as (select *, ret - avg(ret) over (partition by asset, split, b) as c from bb),
+ be as (select asset, split, b, avg(ret) as mean, sqrt(avg(c * c)) as std, avg(c * c * c) / pow(avg(c * c), 1.5) as skewness, avg(c * c * c * c) / pow(avg(c * c), 2) as kurtosis from bc group by 1, 2, 3),
+ ba as (select asset, split, statistic, stddev_samp(x) / sqrt(count(*)) as batch_se, count(*) as batches from (unpivot be on mean, std, skewness, kurtosis into name statistic value x) group by 1, 2, 3)"""
+
+
+def _blocks_sql(name: str, days: int, seed: int, replicates: int) -> str:
+    k = name
+    return f"""{k}0 as (select asset, split, datediff('day', min(ts) over (partition by asset, split), ts) // {days} as bin, ret - avg(ret) over (partition by asset, split) as c from sp),
+ {k}1 as (select asset, split, bin, count(*)::double as s0, sum(c) as s1, sum(c * c) as s2, sum(c * c * c) as s3, sum(c * c * c * c) as s4, row_number() over (partition by asset, split order by bin) - 1 as pick, count(*) over (partition by asset, split) as blocks from {k}0 group by 1, 2, 3),
+ {k}2 as (select asset, split, r, {LCG('r', 'b', seed)} % blocks as pick from (select distinct asset, split, blocks from {k}1), (select unnest(range({replicates})) as r), (select unnest(range(3000)) as b) where b < blocks),
+ {k}3 as (select asset, split, r, sum(s1) / sum(s0) as m1, sum(s2) / sum(s0) as m2, sum(s3) / sum(s0) as m3, sum(s4) / sum(s0) as m4, any_value(blocks) as blocks from {k}2 join {k}1 using (asset, split, pick) group by 1, 2, 3),
+ {k}4 as (select asset, split, blocks, m1 as mean, sqrt(m2 - m1 * m1) as std, (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / pow(m2 - m1 * m1, 1.5) as skewness, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / pow(m2 - m1 * m1, 2) as kurtosis from {k}3),
+ {k} as (select asset, split, statistic, stddev_samp(x) as {k}_se, any_value(blocks) as {k}_blocks from (unpivot {k}4 on mean, std, skewness, kurtosis into name statistic value x) group by 1, 2, 3)"""
+
+
+@query(f"""with {DAY}, {returns_sql('day')}, sp as (select asset, split, ts, ret from (select *, {SPLIT_SQL} as split from ret) where split is not null and ret is not null), {_central('ret', 'asset, split', 'sp')}, {_batches_sql(20)}, {_blocks_sql('daily', 1, 42, 50)}, {_blocks_sql('weekly', 7, 43, 50)},
+ va as (select asset, split, statistic, x as value from (unpivot mo on mean, std, skewness, kurtosis into name statistic value x))
+ select asset, split, statistic, round(value, 6) as value, round(daily_se, 7) as daily_se, daily_blocks, round(weekly_se, 7) as weekly_se, weekly_blocks, round(batch_se, 7) as batch_se, batches from va left join daily using (asset, split, statistic) left join weekly using (asset, split, statistic) left join ba using (asset, split, statistic)""")
+def real_moments(spark: SparkSession, d: str) -> DataFrame:
+    out = experiments.real_moments(day_returns(spark, d), batches=20, replicates=50)
+    return out.withColumns({"value": F.round("value", 6), **{c: F.round(c, 7) for c in ("daily_se", "weekly_se", "batch_se")}})
+
+
 # ---- sequential states and paths ----
 
 def _leaky_sql(fast: float, slow: float) -> str:
@@ -537,47 +562,47 @@ def running_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def simulate_paths(spark: SparkSession, d: str) -> DataFrame:
-    """First passages of simulated paths by gamma."""
-    paths = simulation.simulate(spark, 200, 300, gammas=[0.5, 1.5, 3.5])
-    return summaries.first_passage(paths, 0.1, 0.01, ("gamma",))
+def breakout_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """First passages of simulated paths by gamma, at the published size; tests hold them against the published table."""
+    return simulated.breakout_sensitivity(spark)
+
+
+@query()
+def long_run(spark: SparkSession, d: str) -> DataFrame:
+    """Moments of one path of two million steps with batch-means errors."""
+    return simulated.long_run(spark)["moments"]
+
+
+@query()
+def simulation_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return simulated.diagnostics(spark, 0.1)
 
 
 # ---- whole experiments ----
 
 @query()
 def family_comparison(spark: SparkSession, d: str) -> DataFrame:
-    from barwise.plans import experiments
-
     return experiments.family_tests(day_frame(spark, d), HORIZONS, FRAMES)
 
 
 @query()
 def family_selection(spark: SparkSession, d: str) -> DataFrame:
-    from barwise.plans import experiments
-
     return experiments.selected_family(day_frame(spark, d), HORIZONS, FRAMES)
 
 
 @query()
 def static_oos(spark: SparkSession, d: str) -> DataFrame:
-    from barwise.plans import experiments
-
-    return experiments.specification_sweep(day_frame(spark, d), HORIZONS, FRAMES)
+    return experiments.specification_sweep(day_frame(spark, d), HORIZONS, FRAMES, replicates=200)
 
 
 @query()
 def funding_models(spark: SparkSession, d: str) -> DataFrame:
-    from barwise.plans import experiments
-
     return experiments.rate_models(hour_signal(spark, d).where("asset <> 'error'"), harness.rate_events(spark, d), (1, 4))
 
 
 @query()
 def hyperparameter_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    from barwise.plans import experiments
-
-    return experiments.signal_sensitivity(day_returns(spark, d), (5,), FRAMES, windows=(15, 22), smoothings=(1, 3), poolings=("max", "mean"))
+    return experiments.signal_sensitivity(day_returns(spark, d), HORIZONS, FRAMES, windows=(15, 22), smoothings=(1, 3), poolings=("max", "mean"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

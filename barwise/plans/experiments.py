@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwise.functions.scalars import minutes_to_schedule
-from barwise.operators import asof, features, forecasting, inference, splits
+from barwise.operators import asof, features, forecasting, inference, resampling, splits, summaries
 from barwise.operators.settle import settled
 
 
@@ -20,34 +20,63 @@ def _same(horizons, frames: dict[str, int]) -> dict[int, str | None]:
     return {h: next((k for k, n in frames.items() if n == h), None) for h in horizons}
 
 
+#: The published clips of Z, by quantiles of the training rows; the second is the default elsewhere.
+CLIPS = (None, (0.005, 0.995), (0.01, 0.99), (0.025, 0.975))
+TRAINING = ("train", "validation")
+
+
+def clipped(rows: DataFrame, frame: DataFrame, clip: tuple[float, float] | None = CLIPS[1], ranges=splits.DAY_SPLITS, training=TRAINING, by=("asset",)) -> DataFrame:
+    """`rows` with Z held within quantiles of `frame`'s training rows; without a clip, as they are."""
+    if clip is None:
+        return rows
+    known = splits.in_split(frame.where("Z is not null"), training, ranges)
+    return splits.winsorized(rows, splits.clip_bounds(known, "Z", *clip, by=by), "Z", by)
+
+
+def with_bootstraps(table: DataFrame, detail: DataFrame, by: list[str], length: int, replicates: int, seed: int = 42) -> DataFrame:
+    """Adds, for both loss differences, the moving-block bootstrap's interval and its share of means not above 0."""
+    for name, offset in (("mse_diff", 0), ("qlike_diff", 10_000)):
+        drawn = resampling.moving_block(detail, name, length, replicates, F.col("horizon") + seed + offset, by)
+        table = table.join(drawn.select(*by, *[F.col(c).alias(f"{name}_boot_{k}") for c, k in (("ci_low", "low"), ("ci_high", "high"), ("p_nonpositive", "p"))]), by, "left")
+    return table
+
+
 def family_tests(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], families=tuple(forecasting.FAMILIES)) -> DataFrame:
     """Every family with and without Z, at every horizon: losses and tests."""
-    long = settled(forecasting.by_horizon(frame, horizons, tuple(frames)))
+    long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame))
     return forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in families]))
 
 
 def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int]) -> DataFrame:
     """Each asset's and horizon's family of least validation loss, then refitted with the validation rows and tested."""
-    long = settled(forecasting.by_horizon(frame, horizons, tuple(frames)))
+    long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame))
     setting = (long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in forecasting.FAMILIES])
     best = settled(forecasting.best_family(forecasting.details(*setting, train=("train",), test=("validation",))))
     chosen = forecasting.details(*setting).join(best, ["asset", "horizon", "family"], "left_semi")
     return forecasting.comparison(chosen).join(best, ["asset", "horizon", "family"])
 
 
-def specification_sweep(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], clips=((0.01, 0.99),), specs=("log_smear", "log_no_smear", "level_floor")) -> DataFrame:
-    """The static test under several specifications and clips of Z (None: no clip); bounds come from training rows alone."""
+def specification_sweep(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], clips=CLIPS, specs=("log_smear", "log_no_smear", "level_floor"), block_length: int = 24, replicates: int = 1000) -> DataFrame:
+    """The static test under every specification and clip of Z, with bootstraps of both loss differences."""
     long = forecasting.by_horizon(frame, horizons, tuple(frames))
-    parts = []
-    for clip in clips:
-        rows = long
-        if clip:
-            bounds = splits.clip_bounds(splits.in_split(frame.where("Z is not null"), "train"), "Z", *clip)
-            rows = splits.winsorized(long, bounds, "Z")
-        parts.append(rows.withColumn("clip", F.lit("none" if clip is None else f"{clip[0]}-{clip[1]}")))
+    parts = [clipped(long, frame, clip).withColumn("clip", F.lit("none" if clip is None else f"{clip[0]}-{clip[1]}")) for clip in clips]
     models = [forecasting.Nested(spec, spec=spec) for spec in specs]
-    detail = forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), models, gates=(50, 10), also=("clip",))
-    return forecasting.comparison(detail, law="normal", by=("asset", "horizon", "clip", "family")).withColumnRenamed("family", "spec").withColumn("family", F.lit("HAR"))
+    detail = settled(forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), models, gates=(50, 10), also=("clip",)))
+    by = ["asset", "horizon", "clip", "family"]
+    table = with_bootstraps(forecasting.comparison(detail, law="normal", by=by), detail, by, block_length, replicates)
+    return table.withColumnRenamed("family", "spec").withColumn("family", F.lit("HAR")).orderBy("asset", "horizon", "clip", "spec")
+
+
+def real_moments(returns: DataFrame, ranges=splits.DAY_SPLITS, batches: int = 100, replicates: int = 500) -> DataFrame:
+    """(asset, split, statistic, value, SE by day blocks, by week blocks and by batches, with their numbers) of returns in every range."""
+    rows = settled(splits.with_split(returns, ranges).where("split is not null and ret is not null").select("asset", "split", "ts", "ret"))
+    by, keys = ("asset", "split"), ["asset", "split", "statistic"]
+    values = summaries.moment_table(rows, "ret", by).select(*by, F.expr("stack(4, 'mean', mean, 'std', std, 'skewness', skewness, 'kurtosis', kurtosis) as (statistic, value)"))
+    for name, days, seed in (("daily", 1, 42), ("weekly", 7, 43)):
+        drawn = resampling.calendar_block(rows, "ret", days, replicates, seed, by)
+        values = values.join(drawn.select(*keys, F.col("boot_se").alias(f"{name}_se"), F.col("blocks").alias(f"{name}_blocks")), keys, "left")
+    by_batch = inference.batch_means(rows, "ret", batches, by).select(*keys, "batch_se", "batches")
+    return values.join(by_batch, keys, "left")
 
 
 def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...], frames: dict[str, int] | None = None, tolerance_minutes: float = 60) -> DataFrame:
@@ -60,6 +89,7 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
     whole = features.with_har(features.with_realized_variance(flagged, horizons), frames)
     rate = ("abs_rate_z", "rate_change_bps")
     long = forecasting.by_horizon(whole, horizons, tuple(frames), ("Z", *rate, "in_window"))
+    long = clipped(long, whole, ranges=splits.HOUR_SPLITS)
     long = settled(splits.complete(long, ["Z", *rate, "rv_future"], ["rv_future"]))
     models = {"HAR+F": ((), rate), "HAR+Z": ((), ("Z",)), "HAR+F+Z": ((), (*rate, "Z")), "HAR+F+Z+window": ((), (*rate, "Z", "in_window")), "HAR+F+Z vs HAR+F": (rate, ("Z",)), "HAR+F+Z vs HAR+Z": (("Z",), rate)}
     pairs = [forecasting.Nested(name, "HAR", extra, base) for name, (base, extra) in models.items()]
@@ -75,19 +105,20 @@ def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: di
         for s in smoothings:
             for p in poolings:
                 tagged = features.with_activation(base, w, s, p).withColumns({"window": F.lit(w), "smoothing": F.lit(s), "pooling": F.lit(p)})
-                parts.append(forecasting.by_horizon(tagged, horizons, tuple(frames), ("Z", *keys)))
+                long = forecasting.by_horizon(tagged, horizons, tuple(frames), ("Z", *keys))
+                parts.append(clipped(long, tagged, by=("asset", *keys)))
     detail = forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), [forecasting.Nested("HAR")], also=keys)
     return forecasting.comparison(detail, by=("asset", "horizon", *keys, "family"))
 
 
-def calibration(bars: DataFrame, split_ranges, window: int, horizons: tuple[int, ...], days_per_row: float) -> dict[str, DataFrame]:
+def calibration(bars: DataFrame, split_ranges, window: int, days_per_row: float, fast=(1, 3, 6, 12, 24), slow=(72, 144, 288, 576, 1008, 2016), batches: int = 100, replicates: int = 500) -> dict[str, DataFrame]:
     """The calibration run's tables by name."""
-    from barwise.operators import recursion, summaries
+    from barwise.operators import recursion
 
     signal = splits.with_split(features.with_activation(features.with_returns(bars), window), split_ranges)
     fits = inference.first_order_fit(signal.where("split = 'train'"), "Z", days_per_row)
     latched = features.with_latched_extrema(signal, 1.0, window).where("split is not null")
-    grid, best = recursion.calibrate(latched.select("asset", "ts", "split", "log_close", "Z", "resistance", "support"), [1, 3, 6, 12, 24], [24, 72, 144, 288, 576, 864])
+    grid, best = recursion.calibrate(latched.select("asset", "ts", "split", "log_close", "Z", "resistance", "support"), list(fast), list(slow))
     return {
         "data_coverage": summaries.coverage(bars, split_ranges),
         "ou_calibration": fits,
@@ -95,6 +126,6 @@ def calibration(bars: DataFrame, split_ranges, window: int, horizons: tuple[int,
         "ou_acf_diagnostics": inference.acf_errors(inference.autocorrelations(signal.where("split = 'train'"), "Z", min(300, window)), fits),
         "leaky_grid_search": grid,
         "leaky_extrema_calibration": best,
-        "return_moments": summaries.moment_table(signal, "ret", ("asset", "split")),
+        "return_moments_robust_se": real_moments(signal.drop("split"), split_ranges, batches, replicates),
         "scheduled_window": signal.where("Z is not null").groupBy("asset", (minutes_to_schedule("ts") <= 60).alias("in_window")).agg(F.avg("Z").alias("mean_z"), F.count("*").alias("n")),
     }
