@@ -11,6 +11,8 @@ from barwise.functions.scalars import clamp, finite
 
 #: (name, first moment, last moment), both within.
 DAY_SPLITS = (("train", "1995-01-01 00:00:00", "1998-12-31 23:59:59"), ("validation", "1999-01-01 00:00:00", "1999-12-31 23:59:59"), ("test", "2000-01-01 00:00:00", "2000-12-31 23:59:59"), ("recent", "2001-01-01 00:00:00", "2099-12-31 23:59:59"))
+#: The published ranges of five-minute bars.
+BAR_SPLITS = (("presample", "2020-01-01 00:00:00", "2020-12-31 23:59:59"), ("train", "2021-01-01 00:00:00", "2023-12-31 23:59:59"), ("validation", "2024-01-01 00:00:00", "2024-12-31 23:59:59"), ("test", "2025-01-01 00:00:00", "2025-12-31 23:59:59"), ("recent", "2026-01-01 00:00:00", "2026-12-31 23:59:59"))
 HOUR_SPLITS = (("train", "2024-01-01 00:00:00", "2024-01-15 23:59:59"), ("validation", "2024-01-16 00:00:00", "2024-01-20 23:59:59"), ("test", "2024-01-21 00:00:00", "2024-01-27 23:59:59"), ("recent", "2024-01-28 00:00:00", "2024-01-30 23:59:59"))
 
 

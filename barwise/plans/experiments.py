@@ -41,27 +41,27 @@ def with_bootstraps(table: DataFrame, detail: DataFrame, by: list[str], length:
     return table
 
 
-def family_tests(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], families=tuple(forecasting.FAMILIES)) -> DataFrame:
+def family_tests(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], families=tuple(forecasting.FAMILIES), ranges=splits.DAY_SPLITS) -> DataFrame:
     """Every family with and without Z, at every horizon: losses and tests."""
-    long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame))
-    return forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in families]))
+    long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame, ranges=ranges))
+    return forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in families], splits=ranges))
 
 
-def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int]) -> DataFrame:
+def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], ranges=splits.DAY_SPLITS) -> DataFrame:
     """Each asset's and horizon's family of least validation loss, then refitted with the validation rows and tested."""
-    long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame))
+    long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame, ranges=ranges))
     setting = (long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in forecasting.FAMILIES])
-    best = settled(forecasting.best_family(forecasting.details(*setting, train=("train",), test=("validation",))))
-    chosen = forecasting.details(*setting).join(best, ["asset", "horizon", "family"], "left_semi")
+    best = settled(forecasting.best_family(forecasting.details(*setting, train=("train",), test=("validation",), splits=ranges)))
+    chosen = forecasting.details(*setting, splits=ranges).join(best, ["asset", "horizon", "family"], "left_semi")
     return forecasting.comparison(chosen).join(best, ["asset", "horizon", "family"])
 
 
-def specification_sweep(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], clips=CLIPS, specs=("log_smear", "log_no_smear", "level_floor"), block_length: int = 24, replicates: int = 1000) -> DataFrame:
+def specification_sweep(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], clips=CLIPS, specs=("log_smear", "log_no_smear", "level_floor"), block_length: int = 24, replicates: int = 1000, ranges=splits.DAY_SPLITS) -> DataFrame:
     """The static test under every specification and clip of Z, with bootstraps of both loss differences."""
     long = forecasting.by_horizon(frame, horizons, tuple(frames))
-    parts = [clipped(long, frame, clip).withColumn("clip", F.lit("none" if clip is None else f"{clip[0]}-{clip[1]}")) for clip in clips]
+    parts = [clipped(long, frame, clip, ranges).withColumn("clip", F.lit("none" if clip is None else f"{clip[0]}-{clip[1]}")) for clip in clips]
     models = [forecasting.Nested(spec, spec=spec) for spec in specs]
-    detail = settled(forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), models, gates=(50, 10), also=("clip",)))
+    detail = settled(forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), models, splits=ranges, gates=(50, 10), also=("clip",)))
     by = ["asset", "horizon", "clip", "family"]
     table = with_bootstraps(forecasting.comparison(detail, law="normal", by=by), detail, by, block_length, replicates)
     return table.withColumnRenamed("family", "spec").withColumn("family", F.lit("HAR")).orderBy("asset", "horizon", "clip", "spec")
@@ -79,25 +79,28 @@ def real_moments(returns: DataFrame, ranges=splits.DAY_SPLITS, batches: int = 10
     return values.join(by_batch, keys, "left")
 
 
-def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...], frames: dict[str, int] | None = None, tolerance_minutes: float = 60) -> DataFrame:
-    """Five nested models on common rows: HAR, with rate features, with Z, with both, and with the window flag too."""
+def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...], frames: dict[str, int] | None = None, tolerance_minutes: float = 60, history: int = 90, by: tuple[str, ...] = (), ties: tuple[str, ...] = ("funding_time", "event_id"), ranges=splits.HOUR_SPLITS) -> DataFrame:
+    """Five nested models on common rows: HAR, with rate features, with Z, with both, and with the window flag too.
+
+    Events are one series for all assets, or one for each key of `by`.
+    """
     frames = frames or {"d": 24, "w": 48, "m": 96}
-    scored = features.event_features(events).withColumn("known_at", F.col("funding_time"))
-    joined = asof.asof_backward(signal, scored, "ts", "known_at", ["abs_rate_z", "rate_change_bps"], ties=["funding_time", "event_id"])
-    near = asof.gap_to_nearest(joined, events, "ts", "funding_time", "minutes_to_event", tolerance_minutes)
+    scored = features.event_features(events, history, by=by, order=ties).withColumn("known_at", F.col("funding_time"))
+    joined = asof.asof_backward(signal, scored, "ts", "known_at", ["abs_rate_z", "rate_change_bps"], list(by), list(ties))
+    near = asof.gap_to_nearest(joined, events, "ts", "funding_time", "minutes_to_event", tolerance_minutes, list(by))
     flagged = near.withColumn("in_window", F.col("minutes_to_event").isNotNull().cast("double")).drop("minutes_to_event")
     whole = features.with_har(features.with_realized_variance(flagged, horizons), frames)
     rate = ("abs_rate_z", "rate_change_bps")
     long = forecasting.by_horizon(whole, horizons, tuple(frames), ("Z", *rate, "in_window"))
-    long = clipped(long, whole, ranges=splits.HOUR_SPLITS)
+    long = clipped(long, whole, ranges=ranges)
     long = settled(splits.complete(long, ["Z", *rate, "rv_future"], ["rv_future"]))
     models = {"HAR+F": ((), rate), "HAR+Z": ((), ("Z",)), "HAR+F+Z": ((), (*rate, "Z")), "HAR+F+Z+window": ((), (*rate, "Z", "in_window")), "HAR+F+Z vs HAR+F": (rate, ("Z",)), "HAR+F+Z vs HAR+Z": (("Z",), rate)}
     pairs = [forecasting.Nested(name, "HAR", extra, base) for name, (base, extra) in models.items()]
-    detail = forecasting.details(long, tuple(frames), _same(horizons, frames), pairs, splits=splits.HOUR_SPLITS)
+    detail = forecasting.details(long, tuple(frames), _same(horizons, frames), pairs, splits=ranges)
     return forecasting.comparison(detail).withColumnRenamed("family", "model")
 
 
-def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], windows=(144, 288, 576), smoothings=(1, 3, 6), poolings=("max", "mean")) -> DataFrame:
+def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], windows=(144, 288, 576), smoothings=(1, 3, 6), poolings=("max", "mean"), ranges=splits.DAY_SPLITS) -> DataFrame:
     """The HAR comparison under every window, smoothing and pooling of the signal; the variances are shared."""
     base = settled(features.with_har(features.with_realized_variance(returns, horizons), frames))
     keys, parts = ("window", "smoothing", "pooling"), []
@@ -106,8 +109,8 @@ def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: di
             for p in poolings:
                 tagged = features.with_activation(base, w, s, p).withColumns({"window": F.lit(w), "smoothing": F.lit(s), "pooling": F.lit(p)})
                 long = forecasting.by_horizon(tagged, horizons, tuple(frames), ("Z", *keys))
-                parts.append(clipped(long, tagged, by=("asset", *keys)))
-    detail = forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), [forecasting.Nested("HAR")], also=keys)
+                parts.append(clipped(long, tagged, ranges=ranges, by=("asset", *keys)))
+    detail = forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), [forecasting.Nested("HAR")], splits=ranges, also=keys)
     return forecasting.comparison(detail, by=("asset", "horizon", *keys, "family"))
 
 

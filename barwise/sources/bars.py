@@ -23,25 +23,32 @@ def first_of_each(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def _named(df: DataFrame, with_asset: bool) -> DataFrame:
+def _named(df: DataFrame, with_asset: bool, required: tuple[str, ...]) -> DataFrame:
     there = {c.strip().lower(): c for c in df.columns}
     found = {name: next((there[a] for a in names if a in there), None) for name, names in ALIASES.items()}
-    if missing := [name for name, column in found.items() if column is None]:
+    if missing := [name for name in required if found[name] is None]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*["asset"] * with_asset, *[df[f"`{column}`"].alias(name) for name, column in found.items()])
+    return df.select(*["asset"] * with_asset, "_row", *[(F.lit(None) if column is None else df[f"`{column}`"]).alias(name) for name, column in found.items()])
 
 
-def clean_bars(raw: DataFrame, asset: str | None = None, keep: str = "first") -> DataFrame:
+def _placed(raw: DataFrame) -> DataFrame:
+    """`raw` with each row's place in the input: file, offset of its block in the file, and place in the block."""
+    block = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("row"))
+    return raw.withColumn("_row", block)
+
+
+def clean_bars(raw: DataFrame, asset: str | None = None, keep: str = "first", required: tuple[str, ...] = tuple(ALIASES)) -> DataFrame:
     """Typed bars, one per asset and time. Unreadable values are null; rows without time, close or volume go.
 
-    Among bars of one time the first (or last) in input order stays.
+    Among bars of one time the first (or last) in input order stays: by file name, then by place in the file.
+    Columns that are not `required` may be absent, and are null.
     """
-    named = _named(raw, "asset" in raw.columns and asset is None)
+    named = _named(_placed(raw), "asset" in raw.columns and asset is None, required)
     typed = (named if asset is None else named.withColumn("asset", F.lit(asset))).select(
         "asset",
         F.expr("try_cast(ts as timestamp_ntz)").alias("ts"),
         *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("open", "high", "low", "close", "volume")],
-        F.monotonically_increasing_id().alias("_row"),
+        "_row",
     ).where("ts is not null")
     once = first_of_each(typed, ["asset", "ts"], F.asc("_row") if keep == "first" else F.desc("_row"))
     return once.where("close is not null and volume is not null").drop("_row")
@@ -54,7 +61,7 @@ def read_bars(spark: SparkSession, path: str, asset: str) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str, asset: str | None = None) -> DataFrame:
     """(asset, funding_time, funding_interval_hours, last_funding_rate) from CSV files; the interval may be absent."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = _placed(spark.read.option("header", True).csv(path))
     there = {c.strip().lower(): c for c in raw.columns}
     if missing := {"datetime", "last_funding_rate"} - there.keys():
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
@@ -64,7 +71,7 @@ def read_events(spark: SparkSession, path: str, asset: str | None = None) -> Dat
         F.expr(f"try_cast(`{there['datetime']}` as timestamp_ntz)").alias("funding_time"),
         interval.alias("funding_interval_hours"),
         F.expr(f"try_cast(`{there['last_funding_rate']}` as double)").alias("last_funding_rate"),
-        F.monotonically_increasing_id().alias("_row"),
+        "_row",
     ).where("funding_time is not null and last_funding_rate is not null")
     return first_of_each(rows, ["asset", "funding_time"], F.asc("_row")).drop("_row")
 
@@ -81,21 +88,24 @@ def parse_assets(pairs: list[str], defaults: dict[str, str] | None = None) -> di
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", append: bool = False) -> None:
-    """A result table: replaced, or added to by asset."""
-    writer = df.write.mode("append" if append else "overwrite")
+    """A result table: replaced, or, with `append`, only the parts of the assets that `df` has."""
+    writer = df.write.mode("overwrite").option("header", True).format(kind)
     if append and "asset" in df.columns:
-        writer = writer.partitionBy("asset")
-    writer.option("header", True).format(kind).save(path)
+        writer = writer.partitionBy("asset").option("partitionOverwriteMode", "dynamic")
+    elif append:
+        writer = writer.mode("append")
+    writer.save(path)
 
 
 def read_results(spark: SparkSession, paths: list[str], aliases: dict[str, tuple[str, ...]], percent: tuple[str, ...] = ()) -> DataFrame:
-    """Result tables of several runs under one set of column names; ratios in `percent` become percentages."""
+    """Result tables of several runs under one set of column names, by asset and horizon; ratios in `percent` become percentages."""
     raw = spark.read.option("header", True).option("inferSchema", True).csv(paths)
     there = {c.strip().lower(): c for c in raw.columns}
     picks = {name: next((there[a.lower()] for a in (name, *names) if a.lower() in there), None) for name, names in aliases.items()}
     if missing := [name for name, column in picks.items() if column is None]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return raw.select(*[(raw[f"`{c}`"] * 100 if name in percent else F.upper(raw[f"`{c}`"]) if name == "asset" else raw[f"`{c}`"]).alias(name) for name, c in picks.items()])
+    named = raw.select(*[(raw[f"`{c}`"] * 100 if name in percent else F.upper(raw[f"`{c}`"]) if name == "asset" else raw[f"`{c}`"]).alias(name) for name, c in picks.items()])
+    return named.orderBy(*[c for c in ("asset", "horizon_bars", "horizon") if c in picks])
 
 
 def bars_of_ticks(ticks: DataFrame, asset: Column, price: Column, unit: str, order: list[str]) -> DataFrame:

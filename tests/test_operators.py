@@ -2,13 +2,17 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barwise.functions.distributions import student_upper
-from barwise.operators import asof, chunks, features, simulation, summaries
+import barwise.__main__ as command
+from barwise.operators import asof, chunks, features, inference, simulation, summaries
+from barwise.plans import simulated
 from barwise.sources import bars as sources
+from barwise.sources import runs
 
 START = dt.datetime(2024, 1, 1)
 
@@ -82,3 +86,115 @@ def test_split_edges_and_types(spark):
 
     rows = spark.createDataFrame([(dt.datetime(1998, 12, 31, 23, 59, 59),), (dt.datetime(1998, 12, 31, 23, 59, 59, 500000),)], "ts timestamp_ntz")
     assert [r.split for r in with_split(rows).orderBy("ts").collect()] == ["train", None]
+
+
+def test_published_breakout_table(spark):
+    published = """0.5 1.720935 0.03755420545106806 0.003
+0.7727272727272727 3.478945 0.06319579434344385 0.058
+1.0454545454545454 5.886635 0.07658131503371855 0.274"""
+    rows = [tuple(map(float, line.split())) for line in published.splitlines()]
+    got = simulated.breakout_sensitivity(spark, gammas=tuple(r[0] for r in rows)).collect()
+    assert [(r.gamma, r.mean_tau, r.se, r.censor_rate) for r in got] == [pytest.approx(r, rel=1e-9) for r in rows]
+
+
+def test_one_long_path_is_the_same_as_many(spark):
+    options = {"shared_draw": True, "parameters": {"rho": 0.3}, "start": {"signal": 1.2, "price": 0.05}}
+    one = simulation.simulate(spark, 1, 3000, **options).collect()
+    p, at = simulation.checked({"rho": 0.3}, start=options["start"])
+    many = list(simulation._steps(p, at, *simulation._noise(np.array([0]), 3000, 42, 1), 0.01))
+    for row, state in zip(one, many):
+        assert tuple(row[c] for c in simulation.STATES) == pytest.approx(tuple(float(x[0]) for x in state), abs=1e-9)
+
+
+def test_diagnostics_hold(spark):
+    got = {r.diagnostic: r.passed for r in simulated.diagnostics(spark, 0.02).collect()}
+    assert len(got) == 7 and all(got[k] for k in ("level ordering", "drift margin", "equilibrium stability"))
+
+
+def test_moving_average_and_quarters_against_pandas(spark):
+    values = pd.Series([float(k * 37 % 101) for k in range(1000)])
+    frame = spark.createDataFrame(list(enumerate(values)), "step long, x double")
+    want = values.rolling(50).mean().dropna()
+    got = simulated.moving_average(frame, "x", 50, rows=120)
+    assert [r.average for r in got.orderBy("step").collect()] == pytest.approx(want.tolist())
+    q = simulated.quarter_means(got).first()
+    n = len(want)
+    assert (q.first, q.last) == (pytest.approx(want[: n // 4].mean()), pytest.approx(want[n * 3 // 4 :].mean()))
+
+
+def test_start_and_parameter_rules():
+    for bad in ({"rho": 1}, {"w_max": 1}, {"w_max": 0}, {"sigma_0": 0}, {"kappa": 0}, {"what": 1}):
+        with pytest.raises(ValueError):
+            simulation.checked(bad)
+    with pytest.raises(ValueError, match="support"):
+        simulation.checked(start={"support": 1.0})
+
+
+def test_lag_sums_over_spans_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    days = np.cumsum(rng.integers(1, 20, 300))
+    x, y = rng.normal(size=(2, 300))
+    rows = [("X", START + dt.timedelta(days=int(d)), float(a), float(b)) for d, a, b in zip(days, x, y)] + [(None, START, 2.0, 3.0)]
+    frame = spark.createDataFrame(rows, "asset string, ts timestamp_ntz, x double, y double")
+    got = {(r.asset, r.lag): r for r in inference.lagged_sums(frame, ["x", "y"], 40).collect()}
+    assert len(got) == 42 and got[None, 0].x_y == 6.0
+    for lag in range(41):
+        assert got["X", lag].x_y == pytest.approx(x[: 300 - lag] @ y[lag:]) and got["X", lag].y_x == pytest.approx(y[: 300 - lag] @ x[lag:])
+
+
+def test_asof_over_spans_by_key(spark):
+    rng = np.random.default_rng(2)
+    at = lambda: START + dt.timedelta(minutes=int(rng.integers(0, 300_000)))
+    left = [(a, at(), k) for k in range(400) for a in "xy"] + [("x", None, 999)]
+    right = [(a, at(), k) for k in range(25) for a in "xyz"]
+    l, r = spark.createDataFrame(left, "a string, ts timestamp_ntz, k long"), spark.createDataFrame(right, "a string, t timestamp_ntz, e long")
+    joined = {(x.a, x.k): x.e for x in asof.asof_backward(l, r, "ts", "t", ["e"], ["a"], ["t"]).collect()}
+    gaps = {(x.a, x.k): x.gap for x in asof.gap_to_nearest(l, r, "ts", "t", "gap", 5000, ["a"]).collect()}
+    assert len(joined) == len(gaps) == len(left)
+    for a, ts, k in left:
+        own = [(t, e) for b, t, e in right if b == a]
+        before = [(t, e) for t, e in own if ts is not None and t <= ts]
+        assert joined[a, k] == (max(before)[1] if before else None)
+        near = min((abs((t - ts).total_seconds()) / 60 for t, _ in own), default=None) if ts is not None else None
+        assert gaps[a, k] == (pytest.approx(near) if near is not None and near <= 5000 else None)
+
+
+def test_carried_values_equal_one_window(bars):
+    gaps = bars.withColumn("x", F.when(F.dayofmonth("ts") == 17, F.col("close")))
+    got = {r.ts: r.last for r in chunks.with_last(gaps, {"last": "x"}).collect()}
+    held = None
+    for r in gaps.orderBy("ts").collect():
+        held = r.x if r.x is not None else held
+        assert got[r.ts] == held
+
+
+def test_files_of_a_run(spark, tmp_path):
+    head = " Timestamp ,Close,Volume\n"
+    (tmp_path / "btc_5m.csv").write_text(head + "2024-01-01 00:00:00,5,2\n2024-01-01 00:00:00,6,2\n2024-01-01 00:05:00,-1,2\n2024-01-01 00:10:00,7,1\n")
+    raw = runs.read_raw(spark, str(tmp_path), "BTC")
+    assert raw.columns == ["Timestamp", "Close", "Volume"] and runs.read_raw(spark, str(tmp_path), "ETH") is None
+    assert [(r.close, round(r.ret, 6)) for r in runs.prepared(raw, "BTC").collect()] == [(7.0, 0.154151)]
+    assert runs.chosen_assets(["eth:x.csv"]) == {"ETH": "x.csv"} and list(runs.chosen_assets()) == ["BTC", "ETH"] and len(runs.chosen_assets(all_assets=True)) == 4
+    assert runs.read_assets(spark, str(tmp_path), {"NO": "no.csv"}) is None
+    liquidity = [spark.createDataFrame(rows, "asset string, mean_notional double, rank int, top_two boolean") for rows in ([("A", 5.0, 1, True)], [("A", 1.0, 1, True), ("B", 9.0, 1, True), ("C", 2.0, 1, True)])]
+    assert [(r.asset, r.mean_notional, r["rank"], r.top_two) for r in runs.combined_liquidity(liquidity).collect()] == [("B", 9.0, 1, True), ("A", 5.0, 2, True), ("C", 2.0, 3, False)]
+
+
+def test_files_in_order(spark, tmp_path):
+    for k, rows in enumerate((["2024-01-01 00:00:00,1,1,1,5,2"] * 2, ["2024-01-01 00:00:00,1,1,1,6,2"] * 3000)):
+        (tmp_path / f"{k}.csv").write_text("Datetime,Open,High,Low,Close,Volume\n" + "\n".join(rows) + "\n")
+    assert [r.close for r in sources.read_bars(spark, str(tmp_path), "X").collect()] == [5.0]
+    last = sources.clean_bars(spark.read.option("header", True).csv(str(tmp_path)), "X", keep="last")
+    assert [r.close for r in last.collect()] == [6.0]
+
+
+def test_command_line_of_calibration_and_oos(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    times = pd.date_range("2023-11-01", periods=4000, freq="5min").append(pd.date_range("2024-12-25", periods=4000, freq="5min"))
+    price = 100 * np.exp(np.cumsum(rng.normal(0, 0.001, len(times))))
+    pd.DataFrame({"Datetime": times, "Open": price, "High": price, "Low": price, "Close": price, "Volume": rng.integers(1, 99, len(times))}).to_csv(tmp_path / "btcusdt_5m.csv", index=False)
+    args = command.arguments(["calibrate", "--data-dir", str(tmp_path), "--assets", "BTC:btcusdt_5m.csv", "NO:no.csv"])
+    made = command.tables(spark, args)
+    assert [r.asset for r in made["data_coverage"].collect()] == ["BTC"] and made["ou_calibration"].count() == 1
+    assert made["return_moments_robust_se"].count() == 12
+    assert command.tables(spark, command.arguments(["oos", "--data-dir", str(tmp_path), "--assets", "NO:no.csv"])) == {}
