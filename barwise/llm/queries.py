@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import language, toxicity
+from barwise.llm import chat, language, toxicity
 from barwise.llm.chat import conversation_digests
 from barwise.llm.common import table
 from barwise.llm.decontamination import contamination
@@ -35,7 +36,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return conversation_digests(rows.unionByName(own))
+    return conversation_digests(rows.unionByName(own)).drop("n_tokens", "loss_tokens")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("longest_match")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_fingerprints that SQL can say."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def word_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_lm_scoring that SQL can say."""
+    rows = op6_lm_scoring(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -73,7 +85,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "edited_texts": edited_texts,
+    "word_base_scores": word_base_scores,
 }
 
-#: None of these can be said in SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CONTROL = "|".join(re.escape(x) for x in ("\\", *chat.CONTROL))
+_MARKS = sum(map(len, (chat.TURN, chat.TEXT, chat.END)))
+#: crc32 of an id's digits, bit by bit.
+_CRC = """xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+ lambda crc, byte: list_reduce([xor(crc, byte)] || list_transform(range(8), lambda k: k::bigint), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295)"""
+
+#: The queries, or their columns, that SQL can say. The others are held against brute force or held-out rows in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": f"""with c as (select conv_id::bigint as conv_id, turn::bigint as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ e as (select *, length(role) + len(regexp_extract_all(role, '{_CONTROL}')) + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + {_MARKS} as chars from c)
+ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars from e group by 1""",
+    "op7_decontamination": f"""with d as (select doc_id::bigint as doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+ b as (select item_id::varchar as item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+ i as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[k + 1 : k + least(len(w), 10)], ' ') as gram from b, lateral (select unnest(range(len(w) - least(len(w), 10) + 1)) as k) where len(w) > 0),
+ g as (select doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') as gram from d, (select distinct n from i), lateral (select unnest(range(len(w) - n + 1)) as k)),
+ m as (select distinct doc_id, k, g.n, item_id from g join i using (n, gram)), h as (select doc_id, count(distinct p) as n_hit from (select distinct doc_id, k, n from m), lateral (select unnest(range(k, k + n)) as p) group by 1),
+ t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from m) group by 1)
+ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join h using (doc_id) left join t using (doc_id)""",
+    "edited_texts": """with n as (select doc_id::bigint as doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars, coalesce(lead(coalesce(text, '')) over (order by doc_id), first_value(coalesce(text, '')) over (order by doc_id)) as following from documents)
+ select doc_id, n_chars::bigint as n_chars, sha256(left(text, n_chars - n_chars // 2) || left(following, n_chars // 2)) as edited_sha256 from n""",
+    "word_base_scores": f"""with d as (select row_number() over () as row, doc_id::bigint as doc_id, {_CRC} % 7 = 2 as held_out, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') || [' '] as w from documents),
+ t as (select row, unnest(w) as word from d), c as (select word, count(*) as c from t join d using (row) where not held_out group by 1), n as (select sum(c)::bigint as n, count(*) as v from c),
+ s as (select row, count(*) as n_tokens, count(c) as n_known, sum(log10(coalesce(c, 0) + 1)) as logs from t left join c using (word) group by 1)
+ select doc_id, held_out, n_tokens, n_known, n as train_tokens, round(logs - n_tokens * log10(n + v + 1), 4) as base_score from d join s using (row), n""",
+}
