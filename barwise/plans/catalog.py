@@ -556,6 +556,22 @@ def path_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summaries.path_scores(harness.user_paths(spark, d)))
 
 
+@query(f"""with {PATHS}, sc as (select path_id, count(*) filter (signal > 1) as n_above, max(signal) as max_signal from pa group by 1), b as (select path_id from sc where n_above > 3 and max_signal > 1.2 order by n_above + 10 * max_signal desc, path_id limit 1)
+ select path_id, step::int as step, round(price, 6) as price, round(signal, 6) as signal from pa join b using (path_id)""")
+def best_path(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summaries.best_path(harness.user_paths(spark, d), 1.0, 1.2, 3))
+
+
+@query(f"""with {PATHS} select path_id, step::int as step, round(0.9 / (1 + exp(-10 * (signal - 1.5))), 6) as weight, round(1 + 2 * price * price + signal * signal + 4 * price * price + price * price / 4, 6) as energy,
+ round(-log10(greatest(abs(price), 1e-12)), 6) as minus_log, case step when 12 then '1 hour' when 24 then '2 hours' else step || ' bars' end as label, case when count(*) over (partition by path_id) >= 20 then 1 end as kept from pa qualify kept = 1""")
+def path_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Regime weight, energy, -log10 and label of each step of the paths with 20 steps or more."""
+    p = F.col("price")
+    rows = splits.gated(harness.user_paths(spark, d), ["path_id"], 20)
+    made = {"weight": S.regime_weight("signal", 0.9, 10, 1.5), "energy": S.energy("price", "signal", 2 * p, p / 2, 2), "minus_log": S.minus_log10(F.abs("price")), "label": S.horizon_label("step", {12: "1 hour", 24: "2 hours"}), "kept": F.lit(1)}
+    return rounded(rows.withColumns(made).select("path_id", "step", *made))
+
+
 @query(f"with {PATHS}, r as (select path_id, step + 1 as checkpoint, avg(price) over (partition by path_id order by step rows unbounded preceding) as m from pa) select path_id, checkpoint::int as checkpoint, round(m, 6) as running_mean from r where checkpoint in (1, 3, 10, 30)")
 def running_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summaries.running_means(harness.user_paths(spark, d), "price", [1, 3, 10, 30]))

@@ -44,7 +44,7 @@ def with_bootstraps(table: DataFrame, detail: DataFrame, by: list[str], length:
 def family_tests(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], families=tuple(forecasting.FAMILIES), ranges=splits.DAY_SPLITS) -> DataFrame:
     """Every family with and without Z, at every horizon: losses and tests."""
     long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame, ranges=ranges))
-    return forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in families], splits=ranges))
+    return forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in families], splits=ranges)).orderBy("asset", "horizon", "family")
 
 
 def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], ranges=splits.DAY_SPLITS) -> DataFrame:
@@ -53,7 +53,7 @@ def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[st
     setting = (long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in forecasting.FAMILIES])
     best = settled(forecasting.best_family(forecasting.details(*setting, train=("train",), test=("validation",), splits=ranges)))
     chosen = forecasting.details(*setting, splits=ranges).join(best, ["asset", "horizon", "family"], "left_semi")
-    return forecasting.comparison(chosen).join(best, ["asset", "horizon", "family"])
+    return forecasting.comparison(chosen).join(best, ["asset", "horizon", "family"]).orderBy("asset", "horizon")
 
 
 def specification_sweep(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], clips=CLIPS, specs=("log_smear", "log_no_smear", "level_floor"), block_length: int = 24, replicates: int = 1000, ranges=splits.DAY_SPLITS) -> DataFrame:
@@ -97,7 +97,7 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
     models = {"HAR+F": ((), rate), "HAR+Z": ((), ("Z",)), "HAR+F+Z": ((), (*rate, "Z")), "HAR+F+Z+window": ((), (*rate, "Z", "in_window")), "HAR+F+Z vs HAR+F": (rate, ("Z",)), "HAR+F+Z vs HAR+Z": (("Z",), rate)}
     pairs = [forecasting.Nested(name, "HAR", extra, base) for name, (base, extra) in models.items()]
     detail = forecasting.details(long, tuple(frames), _same(horizons, frames), pairs, splits=ranges)
-    return forecasting.comparison(detail).withColumnRenamed("family", "model")
+    return forecasting.comparison(detail).withColumnRenamed("family", "model").orderBy("asset", "horizon", "model")
 
 
 def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], windows=(144, 288, 576), smoothings=(1, 3, 6), poolings=("max", "mean"), ranges=splits.DAY_SPLITS) -> DataFrame:
@@ -111,7 +111,7 @@ def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: di
                 long = forecasting.by_horizon(tagged, horizons, tuple(frames), ("Z", *keys))
                 parts.append(clipped(long, tagged, ranges=ranges, by=("asset", *keys)))
     detail = forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), [forecasting.Nested("HAR")], splits=ranges, also=keys)
-    return forecasting.comparison(detail, by=("asset", "horizon", *keys, "family"))
+    return forecasting.comparison(detail, by=("asset", "horizon", *keys, "family")).orderBy("asset", "horizon", *keys)
 
 
 def calibration(bars: DataFrame, split_ranges, window: int, days_per_row: float, fast=(1, 3, 6, 12, 24), slow=(72, 144, 288, 576, 1008, 2016), batches: int = 100, replicates: int = 500) -> dict[str, DataFrame]:
