@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwise.operators.settle import settled, shared_folder
+
+__all__ = ["Kept", "id_remainder", "only", "rows_where", "settled", "settled_table", "slices", "table", "vocabulary_path"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,30 +24,9 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names in spark.checkpoint.dir, which all executors share.
-
-    Only a local session without one gets a temporary folder; on a cluster that would be lost with its
-    machine, so it is an error there.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Compute `df` once and cut its lineage through the shared checkpoint folder."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def settled_table(df: DataFrame) -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read again."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

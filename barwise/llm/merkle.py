@@ -89,7 +89,8 @@ def _bucket(doc_id: Column, bounds: list[float]) -> Column:
 def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 2000, most_buckets: int = 65_536) -> DataFrame:
     """Adds next_<column>: the values of the next row by ascending doc_id (after the last row: of the first).
 
-    Rows of one doc_id follow each other by their `columns`. Rows are dealt into buckets of neighbouring ids at
+    Rows of one doc_id follow each other by their `columns`; rows of a null doc_id come before all others, and the
+    last row is followed by the first one with an id. Rows are dealt into buckets of neighbouring ids at
     approximate quantiles, each bucket is ordered by itself, and a copy of the next bucket's first row stands
     behind its last one. So rows with whole texts are shuffled once and no task orders them all.
     """
