@@ -205,7 +205,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, n_byte_pieces, ids_sha256 (of the ids, comma-joined), decoded_sha256, round_trip.
+    """doc_id, n_pieces, n_byte_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256, round_trip.
 
     round_trip tells whether the decoded text is the text itself; only U+2581 in a text, which reads as a
     blank, can make it false. A null text counts as empty.
@@ -219,9 +219,10 @@ def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
             for batch in slices(whole, 1):
                 rows = []
                 for text in batch.column(1).to_pylist():
-                    ids = np.frombuffer(machine.encode_bytes(text or ""), dtype="<i4")
+                    raw = machine.encode_bytes(text or "")
+                    ids = np.frombuffer(raw, dtype="<i4")
                     back = machine.decode(ids.tolist())
-                    rows.append((len(ids), int(machine.is_byte[ids].sum()), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
+                    rows.append((len(ids), int(machine.is_byte[ids].sum()), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows), kinds)], names=names)
 
