@@ -119,11 +119,11 @@ class Nested(NamedTuple):
 
 
 def _fit_nested(train: DataFrame, by: list[str], width: int, least: int, ridge: float) -> DataFrame:
-    """(by..., base, more): both models' coefficients. The smaller one's sums are a corner of the larger one's."""
+    """(by..., base, more, n_train, base_r2, more_r2): both models' coefficients and fits. The smaller one's sums are a corner of the larger one's."""
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
     x = lambda i: F.col("x")[i]
-    totals = train.groupBy(*by, "n_base").agg(F.count("*").alias("n"), F.array(*[F.sum(x(i) * x(j)) for i, j in pairs]).alias("g"), F.array(*[F.sum(x(i) * F.col("y")) for i in range(width)]).alias("b"))
-    schema = train.select(*by).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", base array<double>, more array<double>"
+    totals = train.groupBy(*by, "n_base").agg(F.count("*").alias("n"), F.array(*[F.sum(x(i) * x(j)) for i, j in pairs]).alias("g"), F.array(*[F.sum(x(i) * F.col("y")) for i in range(width)]).alias("b"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    schema = train.select(*by).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", base array<double>, more array<double>, n_train long, base_r2 double, more_r2 double"
 
     def coefficients(g: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         used = np.flatnonzero(np.diag(g)[:n] > 0)
@@ -142,12 +142,19 @@ def _fit_nested(train: DataFrame, by: list[str], width: int, least: int, ridge:
                 g, b = np.zeros((width, width)), np.array(row["b"], dtype=float)
                 for (i, j), v in zip(pairs, row["g"]):
                     g[i, j] = g[j, i] = v
-                out.append({c: row[c] for c in by} | {"base": coefficients(g, b, row["n_base"]), "more": coefficients(g, b, width)})
-            yield pd.DataFrame(out, columns=[*by, "base", "more"])
+                base, more = coefficients(g, b, row["n_base"]), coefficients(g, b, width)
+                whole = row["yy"] - b[0] ** 2 / row["n"]  # the first regressor is the intercept
+                r2 = [1 - (row["yy"] - 2 * beta @ b + beta @ g @ beta) / whole if whole > 0 else None for beta in (base, more)]
+                out.append({c: row[c] for c in by} | {"base": base, "more": more, "n_train": row["n"], "base_r2": r2[0], "more_r2": r2[1]})
+            yield pd.DataFrame(out, columns=[*by, "base", "more", "n_train", "base_r2", "more_r2"])
 
     return totals.where(F.col("n") >= least).mapInPandas(solve, schema)
 
 
+#: What a detail row tells of its pair's fit: training rows, both R2, both smears.
+FITS = ("n_train", "base_r2", "more_r2", "base_smear", "more_smear")
+
+
 def details(frame: DataFrame, frames: tuple[str, ...], horizons: dict[int, str | None], models: list[Nested], train=("train", "validation"), test=("test",), splits=None, gates: tuple[int, int] = (100, 20), also: tuple[str, ...] = (), ridge: float = 1e-10) -> DataFrame:
     """Losses by origin of every pair in `models` (its name is `family`), on test origins `horizon` rows apart.
 
@@ -173,14 +180,15 @@ def details(frame: DataFrame, frames: tuple[str, ...], horizons: dict[int, str |
         return F.when(F.col("spec") == "log_smear", floored(F.exp(f) * F.col(f"{k}_smear"))).when(F.col("spec") == "log_no_smear", floored(F.exp(f))).otherwise(F.greatest(f, "floor", F.lit(EPS)))
 
     both = asked.withColumns({"baseline_forecast": made("base"), "augmented_forecast": made("more")})
-    return with_losses(both, "rv_future", "baseline_forecast", "augmented_forecast").select(*by, "ts", "rv_future", "Z", "baseline_forecast", "augmented_forecast", "baseline_mse", "augmented_mse", "baseline_qlike", "augmented_qlike", "mse_diff", "qlike_diff", "cw")
+    return with_losses(both, "rv_future", "baseline_forecast", "augmented_forecast").select(*by, "ts", "rv_future", "Z", "baseline_forecast", "augmented_forecast", "baseline_mse", "augmented_mse", "baseline_qlike", "augmented_qlike", "mse_diff", "qlike_diff", "cw", *FITS)
 
 
 def comparison(detail: DataFrame, law: str = "t", by=("asset", "horizon", "family")) -> DataFrame:
-    """One row per group: mean losses, improvements, and Newey-West tests of both loss differences and of Clark-West."""
+    """One row per group: the fits, mean losses, improvements, and Newey-West tests of both loss differences and of Clark-West."""
     by, series = list(by), ("mse_diff", "qlike_diff", "cw")
     detail = settled(detail)  # origins only; three passes read them
-    means = detail.groupBy(*by).agg(F.count("*").alias("n_test"), *[F.avg(c).alias(c) for c in ("baseline_mse", "augmented_mse", "baseline_qlike", "augmented_qlike")])
+    fits = [c for c in FITS if c in detail.columns]
+    means = detail.groupBy(*by).agg(F.count("*").alias("n_test"), *[F.first(c).alias(c) for c in fits], *[F.avg(c).alias(c) for c in ("baseline_mse", "augmented_mse", "baseline_qlike", "augmented_qlike")])
     out = means.withColumns({"mse_improvement": 1 - F.col("augmented_mse") / F.nullif(F.col("baseline_mse"), F.lit(0.0)), "qlike_improvement": F.col("baseline_qlike") - F.col("augmented_qlike")})
     long = detail.select(*by, "ts", F.expr(f"stack({len(series)}, {', '.join(f"'{c}', {c}" for c in series)}) as (series, x)"))
     tests = newey_west(long, "x", (*by, "series"), ("ts",), law=law)

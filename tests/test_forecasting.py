@@ -38,4 +38,7 @@ def test_nested_pairs_equal_least_squares(spark):
                 else:
                     value = np.exp(value) * (np.exp(y - design(fit, more) @ beta).mean() if name == "z" else 1)
                 assert [got[name, horizon, r[2]][column] for r in asked] == pytest.approx(list(value), rel=1e-6)
+                r2 = 1 - ((y - design(fit, more) @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+                assert got[name, horizon, asked[0][2]]["more_r2" if more or column.startswith("aug") else "base_r2"] == pytest.approx(r2)
+            assert got[name, horizon, asked[0][2]].n_train == len(fit)
             assert sum(k[:2] == (name, horizon) for k in got) == len(asked)
