@@ -1,6 +1,7 @@
 """Operators against plain pandas, published results and each other."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from barwise.functions.distributions import student_upper
 import barwise.__main__ as command
-from barwise.operators import asof, chunks, features, inference, simulation, summaries
+from barwise.functions import rolling
+from barwise.operators import asof, chunks, features, inference, resampling, simulation, summaries
 from barwise.plans import simulated
 from barwise.sources import bars as sources
 from barwise.sources import runs
@@ -198,3 +200,72 @@ def test_command_line_of_calibration_and_oos(spark, tmp_path):
     assert [r.asset for r in made["data_coverage"].collect()] == ["BTC"] and made["ou_calibration"].count() == 1
     assert made["return_moments_robust_se"].count() == 12
     assert command.tables(spark, command.arguments(["oos", "--data-dir", str(tmp_path), "--assets", "NO:no.csv"])) == {}
+
+
+def test_hac_regression_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    n, lags = 250, 7
+    x = rng.normal(size=(n, 2))
+    e = np.convolve(rng.normal(size=n + 3), [1, 0.6, 0.3, 0.1], "valid")
+    y = 1 + x @ [0.5, -0.2] + e
+    frame = spark.createDataFrame([("X", START + dt.timedelta(days=k), float(y[k]), *map(float, x[k])) for k in range(n)] + [("X", START, None, 1.0, 1.0)], "asset string, ts timestamp_ntz, y double, a double, b double")
+    got = inference.hac_regression(frame, "y", ["a", "b"], lags).first()
+    design = np.column_stack([np.ones(n), x])
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    u = design * (y - design @ beta)[:, None]
+    s = u.T @ u + sum((1 - k / (lags + 1)) * (u[k:].T @ u[:-k] + u[:-k].T @ u[k:]) for k in range(1, lags + 1))
+    inverse = np.linalg.inv(design.T @ design)
+    t = beta / np.sqrt(np.diag(inverse @ s @ inverse))
+    assert got.n == n and got.coef == pytest.approx(beta) and got.t_hac == pytest.approx(t)
+    assert got.p_hac == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in t])
+
+
+def test_newey_west_p_values(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0.1, 1, 90)
+    frame = spark.createDataFrame([("X", START + dt.timedelta(days=k), float(v)) for k, v in enumerate(x)], "asset string, ts timestamp_ntz, x double")
+    c, lags = x - x.mean(), 9
+    lrv = (c @ c + 2 * sum((1 - k / (lags + 1)) * (c[k:] @ c[:-k]) for k in range(1, lags + 1))) / 90
+    t = x.mean() / math.sqrt(lrv / 90)
+    student, normal = (inference.newey_west(frame, "x", law=law).first() for law in ("t", "normal"))
+    assert student.t == pytest.approx(t) and student.lags == lags
+    assert normal.p == pytest.approx(math.erfc(t / math.sqrt(2)) / 2) and student.p == pytest.approx(student_upper(t, 89))
+
+
+def test_moving_block_bootstrap_against_resampled_rows(spark):
+    x = [float(k * 13 % 29) for k in range(50)]
+    frame = spark.createDataFrame([("X", 5, START + dt.timedelta(days=k), v) for k, v in enumerate(x)], "asset string, horizon int, ts timestamp_ntz, x double")
+    got = resampling.moving_block(frame, "x", 8, 40, F.col("horizon") + 42, ["asset", "horizon"]).first()
+    lcg = lambda r, b: ((((r * 1_000_003 + b * 7_919 + 47) * 1_103_515_245 + 12_345) % 2**31) * 1_103_515_245 + 12_345) % 2**31
+    means = []
+    for r in range(40):
+        drawn = [v for b in range(7) for v in x[lcg(r, b) % 43 :][:8]][:50]
+        means.append(sum(drawn) / 50)
+    assert (got.ci_low, got.ci_high) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
+    assert got.p_nonpositive == np.mean(np.array(means) <= 0)
+
+
+def test_long_frames_by_totals_stay_close(spark):
+    rng = np.random.default_rng(7)
+    r2 = rng.normal(0, 1e-3, 20_000) ** 2
+    frame = spark.createDataFrame([("X", START + dt.timedelta(minutes=5 * k), float(v)) for k, v in enumerate(r2)], "asset string, ts timestamp_ntz, x double")
+    rows = rolling.with_prefix_sums(frame, {"s": ("x", 2016)}).where("s is not null").orderBy("ts").collect()
+    want = np.convolve(r2, np.ones(2016), "valid")
+    assert np.abs(np.array([r.s for r in rows]) / want - 1).max() < 1e-9
+
+
+def test_result_files_and_sinks(spark, tmp_path):
+    part = lambda a, x: spark.createDataFrame([(a, x)], "asset string, x double")
+    for a, x in (("A", 1.0), ("B", 2.0), ("A", 3.0)):
+        sources.write_table(part(a, x), str(tmp_path / "t"), append=True)
+    assert sorted((r.asset, r.x) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("A", 3.0), ("B", 2.0)]
+    sources.write_table(part("C", 4.0), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    (tmp_path / "r.csv").write_text("Asset,Horizon_bars,Gain\neth,12,0.01\nbtc,48,0.02\nbtc,12,0.03\n")
+    rows = sources.read_results(spark, [str(tmp_path / "r.csv")], {"asset": (), "horizon_bars": (), "gain_percent": ("Gain",)}, ("gain_percent",)).collect()
+    assert [(r.asset, r.horizon_bars, round(r.gain_percent, 9)) for r in rows] == [("BTC", 12, 3.0), ("BTC", 48, 2.0), ("ETH", 12, 1.0)]
+    with pytest.raises(ValueError, match="missing"):
+        sources.read_results(spark, [str(tmp_path / "r.csv")], {"nothing": ()})
+    assert sources.parse_assets(["btc:a:b.csv"], {"ETH": "e.csv"}) == {"ETH": "e.csv", "BTC": "a:b.csv"}
+    with pytest.raises(ValueError):
+        sources.parse_assets(["btc"])
