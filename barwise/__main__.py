@@ -104,8 +104,10 @@ def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
     spark = SparkSession.builder.appName(f"barwise {args.job}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     for name, table in tables(spark, args).items():
-        bars.write_table(table, f"{args.out_dir}/{name}", "csv" if not any(kind.startswith("array") for _, kind in table.dtypes) else "json")
-        spark.read.format("csv").option("header", True).load(f"{args.out_dir}/{name}").show(20) if args.job != "forecast" or name != "losses" else None
+        kind = "json" if any(t.startswith("array") for _, t in table.dtypes) else "csv"
+        bars.write_table(table, f"{args.out_dir}/{name}", kind)
+        print(name)
+        spark.read.option("header", True).format(kind).load(f"{args.out_dir}/{name}").show(20)
 
 
 if __name__ == "__main__":
