@@ -74,6 +74,11 @@ def word_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
+def sharded_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_sharding that SQL can say."""
+    return op9_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
     "edited_texts": edited_texts,
+    "sharded_sizes": sharded_sizes,
     "word_base_scores": word_base_scores,
 }
 
@@ -112,6 +118,7 @@ ORACLE_SQL: dict[str, str] = {
  select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join h using (doc_id) left join t using (doc_id)""",
     "edited_texts": """with n as (select doc_id::bigint as doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars, coalesce(lead(coalesce(text, '')) over (order by doc_id), first_value(coalesce(text, '')) over (order by doc_id)) as following from documents)
  select doc_id, n_chars::bigint as n_chars, sha256(left(text, n_chars - n_chars // 2) || left(following, n_chars // 2)) as edited_sha256 from n""",
+    "sharded_sizes": "select doc_id::bigint as doc_id, strlen(coalesce(text, ''))::bigint + 8 as size, 'bytes' as law from documents",
     "word_base_scores": f"""with d as (select row_number() over () as row, doc_id::bigint as doc_id, {_CRC} % 7 = 2 as held_out, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') || [' '] as w from documents),
  t as (select row, unnest(w) as word from d), c as (select word, count(*) as c from t join d using (row) where not held_out group by 1), n as (select sum(c)::bigint as n, count(*) as v from c),
  s as (select row, count(*) as n_tokens, count(c) as n_known, sum(log10(coalesce(c, 0) + 1)) as logs from t left join c using (word) group by 1)
