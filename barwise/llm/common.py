@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barwise.operators.settle import settled, shared_folder
 
-__all__ = ["Kept", "id_remainder", "only", "rows_where", "settled", "settled_table", "slices", "table", "vocabulary_path"]
+__all__ = ["Kept", "id_remainder", "light", "only", "rows_where", "settled", "settled_table", "slices", "table", "vocabulary_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,12 @@ def only(rows: DataFrame, kept: DataFrame, number: str, most: int = 1_000_000) -
     return rows.join(kept, number, "left_semi")
 
 
+def light(rows: DataFrame, most_bytes: int = 16_000_000) -> DataFrame:
+    """Settled rows, marked for broadcast if they take at most `most_bytes`; otherwise left for Spark to shuffle."""
+    width = F.lit(8 * len(rows.columns)) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in rows.dtypes if kind in ("string", "binary")), F.lit(0))
+    return F.broadcast(rows) if (rows.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most_bytes else rows
+
+
 class Kept(dict):
     """Values by text, kept while they take about `most_bytes`, and then all dropped.
 

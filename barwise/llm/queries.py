@@ -13,7 +13,10 @@ from barwise.llm.chat import conversation_digests
 from barwise.llm.common import table
 from barwise.llm.decontamination import contamination
 from barwise.llm.lm_scoring import held_out_scores
+from barwise.llm.divergence import divergence
+from barwise.llm.mixing import mixture
 from barwise.llm.merkle import fingerprints_of_edits
+from barwise.llm.negatives import hard_negatives
 from barwise.llm.pieces import round_trips
 from barwise.llm.sharding import assign_shards
 from barwise.llm.simhash import near_duplicates
@@ -63,6 +66,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8_fingerprints that SQL can say."""
     return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -90,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_mixing": op11_mixing,
+    "op12_divergence": op12_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
     "edited_texts": edited_texts,
     "sharded_sizes": sharded_sizes,
     "word_base_scores": word_base_scores,
@@ -116,6 +136,30 @@ ORACLE_SQL: dict[str, str] = {
  m as (select distinct doc_id, k, g.n, item_id from g join i using (n, gram)), h as (select doc_id, count(distinct p) as n_hit from (select distinct doc_id, k, n from m), lateral (select unnest(range(k, k + n)) as p) group by 1),
  t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from m) group by 1)
  select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join h using (doc_id) left join t using (doc_id)""",
+    "op11_mixing": r"""with d as (select doc_id::bigint as doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, left(md5(coalesce(doc_id::bigint::varchar, '')), 16) as key from documents),
+ s as (select source, sum(size)::bigint as s, 1 + (row_number() over (order by source nulls last) - 1) % 3 as w from d group by source),
+ b as (select *, coalesce(sum(3 * s) over p, 0) as limits, coalesce(sum(w) over p, 0) as weighed, sum(s) over () as everything, sum(w) over () as weight_sum, s * (6 // w) as level from s window p as (order by s * (6 // w), source nulls last rows between unbounded preceding and 1 preceding)),
+ f as (select (everything - limits)::double as l, (weight_sum - weighed)::double as wl from b where 3 * s * (weight_sum - weighed) >= (everything - limits) * w order by level, source nulls last limit 1),
+ t as (select source, s, least((3 * s)::double, l * w / wl) as target from s, f),
+ p as (select d.*, t.s as source_size, target, floor(target + 0.5)::bigint as budget, coalesce(sum(size) over (partition by d.source order by key, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before from d join t on d.source is not distinct from t.source)
+ select doc_id, size, source_size, target, case when source_size > 0 then budget // source_size * size + greatest(0, least(size, budget % source_size - before)) else 0 end::bigint as taken from p""",
+    "op12_divergence": r"""with x as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+ g as (select distinct lang, source from x), d as (select row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from x),
+ k as (select lang, term from d group by 1, 2 having count(distinct row) >= 3), c as (select lang, source, term, count(*) as c from d join k using (lang, term) group by 1, 2, 3),
+ v as (select lang, count(*) as v from k group by 1), n as (select g.lang, g.source, coalesce(v, 0) as v, coalesce(n, 0) as n from g left join (select lang, source, sum(c) as n from c group by 1, 2) using (lang, source) left join v using (lang)),
+ m as (select lang, term, sum(c) as c from c group by 1, 2), ln as (select lang, sum(n) as n, any_value(v) as v from n group by 1),
+ p as (select n.lang, n.source, k.term, coalesce(c.c, 0) as c, 1 + 1000000000::hugeint * (coalesce(c.c, 0) + 1) // (n.n + n.v)::hugeint as p from n join k using (lang) left join c using (lang, source, term)),
+ q as (select lang, term, 1 + 1000000000::hugeint * (m.c + 1) // (ln.n + ln.v)::hugeint as q from m join ln using (lang)),
+ pair as (select a.lang, a.source, b.source as item, coalesce(f, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join (select x.lang, x.source, y.source as other, sum((x.p - y.p) * (x.p - y.p) // y.p) as f from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by 1, 2, 3) s on s.lang = a.lang and s.source = a.source and s.other = b.source),
+ term as (select p.lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from p join q using (lang, term) where c > 0 and p > q)
+ select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pair
+ union all select * from (select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from term) where rank <= 200""",
+    "op13_hard_negatives": """with e as (select vec_id::bigint as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.id as anchor, b.id as other, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from e a, e b where a.id % 100 = 0 and a.id <> b.id),
+ p as (select anchor, other as positive, score as ps, row_number() over (partition by anchor order by score desc, other) as k from s where same),
+ n as (select p.anchor, positive, ps, other, score, row_number() over (partition by p.anchor, positive order by score desc, other) as rank from p join s on p.anchor = s.anchor and not same and 80 * ps <= 100 * score and score <= ps where k <= 5)
+ select anchor as anchor_id, positive as positive_id, rank, other as negative_id, ps as positive_score, score as negative_score from n where rank <= 5""",
     "edited_texts": """with n as (select doc_id::bigint as doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars, coalesce(lead(coalesce(text, '')) over (order by doc_id), first_value(coalesce(text, '')) over (order by doc_id)) as following from documents)
  select doc_id, n_chars::bigint as n_chars, sha256(left(text, n_chars - n_chars // 2) || left(following, n_chars // 2)) as edited_sha256 from n""",
     "sharded_sizes": "select doc_id::bigint as doc_id, strlen(coalesce(text, ''))::bigint + 8 as size, 'bytes' as law from documents",
