@@ -1,4 +1,4 @@
-"""Command lines: python -m barwise calibrate | oos | forecast | funding | simulate | combine."""
+"""Command lines: python -m barwise calibrate | oos | forecast | funding | combine."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barwise.operators import chunks, features, forecasting, splits, summaries
 from barwise.operators.settle import settled
-from barwise.plans import experiments, simulated
+from barwise.plans import experiments
 from barwise.sources import bars, runs
 
 #: The published horizons, frames and window in five-minute bars.
@@ -36,9 +36,6 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
             job.add_argument("--funding-files", nargs="*", help="ASSET:file pairs in place of the defaults")
             job.add_argument("--funding-history-events", type=int, default=90)
             job.add_argument("--funding-window-minutes", type=int, default=60)
-    job = jobs.add_parser("simulate", help="Breakout sensitivity, long run and diagnostics")
-    job.add_argument("--out-dir", default="results/simulate")
-    job.add_argument("--scale", type=float, default=1.0, help="shortens the diagnostics' paths")
     job = jobs.add_parser("combine", help="Tables of several runs as one")
     job.add_argument("--input-dirs", nargs="+", required=True)
     job.add_argument("--out-dir", required=True)
@@ -60,8 +57,6 @@ def _frame(rows: DataFrame) -> DataFrame:
 
 def tables(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
     """The job's result tables by name; a job without any bars gives none."""
-    if args.job == "simulate":
-        return {"breakout_sensitivity": simulated.breakout_sensitivity(spark), **simulated.long_run(spark), "diagnostics": simulated.diagnostics(spark, args.scale)}
     if args.job == "combine":
         names = ("comparison", "effect_size", "margins", "sensitivity")
         found = {name: runs.combined(spark, args.input_dirs, name) for name in names}

@@ -24,6 +24,25 @@ def rolling_sum(x: str | Column, n: int, by=BY, order=ORDER) -> Column:
     return framed(F.sum, x, 1 - n, 0, by, order)
 
 
+def with_extremes(df: DataFrame, wanted: dict[str, tuple[str, str]], n: int, by=BY, order=ORDER) -> DataFrame:
+    """Adds, by new name, the "max" or "min" of a column over the last n rows, of those not null; cost does not grow with n.
+
+    Rows stand in blocks of n. A frame of n rows is the end of one block and the beginning of the next, so its
+    extreme is that of a running one from the first block's end backwards and one from the second block's start.
+    """
+    w = series(by, order)
+    placed = df.withColumn("_row", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_row") / n))
+    block = Window.partitionBy(*by, "_block")
+    begun = block.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    left = block.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    pick = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
+    kinds = dict.fromkeys(wanted.values())
+    both = placed.withColumns({f"_{side}_{kind}_{x}": pick[kind][0](x).over(frame) for x, kind in kinds for side, frame in (("begun", begun), ("left", left))})
+    # least and greatest leave nulls out; in the first block there is nothing before the frame
+    made = {name: pick[kind][1](f"_begun_{kind}_{x}", F.lag(f"_left_{kind}_{x}", n - 1).over(w)) if n > 1 else F.col(x) for name, (x, kind) in wanted.items()}
+    return both.select(*df.columns, *[c.alias(name) for name, c in made.items()])
+
+
 def with_prefix_sums(df: DataFrame, sums: dict[str, tuple[str, int]], by=BY, order=ORDER) -> DataFrame:
     """rolling_sum for long frames at a cost that does not grow with them: differences of running totals.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.rolling import BY, current_z, framed, rolling_sum, series, shifted_z, with_prefix_sums
+from barwise.functions.rolling import BY, current_z, framed, rolling_sum, series, shifted_z, with_extremes, with_prefix_sums
 from barwise.functions.scalars import pooled
 from barwise.operators.chunks import with_last
 
@@ -70,7 +70,7 @@ def with_semivariance(returns: DataFrame, windows: dict[str, int], by=BY) -> Dat
 def with_quiet_extrema(signal: DataFrame, zeta: float = 1.0, window: int = 288, by=BY) -> DataFrame:
     """Adds quiet_high and quiet_low: extremes of quiet log prices (Z below zeta) in the last `window` rows; null where there are none."""
     quiet = signal.withColumn("_quiet", F.when(F.col("Z") < zeta, F.col("log_close")))
-    return quiet.withColumns({"quiet_high": framed(F.max, "_quiet", 1 - window, 0, by, least=1), "quiet_low": framed(F.min, "_quiet", 1 - window, 0, by, least=1)}).drop("_quiet")
+    return with_extremes(quiet, {"quiet_high": ("_quiet", "max"), "quiet_low": ("_quiet", "min")}, window, by).drop("_quiet")
 
 
 def latched(quiet: DataFrame, by=BY) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.scalars import EPS, clark_west, finite, floored, qlike, safe_log, squared_error
 from barwise.operators.inference import newey_west
+from barwise.operators.quantiles import quantiles
 from barwise.operators.settle import settled
 from barwise.operators.splits import gated, in_split, nonoverlapping
 
@@ -68,7 +69,7 @@ def forecast(train: DataFrame, test: DataFrame, target: str, logged: list[str],
     fits = settled(fit_ols(rows, "_y", xs, by, ridge))  # one row a group; the smear and the test rows read it
     out = predicted(ready(test), fits, xs, by, "_f")
     if level:
-        floor = train.groupBy(*by).agg(F.percentile(target, 0.005).alias("_floor"))
+        floor = quantiles(train, {"_floor": (target, 0.005)}, by)
         out = out.join(floor, list(by)).withColumn(name, F.greatest("_f", "_floor", F.lit(EPS)))
     elif spec == "log_smear":
         smear = settled(predicted(rows, fits, xs, by, "_f").groupBy(*by).agg(F.avg(F.exp(F.col("_y") - F.col("_f"))).alias("_smear")))
@@ -170,9 +171,11 @@ def details(frame: DataFrame, frames: tuple[str, ...], horizons: dict[int, str |
     fitted = lambda beta: reduce(lambda a, b: a + b, [F.col("x")[i] * F.col(beta)[i] for i in range(width)])
     fit_rows = spread(in_range(train))
     fits = settled(_fit_nested(fit_rows, by, width, gates[0], ridge))  # a row a model
-    floor = [F.percentile("rv_future", 0.005).alias("floor")] if any(m.spec == "level_floor" for m in models) else [F.lit(None).cast("double").alias("floor")]
-    smears = fit_rows.join(fits, by).groupBy(*by).agg(*[F.avg(F.exp(F.col("y") - fitted(k))).alias(f"{k}_smear") for k in ("base", "more")], *floor)
-    known = settled(fits.join(smears, by))
+    smears = fit_rows.join(fits, by).groupBy(*by).agg(*[F.avg(F.exp(F.col("y") - fitted(k))).alias(f"{k}_smear") for k in ("base", "more")])
+    leveled = [m.name for m in models if m.spec == "level_floor"]
+    floors = quantiles(fit_rows.where(F.col("family").isin(leveled)), {"floor": ("rv_future", 0.005)}, by) if leveled else None
+    known = fits.join(smears, by)
+    known = settled(known.join(floors, by, "left") if leveled else known.withColumn("floor", F.lit(None).cast("double")))
     asked = gated(nonoverlapping(spread(in_range(test)), "horizon", by), by, gates[1]).join(known, by)
 
     def made(k: str) -> Column:
@@ -207,7 +210,8 @@ def margins(validation: DataFrame, test: DataFrame, forecasts: dict[str, Column]
     """Margin = forecast times the (1 - alpha) quantile of outcome over forecast in validation; how often outcomes exceed it."""
     spread = lambda df: df.select(*by, "rv_future", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), f.alias("f")) for k, f in forecasts.items()])).alias("_m")).select(*by, "rv_future", "_m.*")
     r = F.col("rv_future") / floored("f")
-    multiples = spread(validation).groupBy(*by, "model").agg(*[F.percentile(r, 1 - a).alias(f"_k{i}") for i, a in enumerate(alphas)])
+    multiples = quantiles(spread(validation), {f"_k{i}": (r, 1 - a) for i, a in enumerate(alphas)}, (*by, "model"))
     long = multiples.select(*by, "model", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"_k{i}").alias("multiplier")) for i, a in enumerate(alphas)])).alias("_a")).select(*by, "model", "_a.*")
     made = spread(test).join(long, [*by, "model"]).withColumn("margin", F.col("multiplier") * F.col("f"))
-    return made.groupBy(*by, "alpha", "model").agg(F.first("multiplier").alias("multiplier"), F.avg((F.col("rv_future") > F.col("margin")).cast("double")).alias("exceedance"), F.avg("margin").alias("mean_margin"), F.median("margin").alias("median_margin"), F.count("*").alias("n"))
+    means = made.groupBy(*by, "alpha", "model").agg(F.first("multiplier").alias("multiplier"), F.avg((F.col("rv_future") > F.col("margin")).cast("double")).alias("exceedance"), F.avg("margin").alias("mean_margin"), F.count("*").alias("n"))
+    return means.join(quantiles(made, {"median_margin": ("margin", 0.5)}, (*by, "alpha", "model")), [*by, "alpha", "model"])

@@ -1,7 +1,7 @@
 """Statistics of dependent series: autocorrelation, Newey-West means, HAC regressions, batch means.
 
-Lagged products are summed in NumPy over chunks of a series, each with the rows that follow it, so a long series is
-many tasks and the rows times lags are never rows of a table.
+Lagged products are summed over chunks of a series, each with the rows that follow it, so a long series is many tasks
+and the rows times lags are never rows of a table. Within a chunk they come from spectra, all lags at once.
 """
 
 from __future__ import annotations
@@ -18,6 +18,22 @@ from barwise.functions.scalars import ratio
 from barwise.operators.settle import settled
 
 
+def lagged_products(own: np.ndarray, whole: np.ndarray, max_lag: int, block: int = 8_192) -> np.ndarray:
+    """(lag, a, b): the sum over rows t of `own` of own[t, a] whole[t + lag, b], for lags 0..max_lag.
+
+    Overlap-add: blocks of rows meet the rows that they reach, padded so that nothing wraps around. The blocks' cross
+    spectra are summed, and one inverse gives all lags, in n log n steps whatever their number.
+    """
+    block = max(64, min(block, len(own))) if max_lag < block else max_lag
+    size = 1 << (block + max_lag - 1).bit_length()
+    spectrum = np.zeros((size // 2 + 1, own.shape[1], whole.shape[1]), dtype=complex)
+    for start in range(0, len(own), block):
+        a = np.fft.rfft(own[start : start + block], size, axis=0)
+        b = np.fft.rfft(whole[start : start + block + max_lag], size, axis=0)
+        spectrum += a.conj()[:, :, None] * b[:, None, :]
+    return np.fft.irfft(spectrum, size, axis=0)[: max_lag + 1]
+
+
 def lagged_sums(df: DataFrame, columns: list[str], max_lag: int, by=("asset",), time: str = "ts", span: str = "month") -> DataFrame:
     """(by..., lag, <a>_<b>...): for each lag, the sum over t of a(t) b(t + lag) for all pairs of columns.
 
@@ -41,8 +57,8 @@ def lagged_sums(df: DataFrame, columns: list[str], max_lag: int, by=("asset",),
         pdf = pdf.sort_values(time, kind="stable")
         x = np.nan_to_num(pdf[columns].to_numpy(float))
         n = int((pdf["_span"] == pdf["_home"]).sum())
-        sums = [(x[: len(x[lag : lag + n])].T @ x[lag : lag + n]).ravel() for lag in range(min(max_lag, len(x) - 1) + 1)]
-        out = pd.DataFrame(np.array(sums), columns=names)
+        sums = lagged_products(x[:n], x, min(max_lag, len(x) - 1))
+        out = pd.DataFrame(sums.reshape(len(sums), -1), columns=names)
         out.insert(0, "lag", np.arange(len(out), dtype=np.int32))
         for k, c in enumerate(by):
             out.insert(k, c, pdf[c].iloc[0])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.scalars import clamp, finite
+from barwise.operators.quantiles import quantiles
 
 #: (name, first moment, last moment), both within.
 DAY_SPLITS = (("train", "1995-01-01 00:00:00", "1998-12-31 23:59:59"), ("validation", "1999-01-01 00:00:00", "1999-12-31 23:59:59"), ("test", "2000-01-01 00:00:00", "2000-12-31 23:59:59"), ("recent", "2001-01-01 00:00:00", "2099-12-31 23:59:59"))
@@ -47,7 +48,7 @@ def gated(df: DataFrame, by: list[str], least: int) -> DataFrame:
 
 def clip_bounds(train: DataFrame, column: str, low: float, high: float, by=("asset",)) -> DataFrame:
     """Exact interpolated quantiles of the training rows, one row a group."""
-    return train.groupBy(*by).agg(F.percentile(column, low).alias("clip_low"), F.percentile(column, high).alias("clip_high"))
+    return quantiles(train, {"clip_low": (column, low), "clip_high": (column, high)}, by)
 
 
 def winsorized(df: DataFrame, bounds: DataFrame, column: str, by=("asset",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barwise.functions.distributions import student_p_two_sided
 from barwise.functions.scalars import ratio, underprediction
 from barwise.operators.inference import moments, newey_west
+from barwise.operators.quantiles import quantiles
 from barwise.operators.settle import settled
 from barwise.operators.splits import with_split
 
@@ -68,8 +69,9 @@ def high_ranking(detail: DataFrame, q: float = 0.9, by=("asset", "horizon", "fam
     by = list(by)
     long = detail.select(*by, "rv_future", F.expr("stack(2, 'baseline', baseline_forecast, 'augmented', augmented_forecast) as (model, f)"))
     keys = [*by, "model"]
-    cuts = long.groupBy(*keys).agg(F.percentile("rv_future", q).alias("_cut_y"), F.percentile("f", q).alias("_cut_f"), F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = long.join(cuts, keys).withColumns({"_top_y": F.col("rv_future") >= F.col("_cut_y"), "_top_f": F.col("f") >= F.col("_cut_f"), "_under": underprediction("rv_future", "f")})
+    sizes = long.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    cuts = quantiles(long, {"_cut_y": ("rv_future", q), "_cut_f": ("f", q)}, keys)
+    rows = long.join(sizes.join(cuts, keys), keys).withColumns({"_top_y": F.col("rv_future") >= F.col("_cut_y"), "_top_f": F.col("f") >= F.col("_cut_f"), "_under": underprediction("rv_future", "f")})
     return rows.groupBy(*keys).agg(
         F.first("n").alias("n"),
         ratio(F.avg(F.when(F.col("_top_f"), F.col("rv_future"))), F.avg("rv_future")).alias("top_over_all"),
@@ -148,3 +150,28 @@ def episode(signal: DataFrame, half: int, value: str = "Z") -> DataFrame:
     rows = signal.withColumn("rn", F.row_number().over(Window.partitionBy("asset").orderBy("ts")))
     peaks = rows.where(F.col(value).isNotNull()).groupBy("asset").agg(F.max_by("rn", F.struct(value, -F.col("rn"))).alias("_peak"))
     return rows.join(peaks, "asset").where(F.col("rn").between(F.col("_peak") - half, F.col("_peak") + half)).withColumn("offset", F.col("rn") - F.col("_peak")).drop("_peak", "rn")
+
+
+def moving_average(df: DataFrame, value: str, window: int, by=("path_id",), rows: int = 100_000) -> DataFrame:
+    """(by..., step, average) of the last `window` rows of series of steps 0, 1, ...; full windows only.
+
+    Averages are taken within chunks of steps, each with the window before it, so no task has a whole series.
+    """
+    by = list(by)
+    chunks = F.sequence(F.floor(F.col("step") / rows), F.floor((F.col("step") + window) / rows))
+    spread = df.select(*by, "step", F.col(value).alias("x"), F.explode(chunks).alias("chunk"))
+    order = Window.partitionBy(*by, "chunk").orderBy("step")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    summed = spread.withColumns({"total": F.sum("x").over(so_far), "count": F.count("x").over(so_far)})
+    before = lambda c: F.coalesce(F.lag(c, window).over(order), F.lit(0))
+    averaged = summed.withColumn("average", F.when(F.col("count") - before("count") == window, (F.col("total") - before("total")) / window))
+    return averaged.where((F.floor(F.col("step") / rows) == F.col("chunk")) & F.col("average").isNotNull()).select(*by, "step", "average")
+
+
+def quarter_means(averaged: DataFrame, by=("path_id",)) -> DataFrame:
+    """(by..., first, last): means of the first and of the last quarter of the steps of a moving average."""
+    by = list(by)
+    n = averaged.groupBy(*by).agg(F.count("*").alias("n"), F.min("step").alias("low"))
+    place = F.col("step") - F.col("low")
+    mean = lambda yes: F.avg(F.when(yes, F.col("average")))
+    return averaged.join(n, by).groupBy(*by).agg(mean(place < F.floor(F.col("n") / 4)).alias("first"), mean(place >= F.floor(F.col("n") * 3 / 4)).alias("last"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwise.functions import scalars as S
-from barwise.operators import asof, chunks, features, forecasting, inference, recursion, resampling, settle, simulation, splits, summaries
-from barwise.plans import experiments, simulated
+from barwise.operators import asof, chunks, features, forecasting, inference, recursion, resampling, settle, splits, summaries
+from barwise.plans import experiments, streams
 from barwise.sources import harness
 
 QUERIES: dict = {}
@@ -577,21 +577,33 @@ def running_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summaries.running_means(harness.user_paths(spark, d), "price", [1, 3, 10, 30]))
 
 
-@query()
-def breakout_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """First passages of simulated paths by gamma, at the published size; tests hold them against the published table."""
-    return simulated.breakout_sensitivity(spark)
+MOVING = f"{PATHS}, mv as (select path_id, step, avg(price) over w as m, count(*) over w as n from pa window w as (partition by path_id order by step rows between 4 preceding and current row))"
 
 
-@query()
-def long_run(spark: SparkSession, d: str) -> DataFrame:
-    """Moments of one path of two million steps with batch-means errors."""
-    return simulated.long_run(spark)["moments"]
+@query(f"with {MOVING} select path_id, step::int as step, round(m, 9) as average from mv where n = 5")
+def moving_averages(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summaries.moving_average(harness.user_paths(spark, d), "price", 5), 9)
 
 
-@query()
-def simulation_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return simulated.diagnostics(spark, 0.1)
+@query(f"""with {MOVING}, mq as (select *, step - min(step) over (partition by path_id) as place, count(*) over (partition by path_id) as rows from mv where n = 5)
+ select path_id, round(avg(m) filter (place < rows // 4), 9) as first, round(avg(m) filter (place >= floor(rows * 3 / 4)), 9) as last from mq group by 1""")
+def moving_quarters(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summaries.quarter_means(summaries.moving_average(harness.user_paths(spark, d), "price", 5)), 9)
+
+
+# ---- streams ----
+
+@query(f"with {HOUR} select asset, ts, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, volume from hour")
+def streamed_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly bars, built by a stream over the files of events."""
+    return rounded(streams.hour_bars(spark, d))
+
+
+@query(_leaky_sql(2, 24))
+def streamed_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of leaky_extrema from a stream over the signal, written by day and read a few files a batch."""
+    levels = streams.leaky_levels(hour_signal(spark, d).where("Z is not null"), [(2, 24)])
+    return rounded(levels.where("not late").select("asset", "ts", "leaky_resistance", "leaky_support"))
 
 
 # ---- whole experiments ----

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from barwise.functions.distributions import student_upper
 import barwise.__main__ as command
 from barwise.functions import rolling
-from barwise.operators import asof, chunks, features, inference, resampling, simulation, summaries
-from barwise.plans import simulated
+from barwise.operators import asof, chunks, features, inference, resampling, summaries
 from barwise.sources import bars as sources
 from barwise.sources import runs
 
@@ -68,15 +67,6 @@ def test_csv_bars(spark, tmp_path):
         sources.read_bars(spark, str(tmp_path / "y.csv"), "Y")
 
 
-def test_simulated_first_passage_matches_published_figures(spark):
-    paths = simulation.simulate(spark, 2000, 1000, gammas=[0.5], shared_draw=True)
-    row = summaries.first_passage(paths, 0.1, 0.01, ("gamma",)).first()
-    assert (row.mean_tau, row.se, row.censor_rate) == pytest.approx((1.720935, 0.03755420545106806, 0.003), rel=1e-9)
-    assert simulation.ordering_violations(paths).first().violations == 0
-    with pytest.raises(ValueError, match="rho"):
-        simulation.checked({"rho": 2})
-
-
 def test_student_tail():
     assert student_upper(2.228138851964939, 10) == pytest.approx(0.025, abs=1e-9)
     assert student_upper(-1.0, 5) == pytest.approx(1 - student_upper(1.0, 5))
@@ -90,48 +80,17 @@ def test_split_edges_and_types(spark):
     assert [r.split for r in with_split(rows).orderBy("ts").collect()] == ["train", None]
 
 
-def test_published_breakout_table(spark):
-    published = """0.5 1.720935 0.03755420545106806 0.003
-0.7727272727272727 3.478945 0.06319579434344385 0.058
-1.0454545454545454 5.886635 0.07658131503371855 0.274"""
-    rows = [tuple(map(float, line.split())) for line in published.splitlines()]
-    got = simulated.breakout_sensitivity(spark, gammas=tuple(r[0] for r in rows)).collect()
-    assert [(r.gamma, r.mean_tau, r.se, r.censor_rate) for r in got] == [pytest.approx(r, rel=1e-9) for r in rows]
-
-
-def test_one_long_path_is_the_same_as_many(spark):
-    options = {"shared_draw": True, "parameters": {"rho": 0.3}, "start": {"signal": 1.2, "price": 0.05}}
-    one = simulation.simulate(spark, 1, 3000, **options).collect()
-    p, at = simulation.checked({"rho": 0.3}, start=options["start"])
-    many = list(simulation._steps(p, at, *simulation._noise(np.array([0]), 3000, 42, 1), 0.01))
-    for row, state in zip(one, many):
-        assert tuple(row[c] for c in simulation.STATES) == pytest.approx(tuple(float(x[0]) for x in state), abs=1e-9)
-
-
-def test_diagnostics_hold(spark):
-    got = {r.diagnostic: r.passed for r in simulated.diagnostics(spark, 0.02).collect()}
-    assert len(got) == 7 and all(got[k] for k in ("level ordering", "drift margin", "equilibrium stability"))
-
-
 def test_moving_average_and_quarters_against_pandas(spark):
     values = pd.Series([float(k * 37 % 101) for k in range(1000)])
     frame = spark.createDataFrame(list(enumerate(values)), "step long, x double")
     want = values.rolling(50).mean().dropna()
-    got = simulated.moving_average(frame, "x", 50, rows=120)
+    got = summaries.moving_average(frame, "x", 50, (), rows=120)
     assert [r.average for r in got.orderBy("step").collect()] == pytest.approx(want.tolist())
-    q = simulated.quarter_means(got).first()
+    q = summaries.quarter_means(got.withColumn("path_id", F.lit(1))).first()
     n = len(want)
     assert (q.first, q.last) == (pytest.approx(want[: n // 4].mean()), pytest.approx(want[n * 3 // 4 :].mean()))
 
 
-def test_start_and_parameter_rules():
-    for bad in ({"rho": 1}, {"w_max": 1}, {"w_max": 0}, {"sigma_0": 0}, {"kappa": 0}, {"what": 1}):
-        with pytest.raises(ValueError):
-            simulation.checked(bad)
-    with pytest.raises(ValueError, match="support"):
-        simulation.checked(start={"support": 1.0})
-
-
 def test_lag_sums_over_spans_equal_numpy(spark):
     rng = np.random.default_rng(1)
     days = np.cumsum(rng.integers(1, 20, 300))
