@@ -98,7 +98,8 @@ def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         waiting = pa.concat_tables([waiting, rows]) if waiting is not None else rows
         while len(waiting):
             pivots = waiting["pivot"].to_numpy()
-            stop = min(most, int(np.searchsorted(pivots, pivots[0], side="right")))
+            other = np.flatnonzero(pivots[:most] != pivots[0])
+            stop = int(other[0]) if len(other) else min(most, len(waiting))
             if stop == len(waiting) < most:
                 break
             yield block(waiting.slice(0, stop), made)
@@ -165,6 +166,12 @@ def _scan(pair: dict, k: int, same: bool, margin: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
 
+def _ranged(rows: DataFrame, most: int = 16_384) -> DataFrame:
+    """Settled rows in the order of their keys, in partitions of some `most` rows, so that blocks are full."""
+    order = ("pivot", "key", "vec_id")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).coalesce(max(1, -(-rows.count() // most)))
+
+
 class Index:
     """Rows stored in blocks sorted by (pivot, distance)."""
 
@@ -174,8 +181,7 @@ class Index:
         some = rows.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(sample).collect()
         self.pivots = Pivots(np.array([r.vec for r in some], dtype=np.int64), float(norm2), pivots)
         keyed = self._keyed(rows.select("vec_id", "label", "vec")).drop("away")
-        order = ("pivot", "key", "vec_id")
-        ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+        ranged = _ranged(settled(keyed)).withColumn("part", F.spark_partition_id().cast("long"))
         self.blocks = settled(ranged.mapInArrow(lambda batches: _packed(batches, block_rows), BLOCK))
         ends = self.blocks.agg(F.min("low"), F.max("high")).first()
         self.low, self.high = (float(x or 0) for x in ends)
@@ -232,13 +238,15 @@ class Index:
     def _round(self, live: DataFrame, k: int, same: bool, query_rows: int) -> DataFrame:
         """What the key intervals of this round hold: the best k rows of each block for each query and window."""
         margin, cells = self.pivots.margin, lambda low, high: F.sequence(F.floor(low / self.cell), F.floor(high / self.cell))
-        near = live.repartitionByRange("pivot", "key", "vec_id").sortWithinPartitions("pivot", "key", "vec_id")
+        near = _ranged(live)
         blocks = settled(near.mapInArrow(lambda batches: _query_blocks(batches, margin, query_rows), QUERIES))
         spans = blocks.select("qblock", F.inline("spans")).where((F.col("low") <= self.high) & (F.col("high") >= self.low))
         spans = spans.withColumns({"low": F.greatest("low", F.lit(self.low)), "high": F.least("high", F.lit(self.high))})
         spans = spans.withColumn("cell", F.explode(cells(F.col("low"), F.col("high"))))
         stored = self.blocks.select("block", "pivot", F.col("low").alias("first"), F.col("high").alias("last")).withColumn("cell", F.explode(cells(F.col("first"), F.col("last"))))
-        pairs = spans.join(stored, ["pivot", "cell"]).where("first <= high and last >= low").select("qblock", "block").distinct()
+        # a span and a block that share several cells meet in the first of them
+        meet = F.col("cell") == F.floor(F.greatest("low", "first") / self.cell)
+        pairs = spans.join(stored, ["pivot", "cell"]).where(meet & (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low"))).select("qblock", "block").distinct()
         rows = self.blocks.select("block", "pivot", "n", "keys", *[F.col(c).alias(f"row_{c.removeprefix('vec_')}" if c != "vecs" else "row_vecs") for c in ("vec_ids", "labels", "vecs")])
         met = pairs.join(blocks.drop("spans").withColumnRenamed("n", "queries"), "qblock").join(rows, "block")
 
