@@ -58,9 +58,10 @@ class Pivots:
         self.points = points[chosen]
         self.margin = MARGIN * max(1.0, math.sqrt(norm2))
 
-    def lifted(self, vecs: np.ndarray) -> np.ndarray:
+    def lifted(self, vecs: np.ndarray, queries: bool = False) -> np.ndarray:
+        """The vectors with the component that brings rows to the largest norm; it is 0 for queries."""
         wide = vecs.astype(float)
-        return np.column_stack([wide, np.sqrt(np.maximum(0.0, self.norm2 - (wide * wide).sum(axis=1)))])
+        return np.column_stack([wide, np.zeros(len(wide)) if queries else np.sqrt(np.maximum(0.0, self.norm2 - (wide * wide).sum(axis=1)))])
 
     def distances(self, lifted: np.ndarray) -> np.ndarray:
         return np.column_stack([np.linalg.norm(lifted - p, axis=1) for p in self.points])
@@ -188,14 +189,14 @@ class Index:
         #: the distance axis in 64 cells: key intervals and blocks meet in cells
         self.cell = max((self.high - self.low) / 64, self.pivots.margin)
 
-    def _keyed(self, rows: DataFrame) -> DataFrame:
+    def _keyed(self, rows: DataFrame, queries: bool = False) -> DataFrame:
         """`rows` with away, its distances to all pivots, and pivot and key, the nearest one and its distance."""
         found, place = self.pivots, rows.columns.index("vec")
 
         def keyed(batches):
             for batch in batches:
                 if len(batch):
-                    away = found.distances(found.lifted(_matrix(batch.column(place))))
+                    away = found.distances(found.lifted(_matrix(batch.column(place)), queries))
                     near = away.argmin(axis=1)
                     named = {"pivot": pa.array(near, pa.int32()), "key": pa.array(away[np.arange(len(near)), near]), "away": pa.array(list(away), pa.list_(pa.float64()))}
                     yield pa.RecordBatch.from_arrays([*batch.columns, *named.values()], names=[*batch.schema.names, *named])
@@ -214,7 +215,7 @@ class Index:
         own = F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + x * x).cast("double")
         # the distance at which a score lies, and the one within which all rows lie
         away_of = lambda score: F.sqrt(F.greatest(F.lit(0.0), F.col("own") + norm2 - 2 * score.cast("double")))
-        asked = settled(self._keyed(queries.where(F.size("windows") > 0)).withColumn("own", own).withColumn("inner", away_of(F.array_max("windows.high"))).withColumn("every", F.sqrt("own") + norm2**0.5 + margin))
+        asked = settled(self._keyed(queries.where(F.size("windows") > 0), queries=True).withColumn("own", own).withColumn("inner", away_of(F.array_max("windows.high"))).withColumn("every", F.sqrt("own") + norm2**0.5 + margin))
         state = asked.select("vec_id", F.lit(-4 * margin).alias("was"))
         best, share = None, 0.25
         while True:
@@ -235,18 +236,22 @@ class Index:
             state, share = live.select("vec_id", F.col("radius").alias("was")), 2 * share
         return best if best is not None else asked.sparkSession.createDataFrame([], "vec_id long, window int, other_id long, score long, rank int")
 
-    def _round(self, live: DataFrame, k: int, same: bool, query_rows: int) -> DataFrame:
-        """What the key intervals of this round hold: the best k rows of each block for each query and window."""
-        margin, cells = self.pivots.margin, lambda low, high: F.sequence(F.floor(low / self.cell), F.floor(high / self.cell))
-        near = _ranged(live)
-        blocks = settled(near.mapInArrow(lambda batches: _query_blocks(batches, margin, query_rows), QUERIES))
+    def _pairs(self, blocks: DataFrame) -> DataFrame:
+        """(qblock, block) of the blocks of queries and of rows that some key interval of this round brings together."""
+        cells = lambda low, high: F.sequence(F.floor(low / self.cell), F.floor(high / self.cell))
         spans = blocks.select("qblock", F.inline("spans")).where((F.col("low") <= self.high) & (F.col("high") >= self.low))
         spans = spans.withColumns({"low": F.greatest("low", F.lit(self.low)), "high": F.least("high", F.lit(self.high))})
         spans = spans.withColumn("cell", F.explode(cells(F.col("low"), F.col("high"))))
         stored = self.blocks.select("block", "pivot", F.col("low").alias("first"), F.col("high").alias("last")).withColumn("cell", F.explode(cells(F.col("first"), F.col("last"))))
         # a span and a block that share several cells meet in the first of them
         meet = F.col("cell") == F.floor(F.greatest("low", "first") / self.cell)
-        pairs = spans.join(stored, ["pivot", "cell"]).where(meet & (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low"))).select("qblock", "block").distinct()
+        return spans.join(stored, ["pivot", "cell"]).where(meet & (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low"))).select("qblock", "block").distinct()
+
+    def _round(self, live: DataFrame, k: int, same: bool, query_rows: int) -> DataFrame:
+        """What the key intervals of this round hold: the best k rows of each block for each query and window."""
+        margin = self.pivots.margin
+        blocks = settled(_ranged(live).mapInArrow(lambda batches: _query_blocks(batches, margin, query_rows), QUERIES))
+        pairs = self._pairs(blocks)
         rows = self.blocks.select("block", "pivot", "n", "keys", *[F.col(c).alias(f"row_{c.removeprefix('vec_')}" if c != "vecs" else "row_vecs") for c in ("vec_ids", "labels", "vecs")])
         met = pairs.join(blocks.drop("spans").withColumnRenamed("n", "queries"), "qblock").join(rows, "block")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barwise.llm import negatives
 from barwise.llm.common import settled
-from barwise.llm.negatives import Index, hard_negatives, integer_rows
+from barwise.llm.negatives import QUERIES, Index, _query_blocks, hard_negatives, integer_rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -50,7 +50,7 @@ def test_equals_brute_force_on_clusters_and_copies(spark):
 
 def test_odd_rows(spark):
     rows = clustered(60, 5, 9)
-    rows += [(None, [1.0] * 5, 1), (100, None, 1), (101, [1.0, None, 0, 0, 0], 2), (102, [float("nan")] * 5, 1), (103, [float("inf"), 0, 0, 0, 0], 1), (104, [0.5] * 5, None), (110, [], 1), (120, [0.9, 0.1], 2)]
+    rows += [(None, [1.0] * 5, 1), (100, None, 1), (101, [1.0, None, 0.0, 0.0, 0.0], 2), (102, [float("nan")] * 5, 1), (103, [float("inf"), 0.0, 0.0, 0.0, 0.0], 1), (104, [0.5] * 5, None), (110, [], 1), (120, [0.9, 0.1], 2)]
     rows += [(130, [0.4, 0.3, 0.2, 0.1, 0.0], 3)] * 2 + [(130, [0.1] * 5, 3), (140, [-1.0] * 5, 0), (150, [0.0] * 5, 1)]
     padded = [(i, x + [0.0] * (5 - len(x)) if x is not None else None, label) for i, x, label in rows]
     assert run(spark, rows, 10) == brute(padded, 10)
@@ -80,10 +80,7 @@ def test_rounds_scan_less_than_everything(spark, monkeypatch):
         best = sorted((-int(vecs[a] @ vecs[b]), b) for b in vecs if b != a and b % 3 == a % 3)[:5]
         want += [(a, k, b) for k, (_, b) in enumerate(best, 1)]
     assert got == sorted(want) and len(met) < 4
-    live = settled(index._keyed(asked).withColumns({"inner": F.lit(0.0), "was": F.lit(-1e-6), "radius": F.lit(20.0)}))
-    from barwise.llm.negatives import QUERIES, _query_blocks
-
-    spans = live.orderBy("pivot", "key").mapInArrow(lambda b: _query_blocks(b, 1e-6, 1), QUERIES).selectExpr("inline(spans)")
-    assert spans.count() < 16 * 8 * 2 + 1
-    held = index.blocks.count()
-    assert held >= 480 / 16
+    # within the radius that certifies, most of the blocks need no look
+    live = settled(index._keyed(asked, queries=True).withColumns({"inner": F.lit(0.0), "was": F.lit(-1e-6), "radius": F.lit(30.0)}))
+    blocks = settled(live.mapInArrow(lambda batches: _query_blocks(batches, 1e-6, 1), QUERIES))
+    assert 0 < index._pairs(blocks).count() < 0.25 * blocks.count() * index.blocks.count()
