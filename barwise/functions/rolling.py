@@ -24,38 +24,72 @@ def rolling_sum(x: str | Column, n: int, by=BY, order=ORDER) -> Column:
     return framed(F.sum, x, 1 - n, 0, by, order)
 
 
+def _two_sided(df: DataFrame, values: dict[str, tuple[Column, str]], n: int, by, order) -> DataFrame:
+    """Adds, for each name, _begun_<name> and _left_<name>: its sum, max, min or count from the row's block's start, and to its end.
+
+    Rows stand in blocks of n, so a frame of n rows is the end of one block and the beginning of the next.
+    """
+    pick = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+    placed = df.withColumn("_block", F.floor((F.row_number().over(series(by, order)) - 1) / n))
+    block = Window.partitionBy(*by, "_block")
+    begun, left = (block.orderBy(*[f(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0) for f in (F.asc, F.desc))
+    return placed.withColumns({f"_{side}_{name}": pick[kind](x).over(frame) for name, (x, kind) in values.items() for side, frame in (("begun", begun), ("left", left))})
+
+
 def with_extremes(df: DataFrame, wanted: dict[str, tuple[str, str]], n: int, by=BY, order=ORDER) -> DataFrame:
     """Adds, by new name, the "max" or "min" of a column over the last n rows, of those not null; cost does not grow with n.
 
-    Rows stand in blocks of n. A frame of n rows is the end of one block and the beginning of the next, so its
-    extreme is that of a running one from the first block's end backwards and one from the second block's start.
+    Each is the greater (or lesser) of a running extreme back from one block's end and one on from the next one's start.
     """
+    both = _two_sided(df, {name: (col(x), kind) for name, (x, kind) in wanted.items()}, n, by, order)
     w = series(by, order)
-    placed = df.withColumn("_row", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_row") / n))
-    block = Window.partitionBy(*by, "_block")
-    begun = block.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    left = block.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    pick = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
-    kinds = dict.fromkeys(wanted.values())
-    both = placed.withColumns({f"_{side}_{kind}_{x}": pick[kind][0](x).over(frame) for x, kind in kinds for side, frame in (("begun", begun), ("left", left))})
     # least and greatest leave nulls out; in the first block there is nothing before the frame
-    made = {name: pick[kind][1](f"_begun_{kind}_{x}", F.lag(f"_left_{kind}_{x}", n - 1).over(w)) if n > 1 else F.col(x) for name, (x, kind) in wanted.items()}
+    made = {name: {"max": F.greatest, "min": F.least}[kind](f"_begun_{name}", F.lag(f"_left_{name}", n - 1).over(w)) if n > 1 else col(x) for name, (x, kind) in wanted.items()}
     return both.select(*df.columns, *[c.alias(name) for name, c in made.items()])
 
 
-def with_prefix_sums(df: DataFrame, sums: dict[str, tuple[str, int]], by=BY, order=ORDER) -> DataFrame:
-    """rolling_sum for long frames at a cost that does not grow with them: differences of running totals.
+def with_long_sums(df: DataFrame, sums: dict[str, tuple[str, int]], by=BY, order=ORDER) -> DataFrame:
+    """rolling_sum for long frames at a cost that does not grow with them.
 
-    Totals lose digits where a frame's sum is far smaller than the series' total; use it for frames of
-    hundreds of rows and more, and not for fourth powers.
+    A frame's sum is that of the end of one block and of the beginning of the next. Nothing is taken off a running total, so
+    no digits are lost, however small a frame's sum is beside the series'.
     """
-    w = series(by, order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    xs = list(dict.fromkeys(x for x, _ in sums.values()))
-    totals = df.select("*", *[F.sum(F.coalesce(col(x), F.lit(0.0))).over(so_far).alias(f"_s_{x}") for x in xs], *[F.count(x).over(so_far).alias(f"_n_{x}") for x in xs])
-    before = lambda c, n: F.lag(c, n, 0).over(w)
-    out = totals.select("*", *[F.when(F.col(f"_n_{x}") - before(f"_n_{x}", n) == n, F.col(f"_s_{x}") - before(F.col(f"_s_{x}"), n)).alias(name) for name, (x, n) in sums.items()])
-    return out.drop(*[f"_{k}_{x}" for x in xs for k in "sn"])
+    out, w = df, series(by, order)
+    for n in dict.fromkeys(n for _, n in sums.values()):
+        here = {name: x for name, (x, m) in sums.items() if m == n}
+        both = _two_sided(out, {k: v for name, x in here.items() for k, v in ((f"s_{name}", (F.coalesce(col(x), F.lit(0.0)), "sum")), (f"n_{name}", (col(x), "count")))}, n, by, order)
+        # the last row of a block has its whole frame in the block
+        ends = F.col("_block") == F.lag("_block", n - 1).over(w) if n > 1 else F.lit(True)
+        part = lambda c: F.when(ends, F.col(f"_begun_{c}")).otherwise(F.col(f"_begun_{c}") + F.lag(f"_left_{c}", n - 1).over(w))  # noqa: B023, E731
+        out = both.select(*out.columns, *[F.when(part(f"n_{name}") == n, part(f"s_{name}")).alias(name) for name in here])
+    return out
+
+
+def with_shifted_z(df: DataFrame, wanted: dict[str, str], n: int, by=BY, order=ORDER) -> DataFrame:
+    """shifted_z of columns, by new name, at a cost that does not grow with n.
+
+    Moments are sums of the ends and beginnings of blocks of n rows, about the mean of all rows at hand; whether a frame
+    varies at all is told by its extremes, so that a constant one gives null whatever the rounding.
+    """
+    centred = df.withColumns({f"_c_{name}": col(x) - F.avg(x).over(Window.partitionBy(*by)) for name, x in wanted.items()})
+    values = {}
+    for name in wanted:
+        c = F.col(f"_c_{name}")
+        values |= {f"s_{name}": (F.coalesce(c, F.lit(0.0)), "sum"), f"q_{name}": (F.coalesce(c * c, F.lit(0.0)), "sum"), f"n_{name}": (c, "count"), f"h_{name}": (c, "max"), f"l_{name}": (c, "min")}
+    both, w = _two_sided(centred, values, n, by, order), series(by, order)
+    ends = F.col("_block") == F.lag("_block", n - 1).over(w) if n > 1 else F.lit(True)
+    before = lambda c: F.lag(f"_left_{c}", n - 1).over(w)
+    total = lambda c: F.when(ends, F.col(f"_begun_{c}")).otherwise(F.col(f"_begun_{c}") + before(c))
+    frames = {}
+    for name in wanted:
+        mean = total(f"s_{name}") / n
+        flat = F.greatest(f"_begun_h_{name}", before(f"h_{name}")) == F.least(f"_begun_l_{name}", before(f"l_{name}"))
+        sd = F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(total(f"q_{name}") / n - mean * mean, F.lit(0.0))))
+        full = total(f"n_{name}") == n
+        frames |= {f"_mean_{name}": F.when(full, mean), f"_sd_{name}": F.when(full, sd)}
+    framed_rows = both.withColumns(frames)
+    z = {name: ratio(F.col(f"_c_{name}") - F.lag(f"_mean_{name}").over(w), F.lag(f"_sd_{name}").over(w)) for name in wanted}
+    return framed_rows.select(*df.columns, *[c.alias(name) for name, c in z.items()])
 
 
 def shifted_z(x: str | Column, n: int, by=BY, order=ORDER, least: int | None = None) -> Column:

@@ -1,7 +1,8 @@
-"""As-of joins over calendar spans: within a span one sort of both sides carries the last (or next) event over.
+"""As-of joins over ranges of the time line: within a range one sort of both sides carries the last (or next) event over.
 
-The last event of the spans before, and the next one of the spans after, come from a table of one row a span, so
-a long time line is as many tasks as it has spans, and nothing is compared pairwise.
+Both sides are range-partitioned by key and time together, so that ranges hold about as many rows each, however dense a
+stretch of time is; rows of one key and time are never parted. The last event of the ranges before, and the next one of
+the ranges after, come from a table of one row a key and range, and nothing is compared pairwise.
 """
 
 from __future__ import annotations
@@ -9,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwise.operators.settle import settled
 
-def _line(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: Column, by: list[str], span: str) -> DataFrame:
-    """Both sides' rows (by..., _t, _span, _side 0 for events, _row or _event); those without a time are left out."""
+
+def _line(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: Column, by: list[str]) -> DataFrame:
+    """Both sides' rows (by..., _t, _span, _side 0 for events, _row or _event); those without a time are left out. _span numbers the ranges."""
     rows = left.where(F.col(left_time).isNotNull()).select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
     events = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), payload.alias("_event"))
-    return rows.unionByName(events, allowMissingColumns=True).withColumn("_span", F.date_trunc(span, "_t"))
+    return settled(rows.unionByName(events, allowMissingColumns=True).repartitionByRange(*by, "_t").withColumn("_span", F.spark_partition_id()))
 
 
 def _carried(line: DataFrame, by: list[str], **picks: tuple[Column, bool]) -> DataFrame:
-    """`line` with an event of other spans per pick: (which event of a span, whether of the spans before or after)."""
+    """`line` with an event of other ranges per pick: (which event of a range, whether of the ranges before or after)."""
     spans = line.groupBy(*by, "_span").agg(*[F.max(F.when(F.col("_side") == 0, x)).alias(name) if before else F.min(F.when(F.col("_side") == 0, x)).alias(name) for name, (x, before) in picks.items()])
     order = lambda before: Window.partitionBy(*by).orderBy("_span" if before else F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
     known = spans.select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_span")], *[F.last(name, ignorenulls=True).over(order(before)).alias(name) for name, (_, before) in picks.items()])
@@ -26,14 +29,14 @@ def _carried(line: DataFrame, by: list[str], **picks: tuple[Column, bool]) -> Da
     return line.join(known, same, "left").select(*line.columns, *picks)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: list[str], by: list[str] | None = None, ties: list[str] | None = None, span: str = "month") -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: list[str], by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """`left` with `columns` of the newest right row at or before its time (null: none), of equal times the last by `ties`.
 
-    Every left row stays, those without a time too. Rows are sorted within calendar spans of the given unit.
+    Every left row stays, those without a time too.
     """
     by = by or []
     payload = F.struct(*[F.col(c).alias(f"_{c}") for c in ties or []], *[F.col(c) for c in columns])
-    line = _line(left, right, left_time, right_time, payload, by, span)
+    line = _line(left, right, left_time, right_time, payload, by)
     held = _carried(line, by, _before=(F.struct("_t", "_event"), True))
     order = ["_t", "_side"] + ["_event"] * bool(ties)
     last = F.last("_event", ignorenulls=True).over(Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -43,10 +46,10 @@ def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time:
     return timed.union(untimed)
 
 
-def gap_to_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, tolerance_minutes: float, by: list[str] | None = None, span: str = "month") -> DataFrame:
+def gap_to_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, tolerance_minutes: float, by: list[str] | None = None) -> DataFrame:
     """`left` with `name`: minutes to the nearest right row before or after, null if over the tolerance or without a time."""
     by = by or []
-    line = _line(left, right, left_time, right_time, F.col(right_time), by, span)
+    line = _line(left, right, left_time, right_time, F.col(right_time), by)
     held = _carried(line, by, _earlier=(F.col("_event"), True), _later=(F.col("_event"), False))
     up_to = lambda *order: F.last("_event", ignorenulls=True).over(Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     both = held.withColumns({"_before": F.coalesce(up_to("_t", "_side"), "_earlier"), "_after": F.coalesce(up_to(F.desc("_t"), F.desc("_side")), "_later")}).where("_side = 1")

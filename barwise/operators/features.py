@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.rolling import BY, current_z, framed, rolling_sum, series, shifted_z, with_extremes, with_prefix_sums
+from barwise.functions.rolling import BY, current_z, framed, rolling_sum, series, shifted_z, with_extremes, with_long_sums, with_shifted_z
 from barwise.functions.scalars import pooled
 from barwise.operators.chunks import with_last
 
-#: Frames over this many rows go by running totals.
-LONG = 300
+#: Sums over frames of more rows, and scores over frames of more rows, go by blocks.
+LONG, LONG_SCORE = 300, 64
 
 
 def with_returns(bars: DataFrame, by=BY) -> DataFrame:
@@ -22,12 +22,30 @@ def with_returns(bars: DataFrame, by=BY) -> DataFrame:
     )
 
 
+def with_scores(returns: DataFrame, window: int, by=BY, tag: str = "") -> DataFrame:
+    """Adds zV and zR, their names followed by `tag`: log volume and absolute return against the `window` rows before."""
+    wanted = {f"zV{tag}": "log_volume", f"zR{tag}": "abs_ret"}
+    if window > LONG_SCORE:
+        return with_shifted_z(returns, wanted, window, by)
+    return returns.withColumns({name: shifted_z(x, window, by) for name, x in wanted.items()})
+
+
 def with_activation(returns: DataFrame, window: int = 288, smoothing: int = 3, pooling: str = "max", by=BY) -> DataFrame:
     """Adds zV, zR, Z_raw and Z; a row's scores use only the `window` rows before it."""
-    scored = returns.withColumns({"zV": shifted_z("log_volume", window, by), "zR": shifted_z("abs_ret", window, by)})
+    scored = with_scores(returns, window, by)
     return scored.withColumn("Z_raw", pooled("zV", "zR", pooling)).withColumn("Z", framed(F.avg, "Z_raw", 1 - smoothing, 0, by))
 
 
+def with_activations(returns: DataFrame, settings: list[tuple[int, int, str]], by=BY) -> DataFrame:
+    """Adds, for each (window, smoothing, pooling), the column Z_<window>_<smoothing>_<pooling>; scores are shared between settings."""
+    scored = returns
+    for window in dict.fromkeys(w for w, _, _ in settings):
+        scored = with_scores(scored, window, by, f"_{window}")
+    raw = {f"_raw_{w}_{p}": pooled(f"zV_{w}", f"zR_{w}", p) for w, _, p in settings}
+    smooth = {f"Z_{w}_{s}_{p}": framed(F.avg, f"_raw_{w}_{p}", 1 - s, 0, by) for w, s, p in settings}
+    return scored.withColumns(raw).withColumns(smooth).drop(*raw, *[f"z{x}_{w}" for w, _, _ in settings for x in "VR"])
+
+
 def with_display_signal(returns: DataFrame, window: int = 288, by=BY) -> DataFrame:
     """Adds Z_display, which looks at the current row, and the variance of the next `window` rows."""
     r2 = F.col("ret") * F.col("ret")
@@ -41,7 +59,7 @@ def with_realized_variance(returns: DataFrame, horizons: tuple[int, ...], by=BY)
     short = [h for h in horizons if h <= LONG]
     out = squared.withColumns({f"rv_past_{h}": rolling_sum("_r2", h, by) for h in short} | {f"rv_future_{h}": framed(F.sum, "_r2", 1, h, by) for h in short})
     if rest := [h for h in horizons if h > LONG]:
-        out = with_prefix_sums(out, {f"rv_past_{h}": ("_r2", h) for h in rest}, by)
+        out = with_long_sums(out, {f"rv_past_{h}": ("_r2", h) for h in rest}, by)
         out = out.withColumns({f"rv_future_{h}": F.lead(f"rv_past_{h}", h).over(series(by)) for h in rest})
     return out.drop("_r2")
 
@@ -51,7 +69,7 @@ def with_har(returns: DataFrame, windows: dict[str, int], by=BY) -> DataFrame:
     squared = returns.withColumn("_r2", F.col("ret") * F.col("ret"))
     out = squared.withColumns({f"rv_past_{k}": rolling_sum("_r2", n, by) for k, n in windows.items() if n <= LONG})
     rest = {f"rv_past_{k}": ("_r2", n) for k, n in windows.items() if n > LONG}
-    return (with_prefix_sums(out, rest, by) if rest else out).drop("_r2")
+    return (with_long_sums(out, rest, by) if rest else out).drop("_r2")
 
 
 def with_semivariance(returns: DataFrame, windows: dict[str, int], by=BY) -> DataFrame:
@@ -61,10 +79,12 @@ def with_semivariance(returns: DataFrame, windows: dict[str, int], by=BY) -> Dat
     """
     r2 = F.col("ret") * F.col("ret")
     parts = returns.withColumns({"_neg": F.when(F.col("ret") < 0, r2).otherwise(0.0), "_pos": F.when(F.col("ret") >= 0, r2).otherwise(0.0), "_r4": r2 * r2})
-    sums = {f"{out}_past_{k}": rolling_sum(x, n, by) * (n / 3 if out == "rq" else 1) for k, n in windows.items() for out, x in (("rsv_neg", "_neg"), ("rsv_pos", "_pos"), ("rq", "_r4")) if n <= LONG or out == "rq"}
+    sums = {f"{out}_past_{k}": rolling_sum(x, n, by) * (n / 3 if out == "rq" else 1) for k, n in windows.items() for out, x in (("rsv_neg", "_neg"), ("rsv_pos", "_pos"), ("rq", "_r4")) if n <= LONG}
     out = parts.withColumns(sums)
-    rest = {f"{o}_past_{k}": (x, n) for k, n in windows.items() for o, x in (("rsv_neg", "_neg"), ("rsv_pos", "_pos")) if n > LONG}
-    return (with_prefix_sums(out, rest, by) if rest else out).drop("_neg", "_pos", "_r4")
+    long = {f"{o}_past_{k}": (x, n) for k, n in windows.items() for o, x in (("rsv_neg", "_neg"), ("rsv_pos", "_pos"), ("rq", "_r4")) if n > LONG}
+    if long:
+        out = with_long_sums(out, long, by).withColumns({f"rq_past_{k}": F.col(f"rq_past_{k}") * (n / 3) for k, n in windows.items() if n > LONG})
+    return out.drop("_neg", "_pos", "_r4")
 
 
 def with_quiet_extrema(signal: DataFrame, zeta: float = 1.0, window: int = 288, by=BY) -> DataFrame:

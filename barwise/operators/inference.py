@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.distributions import normal_p_upper, student_p_upper
 from barwise.functions.scalars import ratio
+from barwise.operators.chunks import numbered
 from barwise.operators.settle import settled
 
 
@@ -109,17 +110,21 @@ def newey_west(df: DataFrame, value: str, by=("asset",), order=("ts",), lags: in
     return out.withColumn("p", student_p_upper("t", F.col("n") - 1) if law == "t" else normal_p_upper("t"))
 
 
-def hac_regression(df: DataFrame, y: str, xs: list[str], max_lag: int, by=("asset",), order=("ts",)) -> DataFrame:
-    """(by..., n, coef, t_hac, p_hac, r2), arrays with the intercept first. Sums and score products are Spark's; only k x k matrices reach Python."""
+def hac_regression(df: DataFrame, y: str, xs: list[str], max_lag: int | str, by=("asset",), order=("ts",)) -> DataFrame:
+    """(by..., n, coef, t_hac, p_hac, r2), arrays with the intercept first. Sums and score products are Spark's; only k x k matrices reach Python.
+
+    max_lag is a number, or the name of one of the keys, which then holds each group's own.
+    """
     from barwise.operators.forecasting import fit_ols, predicted
 
+    most = max_lag if isinstance(max_lag, int) else int(df.agg(F.max(max_lag)).first()[0] or 0)
     rows = df.where(" and ".join(f"{c} is not null" for c in [y, *xs]))
     fits = fit_ols(rows, y, xs, by, ridge=0.0)
     k = len(xs) + 1
     scored = predicted(rows, fits, xs, by, "_fit").withColumn("_e", F.col(y) - F.col("_fit"))
     scored = scored.withColumns({f"u{i}": F.col("_e") * (F.lit(1.0) if i == 0 else F.col(xs[i - 1])) for i in range(k)})
     us = [f"u{i}" for i in range(k)]
-    sums = lagged_sums(settled(scored.select(*by, *order, *us)), us, max_lag, by, *order)
+    sums = lagged_sums(settled(scored.select(*by, *order, *us)), us, most, by, *order)
     weighted = sums.groupBy(*by).agg(F.collect_list(F.struct("lag", F.array(*[f"{a}_{b}" for a in us for b in us]).alias("g"))).alias("sums"))
     schema = fits.select(*by).schema.simpleString()[7:-1].replace(":", " ") + ", n long, coef array<double>, t_hac array<double>, p_hac array<double>, r2 double"
 
@@ -127,10 +132,10 @@ def hac_regression(df: DataFrame, y: str, xs: list[str], max_lag: int, by=("asse
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                s = np.zeros((k, k))
+                s, lags = np.zeros((k, k)), max_lag if isinstance(max_lag, int) else int(row[max_lag])
                 for item in row["sums"]:
                     g = np.array(item["g"], dtype=float).reshape(k, k)
-                    s += g if item["lag"] == 0 else (1 - item["lag"] / (max_lag + 1)) * (g + g.T)
+                    s += g if item["lag"] == 0 else max(0.0, 1 - item["lag"] / (lags + 1)) * (g + g.T)
                 inverse = np.linalg.pinv(np.array(row["gram"], dtype=float).reshape(k, k))
                 se = np.sqrt(np.maximum(np.diag(inverse @ s @ inverse), 0))
                 beta = np.array(row["beta"], dtype=float)
@@ -142,14 +147,19 @@ def hac_regression(df: DataFrame, y: str, xs: list[str], max_lag: int, by=("asse
     return fits.join(weighted, list(by)).mapInPandas(sandwich, schema)
 
 
-def batch_means(df: DataFrame, value: str, batches: int = 100, by=("asset",), order=("ts",)) -> DataFrame:
+def batched(df: DataFrame, value: str, batches: int = 100, by=("asset",)) -> DataFrame:
+    """The rows with a value, each with the number of its _batch: equal runs of rows, the tail left out."""
+    by = list(by)
+    placed = settled(numbered(df.where(F.col(value).isNotNull()), by=by))
+    n = placed.groupBy(*by).agg(F.count("*").alias("_n"))
+    known = placed.join(n.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_n"), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    most = F.greatest(F.lit(2), F.least(F.lit(batches), F.col("_n")))
+    return known.withColumn("_batch", F.floor(F.col("rn") / F.greatest(F.lit(1), F.floor(F.col("_n") / most)))).where(F.col("_batch") < most).select(*df.columns, "_batch")
+
+
+def batch_means(df: DataFrame, value: str, batches: int = 100, by=("asset",)) -> DataFrame:
     """(by..., statistic, estimate, batch_se, batches) of mean, std, skewness and kurtosis over equal runs of rows; the tail is left out."""
-    rows = df.where(F.col(value).isNotNull())
-    n = rows.groupBy(*by).agg(F.count("*").alias("n")) if by else rows.agg(F.count("*").alias("n"))
-    placed = (rows.join(n, list(by)) if by else rows.crossJoin(F.broadcast(n))).withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    size = F.floor(F.col("n") / F.greatest(F.lit(2), F.least(F.lit(batches), F.col("n"))))
-    cut = placed.withColumn("_batch", F.floor(F.col("_rn") / size)).where(F.col("_batch") < F.greatest(F.lit(2), F.least(F.lit(batches), F.col("n"))))
-    each = cut.groupBy(*by, "_batch").agg(*[f.alias(k) for k, f in moments(value).items()])
+    each = batched(df, value, batches, by).groupBy(*by, "_batch").agg(*[f.alias(k) for k, f in moments(value).items()])
     long = each.select(*by, F.expr("stack(4, 'mean', mean, 'std', std, 'skewness', skewness, 'kurtosis', kurtosis) as (statistic, x)"))
     return long.groupBy(*by, "statistic").agg(F.avg("x").alias("estimate"), (F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("batch_se"), F.count("*").alias("batches"))
 

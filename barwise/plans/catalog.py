@@ -48,6 +48,11 @@ def day_signal(spark: SparkSession, d: str) -> DataFrame:
     return chunks.in_chunks(harness.day_bars(spark, d), signal, back=WINDOW + 4)
 
 
+def day_signal_variance(spark: SparkSession, d: str, horizons: tuple[int, ...]) -> DataFrame:
+    made = lambda bars, by: features.with_realized_variance(features.with_activation(features.with_returns(bars, by), WINDOW, by=by), horizons, by)
+    return chunks.in_chunks(harness.day_bars(spark, d), made, back=max(WINDOW + 4, *horizons) + 1, ahead=max(horizons))
+
+
 def hour_signal(spark: SparkSession, d: str, smoothing: int = 3, pooling: str = "max") -> DataFrame:
     signal = lambda bars, by: features.with_activation(features.with_returns(bars, by), HOUR_WINDOW, smoothing, pooling, by)
     return chunks.in_chunks(harness.hour_bars(spark, d), signal, back=HOUR_WINDOW + smoothing + 1)
@@ -233,7 +238,7 @@ def window_effect_size(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def window_effect_p(spark: SparkSession, d: str) -> DataFrame:
     rows = hour_signal(spark, d).withColumn("w", S.minutes_to_schedule("ts") <= 60)
-    return summaries.effect_size(rows, "Z", "w").select("asset", "welch_t", "welch_df", "welch_p")
+    return summaries.effect_size(rows, "Z", "w").select("asset", F.round("welch_t", 6).alias("welch_t"), F.round("welch_df", 4).alias("welch_df"), F.round("welch_p", 5).alias("welch_p"))
 
 
 # ---- splits, origins, summaries ----
@@ -356,7 +361,8 @@ def nw_mean_test(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nw_mean_p(spark: SparkSession, d: str) -> DataFrame:
-    return inference.newey_west(day_returns(spark, d), "ret", law="normal")
+    out = inference.newey_west(day_returns(spark, d), "ret", law="normal")
+    return out.select("asset", "n", "lags", F.round("mean", 9).alias("mean"), F.round("t", 6).alias("t"), F.round("p", 5).alias("p"))
 
 
 @query(f"""with {frame_sql()}, h as (select asset, Z, rv_future_5 as y, row_number() over (partition by asset order by ts) as rn from fr where {SPLIT_SQL} = 'test' and Z is not null and rv_future_5 is not null),
@@ -366,22 +372,72 @@ def nw_mean_p(spark: SparkSession, d: str) -> DataFrame:
  s as (select asset, sum(w * g00) as s00, sum(w * g01) as s01, sum(w * g11) as s11 from g group by 1), v as (select *, n * sxx - sx * sx as det from f join s using (asset))
  select asset, n, round(a, 6) as intercept, round(b, 6) as coef_z, round(a * det / sqrt(sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11), 4) as t_intercept, round(b * det / sqrt(sx * sx * s00 - 2 * n * sx * s01 + n * n * s11), 4) as t_z, round(r2, 6) as r2 from v""")
 def hac_regression_one(spark: SparkSession, d: str) -> DataFrame:
-    rows = splits.in_split(features.with_realized_variance(day_signal(spark, d), (5,)), "test")
+    rows = settle.settled(splits.in_split(day_signal_variance(spark, d, (5,)), "test"))
     out = inference.hac_regression(rows, "rv_future_5", ["Z"], 10)
     t = lambda k: F.round(F.col("t_hac")[k], 4)
     return rounded(out.select("asset", "n", F.col("coef")[0].alias("intercept"), F.col("coef")[1].alias("coef_z"), t(0).alias("t_intercept"), t(1).alias("t_z"), "r2"))
 
 
-@query()
+#: Two tails of the normal and of Student's law by Simpson's rule, as SQL has no such functions.
+_STEPS = 2_000
+
+
+def _simpson(density: str, upto: str) -> str:
+    """The integral of `density`, written in @, from 0 to `upto`."""
+    weight = f"case when i = 0 or i = {_STEPS} then 1 when i % 2 = 1 then 4 else 2 end"
+    at = density.replace("@", f"({upto} * i / {_STEPS})")
+    return f"({upto} / {_STEPS} / 3 * list_sum(list_transform(range({_STEPS} + 1), lambda i: ({weight}) * ({at}))))"
+
+
+def _normal_p(t: str) -> str:
+    return f"(1 - 2 * {_simpson('exp(-@ * @ / 2)', f'least(abs({t}), 12)')} / sqrt(2 * pi()))"
+
+
+def _student_p(t: str, df: str) -> str:
+    return f"(1 - 2 * {_simpson(f'pow(1 + @ * @ / {df}, -({df} + 1) / 2)', f'abs({t})')} * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()))"
+
+
+def _hac_sql() -> str:
+    """Least squares on Z and the past variance by the closed inverse of a 3 x 3 matrix, and Bartlett sums of the scores."""
+    long = " union all ".join(f"select asset, split, ts, {h} as horizon, {max(1, 2 * h)} as lags, Z as a, rv_past_{h} as b, rv_future_{h} as y from hs" for h in HORIZONS)
+    keys, u = "asset, split, horizon", ("e", "e * a", "e * b")
+    same = " and ".join(f"i.{k} = j.{k}" for k in keys.split(", "))
+    sums = ", ".join(f"sum(w * (i.u{p} * j.u{q} + i.u{q} * j.u{p}) / 2) as m{p}{q}" for p in range(3) for q in range(p, 3))
+    c = lambda p, q: f"c{min(p, q)}{max(p, q)}"
+    m = lambda p, q: f"m{min(p, q)}{max(p, q)}"
+    se = [" + ".join(f"{c(k, p)} * {m(p, q)} * {c(q, k)}" for p in range(3) for q in range(3)) for k in range(3)]
+    return f"""{frame_sql()}, hs as (select *, {SPLIT_SQL} as split from fr), hl as (select * from ({long}) where split is not null and split <> 'recent' and a is not null and b is not null and y is not null),
+ h1 as (select *, row_number() over (partition by {keys} order by ts) as rn from hl),
+ h2 as (select {keys}, any_value(lags) as lags, count(*)::double as n, sum(a) as sa, sum(b) as sb, sum(a * a) as saa, sum(a * b) as sab, sum(b * b) as sbb, sum(y) as sy, sum(a * y) as say, sum(b * y) as sby, var_pop(y) * count(*) as tss from h1 group by {keys}),
+ h3 as (select *, n * (saa * sbb - sab * sab) - sa * (sa * sbb - sab * sb) + sb * (sa * sab - saa * sb) as det from h2),
+ h4 as (select *, (saa * sbb - sab * sab) / det as c00, (sab * sb - sa * sbb) / det as c01, (sa * sab - saa * sb) / det as c02, (n * sbb - sb * sb) / det as c11, (sa * sb - n * sab) / det as c12, (n * saa - sa * sa) / det as c22 from h3),
+ h5 as (select *, c00 * sy + c01 * say + c02 * sby as b0, c01 * sy + c11 * say + c12 * sby as b1, c02 * sy + c12 * say + c22 * sby as b2 from h4),
+ h6 as (select h1.*, {', '.join(f'{x} as u{k}' for k, x in enumerate(u))} from (select h1.*, y - b0 - b1 * a - b2 * b as e from h1 join h5 using ({keys})) h1),
+ h7 as (select {', '.join(f'i.{k}' for k in keys.split(', '))}, sum(case when i.rn = j.rn then i.e * i.e else 0 end) as sse, {sums.replace('sum(w', 'sum(case when i.rn = j.rn then 1 else 2 * (1 - (j.rn - i.rn) / (i.lags + 1)) end')} from h6 i join h6 j on {same} and j.rn between i.rn and i.rn + i.lags group by all),
+ h8 as (select *, sqrt({se[0]}) as s0, sqrt({se[1]}) as s1, sqrt({se[2]}) as s2 from h5 join h7 using ({keys}))
+ select {keys}, n::bigint as n, round(b0, 6) as coef_intercept, round(b1, 6) as coef_z, round(b2, 4) as coef_past, round(b1 / s1, 3) as t_z, round(b2 / s2, 3) as t_past, round({_normal_p('b1 / s1')}, 4) as p_z, round({_normal_p('b2 / s2')}, 4) as p_past, round(1 - sse / tss, 6) as r2 from h8"""
+
+
+@query(f"with {_hac_sql()}")
 def hac_regression(spark: SparkSession, d: str) -> DataFrame:
-    """Both regressors, their HAC statistics and normal p, for every horizon and split."""
-    frame = features.with_realized_variance(day_signal(spark, d), HORIZONS)
-    out = None
-    for h in HORIZONS:
-        rows = splits.with_split(frame).where("split is not null and split <> 'recent'")
-        part = inference.hac_regression(rows, f"rv_future_{h}", ["Z", f"rv_past_{h}"], max(1, 2 * h), ("asset", "split")).withColumn("horizon", F.lit(h))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Both regressors, their HAC statistics and normal p, for every horizon and split, the horizon being a key with its own lags."""
+    frame = splits.with_split(day_signal_variance(spark, d, HORIZONS)).where("split is not null and split <> 'recent'")
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(max(1, 2 * h)).alias("lags"), F.col(f"rv_past_{h}").alias("past"), F.col(f"rv_future_{h}").alias("y")) for h in HORIZONS])
+    rows = settle.settled(frame.select("asset", "split", "ts", "Z", F.inline(each)))
+    out = inference.hac_regression(rows, "y", ["Z", "past"], "lags", ("asset", "split", "horizon", "lags"))
+    at = lambda c, k, digits: F.round(F.col(c)[k], digits)
+    return out.select(
+        "asset", "split", "horizon", "n", at("coef", 0, 6).alias("coef_intercept"), at("coef", 1, 6).alias("coef_z"), at("coef", 2, 4).alias("coef_past"),
+        at("t_hac", 1, 3).alias("t_z"), at("t_hac", 2, 3).alias("t_past"), at("p_hac", 1, 4).alias("p_z"), at("p_hac", 2, 4).alias("p_past"), F.round("r2", 6).alias("r2"),
+    )
+
+
+ORACLE_SQL["nw_mean_p"] = f"""with {DAY}, {returns_sql('day')}, {_nw_sql('ret', 'ret', 'asset')}, np as (select *, {_normal_p('mean / se')} as two from nw3)
+ select asset, n, lags, round(mean, 9) as mean, round(mean / se, 6) as t, round(case when mean > 0 then two / 2 else 1 - two / 2 end, 5) as p from np"""
+ORACLE_SQL["window_effect_p"] = f"""with {HOUR}, {signal_sql('hour', HOUR_WINDOW)}, fl as (select *, {SCHEDULE} as w from (select *, hour(ts) * 60 + minute(ts) as m from sig) where Z is not null),
+ g as (select asset, count(*) filter (w) as n1, count(*) filter (not w) as n2, avg(Z) filter (w) as m1, avg(Z) filter (not w) as m2, var_samp(Z) filter (w) as v1, var_samp(Z) filter (not w) as v2 from fl group by 1),
+ k as (select asset, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) as t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) as nu from g)
+ select asset, round(t, 6) as welch_t, round(nu, 4) as welch_df, round({_student_p('t', 'nu')}, 5) as welch_p from k"""
 
 
 # ---- forecasts, with one regressor where SQL is to follow ----
@@ -460,6 +516,29 @@ def calendar_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resampling.calendar_block(day_returns(spark, d), "ret", 7, 100, 43), 8)
 
 
+_LAG_ONE = "corr(x, before)"
+
+
+@query(f"""with {DAY}, {returns_sql('day')}, o as (select asset, ts, datediff('day', min(ts) over (partition by asset), ts) // 7 as bin, ret as x from ret where ret is not null), bi as (select asset, bin, row_number() over (partition by asset order by bin) - 1 as pick, count(*) over (partition by asset) as blocks from (select distinct asset, bin from o)),
+ dr as (select asset, r, b, {LCG('r', 'b', 43)} % blocks as pick from (select distinct asset, blocks from bi), (select unnest(range(40)) as r), (select unnest(range(2000)) as b) where b < blocks),
+ sa as (select asset, r, x, lag(x) over (partition by asset, r order by b, ts) as before from dr join bi using (asset, pick) join o using (asset, bin)), es as (select asset, r, median(x) as median, {_LAG_ONE} as lag_one from sa group by 1, 2),
+ wh as (select asset, median(x) as median, {_LAG_ONE} as lag_one from (select asset, x, lag(x) over (partition by asset order by ts) as before from o) group by 1)
+ select asset, statistic, round(any_value(estimate), 6) as estimate, round(stddev_samp(x), 7) as boot_se, any_value(blocks) as blocks from (unpivot es on median, lag_one into name statistic value x) join (unpivot wh on median, lag_one into name statistic value estimate) using (asset, statistic) join (select distinct asset, blocks from bi) using (asset) group by 1, 2""")
+def user_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics given as functions, here the median and the correlation of neighbours, over drawn weeks."""
+    chosen = {"median": resampling.median, "lag_one": resampling.lag_one}
+    out = resampling.calendar_statistics(day_returns(spark, d), "ret", chosen, 7, 40, 43)
+    return out.withColumns({"estimate": F.round("estimate", 6), "boot_se": F.round("boot_se", 7)})
+
+
+@query(f"""with {DAY}, {returns_sql('day')}, o as (select *, row_number() over (partition by asset order by ts) - 1 as rn, count(*) over (partition by asset) as n from ret where ret is not null), b as (select asset, rn // (n // 20) as b, ts, ret as x from o where rn // (n // 20) < 20),
+ c as (select *, lag(x) over (partition by asset, b order by ts) as before from b), e as (select asset, b, median(x) as median, {_LAG_ONE} as lag_one from c group by 1, 2)
+ select asset, statistic, round(avg(x), 6) as estimate, round(stddev_samp(x) / sqrt(count(*)), 6) as batch_se, count(*) as batches from (unpivot e on median, lag_one into name statistic value x) group by 1, 2""")
+def user_batch_statistics(spark: SparkSession, d: str) -> DataFrame:
+    chosen = {"median": resampling.median, "lag_one": resampling.lag_one}
+    return rounded(resampling.batch_statistics(day_returns(spark, d), "ret", chosen, 20))
+
+
 def _batches_sql(k: int) -> str:
     return f"""bo as (select *, row_number() over (partition by asset, split order by ts) - 1 as rn, count(*) over (partition by asset, split) as n from sp), bb as (select *, rn // (n // {k}) as b from bo where rn // (n // {k}) < {k}), bc as (select *, ret - avg(ret) over (partition by asset, split, b) as c from bb),
  be as (select asset, split, b, avg(ret) as mean, sqrt(avg(c * c)) as std, avg(c * c * c) / pow(avg(c * c), 1.5) as skewness, avg(c * c * c * c) / pow(avg(c * c), 2) as kurtosis from bc group by 1, 2, 3),
@@ -518,7 +597,11 @@ LEAKY_GRID = f"""{HOUR}, {signal_sql('hour', HOUR_WINDOW)}, qu as (select *, cas
 
 
 def _calibrated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    latched = splits.with_split(features.with_latched_extrema(hour_signal(spark, d), 1.0, HOUR_WINDOW), splits.HOUR_SPLITS).where("split is not null")
+    def quiet(bars, by):
+        return features.with_quiet_extrema(features.with_activation(features.with_returns(bars, by), HOUR_WINDOW, by=by), 1.0, HOUR_WINDOW, by)
+
+    rows = features.latched(chunks.in_chunks(harness.hour_bars(spark, d), quiet, back=2 * HOUR_WINDOW + 4))
+    latched = splits.with_split(rows, splits.HOUR_SPLITS).where("split is not null")
     return recursion.calibrate(latched.select("asset", "ts", "split", "log_close", "Z", "resistance", "support"), list(FAST), list(SLOW))
 
 
@@ -630,7 +713,7 @@ def funding_models(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hyperparameter_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.signal_sensitivity(day_returns(spark, d), HORIZONS, FRAMES, windows=(15, 22), smoothings=(1, 3), poolings=("max", "mean"))
+    return experiments.signal_sensitivity(day_returns(spark, d), HORIZONS, FRAMES, windows=(11, 22, 44))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

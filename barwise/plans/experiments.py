@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwise.functions.scalars import minutes_to_schedule
-from barwise.operators import asof, features, forecasting, inference, resampling, splits, summaries
+from barwise.operators import asof, chunks, features, forecasting, inference, resampling, splits, summaries
 from barwise.operators.settle import settled
 
 
@@ -89,7 +89,8 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
     joined = asof.asof_backward(signal, scored, "ts", "known_at", ["abs_rate_z", "rate_change_bps"], list(by), list(ties))
     near = asof.gap_to_nearest(joined, events, "ts", "funding_time", "minutes_to_event", tolerance_minutes, list(by))
     flagged = near.withColumn("in_window", F.col("minutes_to_event").isNotNull().cast("double")).drop("minutes_to_event")
-    whole = features.with_har(features.with_realized_variance(flagged, horizons), frames)
+    framed = lambda rows, keys: features.with_har(features.with_realized_variance(rows, horizons, keys), frames, keys)
+    whole = chunks.in_chunks(flagged, framed, back=max(*horizons, *frames.values()), ahead=max(horizons))
     rate = ("abs_rate_z", "rate_change_bps")
     long = forecasting.by_horizon(whole, horizons, tuple(frames), ("Z", *rate, "in_window"))
     long = clipped(long, whole, ranges=ranges)
@@ -101,16 +102,24 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
 
 
 def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], windows=(144, 288, 576), smoothings=(1, 3, 6), poolings=("max", "mean"), ranges=splits.DAY_SPLITS) -> DataFrame:
-    """The HAR comparison under every window, smoothing and pooling of the signal; the variances are shared."""
-    base = settled(features.with_har(features.with_realized_variance(returns, horizons), frames))
-    keys, parts = ("window", "smoothing", "pooling"), []
-    for w in windows:
-        for s in smoothings:
-            for p in poolings:
-                tagged = features.with_activation(base, w, s, p).withColumns({"window": F.lit(w), "smoothing": F.lit(s), "pooling": F.lit(p)})
-                long = forecasting.by_horizon(tagged, horizons, tuple(frames), ("Z", *keys))
-                parts.append(clipped(long, tagged, ranges=ranges, by=("asset", *keys)))
-    detail = forecasting.details(settled(_union(parts)), tuple(frames), _same(horizons, frames), [forecasting.Nested("HAR")], splits=ranges, also=keys)
+    """The HAR comparison under every window, smoothing and pooling of the signal.
+
+    One pass over the series gives the variances and the signals of all settings as columns; the settings then are keys of
+    the rows, so however many there are the plan is one.
+    """
+    settings = [(w, s, p) for w in windows for s in smoothings for p in poolings]
+
+    def made(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return features.with_activations(features.with_har(features.with_realized_variance(rows, horizons, by), frames, by), settings, by)
+
+    back = max(max(windows) + max(smoothings) + 1, *frames.values(), *horizons)
+    wide = settled(chunks.in_chunks(returns, made, back=back, ahead=max(horizons)))
+    keys = ("window", "smoothing", "pooling")
+    each = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(s).alias("smoothing"), F.lit(p).alias("pooling"), F.col(f"Z_{w}_{s}_{p}").alias("Z")) for w, s, p in settings])
+    tagged = wide.select("asset", "ts", *[c for c in wide.columns if "rv_" in c], F.inline(each))
+    long = forecasting.by_horizon(tagged, horizons, tuple(frames), ("Z", *keys))
+    long = settled(clipped(long, tagged, ranges=ranges, by=("asset", *keys)))
+    detail = forecasting.details(long, tuple(frames), _same(horizons, frames), [forecasting.Nested("HAR")], splits=ranges, also=keys)
     return forecasting.comparison(detail, by=("asset", "horizon", *keys, "family")).orderBy("asset", "horizon", *keys)
 
 
@@ -118,9 +127,13 @@ def calibration(bars: DataFrame, split_ranges, window: int, days_per_row: float,
     """The calibration run's tables by name."""
     from barwise.operators import recursion
 
-    signal = splits.with_split(features.with_activation(features.with_returns(bars), window), split_ranges)
+    def made(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return features.with_quiet_extrema(features.with_activation(features.with_returns(rows, keys), window, by=keys), 1.0, window, keys)
+
+    quiet = settled(splits.with_split(chunks.in_chunks(bars, made, back=2 * window + 4), split_ranges))
+    signal = quiet.drop("quiet_high", "quiet_low")
     fits = inference.first_order_fit(signal.where("split = 'train'"), "Z", days_per_row)
-    latched = features.with_latched_extrema(signal, 1.0, window).where("split is not null")
+    latched = features.latched(quiet).where("split is not null")
     grid, best = recursion.calibrate(latched.select("asset", "ts", "split", "log_close", "Z", "resistance", "support"), list(fast), list(slow))
     return {
         "data_coverage": summaries.coverage(bars, split_ranges),

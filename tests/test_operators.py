@@ -204,13 +204,15 @@ def test_moving_block_bootstrap_against_resampled_rows(spark):
     assert got.p_nonpositive == np.mean(np.array(means) <= 0)
 
 
-def test_long_frames_by_totals_stay_close(spark):
+def test_long_frames_by_blocks_are_as_exact_as_sums(spark):
     rng = np.random.default_rng(7)
     r2 = rng.normal(0, 1e-3, 20_000) ** 2
+    r2[50] = 1e9  # totals past this row would lose all digits of what follows
     frame = spark.createDataFrame([("X", START + dt.timedelta(minutes=5 * k), float(v)) for k, v in enumerate(r2)], "asset string, ts timestamp_ntz, x double")
-    rows = rolling.with_prefix_sums(frame, {"s": ("x", 2016)}).where("s is not null").orderBy("ts").collect()
-    want = np.convolve(r2, np.ones(2016), "valid")
-    assert np.abs(np.array([r.s for r in rows]) / want - 1).max() < 1e-9
+    rows = rolling.with_long_sums(frame, {"s": ("x", 2016), "t": ("x", 3)}).orderBy("ts").collect()
+    for name, n in (("s", 2016), ("t", 3)):
+        want = [None] * (n - 1) + [math.fsum(r2[k : k + n]) for k in range(20_000 - n + 1)]
+        assert all(r[name] == (None if v is None else pytest.approx(v, rel=1e-12)) for r, v in zip(rows, want))
 
 
 def test_result_files_and_sinks(spark, tmp_path):
@@ -228,3 +230,58 @@ def test_result_files_and_sinks(spark, tmp_path):
     assert sources.parse_assets(["btc:a:b.csv"], {"ETH": "e.csv"}) == {"ETH": "e.csv", "BTC": "a:b.csv"}
     with pytest.raises(ValueError):
         sources.parse_assets(["btc"])
+
+
+def test_a_dense_month_is_parted_evenly(spark):
+    """All events in one month, a third of them of one key: the ranges hold about as many rows each, and joins stay right."""
+    n = 60_000
+    events = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("a"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 40).cast("timestamp_ntz").alias("t"), F.col("id").alias("e"))
+    bars = events.where("e % 5 = 0").select("a", (F.col("t") + F.expr("interval 1 second")).alias("ts"), F.col("e").alias("want"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one partition
+    try:
+        line = asof._line(bars, events, "ts", "t", F.struct("e"), ["a"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in line.groupBy("_span").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = asof.asof_backward(bars, events, "ts", "t", ["e"], ["a"], ["t"])
+    assert got.where("e = want").count() == got.count() == n // 5
+
+
+def test_any_statistic_over_drawn_blocks_and_batches(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=70)
+    rows = [("X", START + dt.timedelta(hours=9 * k), float(v)) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows[::-1], "asset string, ts timestamp_ntz, x double")
+    chosen = {"median": resampling.median, "lag one": resampling.lag_one}
+    got = {r.statistic: r for r in resampling.calendar_statistics(frame, "x", chosen, 3, 20, 43).collect()}
+    days = [(t.date() - START.date()).days // 3 for _, t, _ in rows]
+    blocks = [x[[k for k, d in enumerate(days) if d == b]] for b in sorted(set(days))]
+    picks = resampling.drawn(np.arange(20), len(blocks), 43) % len(blocks)
+    for name, f in chosen.items():
+        each = [f(np.concatenate([blocks[p] for p in row])) for row in picks]
+        assert got[name].estimate == pytest.approx(f(x)) and got[name].boot_se == pytest.approx(np.std(each, ddof=1)) and got[name].blocks == len(blocks)
+    cut = {r.statistic: r for r in resampling.batch_statistics(frame, "x", chosen, 6).collect()}
+    each = [resampling.median(x[k * 11 : k * 11 + 11]) for k in range(6)]
+    assert cut["median"].estimate == pytest.approx(np.mean(each)) and cut["median"].batch_se == pytest.approx(np.std(each, ddof=1) / math.sqrt(6)) and cut["median"].batches == 6
+
+
+def test_block_sums_lose_no_digits():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=500)
+    x[3] = 1e16
+    for n in (1, 7, 64, 500):
+        want = [math.fsum(x[k : k + n]) for k in range(500 - n + 1)]
+        assert resampling.frame_sums(x, n)[4:] == pytest.approx(want[4:], rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("chunk", [16, 23, 1000])
+def test_moving_block_over_chunks(spark, chunk):
+    x = [float(k * 13 % 29) for k in range(100)]
+    frame = spark.createDataFrame([(a, START + dt.timedelta(days=k), v) for a in ("X", None) for k, v in enumerate(x)], "asset string, ts timestamp_ntz, x double")
+    rows = resampling.moving_block(frame, "x", 8, 40, 42, chunk_rows=chunk, at_once=30).collect()
+    starts = resampling.drawn(np.arange(40), 13, 42) % 93
+    means = [sum(v for b, s in enumerate(row) for v in x[s:][: 8 if b < 12 else 4]) / 100 for row in starts]
+    assert len(rows) == 2
+    for r in rows:
+        assert (r.ci_low, r.ci_high) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975))) and r.mean == pytest.approx(np.mean(x))
