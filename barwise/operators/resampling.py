@@ -80,9 +80,10 @@ def moving_block(df: DataFrame, value: str, length: int, replicates: int, seed:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*by).schema)
     sums = spread.groupBy(*by, "chunk").applyInPandas(summed, f"{kinds + ', ' if by else ''}replicate int, s double")
-    means = sums.groupBy(*by, "replicate").agg(F.sum("s").alias("s")).join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).select(*by, (F.col("s") / F.col("n")).alias("m"))
+    means = sums.groupBy(*by, "replicate").agg(F.sum("s").alias("s")).join(known, same).select(*by, (F.col("s") / F.col("n")).alias("m"))
     bounds = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"), F.avg((F.col("m") <= 0).cast("double")).alias("p_nonpositive"))  # a group has `replicates` rows
-    return sizes.select(*by, "n", "mean").join(bounds, by)
+    of = bounds.select(*[F.col(c).alias(f"_{c}") for c in by], "ci_low", "ci_high", "p_nonpositive")
+    return sizes.join(of, same).select(*by, "n", "mean", "ci_low", "ci_high", "p_nonpositive")
 
 
 def _placed(df: DataFrame, value: str, days: int, by: list[str]) -> DataFrame:
