@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Accepted names of each column, compared without case.
 ALIASES = {
@@ -31,7 +34,7 @@ def _named(df: DataFrame, with_asset: bool, required: tuple[str, ...]) -> DataFr
     return df.select(*["asset"] * with_asset, "_row", *[(F.lit(None) if column is None else df[f"`{column}`"]).alias(name) for name, column in found.items()])
 
 
-def _placed(raw: DataFrame) -> DataFrame:
+def placed(raw: DataFrame) -> DataFrame:
     """`raw` with each row's place in the input: file, offset of its block in the file, and place in the block."""
     block = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("row"))
     return raw.withColumn("_row", block)
@@ -43,7 +46,7 @@ def clean_bars(raw: DataFrame, asset: str | None = None, keep: str = "first", re
     Among bars of one time the first (or last) in input order stays: by file name, then by place in the file.
     Columns that are not `required` may be absent, and are null.
     """
-    named = _named(_placed(raw), "asset" in raw.columns and asset is None, required)
+    named = _named(raw if "_row" in raw.columns else placed(raw), "asset" in raw.columns and asset is None, required)
     typed = (named if asset is None else named.withColumn("asset", F.lit(asset))).select(
         "asset",
         F.expr("try_cast(ts as timestamp_ntz)").alias("ts"),
@@ -59,15 +62,15 @@ def read_bars(spark: SparkSession, path: str, asset: str) -> DataFrame:
     return clean_bars(spark.read.option("header", True).csv(path), asset)
 
 
-def read_events(spark: SparkSession, path: str, asset: str | None = None) -> DataFrame:
-    """(asset, funding_time, funding_interval_hours, last_funding_rate) from CSV files; the interval may be absent."""
-    raw = _placed(spark.read.option("header", True).csv(path))
+def clean_events(raw: DataFrame, asset: str | None = None) -> DataFrame:
+    """(asset, funding_time, funding_interval_hours, last_funding_rate), one row an asset and time, the first in input order; the interval may be absent."""
+    raw = raw if "_row" in raw.columns else placed(raw)
     there = {c.strip().lower(): c for c in raw.columns}
     if missing := {"datetime", "last_funding_rate"} - there.keys():
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
     interval = F.expr(f"try_cast(`{there['funding_interval_hours']}` as int)") if "funding_interval_hours" in there else F.lit(None).cast("int")
     rows = raw.select(
-        F.lit(asset).alias("asset"),
+        (F.col("asset") if asset is None and "asset" in raw.columns else F.lit(asset)).alias("asset"),
         F.expr(f"try_cast(`{there['datetime']}` as timestamp_ntz)").alias("funding_time"),
         interval.alias("funding_interval_hours"),
         F.expr(f"try_cast(`{there['last_funding_rate']}` as double)").alias("last_funding_rate"),
@@ -76,6 +79,11 @@ def read_events(spark: SparkSession, path: str, asset: str | None = None) -> Dat
     return first_of_each(rows, ["asset", "funding_time"], F.asc("_row")).drop("_row")
 
 
+def read_events(spark: SparkSession, path: str, asset: str | None = None) -> DataFrame:
+    """The events of CSV files with a header."""
+    return clean_events(spark.read.option("header", True).csv(path), asset)
+
+
 def parse_assets(pairs: list[str], defaults: dict[str, str] | None = None) -> dict[str, str]:
     """ASSET:file arguments over `defaults`; the asset is upper-cased and the first colon parts them."""
     found = dict(defaults or {})
@@ -87,6 +95,15 @@ def parse_assets(pairs: list[str], defaults: dict[str, str] | None = None) -> di
     return found
 
 
+def reset_assets(spark: SparkSession, path: str, assets: list[str], kind: str = "parquet") -> None:
+    """Takes the named assets out of a table that was written with `append`, so that a new run of theirs starts afresh."""
+    there = spark.read.format(kind).option("header", True).load(path)
+    fields = StructType([f for f in there.schema if f.name != "asset"])
+    folder = F.regexp_extract("_metadata.file_path", "(.*)/", 1)
+    for (part,) in there.where(F.col("asset").isin(assets)).select(folder).distinct().collect():  # a folder an asset
+        spark.createDataFrame([], fields).write.mode("overwrite").option("header", True).format(kind).save(unquote(part))
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", append: bool = False) -> None:
     """A result table: replaced, or, with `append`, only the parts of the assets that `df` has."""
     writer = df.write.mode("overwrite").option("header", True).format(kind)

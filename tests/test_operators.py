@@ -285,3 +285,35 @@ def test_moving_block_over_chunks(spark, chunk):
     assert len(rows) == 2
     for r in rows:
         assert (r.ci_low, r.ci_high) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975))) and r.mean == pytest.approx(np.mean(x))
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    head = "Datetime,Open,High,Low,Close,Volume\n"
+    files = {f"A{k}": f"a{k}_5m.csv" for k in range(40)} | {"GONE": "gone.csv"}
+    for k in range(40):
+        body = head + "".join(f"2024-01-01 00:{5 * j:02d}:00,1,1,1,{k + j},2\n" for j in range(3))
+        if k == 7:  # the same columns in another order
+            body = "Close,Datetime,Open,High,Low,Volume\n7,2024-01-01 00:00:00,1,1,1,2\n"
+        if k == 9:
+            body = "no,bars\n1,2\n"
+        (tmp_path / f"a{k}_5m.csv").write_text(body)
+    (tmp_path / "other.csv").write_text(head + "2024-01-01 00:00:00,1,1,1,99,2\n")
+    rows, aside = runs.scanned(spark, str(tmp_path), files, sources.ALIASES, tuple(sources.ALIASES))
+    assert aside == ["a9_5m.csv"]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    with pytest.warns(UserWarning, match="missing columns: a9_5m.csv"):
+        got = runs.read_assets(spark, str(tmp_path), files)
+    counts = {r.asset: (r.n, r.first) for r in got.groupBy("asset").agg(F.count("*").alias("n"), F.min("close").alias("first")).collect()}
+    assert counts == {f"A{k}": (3, float(k)) for k in range(40) if k not in (7, 9)} | {"A7": (1, 7.0)}
+    assert runs.read_assets(spark, str(tmp_path / "nowhere"), files) is None
+    for k in range(3):
+        (tmp_path / f"r{k}.csv").write_text(f"datetime,last_funding_rate\n2024-01-01,0.{k}\n2024-01-01,0.9\nbad,1\n")
+    rates = runs.read_rate_files(spark, str(tmp_path), {f"R{k}": f"r{k}.csv" for k in range(4)})
+    assert sorted((r.asset, r.last_funding_rate, r.funding_interval_hours) for r in rates.collect()) == [("R0", 0.0, None), ("R1", 0.1, None), ("R2", 0.2, None)]
+
+
+def test_reset_of_an_earlier_run(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sources.write_table(spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C d", 3.0)], "asset string, x double"), path, append=True)
+    sources.reset_assets(spark, path, ["A", "C d", "no"])
+    assert [(r.asset, r.x) for r in spark.read.parquet(path).collect()] == [("B", 2.0)]
