@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.scalars import EPS, clark_west, finite, floored, qlike, safe_log, squared_error
+from barwise.functions.scalars import EPS, clark_west, finite, floored, qlike, ratio, safe_log, squared_error
 from barwise.operators.inference import newey_west
 from barwise.operators.quantiles import quantiles
 from barwise.operators.settle import settled
@@ -199,10 +199,10 @@ def comparison(detail: DataFrame, law: str = "t", by=("asset", "horizon", "famil
     return out.join(wide, by, "left")
 
 
-def best_family(validation: DataFrame) -> DataFrame:
-    """(asset, horizon, family): the one of least mean validation loss; the first listed wins ties."""
+def best_family(validation: DataFrame, loss: str = "qlike") -> DataFrame:
+    """(asset, horizon, family): the one of least mean validation loss, `qlike` or `mse`; the first listed wins ties."""
     rank = F.coalesce(*[F.when(F.col("family") == k, F.lit(i)) for i, k in enumerate(FAMILIES)])
-    losses = validation.groupBy("asset", "horizon", "family").agg(F.avg("baseline_qlike").alias("loss"))
+    losses = validation.groupBy("asset", "horizon", "family").agg(F.avg(f"baseline_{loss}").alias("loss"))
     return losses.groupBy("asset", "horizon").agg(F.min_by("family", F.struct("loss", rank)).alias("family"), F.min("loss").alias("validation_loss"))
 
 
@@ -215,3 +215,23 @@ def margins(validation: DataFrame, test: DataFrame, forecasts: dict[str, Column]
     made = spread(test).join(long, [*by, "model"]).withColumn("margin", F.col("multiplier") * F.col("f"))
     means = made.groupBy(*by, "alpha", "model").agg(F.first("multiplier").alias("multiplier"), F.avg((F.col("rv_future") > F.col("margin")).cast("double")).alias("exceedance"), F.avg("margin").alias("mean_margin"), F.count("*").alias("n"))
     return means.join(quantiles(made, {"median_margin": ("margin", 0.5)}, (*by, "alpha", "model")), [*by, "alpha", "model"])
+
+
+def margin_table(validation: DataFrame, test: DataFrame, alphas: tuple[float, ...] = (0.05, 0.10), by=("asset", "horizon")) -> DataFrame:
+    """(by..., alpha, model, multiplier, exceedance, coverage, mean_margin, median_margin, margin_over_rv, reduction_pct, n).
+
+    Both models' margins on the test details, at multipliers that meet the target in the validation details, and a third row of
+    their differences (augmented less baseline) with the share of the margin that the augmented model saves.
+    """
+    by = list(by)
+    models = {"baseline": F.col("baseline_forecast"), "augmented": F.col("augmented_forecast")}
+    bounded = lambda df: df.withColumn("rv_future", floored("rv_future"))
+    test = settled(bounded(test))
+    mean = test.groupBy(*by).agg(F.avg("rv_future").alias("_rv"))
+    each = settled(margins(bounded(validation), test, {k: floored(f) for k, f in models.items()}, alphas, by).join(mean, by))
+    each = each.select(*by, "alpha", "model", "multiplier", "exceedance", (1 - F.col("exceedance")).alias("coverage"), "mean_margin", "median_margin", (F.col("mean_margin") / F.col("_rv")).alias("margin_over_rv"), F.lit(None).cast("double").alias("reduction_pct"), "n")
+    of = lambda c, k: F.max(F.when(F.col("model") == k, F.col(c)))
+    gap = lambda c: (of(c, "augmented") - of(c, "baseline")).alias(c)
+    saved = (100 * ratio(of("mean_margin", "baseline") - of("mean_margin", "augmented"), of("mean_margin", "baseline"))).alias("reduction_pct")
+    both = each.groupBy(*by, "alpha").agg(F.lit(None).cast("double").alias("multiplier"), *[gap(c) for c in ("exceedance", "coverage", "mean_margin", "median_margin", "margin_over_rv")], saved, F.max("n").alias("n"), F.count("*").alias("_models"))
+    return each.unionByName(both.where("_models = 2").drop("_models").withColumn("model", F.lit("augmented vs baseline")))

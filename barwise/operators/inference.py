@@ -83,10 +83,10 @@ def autocorrelations(df: DataFrame, value: str, max_lag: int, by=("asset",), ord
     return sums.where("lag > 0").join(whole, list(by)).where("_whole > 0").select(*by, "lag", (F.col("c_c") / F.col("_whole")).alias("acf"))
 
 
-def acf_errors(acf: DataFrame, slopes: DataFrame, by=("asset",)) -> DataFrame:
-    """The autocorrelations beside slope^lag of a first-order fit (by..., slope)."""
+def acf_errors(acf: DataFrame, slopes: DataFrame, by=("asset",), of=("asset",)) -> DataFrame:
+    """The autocorrelations beside slope^lag of a first-order fit, whose keys are `of`."""
     implied = F.pow("slope", "lag")
-    return acf.join(slopes.select(*by, "slope"), list(by)).select(*by, "lag", "acf", implied.alias("implied_acf"), F.abs(F.col("acf") - implied).alias("abs_error"), F.pow(F.col("acf") - implied, F.lit(2)).alias("squared_error"))
+    return acf.join(slopes.select(*of, "slope"), list(of)).select(*by, "lag", "acf", implied.alias("implied_acf"), F.abs(F.col("acf") - implied).alias("abs_error"), F.pow(F.col("acf") - implied, F.lit(2)).alias("squared_error"))
 
 
 def acf_summary(errors: DataFrame, by=("asset",)) -> DataFrame:

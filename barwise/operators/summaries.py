@@ -98,6 +98,23 @@ def pooled_tests(detail: DataFrame, pools: DataFrame, lags: int | None = None) -
     return tests[0].unionByName(tests[1])
 
 
+#: The published pools of assets; they overlap.
+POOLS = {"Primary_BTC_ETH": ("BTC", "ETH"), "Robustness_XRP_SOL": ("XRP", "SOL"), "All_assets": ("BTC", "ETH", "XRP", "SOL")}
+
+
+def pooled_table(detail: DataFrame, pools: DataFrame, lags: int | None = None) -> DataFrame:
+    """(pool, horizon, loss, n_origins, raw_improvement, time_avg_improvement, and the test's n, lags, mean, se, t, p).
+
+    Raw improvements are of the pool's mean losses, in percent for squared errors; time averages, in percent for them too, are
+    of differences first averaged over assets at each time.
+    """
+    detail = settled(detail)
+    means = detail.join(pools, "asset").groupBy("pool", "horizon").agg(F.count("*").alias("n_origins"), *[F.avg(c).alias(c) for c in ("baseline_mse", "augmented_mse", "baseline_qlike", "augmented_qlike")])
+    raw = F.inline(F.array(*[F.struct(F.lit(k).alias("loss"), x.alias("raw_improvement")) for k, x in (("mse", 100 * ratio(F.col("baseline_mse") - F.col("augmented_mse"), F.col("baseline_mse"))), ("qlike", F.col("baseline_qlike") - F.col("augmented_qlike")))]))
+    tests = pooled_tests(detail, pools, lags).withColumn("time_avg_improvement", F.col("mean") * F.when(F.col("loss") == "mse", 100).otherwise(1))
+    return means.select("pool", "horizon", "n_origins", raw).join(tests, ["pool", "horizon", "loss"])
+
+
 def pivot_mean(df: DataFrame, rows: str, columns: str, value: str, names: list[str]) -> DataFrame:
     return df.groupBy(rows).pivot(columns, names).agg(F.avg(value))
 

@@ -96,6 +96,8 @@ def frame_sql() -> str:
 
 SPLIT_SQL = "case " + " ".join(f"when ts between timestamp '{a}' and timestamp '{b}' then '{k}'" for k, a, b in splits.DAY_SPLITS) + " end"
 
+SPLIT_HOURS = "case " + " ".join(f"when ts between timestamp '{a}' and timestamp '{b}' then '{k}'" for k, a, b in splits.HOUR_SPLITS) + " end"
+
 
 # ---- scans, projections, windows ----
 
@@ -317,26 +319,27 @@ def ou_oos(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.first_order_check(rows, inference.first_order_fit(rows.where("split = 'train'"), "Z", 1.0), "Z", ("asset", "split")))
 
 
-ACF = f"""{DAY}, {signal_sql('day', WINDOW)}, {PAIRS}, az as (select asset, row_number() over (partition by asset order by ts) as rn, Z - avg(Z) over (partition by asset) as c from pz where split = 'train'),
- ac as (select a.asset, (b.rn - a.rn)::int as lag, sum(a.c * b.c) as s from az a join az b on a.asset = b.asset and b.rn between a.rn and a.rn + 30 group by 1, 2),
- af as (select x.asset, x.lag, x.s / y.s as acf from ac x join ac y on x.asset = y.asset and y.lag = 0 where x.lag > 0),
+ACF = f"""{DAY}, {signal_sql('day', WINDOW)}, {PAIRS}, az as (select asset, split, row_number() over (partition by asset, split order by ts) as rn, Z - avg(Z) over (partition by asset, split) as c from pz where split is not null),
+ ac as (select a.asset, a.split, (b.rn - a.rn)::int as lag, sum(a.c * b.c) as s from az a join az b on a.asset = b.asset and a.split = b.split and b.rn between a.rn and a.rn + 300 group by 1, 2, 3),
+ af as (select x.asset, x.split, x.lag, x.s / y.s as acf from ac x join ac y on x.asset = y.asset and x.split = y.split and y.lag = 0 where x.lag > 0),
  fi as (select asset, regr_slope(y, x) as b from pr where split = 'train' and y is not null group by 1),
- er as (select asset, lag, acf, pow(b, lag) as implied_acf, abs(acf - pow(b, lag)) as abs_error, pow(acf - pow(b, lag), 2) as squared_error from af join fi using (asset))"""
+ er as (select asset, split, lag, acf, pow(b, lag) as implied_acf, abs(acf - pow(b, lag)) as abs_error, pow(acf - pow(b, lag), 2) as squared_error from af join fi using (asset))"""
 
 
 def _acf(spark: SparkSession, d: str) -> DataFrame:
-    rows = splits.in_split(day_signal(spark, d), "train")
-    return inference.acf_errors(inference.autocorrelations(rows, "Z", 30), inference.first_order_fit(rows, "Z", 1.0))
+    rows = settle.settled(splits.with_split(day_signal(spark, d)).where("split is not null and Z is not null"))
+    fits = inference.first_order_fit(rows.where("split = 'train'"), "Z", 1.0)
+    return inference.acf_errors(inference.autocorrelations(rows, "Z", 300, ("asset", "split")), fits, ("asset", "split"))
 
 
-@query(f"with {ACF} select asset, lag, round(acf, 6) as acf, round(implied_acf, 6) as implied_acf, round(abs_error, 6) as abs_error, round(squared_error, 6) as squared_error from er")
+@query(f"with {ACF} select asset, split, lag, round(acf, 6) as acf, round(implied_acf, 6) as implied_acf, round(abs_error, 6) as abs_error, round(squared_error, 6) as squared_error from er")
 def acf_lags(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_acf(spark, d))
 
 
-@query(f"with {ACF} select asset, max(lag) as max_lag, round(avg(abs_error), 6) as acf_mae, round(sqrt(avg(squared_error)), 6) as acf_rmse, round(max(abs_error), 6) as acf_max_abs_error from er group by 1")
+@query(f"with {ACF} select asset, split, max(lag) as max_lag, round(avg(abs_error), 6) as acf_mae, round(sqrt(avg(squared_error)), 6) as acf_rmse, round(max(abs_error), 6) as acf_max_abs_error from er group by 1, 2")
 def acf_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(inference.acf_summary(_acf(spark, d)))
+    return rounded(inference.acf_summary(_acf(spark, d), ("asset", "split")))
 
 
 @query(f"""with {DAY}, {returns_sql('day')}, o as (select *, row_number() over (partition by asset order by ts) - 1 as rn, count(*) over (partition by asset) as n from ret where ret is not null), b as (select asset, rn // (n // 20) as b, ret, n from o where rn // (n // 20) < 20),
@@ -442,11 +445,11 @@ ORACLE_SQL["window_effect_p"] = f"""with {HOUR}, {signal_sql('hour', HOUR_WINDOW
 
 # ---- forecasts, with one regressor where SQL is to follow ----
 
-def simple_detail(spark: SparkSession, d: str) -> DataFrame:
-    """Origins 5 rows apart in the test year: forecasts from the variance of the last 5 rows, and of the last 22."""
+def simple_detail(spark: SparkSession, d: str, known=("train", "validation"), asked: str = "test") -> DataFrame:
+    """Origins 5 rows apart in a range: forecasts from the variance of the last 5 rows, and of the last 22."""
     rows = splits.complete(day_frame(spark, d), ["Z", "rv_past_d", "rv_past_w", "rv_future_5"], ["rv_future_5"]).select("asset", "ts", "Z", "rv_past_d", "rv_past_w", F.col("rv_future_5").alias("rv_future"))
     rows = settle.settled(rows)
-    train, test = splits.in_split(rows, ("train", "validation")), splits.nonoverlapping(splits.in_split(rows, "test"), 5)
+    train, test = splits.in_split(rows, known), splits.nonoverlapping(splits.in_split(rows, asked), 5)
     both = forecasting.forecast(train, test, "rv_future", ["rv_past_d"], ridge=0.0, name="baseline_forecast")
     both = forecasting.forecast(train, both, "rv_future", ["rv_past_w"], ridge=0.0, name="augmented_forecast")
     return forecasting.with_losses(both, "rv_future", "baseline_forecast", "augmented_forecast").withColumns({"horizon": F.lit(5), "family": F.lit("HAR")})
@@ -471,10 +474,11 @@ def dm_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {detail_sql()}, pools(pool, asset) as (values ('all', 'A'), ('all', 'N'), ('all', 'R'), ('AN', 'A'), ('AN', 'N')), no as (select asset, ts, 'mse' as loss, (bm - am) / avg(bm) over (partition by asset) as x from dt union all select asset, ts, 'qlike', bq - aq from dt),
- di as (select pool, loss, ts, avg(x) as x from no join pools using (asset) group by 1, 2, 3), {_nw_sql('di', 'x', 'pool, loss')} select pool, loss, n, lags, round(mean, 6) as mean, round(mean / se, 6) as t from nw3""")
+ di as (select pool, loss, ts, avg(x) as x from no join pools using (asset) group by 1, 2, 3), {_nw_sql('di', 'x', 'pool, loss')}, ra as (select pool, count(*) as n_origins, 100 * (avg(bm) - avg(am)) / avg(bm) as mse, avg(bq) - avg(aq) as qlike from dt join pools using (asset) group by 1)
+ select pool, loss, n_origins, round(case loss when 'mse' then mse else qlike end, 6) as raw_improvement, round(mean * case loss when 'mse' then 100 else 1 end, 6) as time_avg_improvement, n, lags, round(mean, 6) as mean, round(mean / se, 6) as t from nw3 join ra using (pool)""")
 def pooled_losses(spark: SparkSession, d: str) -> DataFrame:
     pools = spark.createDataFrame([("all", "A"), ("all", "N"), ("all", "R"), ("AN", "A"), ("AN", "N")], "pool string, asset string")
-    return rounded(summaries.pooled_tests(simple_detail(spark, d), pools).select("pool", "loss", "n", "lags", "mean", "t"))
+    return rounded(summaries.pooled_table(simple_detail(spark, d), pools).select("pool", "loss", "n_origins", "raw_improvement", "time_avg_improvement", "n", "lags", "mean", "t"))
 
 
 @query(f"""with {detail_sql()}, lo as (select asset, 'baseline' as model, rv_future as y, bf as f from dt union all select asset, 'augmented', rv_future, af from dt), cu as (select *, quantile_cont(y, 0.9) over w as cy, quantile_cont(f, 0.9) over w as cf from lo window w as (partition by asset, model))
@@ -497,6 +501,37 @@ def window_losses(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summaries.flag_means(simple_detail(spark, d).withColumn("active", F.col("Z") >= 0), ["asset"], "active"))
 
 
+def _margin_sql() -> str:
+    models = "select asset, split, rv_future as y, {k} as f, '{m}' as model from mg"
+    long = " union all ".join(models.format(k=k, m=m) for m, k in (("baseline", "bf"), ("augmented", "af")))
+    fit = lambda k: f"v{k} as (select mf.*, exp(a + b * ln(greatest(rv_past_{k}, 1e-12))) as raw from mf join (select asset, regr_slope(ln(greatest(rv_future, 1e-12)), ln(greatest(rv_past_{k}, 1e-12))) as b, regr_intercept(ln(greatest(rv_future, 1e-12)), ln(greatest(rv_past_{k}, 1e-12))) as a from mf where split = 'train' group by 1) using (asset)), w{k} as (select asset, avg(greatest(rv_future, 1e-12) / raw) as smear from v{k} where split = 'train' group by 1), x{k} as (select asset, ts, greatest(raw * smear, 1e-12) as f{k} from v{k} join w{k} using (asset) where split = 'validation')"
+    return f"""with {detail_sql()}, {fit('d')}, {fit('w')}, tv as (select *, row_number() over (partition by asset order by ts) as rn from mf where split = 'validation'),
+ mg as (select asset, 'validation' as split, rv_future, fd as bf, fw as af from tv join xd using (asset, ts) join xw using (asset, ts) where (rn - 1) % 5 = 0 union all select asset, 'test', rv_future, bf, af from dt), ml as ({long}),
+ mu as ({" union all ".join(f"select asset, model, {x}::double as alpha, quantile_cont(y / greatest(f, 1e-12), {1 - x}) as k from ml where split = 'validation' group by all" for x in (0.05, 0.1))}),
+ ms as (select asset, model, alpha, k as multiplier, avg((y > k * f)::int) as exceedance, avg(k * f) as mean_margin, median(k * f) as median_margin, avg(k * f) / avg(y) as margin_over_rv, count(*) as n from ml join mu using (asset, model) where split = 'test' group by all),
+ al as (select asset, alpha, model, multiplier, exceedance, 1 - exceedance as coverage, mean_margin, median_margin, margin_over_rv, null::double as reduction_pct, n from ms
+  union all select a.asset, a.alpha, 'augmented vs baseline', null, a.exceedance - b.exceedance, b.exceedance - a.exceedance, a.mean_margin - b.mean_margin, a.median_margin - b.median_margin, a.margin_over_rv - b.margin_over_rv, 100 * (b.mean_margin - a.mean_margin) / b.mean_margin, b.n from ms a join ms b on a.asset = b.asset and a.alpha = b.alpha and a.model = 'augmented' and b.model = 'baseline')
+ select asset, alpha, model, {', '.join(f'round({c}, 6) as {c}' for c in ('multiplier', 'exceedance', 'coverage', 'mean_margin', 'median_margin', 'margin_over_rv', 'reduction_pct'))}, n from al"""
+
+
+@query(_margin_sql())
+def margin_efficiency(spark: SparkSession, d: str) -> DataFrame:
+    """Margins of the two one-regressor models at matched validation coverage, and what the second one saves."""
+    out = forecasting.margin_table(simple_detail(spark, d, ("train",), "validation"), simple_detail(spark, d), by=("asset",))
+    return rounded(out)
+
+
+@query(f"""with {HOUR}, {signal_sql('hour', HOUR_WINDOW)}, {_event_sql()}, k as (select funding_time, max(event_id) as event_id from evf group by 1), l as (select evf.* from evf join k using (funding_time, event_id)),
+ te as (select asset, ts, Z from sig where asset <> 'error' and Z is not null and {SPLIT_HOURS} = 'test'), be as (select te.*, (epoch_us(ts) - epoch_us(funding_time)) / 6e7 as before, abs_rate_z from te asof left join l on ts >= funding_time),
+ g as (select be.asset, be.ts, Z, before, be.abs_rate_z, (epoch_us(l.funding_time) - epoch_us(ts)) / 6e7 as after from be asof left join l on ts <= l.funding_time), fl as (select *, coalesce(least(before, after) <= 10, false) as w from g),
+ h as (select asset, count(*) filter (w) as n1, count(*) filter (not w) as n2, avg(Z) filter (w) as m1, avg(Z) filter (not w) as m2, var_samp(Z) filter (w) as v1, var_samp(Z) filter (not w) as v2, avg(Z) as m, corr(Z, abs_rate_z) as r from fl group by 1)
+ select asset, n1 as n_inside, n2 as n_outside, round(m1, 6) as mean_inside, round(m2, 6) as mean_outside, round(m1 - m2, 6) as diff, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / greatest(1, n1 + n2 - 2)), 6) as cohen_d, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) as welch_t, round(m, 6) as mean_all, round(r, 6) as corr_abs_rate_z from h""")
+def rate_window_effect(spark: SparkSession, d: str) -> DataFrame:
+    signal = settle.settled(hour_signal(spark, d).where("asset <> 'error'"))
+    out = experiments.rate_window_effect(signal, harness.rate_events(spark, d), 10, ties=("funding_time", "event_id"), ranges=splits.HOUR_SPLITS)
+    return rounded(out.drop("welch_df", "welch_p"))  # as window_effect_p has them
+
+
 LCG = lambda r, b, seed: f"((((({r} * 1000003 + {b} * 7919 + {seed}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648)"
 
 
@@ -555,11 +590,11 @@ def _blocks_sql(name: str, days: int, seed: int, replicates: int) -> str:
  {k} as (select asset, split, statistic, stddev_samp(x) as {k}_se, any_value(blocks) as {k}_blocks from (unpivot {k}4 on mean, std, skewness, kurtosis into name statistic value x) group by 1, 2, 3)"""
 
 
-@query(f"""with {DAY}, {returns_sql('day')}, sp as (select asset, split, ts, ret from (select *, {SPLIT_SQL} as split from ret) where split is not null and ret is not null), {_central('ret', 'asset, split', 'sp')}, {_batches_sql(20)}, {_blocks_sql('daily', 1, 42, 50)}, {_blocks_sql('weekly', 7, 43, 50)},
+@query(f"""with {DAY}, {returns_sql('day')}, sp as (select asset, split, ts, ret from (select *, {SPLIT_SQL} as split from ret) where split is not null and ret is not null), {_central('ret', 'asset, split', 'sp')}, {_batches_sql(100)}, {_blocks_sql('daily', 1, 42, 500)}, {_blocks_sql('weekly', 7, 43, 500)},
  va as (select asset, split, statistic, x as value from (unpivot mo on mean, std, skewness, kurtosis into name statistic value x))
  select asset, split, statistic, round(value, 6) as value, round(daily_se, 7) as daily_se, daily_blocks, round(weekly_se, 7) as weekly_se, weekly_blocks, round(batch_se, 7) as batch_se, batches from va left join daily using (asset, split, statistic) left join weekly using (asset, split, statistic) left join ba using (asset, split, statistic)""")
 def real_moments(spark: SparkSession, d: str) -> DataFrame:
-    out = experiments.real_moments(day_returns(spark, d), batches=20, replicates=50)
+    out = experiments.real_moments(day_returns(spark, d))
     return out.withColumns({"value": F.round("value", 6), **{c: F.round(c, 7) for c in ("daily_se", "weekly_se", "batch_se")}})
 
 
@@ -583,8 +618,6 @@ def leaky_extrema(spark: SparkSession, d: str) -> DataFrame:
 #: The published grid of half-lives, the slow ones in hours as the bars are.
 FAST, SLOW = (1, 3, 6, 12, 24), (6, 12, 24, 48, 84, 168)
 
-SPLIT_HOURS = "case " + " ".join(f"when ts between timestamp '{a}' and timestamp '{b}' then '{k}'" for k, a, b in splits.HOUR_SPLITS) + " end"
-
 LEAKY_GRID = f"""{HOUR}, {signal_sql('hour', HOUR_WINDOW)}, qu as (select *, case when Z < 1 then log_close end as q, {SPLIT_HOURS} as split from sig),
  ex as (select *, max(q) over f as r0, min(q) over f as s0 from qu window f as (partition by asset order by ts rows between {HOUR_WINDOW - 1} preceding and current row)),
  lt as (select asset, ts, split, log_close, Z, last_value(r0 ignore nulls) over u as resistance, last_value(s0 ignore nulls) over u as support from ex window u as (partition by asset order by ts rows unbounded preceding)),
@@ -615,6 +648,14 @@ def leaky_best(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_calibrated(spark, d)[1])
 
 
+@query(f"""with recursive {LEAKY_GRID}, va as (select *, (mae_r + mae_s) / 2 as mean_mae from er where split = 'validation'), be as (select asset, arg_min(fast, row(mean_mae, fast, slow)) as fast, arg_min(slow, row(mean_mae, fast, slow)) as slow from va group by 1)
+ select asset, split, fast, slow, n, {', '.join(f'round({x}, 6) as {x}' for x in ('mae_r', 'rmse_r', 'corr_r', 'mae_s', 'rmse_s', 'corr_s'))}, round((mae_r + mae_s) / 2, 6) as mean_mae from er join be using (asset, fast, slow)""")
+def leaky_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """The errors, in every split, of the setting that validation chose."""
+    grid, best = _calibrated(spark, d)
+    return rounded(grid.join(best.select("asset", "fast", "slow"), ["asset", "fast", "slow"], "left_semi"))
+
+
 PATHS = "pa as (select user_id as path_id, row_number() over (partition by user_id order by ts, event_id) - 1 as step, (value - 20) / 100 as price, value / 20 as signal from events)"
 
 

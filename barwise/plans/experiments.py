@@ -47,11 +47,11 @@ def family_tests(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str,
     return forecasting.comparison(forecasting.details(long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in families], splits=ranges)).orderBy("asset", "horizon", "family")
 
 
-def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], ranges=splits.DAY_SPLITS) -> DataFrame:
+def selected_family(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], ranges=splits.DAY_SPLITS, loss: str = "qlike") -> DataFrame:
     """Each asset's and horizon's family of least validation loss, then refitted with the validation rows and tested."""
     long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame, ranges=ranges))
     setting = (long, tuple(frames), _same(horizons, frames), [forecasting.Nested(f, f) for f in forecasting.FAMILIES])
-    best = settled(forecasting.best_family(forecasting.details(*setting, train=("train",), test=("validation",), splits=ranges)))
+    best = settled(forecasting.best_family(forecasting.details(*setting, train=("train",), test=("validation",), splits=ranges), loss))
     chosen = forecasting.details(*setting, splits=ranges).join(best, ["asset", "horizon", "family"], "left_semi")
     return forecasting.comparison(chosen).join(best, ["asset", "horizon", "family"]).orderBy("asset", "horizon")
 
@@ -101,6 +101,24 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
     return forecasting.comparison(detail).withColumnRenamed("family", "model").orderBy("asset", "horizon", "model")
 
 
+def margin_efficiency(frame: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], alphas: tuple[float, ...] = (0.05, 0.10), ranges=splits.DAY_SPLITS) -> DataFrame:
+    """The margins that HAR with and without Z need at matched validation coverage, by asset and horizon."""
+    long = settled(clipped(forecasting.by_horizon(frame, horizons, tuple(frames)), frame, ranges=ranges))
+    setting = (long, tuple(frames), _same(horizons, frames), [forecasting.Nested("HAR")])
+    known = forecasting.details(*setting, train=("train",), test=("validation",), splits=ranges)
+    return forecasting.margin_table(known, forecasting.details(*setting, splits=ranges), alphas)
+
+
+def rate_window_effect(signal: DataFrame, events: DataFrame, minutes: float = 60, history: int = 90, by: tuple[str, ...] = (), ties: tuple[str, ...] = ("funding_time",), ranges=splits.DAY_SPLITS, test: str = "test") -> DataFrame:
+    """Z within `minutes` of a rate event against Z elsewhere on the test rows: effect size, Welch's test, and Z's correlation with the newest event's z-score."""
+    scored = features.event_features(events, history, by=by, order=ties)
+    rows = splits.in_split(signal, test, ranges).select("asset", "ts", "Z")
+    near = asof.gap_to_nearest(rows, events, "ts", "funding_time", "gap", minutes, list(by))
+    known = settled(asof.asof_backward(near, scored, "ts", "funding_time", ["abs_rate_z"], list(by), list(ties)).withColumn("inside", F.col("gap").isNotNull()).where("Z is not null"))
+    other = known.groupBy("asset").agg(F.avg("Z").alias("mean_all"), F.corr("Z", "abs_rate_z").alias("corr_abs_rate_z"))
+    return summaries.effect_size(known, "Z", "inside").drop("corr").join(other, "asset").orderBy("asset")
+
+
 def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: dict[str, int], windows=(144, 288, 576), smoothings=(1, 3, 6), poolings=("max", "mean"), ranges=splits.DAY_SPLITS) -> DataFrame:
     """The HAR comparison under every window, smoothing and pooling of the signal.
 
@@ -123,25 +141,35 @@ def signal_sensitivity(returns: DataFrame, horizons: tuple[int, ...], frames: di
     return forecasting.comparison(detail, by=("asset", "horizon", *keys, "family")).orderBy("asset", "horizon", *keys)
 
 
-def calibration(bars: DataFrame, split_ranges, window: int, days_per_row: float, fast=(1, 3, 6, 12, 24), slow=(72, 144, 288, 576, 1008, 2016), batches: int = 100, replicates: int = 500) -> dict[str, DataFrame]:
-    """The calibration run's tables by name."""
+def calibration(bars: DataFrame, split_ranges, window: int, days_per_row: float, horizons=(12, 48, 144, 288), acf_max_lag: int = 300, fast=(1, 3, 6, 12, 24), slow=(72, 144, 288, 576, 1008, 2016), batches: int = 100, replicates: int = 500) -> dict[str, DataFrame]:
+    """The calibration run's tables by name: every table is over all its splits, with the fits and settings of the training rows and of validation."""
     from barwise.operators import recursion
 
     def made(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        return features.with_quiet_extrema(features.with_activation(features.with_returns(rows, keys), window, by=keys), 1.0, window, keys)
-
-    quiet = settled(splits.with_split(chunks.in_chunks(bars, made, back=2 * window + 4), split_ranges))
-    signal = quiet.drop("quiet_high", "quiet_low")
-    fits = inference.first_order_fit(signal.where("split = 'train'"), "Z", days_per_row)
+        signal = features.with_activation(features.with_returns(rows, keys), window, by=keys)
+        return features.with_realized_variance(features.with_quiet_extrema(signal, 1.0, window, keys), horizons, keys)
+
+    frame = settled(splits.with_split(chunks.in_chunks(bars, made, back=max(2 * window + 4, *horizons), ahead=max(horizons)), split_ranges))
+    quiet = frame.drop(*[c for c in frame.columns if c.startswith("rv_")])
+    shown = frame.where("split in ('train', 'validation', 'test', 'recent')")
+    fits = settled(inference.first_order_fit(frame.where("split = 'train'"), "Z", days_per_row))
+    acf = settled(inference.acf_errors(inference.autocorrelations(shown.select("asset", "split", "ts", "Z"), "Z", acf_max_lag, ("asset", "split")), fits, ("asset", "split")))
     latched = features.latched(quiet).where("split is not null")
     grid, best = recursion.calibrate(latched.select("asset", "ts", "split", "log_close", "Z", "resistance", "support"), list(fast), list(slow))
+    grid = settled(grid)
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(min(288, max(1, 2 * h))).alias("lags"), F.col(f"rv_past_{h}").alias("rv_past"), F.col(f"rv_future_{h}").alias("rv_future")) for h in horizons])
+    regressed = settled(frame.where("split in ('validation', 'test', 'recent')").select("asset", "split", "ts", "Z", F.inline(each)))
+    hac = inference.hac_regression(regressed, "rv_future", ["Z", "rv_past"], "lags", ("asset", "split", "horizon", "lags"))
+    at = {f"{c}_{name}": F.col(column)[k] for c, column in (("coef", "coef"), ("t", "t_hac"), ("p", "p_hac")) for k, name in ((1, "z"), (2, "past_rv"))}
     return {
         "data_coverage": summaries.coverage(bars, split_ranges),
         "ou_calibration": fits,
-        "ou_oos_diagnostics": inference.first_order_check(signal, fits, "Z", ("asset", "split")),
-        "ou_acf_diagnostics": inference.acf_errors(inference.autocorrelations(signal.where("split = 'train'"), "Z", min(300, window)), fits),
+        "ou_oos_diagnostics": inference.first_order_check(shown, fits, "Z", ("asset", "split")),
+        "ou_acf_diagnostics": acf,
+        "ou_acf_summary": inference.acf_summary(acf, ("asset", "split")),
         "leaky_grid_search": grid,
-        "leaky_extrema_calibration": best,
-        "return_moments_robust_se": real_moments(signal.drop("split"), split_ranges, batches, replicates),
-        "scheduled_window": signal.where("Z is not null").groupBy("asset", (minutes_to_schedule("ts") <= 60).alias("in_window")).agg(F.avg("Z").alias("mean_z"), F.count("*").alias("n")),
+        "leaky_extrema_calibration": grid.join(best.select("asset", "fast", "slow"), ["asset", "fast", "slow"], "left_semi"),
+        "volatility_prediction_hac": hac.select("asset", "split", "horizon", "n", *[c.alias(name) for name, c in at.items()], "r2"),
+        "return_moments_robust_se": real_moments(frame.select("asset", "ts", "ret"), split_ranges, batches, replicates).where("split in ('train', 'validation', 'test', 'recent')"),
+        "scheduled_window": frame.where("Z is not null").groupBy("asset", (minutes_to_schedule("ts") <= 60).alias("in_window")).agg(F.avg("Z").alias("mean_z"), F.count("*").alias("n")),
     }

@@ -158,6 +158,9 @@ def test_command_line_of_calibration_and_oos(spark, tmp_path):
     made = command.tables(spark, args)
     assert [r.asset for r in made["data_coverage"].collect()] == ["BTC"] and made["ou_calibration"].count() == 1
     assert made["return_moments_robust_se"].count() == 12
+    assert {"ou_acf_summary", "volatility_prediction_hac", "leaky_extrema_calibration"} < made.keys()
+    assert {(r.split, r.max_lag) for r in made["ou_acf_summary"].collect()} == {(k, 300) for k in ("train", "validation", "test")}
+    assert {(r.split, r.horizon) for r in made["volatility_prediction_hac"].collect()} == {(k, h) for k in ("validation", "test") for h in (12, 48, 144, 288)}
     assert command.tables(spark, command.arguments(["oos", "--data-dir", str(tmp_path), "--assets", "NO:no.csv"])) == {}
 
 
@@ -317,3 +320,23 @@ def test_reset_of_an_earlier_run(spark, tmp_path):
     sources.write_table(spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C d", 3.0)], "asset string, x double"), path, append=True)
     sources.reset_assets(spark, path, ["A", "C d", "no"])
     assert [(r.asset, r.x) for r in spark.read.parquet(path).collect()] == [("B", 2.0)]
+
+
+def test_command_line_of_robustness(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    times = pd.date_range("2024-12-20", periods=8000, freq="5min")
+    price = 100 * np.exp(np.cumsum(rng.normal(0, 0.001, len(times))))
+    for asset in ("btc", "eth"):
+        pd.DataFrame({"Datetime": times, "Open": price, "High": price, "Low": price, "Close": price, "Volume": rng.integers(1, 99, len(times))}).to_csv(tmp_path / f"{asset}usdt_5m.csv", index=False)
+    events = pd.date_range("2024-12-20", periods=80, freq="8h")
+    pd.DataFrame({"datetime": events, "last_funding_rate": rng.normal(size=80)}).to_csv(tmp_path / "btcusdt_funding.csv", index=False)
+    skips = ["--skip-hyperparameter", "--skip-margin", "--skip-pooled"]
+    args = command.arguments(["robustness", "--data-dir", str(tmp_path), "--funding-dir", str(tmp_path), *skips])
+    assert args.margin_targets == [0.05, 0.10] and command.arguments(["robustness", "--margin-targets", "0.01"]).margin_targets == [0.01]
+    made = command.tables(spark, args)
+    assert made.keys() == {"ex_ante_liquidity_2024", "funding_window_effect_size"} and made["ex_ante_liquidity_2024"].count() == 2
+    (row,) = made["funding_window_effect_size"].collect()
+    assert row.asset == "BTC" and row.n_inside > 0 and row.n_inside + row.n_outside > 4000 and 0 <= row.welch_p <= 1 and row.corr_abs_rate_z is not None
+    assert command.tables(spark, command.arguments(["robustness", "--data-dir", str(tmp_path), "--skip-funding-effect", "--skip-liquidity", *skips])) == {}
+    pools = {r.pool: r.n for r in command._pools(spark).groupBy("pool").agg(F.count("*").alias("n")).collect()}
+    assert pools == {"Primary_BTC_ETH": 2, "Robustness_XRP_SOL": 2, "All_assets": 4}
