@@ -4,8 +4,11 @@ A shard is a bounded slice of a partition of documents. Prefix doubling over wor
 suffixes by their first 1, 2, 4, ... words among the test suffixes' prefixes; a suffix whose prefix starts no
 test suffix drops out, as nothing can match it any further. The suffixes that share `window` words with some
 test suffix, sorted by rank, are the shard's suffix array. Every test suffix is binary-searched in it, which
-gives the range of all places where it begins, and each such match is extended to its longest by a descent
-over the ranks of 2^k words. Documents with a match are the affected ones. Nothing is shuffled.
+gives the range of all places where it begins. Test suffixes of one beginning are one rank: a place then looks
+for its longest match among them by bisection in their order, comparing by a descent over the ranks of 2^k words.
+So there is one row a place, and the items of a rank are looked up once; places and test suffixes are never
+paired off, however often a passage or a word repeats. Documents with a match are the affected ones. Nothing is
+shuffled.
 
 The benchmark is sent to the tasks in blocks of at most `block_bytes` of text (a larger item is a block of its
 own). Each block is a pass of its own over the documents, and its broadcast is dropped after it, so what a
@@ -91,6 +94,46 @@ class TestSuffixes:
                 self._ranks[width] = out, known
         return self._ranks[width]
 
+    @cached_property
+    def order(self) -> np.ndarray:
+        """The place of each test suffix among all of them, in the order of their word numbers."""
+        rank, width = self.tokens.copy(), 1
+        while True:
+            after = np.concatenate([rank[width:], np.zeros(min(width, len(rank)), dtype=rank.dtype)]) + 1
+            known, rank = np.unique(rank.astype(np.int64) * (self.base + 1) + after[: len(rank)], return_inverse=True)
+            width *= 2
+            if len(known) == len(rank) or width > len(rank):
+                return rank
+
+    @cached_property
+    def classes(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By searched width: its suffixes by rank and then by order, where each rank's begin, each rank's set of items, and the ranks.
+
+        A set of items is numbered by `sets`; ranks of the same items, as the windows of one passage have, share it.
+        """
+        found = {}
+        for width in sorted({int(x) for x in np.unique(self.searched)} - {0}):
+            searched = np.flatnonzero(self.searched == width)
+            rank = self.ranks(width)[0][searched]
+            searched = searched[np.lexsort((self.order[searched], rank))]
+            ranks, begin = np.unique(self.ranks(width)[0][searched], return_index=True)
+            items = np.split(self.item[searched], begin[1:])
+            found[width] = searched, np.append(begin, len(searched)), np.array([self._numbered(np.unique(i)) for i in items], dtype=np.int64), ranks
+        return found
+
+    def _numbered(self, items: np.ndarray) -> int:
+        return self._sets.setdefault(items.tobytes(), len(self._sets))
+
+    @cached_property
+    def _sets(self) -> dict[bytes, int]:
+        return {}
+
+    @cached_property
+    def sets(self) -> list[np.ndarray]:
+        """The items of each numbered set."""
+        assert self.classes is not None
+        return [np.frombuffer(raw, dtype=np.int64) for raw in self._sets]
+
 
 class Shard:
     """The word numbers of a shard's documents, each followed by a 0, ranked among the test suffixes."""
@@ -118,29 +161,40 @@ class Shard:
         """Widths of the extending descent, the largest first."""
         return [1 << k for k in reversed(range(self.test.longest.bit_length()))]
 
-    def longest_matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the shard, place in the test tokens, words) of each longest verbatim match.
-
-        One row per place and test suffix that no match one word to the left holds already.
-        """
-        out = [(np.zeros(0, np.int64),) * 3]
-        for window in sorted({int(x) for x in np.unique(self.test.searched)} - {0}):
+    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By searched width: all places where a test suffix of it begins, their sets of items, and of the longest match at each its place in the test tokens and its words."""
+        for window, (searched, begin, sets, known) in self.test.classes.items():
             ranks = self.ranks(window)
             places = np.flatnonzero(ranks >= 0)
             if not len(places):
                 continue
             suffix_array = places[np.argsort(ranks[places], kind="stable")]
             ordered = ranks[suffix_array]
-            searched = np.flatnonzero(self.test.searched == window)
-            low, high = (np.searchsorted(ordered, self.test.ranks(window)[0][searched], side=side) for side in ("left", "right"))
-            n = high - low
-            place = suffix_array[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            source = np.repeat(searched, n)
-            before = np.where(place > 0, self.tokens[place - 1], 0)
-            heads = (before == 0) | (before != np.where(source > 0, self.test.tokens[source - 1], 0))
-            place, source = place[heads], source[heads]
-            out.append((place, source, self._extended(place, source, window)))
-        return tuple(np.concatenate(x) for x in zip(*out))
+            low, high = (np.searchsorted(ordered, known, side=side) for side in ("left", "right"))
+            n = high - low  # every rank's range of the array
+            place, group = suffix_array[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(known)), n)
+            if len(place):
+                yield place, sets[group], *self._longest(place, searched, begin[group], begin[group + 1], window)
+
+    def _longest(self, place: np.ndarray, searched: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(test suffix, words) of the longest match of each place among searched[low:high], which are in order.
+
+        The two neighbours of a place in that order have the longest, and bisection compares with both.
+        """
+        low, high = low.copy(), high.copy()
+        source, length = searched[low], np.zeros(len(place), dtype=np.int64)
+        live = np.arange(len(place))
+        while len(live):
+            middle = (low[live] + high[live]) // 2
+            with_ = searched[middle]
+            n = self._extended(place[live], with_, window)
+            better = n > length[live]
+            source[live[better]], length[live[better]] = with_[better], n[better]
+            own = self.tokens[np.minimum(place[live] + n, len(self.tokens) - 1)]
+            after = own > self.test.tokens[np.minimum(with_ + n, len(self.test.tokens) - 1)]
+            low[live[after]], high[live[~after]] = middle[after] + 1, middle[~after]
+            live = live[low[live] < high[live]]
+        return source, length
 
     def _extended(self, place: np.ndarray, source: np.ndarray, window: int) -> np.ndarray:
         length = np.full(len(place), window, dtype=np.int64)
@@ -175,42 +229,82 @@ def _shard(texts: list[bytes | None], test: TestSuffixes) -> tuple[Shard, np.nda
     return Shard(np.concatenate(parts), test), np.array(starts)
 
 
-def _hits_of(texts: list[bytes | None], test: TestSuffixes) -> tuple[np.ndarray, list[list[dict]]]:
-    """(words, longest matches) of each text."""
+def _hits_of(texts: list[bytes | None], test: TestSuffixes) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(words, longest matches, ids of the items with a match) of each text."""
+    shard, starts = _shard(texts, test)
+    heads, met = [np.zeros((4, 0), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for place, sets, source, length in shard.places():
+        in_order = np.argsort(place, kind="stable")
+        place, sets, source, length = (x[in_order] for x in (place, sets, source, length))
+        doc = np.searchsorted(starts, place, side="right") - 1
+        met.append(np.unique(doc * len(test.sets) + sets))
+        # what the match of the place before holds already is no match of its own
+        held = np.concatenate([[False], (place[1:] == place[:-1] + 1) & (length[:-1] > length[1:])])
+        heads.append(np.vstack([doc, place - starts[doc], length, source])[:, ~held])
+    doc, word, length, source = np.concatenate(heads, axis=1)
+    in_order = np.argsort(doc, kind="stable")
+    item = test.item[source]
+    fields = [pa.array(word[in_order]), pa.array(length[in_order]), _taken(test.items, item[in_order]), pa.array((source - test.starts[item])[in_order])]
+    hits = pa.ListArray.from_arrays(_offsets(doc, len(texts)), pa.StructArray.from_arrays(fields, names=[f.name for f in _HIT]))
+    owner, number = np.divmod(np.unique(np.concatenate(met)), max(1, len(test.sets)))
+    sizes = np.array([len(test.sets[k]) for k in number.tolist()], dtype=np.int64)
+    pairs = np.unique(np.repeat(owner, sizes) * max(1, len(test.items)) + np.concatenate([*(test.sets[k] for k in number.tolist()), np.zeros(0, dtype=np.int64)]))
+    owner, item = np.divmod(pairs, max(1, len(test.items)))
+    return np.diff(starts) - 1, hits, pa.ListArray.from_arrays(_offsets(owner, len(texts)), _taken(test.items, item))
+
+
+def _hit(texts: list[bytes | None], test: TestSuffixes) -> list[bool]:
+    """Whether a text has a match: whether a searched test suffix begins anywhere in it."""
     shard, starts = _shard(texts, test)
-    place, source, length = shard.longest_matches()
-    doc, item = np.searchsorted(starts, place, side="right") - 1, test.item[source]
-    hits: list[list[dict]] = [[] for _ in texts]
-    for d, p, n, k, q in zip(*(x.tolist() for x in (doc, place - starts[doc], length, item, source - test.starts[item]))):
-        hits[d].append({"doc_word": p, "n_words": n, "item_id": test.items[k], "item_word": q})
-    return np.diff(starts) - 1, hits
+    hit = np.zeros(len(texts), dtype=bool)
+    for window, (_, _, _, known) in test.classes.items():
+        places = np.flatnonzero(np.isin(shard.ranks(window), known))
+        hit[np.searchsorted(starts, places, side="right") - 1] = True
+    return hit.tolist()
+
+
+def _taken(names: list[str], at: np.ndarray) -> pa.Array:
+    return pa.array(names, pa.string()).take(pa.array(at, pa.int64()))
+
+
+def _offsets(owner: np.ndarray, n: int) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n)[:n])]), pa.int32())
+
+
+def _joined(old: pa.Array, new: pa.Array) -> pa.Array:
+    """Each row's values of two list columns, one after the other."""
+    if not len(old.flatten()):
+        return new
+    kind = new.type
+    return pa.array([[*(a or ()), *b] for a, b in zip(old.to_pylist(), new.to_pylist())], kind)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
-    """(doc_id, n_words, hits) of every row of `docs`; hits are its longest verbatim matches with benchmark items.
+    """(doc_id, n_words, hits, items) of every row of `docs`; hits are its longest verbatim matches with benchmark items.
 
     A match has at least `window` words, or is the whole of an item that has fewer, and says where it begins in
-    the document and in the item. A null or empty text has no words; items without an id or text are skipped.
+    the document and in one item that has it; `items` are the ids of all items with a match, once or more. A null or
+    empty text has no words; items without an id or text are skipped. Texts of any length are shards of their own.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
     blocks = _blocks(benchmark, block_bytes)
     block = next(blocks, [])
     while True:
         following = next(blocks, None)
         sent = sc.broadcast((block, window))
         again = following is not None
-        names = ["doc_id", *["text"] * again, "n_words", "hits"]
+        names = ["doc_id", *["text"] * again, "n_words", "hits", "items"]
 
         def searched(batches, sent=sent, again=again, names=names):
             test = TestSuffixes(*sent.value)
             for whole in batches:
                 for batch in slices(whole, 1, SHARD_BYTES):
-                    n_words, found = _hits_of(batch.column(1).to_pylist(), test)
-                    hits = [[*(old or ()), *new] for old, new in zip(batch.column(3).to_pylist(), found)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(1)] * again, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(_HIT))], names=names)
+                    n_words, *found = _hits_of(batch.column(1).to_pylist(), test)
+                    both = [_joined(batch.column(k), new) for k, new in zip((3, 4), found)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(1)] * again, pa.array(n_words, pa.int64()), *both], names=names)
 
-        rows = rows.mapInArrow(searched, f"doc_id long, {'text binary, ' * again}n_words long, hits {HITS}")
+        rows = rows.mapInArrow(searched, f"doc_id long, {'text binary, ' * again}n_words long, hits {HITS}, items array<string>")
         if not again:
             return rows
         rows = settled_table(rows)
@@ -236,7 +330,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     as strings and comma-joined, items_sha256 digests. An empty benchmark hits nothing. Repeated rows and rows
     of a null doc_id each give a row; other columns are not read.
     """
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    items = F.array_sort(F.array_distinct("items"))
     rows = matched(docs, benchmark, window, block_bytes).withColumns({"n_hit": covered_words(F.col("hits")), "items": items})
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -257,7 +351,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
         def judge(sent=sent):
             test = TestSuffixes(*sent.value)
-            return lambda texts: [not hits for hits in _hits_of([None if t is None else t.encode() for t in texts], test)[1]]
+            return lambda texts: [not hit for hit in _hit([None if t is None else t.encode() for t in texts], test)]
 
         docs = rows_where(docs, judge, SHARD_BYTES)
         if following is not None:

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import time
+import tracemalloc
 
-from barwise.llm.decontamination import contamination, decontaminate, longest_matches, words_of
+from barwise.llm.decontamination import TestSuffixes, _hits_of, contamination, decontaminate, longest_matches, words_of
 
 
 def brute(text, items, window):
@@ -66,3 +68,30 @@ def test_empty_tables_and_removal(spark):
         kept = decontaminate(docs, benchmark, block_bytes=block)
         assert kept.columns == docs.columns
         assert {r.doc_id for r in kept.collect()} == {k for k, t in enumerate(texts) if not brute(t, items, 10)[4]}
+
+
+def test_repeated_words_are_not_paired_off(spark):
+    item, text = "word " * 4_000, "word " * 20_000
+    test = TestSuffixes([("a", item.encode())], 10)
+    tracemalloc.start()
+    began = time.process_time()
+    n_words, hits, items = _hits_of([text.encode()], test)
+    took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_words.tolist() == [20_000] and items.to_pylist() == [["a"]]
+    assert max(h["n_words"] for h in hits.to_pylist()[0]) == 4_000 and len(hits.flatten()) <= 20_000
+    assert took < 4 and peak < 200_000_000
+    docs, benchmark = frames(spark, ["word " * 500, "other " * 300 + "word " * 30], [(1, "word " * 100), (2, "word " * 12 + "other " * 20)])
+    got = {r.doc_id: tuple(r)[1:] for r in contamination(docs, benchmark, 10).collect()}
+    assert got == {k: brute(t, [(1, "word " * 100), (2, "word " * 12 + "other " * 20)], 10) for k, t in enumerate(["word " * 500, "other " * 300 + "word " * 30])}
+
+
+def test_a_passage_of_many_items_is_one_match(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(30))
+    items = [(str(k), f"{rng.random()} {passage} {rng.random()}") for k in range(400)]
+    texts = [f"before {k} {passage} after" for k in range(200)]
+    test = TestSuffixes([(name, text.encode()) for name, text in items], 10)
+    _, hits, met = _hits_of([t.encode() for t in texts], test)
+    assert len(hits.flatten()) == 200 and all(len(m) == 400 for m in met.to_pylist()) and len(test.sets) < 400 * 20
+    assert {h["n_words"] for row in hits.to_pylist() for h in row} == {30}
