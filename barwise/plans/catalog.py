@@ -732,29 +732,188 @@ def streamed_levels(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- whole experiments ----
 
-@query()
+def _solved_sql(width: int, keys: str, p: str) -> str:
+    """CTEs {p}so (keys, family, n_train, base, more, base_r2, more_r2) from model rows {p}tr (keys, family, n_base, y, x).
+
+    Both models' normal equations are solved by elimination, a step of a recursion for each column. A column of zeros, and
+    for the smaller model a column beyond its own, stands as a unit column and gets no coefficient.
+    """
+    g = lambda i, j: f"sum(x[{min(i, j)}] * x[{max(i, j)}])"
+    span = range(1, width + 1)
+    gram, rhs = f"[{', '.join('[' + ', '.join(g(i, j) for j in span) + ']' for i in span)}]", f"[{', '.join(f'sum(x[{i}] * y)' for i in span)}]"
+    used = lambda i: f"({i} <= nb and g[{i}][{i}] > 0)"
+    cell = f"case when {used('i')} and {used('j')} then g[i][j] + case when i = j and i > 1 then 1e-10 else 0 end when i = j then 1.0 else 0.0 end"
+    row = f"list_append(list_transform(range(1, {width} + 1), lambda j: {cell}), case when {used('i')} then b[i] else 0.0 end)"
+    step = "list_transform(m, lambda r, i: list_transform(r, lambda v, c: case when i = step + 1 then v / m[step + 1][step + 1] else v - r[step + 1] * m[step + 1][c] / m[step + 1][step + 1] end))"
+    beta = f"list_transform(m, lambda r: r[{width} + 1])"
+    r2 = lambda k: f"1 - (yy - 2 * list_inner_product({k}, b) + list_inner_product({k}, list_transform(g, lambda r: list_inner_product(r, {k})))) / (yy - b[1] * b[1] / n)"
+    return f"""{p}su as (select {keys}, family, any_value(n_base) as n_base, count(*) as n, {gram} as g, {rhs} as b, sum(y * y) as yy from {p}tr group by {keys}, family having count(*) >= {{least}}),
+ {p}el as (select {keys}, family, kind, 0 as step, list_transform(range(1, {width} + 1), lambda i: {row}) as m from (select *, n_base as nb, 'base' as kind from {p}su union all select *, {width}, 'more' from {p}su)
+  union all select {keys}, family, kind, step + 1, {step} from {p}el where step < {width}),
+ {p}be as (select {keys}, family, any_value({beta}) filter (kind = 'base') as base, any_value({beta}) filter (kind = 'more') as more from {p}el where step = {width} group by {keys}, family),
+ {p}so as (select *, n as n_train, {r2('base')} as base_r2, {r2('more')} as more_r2 from {p}su join {p}be using ({keys}, family))"""
+
+
+def nested_sql(source: str, models: list[forecasting.Nested], keys: str = "asset, horizon", p: str = "", train=("train", "validation"), test: str = "test", split: str = SPLIT_SQL, gates: tuple[int, int] = (100, 20), same: tuple[int, ...] = (), frames=tuple(FRAMES)) -> str:
+    """CTEs ending in {p}de: the details of `models` over the long rows `source` (keys, ts, rv_h, past columns, Z and others, rv_future)."""
+    width = max(m.width(frames) for m in models)
+    log = lambda c: f"ln(greatest({c}, 1e-12))"
+    parts = []
+    for m in models:
+        value = (lambda c: c) if m.spec == "level_floor" else log
+        logged = ["rv_h", *[f"{kind}_past_{k}" for kind in ("rv", *forecasting.FAMILIES[m.family]) for k in frames]]
+        own = f"case when horizon in ({', '.join(map(str, same)) or 'null'}) then 0.0 else {value('rv_h')} end"
+        x = ["1.0", own, *[value(c) for c in logged[1:]], *m.base, *m.extra]
+        whole = " and ".join(f"{c} is not null" for c in (*logged, *m.base, *m.extra, "rv_future"))
+        parts.append(f"select {keys}, ts, {split} as split, rv_future, Z, '{m.name}' as family, '{m.spec}' as spec, {len(x) - len(m.extra)} as n_base, {value('rv_future')} as y, [{', '.join(f'({c})::double' for c in (*x, *['0.0'] * (width - len(x))))}] as x from {source} where {whole} and rv_future > 0")
+    by = f"{keys}, family"
+    made = lambda k: f"case spec when 'log_smear' then greatest(exp(list_inner_product(x, {k})) * {k}_smear, 1e-12) when 'log_no_smear' then greatest(exp(list_inner_product(x, {k})), 1e-12) else greatest(list_inner_product(x, {k}), floor, 1e-12) end"
+    known = ", ".join(f"'{k}'" for k in train)
+    return f"""{p}mr as materialized ({' union all '.join(parts)}), {p}tr as (select * from {p}mr where split in ({known})), {_solved_sql(width, keys, p).format(least=gates[0])},
+ {p}sm as (select {by}, avg(exp(y - list_inner_product(x, base))) as base_smear, avg(exp(y - list_inner_product(x, more))) as more_smear, quantile_cont(rv_future, 0.005) as floor from {p}tr join {p}so using ({by}) group by {by}),
+ {p}te as (select * from (select *, row_number() over (partition by {by} order by ts) as rn from {p}mr where split = '{test}') where (rn - 1) % horizon = 0),
+ {p}ga as (select *, count(*) over (partition by {by}) as n_test from {p}te),
+ {p}fo as (select {p}ga.*, {p}so.* exclude ({by}, n_base, n, g, b, yy), base_smear, more_smear, {made('base')} as bf, {made('more')} as af from {p}ga join {p}so using ({by}) join {p}sm using ({by}) where n_test >= {gates[1]}),
+ {p}de as (select *, pow(rv_future - bf, 2) as bm, pow(rv_future - af, 2) as am, rv_future / bf - ln(rv_future / bf) - 1 as bq, rv_future / af - ln(rv_future / af) - 1 as aq, pow(rv_future - bf, 2) - (pow(rv_future - af, 2) - pow(bf - af, 2)) as cw from {p}fo)"""
+
+
+#: Decimals to which the columns of a comparison are told.
+DIGITS = {"base_r2": 5, "more_r2": 5, "base_smear": 5, "more_smear": 5, "baseline_mse": 7, "augmented_mse": 7, "baseline_qlike": 5, "augmented_qlike": 5, "mse_improvement": 4, "qlike_improvement": 5} | {f"{c}_{k}": d for c, m in (("mse_diff", 8), ("qlike_diff", 5), ("cw", 8)) for k, d in (("mean", m), ("t", 3), ("p", 4))}
+
+
+def _student_upper_sql(t: str, df: str) -> str:
+    return f"case when {t} > 0 then {_student_p(t, df)} / 2 else 1 - {_student_p(t, df)} / 2 end"
+
+
+def comparison_sql(p: str = "", keys: str = "asset, horizon", law: str = "t") -> str:
+    """CTEs ending in {p}co: one row a group of {p}de, as forecasting.comparison tells it."""
+    by = f"{keys}, family"
+    long = " union all ".join(f"select {by}, ts, '{c}' as series, {x} as x from {p}de" for c, x in (("mse_diff", "bm - am"), ("qlike_diff", "bq - aq"), ("cw", "cw")))
+    nw = _nw_sql(f"{p}lo", "x", f"{by}, series").replace("nw", f"{p}nw")
+    tail = _student_upper_sql("(mean / se)", "(n - 1)") if law == "t" else f"case when mean > 0 then {_normal_p('(mean / se)')} / 2 else 1 - {_normal_p('(mean / se)')} / 2 end"
+    wide = ", ".join(f"any_value({k}) filter (series = '{c}') as {c}_{k}" for c in ("mse_diff", "qlike_diff", "cw") for k in ("mean", "t", "p"))
+    return f"""{p}lo as ({long}), {nw}, {p}pv as (select *, mean / se as t, {tail} as p from {p}nw3), {p}wi as (select {by}, {wide} from {p}pv group by {by}),
+ {p}me as (select {by}, count(*) as n_test, any_value(n_train) as n_train, {', '.join(f'any_value({c}) as {c}' for c in ('base_r2', 'more_r2', 'base_smear', 'more_smear'))}, avg(bm) as baseline_mse, avg(am) as augmented_mse, avg(bq) as baseline_qlike, avg(aq) as augmented_qlike from {p}de group by {by}),
+ {p}co as (select *, 1 - augmented_mse / baseline_mse as mse_improvement, baseline_qlike - augmented_qlike as qlike_improvement from {p}me join {p}wi using ({by}))"""
+
+
+def told(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, d) for c, d in DIGITS.items() if c in df.columns})
+
+
+def told_sql(source: str, more: str = "") -> str:
+    return f"select * replace ({', '.join(f'round({c}, {d}) as {c}' for c, d in DIGITS.items())}{more}) from {source}"
+
+
+SAME = tuple(h for h in HORIZONS if h in FRAMES.values())
+
+
+def _semi_columns() -> str:
+    w = lambda n: f"over (partition by asset order by ts rows between {n - 1} preceding and current row)"
+    x = {"rsv_neg": "case when ret < 0 then ret * ret else 0 end", "rsv_pos": "case when ret >= 0 then ret * ret else 0 end", "rq": "ret * ret * ret * ret"}
+    return ", ".join(f"case when count({x[o]}) {w(n)} = {n} then sum({x[o]}) {w(n)}{f' * {n} / 3' if o == 'rq' else ''} end as {o}_past_{k}" for k, n in FRAMES.items() for o in x)
+
+
+def clipped_long_sql(clip: tuple[float, float] | None = (0.005, 0.995)) -> str:
+    """CTEs ending in lf: the day frame in long form by horizon, Z held within quantiles of the training rows."""
+    z = "Z" if clip is None else "least(greatest(Z, lo), hi)"
+    bounds = clip or (0.0, 1.0)
+    each = " union all ".join(f"select asset, {h} as horizon, ts, {z} as Z, {', '.join(f'{kind}_past_{k}' for kind in ('rv', 'rsv_neg', 'rsv_pos', 'rq') for k in FRAMES)}, rv_past_{h} as rv_h, rv_future_{h} as rv_future from fz" for h in HORIZONS)
+    return f"""{frame_sql()}, fb as (select asset, quantile_cont(Z, {bounds[0]}) as lo, quantile_cont(Z, {bounds[1]}) as hi from fr where Z is not null and {SPLIT_SQL} in ('train', 'validation') group by 1),
+ fs as (select asset, ts, {_semi_columns()} from ret), fz as materialized (select fr.*, fs.* exclude (asset, ts), lo, hi from fr join fs using (asset, ts) left join fb using (asset)), lf as materialized ({each})"""
+
+
+FAMILY_MODELS = [forecasting.Nested(f, f) for f in forecasting.FAMILIES]
+
+
+@query(f"with recursive {clipped_long_sql()}, {nested_sql('lf', FAMILY_MODELS, same=SAME)}, {comparison_sql()} {told_sql('co')}")
 def family_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.family_tests(day_frame(spark, d), HORIZONS, FRAMES)
+    return told(experiments.family_tests(day_frame(spark, d), HORIZONS, FRAMES))
 
 
-@query()
+def _selection_sql() -> str:
+    order = " ".join(f"when '{f}' then {k}" for k, f in enumerate(forecasting.FAMILIES))
+    return f"""with recursive {clipped_long_sql()}, {nested_sql('lf', FAMILY_MODELS, p='v', train=('train',), test='validation', same=SAME)}, vl as (select asset, horizon, family, avg(bq) as loss from vde group by 1, 2, 3),
+ vb as (select asset, horizon, arg_min(family, row(loss, case family {order} end)) as family, min(loss) as validation_loss from vl group by 1, 2), {nested_sql('lf', FAMILY_MODELS, same=SAME)}, {comparison_sql()}, ch as (select co.*, validation_loss from co join vb using (asset, horizon, family))
+ {told_sql('ch', ', round(validation_loss, 5) as validation_loss')}"""
+
+
+@query(_selection_sql())
 def family_selection(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.selected_family(day_frame(spark, d), HORIZONS, FRAMES)
+    return told(experiments.selected_family(day_frame(spark, d), HORIZONS, FRAMES)).withColumn("validation_loss", F.round("validation_loss", 5))
 
 
-@query()
+def _clips_sql() -> str:
+    """CTEs ending in lc: the long rows once for every clip of Z."""
+    cuts = [c for c in experiments.CLIPS if c]
+    bounds = ", ".join(f"quantile_cont(Z, {low}) as lo{k}, quantile_cont(Z, {high}) as hi{k}" for k, (low, high) in enumerate(cuts))
+    parts = ["select *, 'none' as clip from lf"] + [f"select lf.* replace (least(greatest(Z, lo{k}), hi{k}) as Z), '{low}-{high}' as clip from lf join cb using (asset)" for k, (low, high) in enumerate(cuts)]
+    return f"""{clipped_long_sql(None)}, cb as (select asset, {bounds} from fr where Z is not null and {SPLIT_SQL} in ('train', 'validation') group by 1), lc as ({' union all '.join(parts)})"""
+
+
+def _boot_sql(name: str, x: str, by: str, offset: int, length: int, replicates: int) -> str:
+    """CTE {name} (by..., <name>_low, _high, _p): moving-block bootstraps of the mean of {x} over the details."""
+    k, low = name, f"{name}_"
+    same = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in by.split(", "))
+    own = ", ".join(f"en.{c}" for c in by.split(", "))
+    return f"""{low}o as (select {by}, row_number() over w as rn, sum({x}) over (partition by {by} order by ts rows unbounded preceding) as total, count(*) over (partition by {by}) as n, horizon + 42 + {offset} as seed from de window w as (partition by {by} order by ts)),
+ {low}z as (select distinct {by}, n, least({length}, n) as len, seed from {low}o), {low}d as (select {by}, n, r, {LCG('r', 'b', 'seed')} % (n - len + 1) as start, least(len, n - b * len) as part from {low}z, (select unnest(range({replicates})) as r), (select unnest(range(200)) as b) where b < ceil(n / len)),
+ {low}m as (select {own}, r, sum(hi.total - coalesce(lo.total, 0)) / any_value(en.n) as m from {low}d en join {low}o hi on {same('hi', 'en')} and hi.rn = en.start + en.part left join {low}o lo on {same('lo', 'en')} and lo.rn = en.start group by {own}, r),
+ {k} as (select {by}, quantile_cont(m, 0.025) as {k}_low, quantile_cont(m, 0.975) as {k}_high, avg((m <= 0)::int) as {k}_p from {low}m group by {by})"""
+
+
+BOOT_DIGITS = {f"{c}_boot_{k}": d for c, m in (("mse_diff", 8), ("qlike_diff", 5)) for k, d in (("low", m), ("high", m), ("p", 3))}
+
+
+def _static_sql() -> str:
+    models = [forecasting.Nested(k, spec=k) for k in ("log_smear", "log_no_smear", "level_floor")]
+    keys, by = "asset, horizon, clip", "asset, horizon, clip, family"
+    boots = ", ".join(_boot_sql(f"{c}_boot", x, by, o, 24, 1000) for c, x, o in (("mse_diff", "bm - am", 0), ("qlike_diff", "bq - aq", 10_000)))
+    rounds = "".join(f", round({c}, {d}) as {c}" for c, d in BOOT_DIGITS.items())
+    return f"""with recursive {_clips_sql()}, {nested_sql('lc', models, keys, same=SAME, gates=(50, 10))}, {comparison_sql(keys=keys, law='normal')}, {boots},
+ al as (select co.* exclude (family), family as spec, 'HAR' as family, {', '.join(BOOT_DIGITS)} from co left join mse_diff_boot using ({by}) left join qlike_diff_boot using ({by})) {told_sql('al', rounds)}"""
+
+
+@query(_static_sql())
 def static_oos(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.specification_sweep(day_frame(spark, d), HORIZONS, FRAMES, replicates=200)
+    return told(experiments.specification_sweep(day_frame(spark, d), HORIZONS, FRAMES)).withColumns({c: F.round(c, digits) for c, digits in BOOT_DIGITS.items()})
 
 
-@query()
+RATE_MODELS = [forecasting.Nested(name, "HAR", extra, base) for name, (base, extra) in experiments.RATE_PAIRS.items()]
+RATE_FRAMES, RATE_HORIZONS = {"d": 24, "w": 48, "m": 96}, (1, 4, 12, 24)
+
+
+def _rates_sql() -> str:
+    full = lambda a, b, n: f"case when count(r2) over (partition by asset order by ts rows between {a} and {b}) = {n} then sum(r2) over (partition by asset order by ts rows between {a} and {b}) end"
+    rv = [f"{full(f'{h - 1} preceding', 'current row', h)} as rv_past_{h}, {full('1 following', f'{h} following', h)} as rv_future_{h}" for h in RATE_HORIZONS]
+    har = [f"{full(f'{n - 1} preceding', 'current row', n)} as rv_past_{k}" for k, n in RATE_FRAMES.items()]
+    each = " union all ".join(f"select asset, {h} as horizon, ts, least(greatest(Z, lo), hi) as Z, abs_rate_z, rate_change_bps, in_window, {', '.join(f'rv_past_{k}' for k in RATE_FRAMES)}, rv_past_{h} as rv_h, rv_future_{h} as rv_future from ra join rb using (asset) where abs_rate_z is not null and rate_change_bps is not null and rv_future_{h} > 0 and Z is not null" for h in RATE_HORIZONS)
+    return f"""with recursive {HOUR}, {signal_sql('hour', HOUR_WINDOW)}, {_event_sql()}, k as (select funding_time, max(event_id) as event_id from evf group by 1), l as (select evf.* from evf join k using (funding_time, event_id)),
+ bk as (select sig.*, (epoch_us(ts) - epoch_us(funding_time)) / 6e7 as before, abs_rate_z, rate_change_bps from (select * from sig where asset <> 'error') sig asof left join l on ts >= funding_time),
+ ne as (select bk.*, (epoch_us(l.funding_time) - epoch_us(ts)) / 6e7 as after from bk asof left join l on ts <= l.funding_time), sq as (select *, ret * ret as r2, coalesce(least(before, after) <= 60, false)::int::double as in_window from ne), ra as materialized (select *, {', '.join(rv + har)} from sq),
+ rb as (select asset, quantile_cont(Z, 0.005) as lo, quantile_cont(Z, 0.995) as hi from ra where Z is not null and {SPLIT_HOURS} in ('train', 'validation') group by 1), lr as materialized ({each}),
+ {nested_sql('lr', RATE_MODELS, split=SPLIT_HOURS, same=tuple(h for h in RATE_HORIZONS if h in RATE_FRAMES.values()), frames=tuple(RATE_FRAMES))}, {comparison_sql()}, al as (select co.* exclude (family), family as model from co) {told_sql('al')}"""
+
+
+@query(_rates_sql())
 def funding_models(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.rate_models(hour_signal(spark, d).where("asset <> 'error'"), harness.rate_events(spark, d), (1, 4))
+    return told(experiments.rate_models(hour_signal(spark, d).where("asset <> 'error'"), harness.rate_events(spark, d), RATE_HORIZONS))
 
 
-@query()
+WINDOWS = (11, 22, 44)
+
+
+def _sensitivity_sql() -> str:
+    keys = "window_rows, smoothing, pooling"
+    signals = " union all ".join(f"select asset, ts, Z, {w} as window_rows, {s} as smoothing, '{k}' as pooling from (with {DAY}, {signal_sql('day', w, s, p)} select asset, ts, Z from sig)" for w in WINDOWS for s in (1, 3, 6) for k, p in (("max", "greatest(zV, zR)"), ("mean", "(zV + zR) / 2")))
+    each = " union all ".join(f"select asset, {h} as horizon, ts, {keys}, least(greatest(sg.Z, lo), hi) as Z, {', '.join(f'rv_past_{k}' for k in FRAMES)}, rv_past_{h} as rv_h, rv_future_{h} as rv_future from sg join fr using (asset, ts) join sb using (asset, {keys}) where sg.Z is not null" for h in HORIZONS)
+    return f"""with recursive {frame_sql()}, sg as materialized ({signals}), sb as (select asset, {keys}, quantile_cont(Z, 0.005) as lo, quantile_cont(Z, 0.995) as hi from sg where Z is not null and {SPLIT_SQL} in ('train', 'validation') group by all), ls as materialized ({each}),
+ {nested_sql('ls', [forecasting.Nested('HAR')], f'asset, horizon, {keys}', same=SAME)}, {comparison_sql(keys=f'asset, horizon, {keys}')}, al as (select co.* exclude (window_rows), window_rows as "window" from co) {told_sql('al')}"""
+
+
+@query(_sensitivity_sql())
 def hyperparameter_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.signal_sensitivity(day_returns(spark, d), HORIZONS, FRAMES, windows=(11, 22, 44))
+    return told(experiments.signal_sensitivity(day_returns(spark, d), HORIZONS, FRAMES, windows=WINDOWS))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,11 @@ def real_moments(returns: DataFrame, ranges=splits.DAY_SPLITS, batches: int = 10
     return values.join(by_batch, keys, "left")
 
 
+RATE = ("abs_rate_z", "rate_change_bps")
+#: By name: the columns of the smaller model beside HAR's, and those that the larger one adds.
+RATE_PAIRS = {"HAR+F": ((), RATE), "HAR+Z": ((), ("Z",)), "HAR+F+Z": ((), (*RATE, "Z")), "HAR+F+Z+window": ((), (*RATE, "Z", "in_window")), "HAR+F+Z vs HAR+F": (RATE, ("Z",)), "HAR+F+Z vs HAR+Z": (("Z",), RATE)}
+
+
 def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...], frames: dict[str, int] | None = None, tolerance_minutes: float = 60, history: int = 90, by: tuple[str, ...] = (), ties: tuple[str, ...] = ("funding_time", "event_id"), ranges=splits.HOUR_SPLITS) -> DataFrame:
     """Five nested models on common rows: HAR, with rate features, with Z, with both, and with the window flag too.
 
@@ -91,12 +96,10 @@ def rate_models(signal: DataFrame, events: DataFrame, horizons: tuple[int, ...],
     flagged = near.withColumn("in_window", F.col("minutes_to_event").isNotNull().cast("double")).drop("minutes_to_event")
     framed = lambda rows, keys: features.with_har(features.with_realized_variance(rows, horizons, keys), frames, keys)
     whole = chunks.in_chunks(flagged, framed, back=max(*horizons, *frames.values()), ahead=max(horizons))
-    rate = ("abs_rate_z", "rate_change_bps")
-    long = forecasting.by_horizon(whole, horizons, tuple(frames), ("Z", *rate, "in_window"))
+    long = forecasting.by_horizon(whole, horizons, tuple(frames), ("Z", *RATE, "in_window"))
     long = clipped(long, whole, ranges=ranges)
-    long = settled(splits.complete(long, ["Z", *rate, "rv_future"], ["rv_future"]))
-    models = {"HAR+F": ((), rate), "HAR+Z": ((), ("Z",)), "HAR+F+Z": ((), (*rate, "Z")), "HAR+F+Z+window": ((), (*rate, "Z", "in_window")), "HAR+F+Z vs HAR+F": (rate, ("Z",)), "HAR+F+Z vs HAR+Z": (("Z",), rate)}
-    pairs = [forecasting.Nested(name, "HAR", extra, base) for name, (base, extra) in models.items()]
+    long = settled(splits.complete(long, ["Z", *RATE, "rv_future"], ["rv_future"]))
+    pairs = [forecasting.Nested(name, "HAR", extra, base) for name, (base, extra) in RATE_PAIRS.items()]
     detail = forecasting.details(long, tuple(frames), _same(horizons, frames), pairs, splits=ranges)
     return forecasting.comparison(detail).withColumnRenamed("family", "model").orderBy("asset", "horizon", "model")
 
