@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from barwise.functions.scalars import minutes_to_schedule
 from barwise.operators import chunks, features, forecasting, splits, summaries

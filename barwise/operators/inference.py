@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.distributions import normal_p_upper, student_p_upper
 from barwise.functions.scalars import ratio
-from barwise.operators.chunks import numbered
+from barwise.operators.chunks import in_chunks, numbered
 from barwise.operators.settle import settled
 
 
@@ -169,13 +169,19 @@ def moments(value: str) -> dict:
     return {"mean": F.avg(value), "std": F.stddev_pop(value), "skewness": F.skewness(value), "kurtosis": F.kurtosis(value) + 3}
 
 
-def first_order_fit(df: DataFrame, value: str, days_per_row: float, by=("asset",), order=("ts",)) -> DataFrame:
+def _neighbours(df: DataFrame, value: str, by) -> DataFrame:
+    """(by..., x, y): each row's value and the next one's in order of ts, over the rows that have a value; by chunks of a series."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, "ts", F.col(value).alias("x"))
+    following = lambda part, keys: part.withColumn("y", F.lead("x").over(Window.partitionBy(*keys).orderBy("ts")))
+    return in_chunks(rows, following, back=0, ahead=1, by=tuple(by)).where("y is not null").select(*by, "x", "y")
+
+
+def first_order_fit(df: DataFrame, value: str, days_per_row: float, by=("asset",)) -> DataFrame:
     """(by..., n, slope, intercept, r2, kappa, level, sigma, half_life_hours) of x(t+1) on x(t).
 
     The mean-reversion figures are null unless the slope is between 0 and 1; groups of fewer than 3 rows give none.
     """
-    rows = df.where(F.col(value).isNotNull())
-    pairs = rows.select(*by, F.col(value).alias("x"), F.lead(value).over(Window.partitionBy(*by).orderBy(*order)).alias("y")).where("y is not null")
+    pairs = _neighbours(df, value, by)
     fits = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.var_pop("y").alias("_v")).where("n >= 2")
     b = F.col("slope")
     kappa = F.when((b > 0) & (b < 1), -F.ln(b) / days_per_row)
@@ -183,10 +189,9 @@ def first_order_fit(df: DataFrame, value: str, days_per_row: float, by=("asset",
     return fits.select(*by, "n", "slope", "intercept", "r2", kappa.alias("kappa"), F.when(kappa.isNotNull(), ratio(F.col("intercept"), 1 - b)).alias("level"), F.sqrt(s2 * 2 * kappa / (1 - b * b)).alias("sigma"), (24 * F.ln(F.lit(2.0)) / kappa).alias("half_life_hours"))
 
 
-def first_order_check(df: DataFrame, fits: DataFrame, value: str, by=("asset",), order=("ts",)) -> DataFrame:
+def first_order_check(df: DataFrame, fits: DataFrame, value: str, by=("asset",)) -> DataFrame:
     """(by..., n, r2_oos, rmse, corr) of one-step predictions by given fits (joined on asset)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    pairs = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("x"), F.lead(value).over(w).alias("y")).where("y is not null")
+    pairs = _neighbours(df, value, by)
     made = pairs.join(fits.select("asset", "slope", "intercept"), "asset").withColumn("f", F.col("intercept") + F.col("slope") * F.col("x"))
     sse = F.sum(F.pow(F.col("y") - F.col("f"), F.lit(2)))
     return made.groupBy(*by).agg(F.count("*").alias("n"), (1 - ratio(sse, F.var_pop("y") * F.count("*"))).alias("r2_oos"), F.sqrt(sse / F.count("*")).alias("rmse"), F.corr("y", "f").alias("corr"))

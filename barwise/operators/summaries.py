@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.distributions import student_p_two_sided
 from barwise.functions.scalars import ratio, underprediction
+from barwise.operators.chunks import in_chunks, numbered
 from barwise.operators.inference import moments, newey_west
 from barwise.operators.quantiles import quantiles
 from barwise.operators.settle import settled
@@ -15,9 +16,10 @@ from barwise.operators.splits import with_split
 
 def coverage(bars: DataFrame, splits, seconds_per_bar: int = 300) -> DataFrame:
     """One row per asset: first and last time, rows, missing bars within gaps, bars without volume, rows per split."""
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(Window.partitionBy("asset").orderBy("ts")).cast("timestamp"))
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    gapped = lambda df, keys: df.withColumn("_gap", micros(F.col("ts")) - micros(F.lag("ts").over(Window.partitionBy(*keys).orderBy("ts"))))
     bar = seconds_per_bar * 1_000_000
-    rows = with_split(bars, splits).withColumn("_gap", gap)
+    rows = with_split(in_chunks(bars, gapped, back=1), splits)
     missing = F.coalesce(F.sum(F.when(F.col("_gap") > bar, F.col("_gap") / bar - 1)), F.lit(0.0)).cast("long")
     return rows.groupBy("asset").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n_rows"), missing.alias("missing_bars"), F.count_if(F.col("volume") == 0).alias("zero_volume_bars"), *[F.count_if(F.col("split") == k).alias(f"{k}_rows") for k, _, _ in splits])
 
@@ -164,7 +166,7 @@ def running_means(df: DataFrame, value: str, checkpoints: list[int], order=("ste
 
 def episode(signal: DataFrame, half: int, value: str = "Z") -> DataFrame:
     """The rows around each asset's greatest value, the earliest of equals."""
-    rows = signal.withColumn("rn", F.row_number().over(Window.partitionBy("asset").orderBy("ts")))
+    rows = settled(numbered(signal))
     peaks = rows.where(F.col(value).isNotNull()).groupBy("asset").agg(F.max_by("rn", F.struct(value, -F.col("rn"))).alias("_peak"))
     return rows.join(peaks, "asset").where(F.col("rn").between(F.col("_peak") - half, F.col("_peak") + half)).withColumn("offset", F.col("rn") - F.col("_peak")).drop("_peak", "rn")
 
