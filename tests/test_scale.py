@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barwise.functions.rolling import framed, with_extremes
+from barwise.functions.rolling import framed, shifted_z, with_extremes, with_shifted_z
 from barwise.operators import inference, recursion
 from barwise.operators.quantiles import from_ordered_bits, ordered_bits, quantiles
 
@@ -68,6 +68,21 @@ def test_extremes_equal_frames(spark, n):
     assert sorted(map(str, direct.collect())) == sorted(map(str, linear.collect()))
 
 
+@pytest.mark.parametrize("n", [1, 3, 24, 90])
+def test_block_scores_equal_framed_scores(spark, n):
+    rng = np.random.default_rng(n)
+    x = 1000 + rng.normal(size=220)
+    x[100:160] = 1000.1  # a run that does not vary gives null
+    rows = [(a, START + dt.timedelta(hours=k), None if k in (7, 60) else float(v)) for a in ("X", "Y") for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "asset string, ts timestamp_ntz, x double")
+    want = {(r.asset, r.ts): r.z for r in df.withColumn("z", shifted_z("x", n)).collect()}
+    got = {(r.asset, r.ts): r.z for r in with_shifted_z(df, {"z": "x"}, n).collect()}
+    assert got.keys() == want.keys() and any(v is not None for v in want.values()) == (n > 1)
+    flat = {START + dt.timedelta(hours=k) for k in range(100 + n, 161)}  # the plain frames' rounding leaves tiny deviations there
+    for key, v in want.items():
+        assert got[key] is None if key[1] in flat or v is None else got[key] == pytest.approx(v, rel=1e-7, abs=1e-9)
+
+
 def walk(n, seed=0):
     rng = np.random.default_rng(seed)
     price, z = np.cumsum(rng.normal(scale=0.01, size=n)), rng.normal(size=n)
