@@ -124,20 +124,25 @@ def _runs(numbers: np.ndarray, n: int):
     return [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-def _steps(m: dict, before: np.ndarray, want: np.ndarray, third_too: bool = True):
-    """The steps that predict each wanted code: (which tokens, logits of the tables, correction's factors, wanted place, its name and row).
+def _digits(m: dict, h: np.ndarray, before: np.ndarray, want: np.ndarray):
+    """For each digit: (logits of all tokens, wanted places, factors' name, the runs of tokens that share factors).
 
-    `before` is below CODES, and `want` in the order of `_by_head`; rarer ids have two steps more. The third digit's
-    many steps may be left out.
+    `before` is below CODES, and `want` in the order of `_by_head`, in which tokens with the same upper digits are runs.
     """
     a, b, c = DIGITS
     upper, third = np.divmod(np.minimum(want, RARE), c)
     first, second = np.divmod(upper, b)
-    yield slice(None), m["B1"][before], m["U1"], first, "U1", None
-    for k, at in _runs(first, a):
-        yield at, m["B2"][before[at], k], m["U2"][k], second[at], "U2", k
-    for k, at in _runs(upper, a * b) if third_too else ():
-        yield at, m["B3"][before[at], k], m["U3"][k], third[at], "U3", k
+    one, two, three = m["B1"][before], m["B2"][before, first], m["B3"][before, upper]
+    one += h @ m["U1"]
+    runs = _runs(first, a), _runs(upper, a * b)
+    for logits, name, some in zip((two, three), ("U2", "U3"), runs):
+        for k, at in some:
+            logits[at] += h[at] @ m[name][k]
+    return (one, first, "U1", [(..., slice(None))]), (two, second, "U2", runs[0]), (three, third, "U3", runs[1])
+
+
+def _rare_steps(m: dict, want: np.ndarray):
+    """The two steps more that predict each wanted rarer id: (which tokens, logits of the tables, correction's factors, wanted place, its name and row)."""
     rare = np.flatnonzero(want > RARE)
     if len(rare):
         rare = rare[np.argsort(want[rare], kind="stable")]
@@ -179,7 +184,9 @@ def token_logs(m: dict, texts: list[np.ndarray], chunk: int = 2048) -> tuple[np.
         before, at = np.minimum(scored.ravel()[live], RARE), place.ravel()[live]
         h = h[live]
         got = np.zeros(len(at), dtype=np.float32)
-        for some, logits, factors, spot, *_ in _steps(m, before, targets[at]):
+        for logits, spot, *_ in _digits(m, h, before, targets[at]):
+            got += _log_share(logits, spot)
+        for some, logits, factors, spot, *_ in _rare_steps(m, targets[at]):
             logits += h[some] @ factors
             got[some] += _log_share(logits, spot)
         out[at] = got
@@ -195,13 +202,14 @@ def log_probabilities(m: dict, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def _error(logits: np.ndarray, want: np.ndarray, n: int) -> tuple[float, np.ndarray]:
-    """Loss of a softmax and its derivative by the logits, a part of a mean over n tokens."""
-    logits = logits - logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
-    loss = -np.log(p[np.arange(len(want)), want] + 1e-30).sum() / n
-    p[np.arange(len(want)), want] -= 1
-    return loss, p / np.float32(n)
+    """Loss of a softmax and its derivative by the logits, a part of a mean over n tokens; logits are used up as in `_log_share`."""
+    at = np.arange(len(want)), want
+    got = logits[at]
+    p = np.exp(logits, out=logits)
+    whole = p @ _ONES[: p.shape[1]]
+    p *= (1 / (n * whole))[:, None]
+    p[at] -= np.float32(1 / n)
+    return float((np.log(whole) - got).sum()) / n, p
 
 
 def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray, padded: np.ndarray) -> tuple[float, dict]:
@@ -210,7 +218,8 @@ def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray,
     Those of `BY_ROW` parameters are (row numbers, derivatives of these rows).
     """
     flat = lambda y: y.reshape(-1, y.shape[-1])
-    x = m["E"][seen] + m["P"]
+    x = m["E"][seen]
+    x += m["P"]
     late = np.ascontiguousarray(x[:, _LATE:])
     q, k, v = (flat(late) @ m["Q"]).reshape(late.shape), (flat(x) @ m["K"]).reshape(x.shape), (flat(x) @ m["V"]).reshape(x.shape)
     a, o, h = _attend(late, q, k, v, m["O"], padded)
@@ -219,15 +228,14 @@ def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray,
     n, hs, want = len(at), flat(h)[at], targets.ravel()[at]
     before = np.minimum(seen[:, _LATE:].ravel()[at], RARE)
     grad: dict = {k: np.zeros_like(m[k]) for k in ("U1", "U2", "U3", "U4")}
-    dhs, rows, by_row = np.zeros_like(hs), [], []
-    # the third digit at once: a step's few tokens are spread over all its bands
-    upper, third = np.divmod(np.minimum(want, RARE), DIGITS[2])
-    factors = m["U3"][upper]
-    loss, error = _error(m["B3"][before, upper] + np.einsum("ni,nij->nj", hs, factors), third, n)
-    dhs += np.einsum("nj,nij->ni", error, factors)
-    met, first = np.unique(upper, return_index=True)
-    grad["U3"][met] = np.add.reduceat(hs[:, :, None] * error[:, None, :], first, axis=0)
-    for some, logits, factors, spot, name, row in _steps(m, before, want, third_too=False):
+    loss, dhs, rows, by_row = 0.0, np.zeros_like(hs), [], []
+    for logits, spot, name, runs in _digits(m, hs, before, want):
+        more, error = _error(logits, spot, n)
+        loss += more
+        for row, some in runs:
+            grad[name][row] = hs[some].T @ error[some]
+            dhs[some] += error[some] @ m[name][row].T
+    for some, logits, factors, spot, name, row in _rare_steps(m, want):
         more, error = _error(logits + hs[some] @ factors, spot, n)
         change = hs[some].T @ error
         dhs[some] += error @ factors.T
@@ -235,24 +243,23 @@ def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray,
         if name == "U5":
             rows.append(row)
             by_row.append(change)
-        elif row is None:
-            grad[name] = change
         else:
-            grad[name][row] = change
+            grad[name] = change
     grad["U5"] = np.array(rows, dtype=np.int64), np.array(by_row).reshape(-1, WIDTH, BAND)
     dh = np.zeros_like(flat(h))
     dh[at] = dhs
-    dh = dh.reshape(h.shape)
-    do = dh @ m["O"].T
-    da = do @ v.transpose(0, 2, 1)
-    dg = a * (da - (da * a).sum(axis=2, keepdims=True))
+    do = (dh @ m["O"].T).reshape(h.shape)
+    dg = do @ v.transpose(0, 2, 1)
+    dg -= (do * o).sum(axis=2, keepdims=True)
+    dg *= a
     dq, dk, dv = dg @ k, dg.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-    dx = dk @ m["K"].T + dv @ m["V"].T
-    dx[:, _LATE:] += dh + dq @ m["Q"].T
-    codes, where = np.unique(seen, return_inverse=True)
-    rows_of = np.zeros((len(codes), WIDTH), dtype=np.float32)
-    np.add.at(rows_of, where.ravel(), flat(dx))
-    grad |= {"O": flat(o).T @ flat(dh), "Q": flat(late).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "P": dx.sum(axis=0), "E": (codes, rows_of)}
+    dx = (flat(dk) @ m["K"].T + flat(dv) @ m["V"].T).reshape(x.shape)
+    dx[:, _LATE:] += (dh + flat(dq) @ m["Q"].T).reshape(h.shape)
+    codes = seen.ravel().astype(np.uint16 if len(m["E"]) <= 1 << 16 else np.int64)  # 16-bit numbers are sorted by counting
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    rows_of = np.add.reduceat(flat(dx)[order], first, axis=0)
+    grad |= {"O": flat(o).T @ dh, "Q": flat(late).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "P": dx.sum(axis=0), "E": (codes[order[first]].astype(np.int64), rows_of)}
     return loss, grad
 
 

@@ -8,8 +8,7 @@ The attention model scores the words' subword ids. Texts are turned into ids onc
 neighbouring ids of all training documents, across words too, are counted for the model's tables. Its layer is
 trained in rounds of averaged shards: each task starts from the common model and makes Adam steps on windows of
 its partition's documents, and the changes are summed by parts of the parameters over the tasks. Every training
-document is in one of the rounds, with at least one window, and one of every `every`. So pairs, steps and windows
-all grow with the documents.
+document is in one of the rounds, with all its windows: each token of the training documents is learnt from once.
 """
 
 from __future__ import annotations
@@ -199,8 +198,8 @@ def _summed(batches):
         yield _change(*key, sums)
 
 
-def _round(tokens: DataFrame, code_of: np.ndarray, m: dict, number: int, rounds: int, every: int, batch_windows: int) -> dict:
-    """The model after one of `rounds` rounds over `tokens`; each row takes part in one of them."""
+def _round(tokens: DataFrame, code_of: np.ndarray, m: dict, number: int, rounds: int, batch_windows: int) -> dict:
+    """The model after one of `rounds` rounds over `tokens`; each row takes part in one of them, with all its windows."""
     sc = tokens.sparkSession.sparkContext
     sent = sc.broadcast((code_of, m))
     dtype = id_type(len(code_of))
@@ -208,26 +207,20 @@ def _round(tokens: DataFrame, code_of: np.ndarray, m: dict, number: int, rounds:
     def trained(batches):
         codes, before = sent.value
         trainer = attention.Trainer(before, 0.02 / (number + 1))
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
         for whole in batches:
-            for batch in slices(whole, 1, _SLICE):
-                texts = [codes[np.frombuffer(r, dtype=dtype)] for r in batch.column(1).to_pylist()]
-                inputs, targets, ends = attention.joined(texts)
+            for batch in slices(whole, 1, _SLICE // 4):
+                inputs, targets, ends = attention.joined([codes[np.frombuffer(r, dtype=dtype)] for r in batch.column(1).to_pylist()])
                 doc, first, padded = attention.windows(np.diff(ends, prepend=0))
-                n = np.bincount(doc, minlength=len(texts))
-                nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                turn = (batch.column(0).to_numpy() * 7 + number * 31)[doc]
-                some = np.flatnonzero(nth % every == turn % np.minimum(every, n[doc]))
-                place = first[some][:, None] + np.arange(attention.STRIDE)
-                live = place < ends[doc[some]][:, None]
-                held.append((attention.gathered(inputs, first[some]), targets[np.minimum(place, len(targets) - 1)], live, padded[some]))
-                while sum(len(h[0]) for h in held) >= batch_windows:
-                    seen = [np.concatenate(x) for x in zip(*held)]
-                    trainer.step(*(x[:batch_windows] for x in seen))
-                    held = [tuple(x[batch_windows:] for x in seen)]
-        rest = [np.concatenate(x) for x in zip(*held)] if held else [np.zeros(0)]
-        if len(rest[0]):
-            trainer.step(*rest)
+                place = first[:, None] + np.arange(attention.STRIDE)
+                new = attention.gathered(inputs, first), targets[np.minimum(place, len(targets) - 1)], place < ends[doc][:, None], padded
+                held = [np.concatenate(x) for x in zip(held, new)] if held else list(new)
+                full = len(held[0]) // batch_windows * batch_windows
+                for a in range(0, full, batch_windows):
+                    trainer.step(*(x[a : a + batch_windows] for x in held))
+                held = [x[full:] for x in held]
+        if held and len(held[0]):
+            trainer.step(*held)
         if trainer.steps:
             yield from _changes(before, trainer, TaskContext.get().partitionId() % _SALTS)
 
@@ -245,11 +238,11 @@ def _round(tokens: DataFrame, code_of: np.ndarray, m: dict, number: int, rounds:
     return m
 
 
-def train(tokens: DataFrame, path: str, rounds: int = 2, every: int = 32, batch_windows: int = 48) -> dict:
+def train(tokens: DataFrame, path: str, rounds: int = 2, batch_windows: int = 512) -> dict:
     """The attention model of the rows of `tokens`. Without rows its outputs are those of empty tables."""
     code_of, m = _initial(tokens, SubwordIds(path).pieces.vocab_size())
     for number in range(rounds):
-        m = _round(tokens, code_of, m, number, rounds, every, batch_windows)
+        m = _round(tokens, code_of, m, number, rounds, batch_windows)
     return {"code_of": code_of, "model": m}
 
 

@@ -114,3 +114,13 @@ def test_pairs_and_training_cover_all_documents(spark):
     before, after = (A.log_probabilities(A.ready(t["model"]), [ids])[0] for t in (start, end))
     assert after > before
     assert not np.array_equal(start["model"]["E"][ids[0]], end["model"]["E"][ids[0]])
+
+
+def test_every_window_of_a_long_document_is_learnt_from(spark):
+    rng = np.random.default_rng(2)
+    text = " ".join("".join(chr(97 + k) for k in rng.integers(0, 26, 5)) for _ in range(400))
+    tokens = tokenised(spark.createDataFrame([(0, text)], "doc_id long, text string"), PATH)
+    start, end = (train(tokens, PATH, rounds=r, batch_windows=4) for r in (0, 1))
+    ids = np.frombuffer(tokens.first().ids, dtype="<u2")
+    late = start["code_of"][ids[len(ids) // 2 :]]  # outputs start at zero, so that embeddings first move in the second step
+    assert len(np.unique(late)) > 150 and (start["model"]["E"][late] != end["model"]["E"][late]).any(axis=1).all()
