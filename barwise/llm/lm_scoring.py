@@ -14,9 +14,7 @@ document is in one of the rounds, with all its windows: each token of the traini
 from __future__ import annotations
 
 from array import array
-from collections import Counter
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +28,50 @@ from barwise.llm.common import Kept, id_remainder, settled, settled_table, slice
 #: Stands for the end of a text in the count table; no word holds a blank.
 END = b" "
 _SLICE = 2_000_000
+_BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+class Words:
+    """The lower-cased words of texts, without a Python object for each: `distinct` ones as Arrow bytes, the place of
+    each word among them (`which`), and the number of words up to each text's end (`ends`).
+
+    bytes.lower changes A-Z only; words end at ASCII white space.
+    """
+
+    def __init__(self, texts: list[bytes | None]):
+        whole = b"\n".join([*(t or b"" for t in texts), b""]).lower()
+        letters = np.frombuffer(whole, dtype=np.uint8)
+        inner = ~_BLANK[letters]
+        edges = np.flatnonzero(np.diff(inner, prepend=False, append=False))
+        offsets = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters[inner])]).dictionary_encode()
+        self.distinct, self.which = coded.dictionary, coded.indices.to_numpy()
+        self.ends = np.searchsorted(edges[::2], np.cumsum([len(t or b"") + 1 for t in texts]))
+
+    def text_of(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
 
 
 def word_counts(docs: DataFrame, flush: int = 500_000) -> DataFrame:
     """(word, c) over all rows, the end token as a blank. Tasks add up before the shuffle."""
 
     def counted(batches):
-        def rows():
-            return pa.record_batch([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
-
-        seen: Counter = Counter()
+        held: list[pa.RecordBatch] = []
         for whole in batches:
             for batch in slices(whole, 0, _SLICE):
-                for text in batch.column(0).to_pylist():
-                    seen.update(words_of(text))
-                seen[END] += batch.num_rows
-                if len(seen) > flush:
-                    yield rows()
-                    seen = Counter()
-        yield rows()
+                words = Words(batch.column(0).to_pylist())
+                n = np.append(np.bincount(words.which, minlength=len(words.distinct)), batch.num_rows)
+                held.append(pa.record_batch([pa.concat_arrays([words.distinct, pa.array([END])]), pa.array(n)], names=["word", "c"]))
+                if sum(map(len, held)) > flush:
+                    held = added(held)
+                    if sum(map(len, held)) > flush // 2:
+                        yield from held
+                        held = []
+        yield from added(held)
+
+    def added(held):
+        return pa.Table.from_batches(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks().to_batches() if held else []
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -80,14 +99,22 @@ class SubwordIds:
     def dtype(self) -> np.dtype:
         return id_type(self.pieces.vocab_size())
 
-    def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
-        new = list(set().union(*texts) - self.known.keys())
+    def __call__(self, texts: list[bytes | None]) -> pa.Array:
+        """The ids of each text's words, as bytes."""
+        words = Words(texts)
+        distinct = words.distinct.to_pylist()
+        new = [w for w in distinct if w not in self.known]
         own = dict(zip(new, (array(self.dtype.char, x).tobytes() for x in self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1))))
         get, made = self.known.get, own.get
-        out = [b"".join([get(w) or made(w, b"") for w in words]) for words in texts]
-        for word, ids in own.items():
-            self.known.keep(word, ids, len(word) + len(ids))
-        return out
+        ids = [made(w) or get(w, b"") for w in distinct] if new else list(map(get, distinct))
+        for word, x in own.items():
+            self.known.keep(word, x, len(word) + len(x))
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
+        each = n[words.which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        place = np.repeat((np.cumsum(n) - n)[words.which] - ends[:-1], each) + np.arange(ends[-1])
+        offsets = np.concatenate([[0], ends[words.ends] * self.dtype.itemsize]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(b"".join(ids), dtype=self.dtype)[place])])
 
 
 def id_type(size: int) -> np.dtype:
@@ -103,8 +130,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         ids_of, row = shared.value, TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, 1, _SLICE):
-                ids = ids_of([words_of(t) for t in batch.column(1).to_pylist()])
-                yield pa.record_batch([pa.array(range(row, row + len(ids)), pa.int64()), batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["row", "doc_id", "text", "ids"])
+                ids = ids_of(batch.column(1).to_pylist())
+                yield pa.record_batch([pa.array(range(row, row + len(ids)), pa.int64()), batch.column(0), batch.column(1), ids], names=["row", "doc_id", "text", "ids"])
                 row += len(ids)
 
     return settled_table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(encoded, "row long, doc_id long, text binary, ids binary"))
@@ -246,11 +273,11 @@ def train(tokens: DataFrame, path: str, rounds: int = 2, batch_windows: int = 51
     return {"code_of": code_of, "model": m}
 
 
-def score(tokens: DataFrame, counts: DataFrame, trained: dict, head_words: int = 131_072) -> DataFrame:
+def score(tokens: DataFrame, counts: DataFrame, trained: dict | None, head_words: int = 131_072) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of `tokens`; scores are log10 probabilities.
 
     `counts` is a settled count table. Repeated rows and rows of a null doc_id each give a row; a null text is
-    empty and has its end only.
+    empty and has its end only. Without a model `tokens` needs no ids, and `score` is null.
     """
     sc = tokens.sparkSession.sparkContext
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("end")).first()
@@ -260,25 +287,31 @@ def score(tokens: DataFrame, counts: DataFrame, trained: dict, head_words: int =
     least_in_head = int(head.column("c")[-1].as_py()) if len(head) >= head_words else 0
     end_log, end_known = float(np.log10(total["end"] + 1.0)), int(total["end"] > 0)
     schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64()), ("score", pa.float64())])
-    dtype = id_type(len(trained["code_of"]))
+    dtype = id_type(len(trained["code_of"])) if trained else None
 
     def scored(batches):
-        get, codes, m = frequent.value.get, model.value["code_of"], attention.ready(model.value["model"])
+        get = frequent.value.get
+        if trained:
+            codes, m = model.value["code_of"], attention.ready(model.value["model"])
         for whole in batches:
             for batch in slices(whole, 2, _SLICE):
-                texts = [words_of(t) for t in batch.column(2).to_pylist()]
-                logs = attention.log_probabilities(m, [codes[np.frombuffer(r, dtype=dtype)] for r in batch.column(3).to_pylist()]) / np.log(10)
-                out: list[tuple] = []
-                rest: list[tuple] = []
-                for row, doc, words, log in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, logs.tolist()):
-                    found = list(map(get, words))
-                    tail = Counter([w for w, x in zip(words, found) if x is None])
-                    n_head = len(words) - tail.total()
-                    out.append((row, b" %d" % row, doc, 0, len(words) + 1, n_head + end_known, float(sum(filter(None, found))) + end_log, log))
-                    rest += zip(repeat(row), tail.keys(), repeat(None), tail.values(), repeat(None), repeat(None), repeat(None), repeat(None))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, *rest), schema.types)], schema=schema)
-
-    rows = tokens.select("row", "doc_id", "text", "ids").mapInArrow(scored, "row long, word binary, doc_id long, n long, n_tokens long, head_known long, head_log double, score double")
+                n, row = batch.num_rows, batch.column(0)
+                words = Words(batch.column(2).to_pylist())
+                logs = pa.nulls(n, pa.float64())
+                if trained:
+                    logs = pa.array(attention.log_probabilities(m, [codes[np.frombuffer(r, dtype=dtype)] for r in batch.column(3).to_pylist()]) / np.log(10))
+                found = np.array([get(w, np.nan) for w in words.distinct.to_pylist()], dtype=np.float64)[words.which]
+                known, text = ~np.isnan(found), words.text_of()
+                n_head, head_log = np.bincount(text[known], minlength=n), np.bincount(text[known], found[known], minlength=n)
+                n_tokens = np.diff(words.ends, prepend=0) + 1
+                own = [row, pa.array([b" %d" % k for k in row.to_pylist()]), batch.column(1), pa.array(np.zeros(n, dtype=np.int64)), pa.array(n_tokens), pa.array(n_head + end_known), pa.array(head_log + end_log), logs]
+                yield pa.RecordBatch.from_arrays(own, schema=schema)
+                rest, times = np.unique(text[~known] * len(words.distinct) + words.which[~known], return_counts=True)
+                at, which = np.divmod(rest, max(1, len(words.distinct)))
+                tail = [row.take(pa.array(at)), words.distinct.take(pa.array(which)), pa.nulls(len(at), pa.int64()), pa.array(times), *(pa.nulls(len(at), f.type) for f in list(schema)[4:])]
+                yield pa.RecordBatch.from_arrays(tail, schema=schema)
+
+    rows = tokens.select("row", "doc_id", "text", *["ids"] * bool(trained)).mapInArrow(scored, "row long, word binary, doc_id long, n long, n_tokens long, head_known long, head_log double, score double")
     # words outside the head are at most as frequent as its last one
     others = counts.where(F.col("c") <= least_in_head) if least_in_head else counts.limit(0)
     joined = rows.join(others, "word", "left").groupBy("row").agg(
@@ -292,6 +325,13 @@ def score(tokens: DataFrame, counts: DataFrame, trained: dict, head_words: int =
     return joined.select("doc_id", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
+def base_scores(docs: DataFrame) -> DataFrame:
+    """The columns of `held_out_scores` but `score`: the same counts and sums, without ids and without a model."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    counts = settled(word_counts(rows.where(id_remainder("doc_id", 7) != 2)))
+    return score(rows, counts, None).select("doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score")
+
+
 def held_out_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The scores of all rows, learnt from those whose id's crc32 leaves another remainder than 2 by 7.
 

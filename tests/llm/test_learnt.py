@@ -6,8 +6,8 @@ from collections import Counter
 
 import pytest
 
-from barwise.llm import language, toxicity
-from barwise.llm.lm_scoring import held_out_scores
+from barwise.llm import language, lm_scoring, queries, toxicity
+from barwise.llm.lm_scoring import Words, held_out_scores
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -43,3 +43,26 @@ def test_base_score_against_brute_force(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(c[w] > 0 for w in tokens), total)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert r.base_score == pytest.approx(want) and r.score < 0
+
+
+def test_words_like_split():
+    texts = [b"The cat\x0bSAT", None, b"", b" \t ", "É é\x1cx\u00a0y the cat".encode(), b"the", b"\n"]
+    for some in (texts, [b""], [None, None], texts[-2:]):
+        words, ends = Words(some), [0, *Words(some).ends.tolist()]
+        every = [words.distinct[k].as_py() for k in words.which.tolist()]
+        assert [every[a:b] for a, b in zip(ends, ends[1:])] == [(t or b"").lower().split() for t in some]
+        assert words.text_of().tolist() == [k for k, t in enumerate(some) for _ in (t or b"").split()]
+
+
+def test_base_scores_need_no_model(spark, monkeypatch):
+    docs = spark.createDataFrame([(k if k % 9 else None, f"word{k % 7} Word{k} and" if k % 4 else None) for k in range(60)], "doc_id long, text string").repartition(3)
+    order = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, x or 0) for x in r))
+    want = order(held_out_scores(docs).drop("score").collect())
+    monkeypatch.setattr(lm_scoring, "train", None)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    got = order(queries.word_base_scores(spark, "").collect())
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=1e-4)
+    words = spark.createDataFrame([(k, 0, f"w{k} w{k} w1".encode()) for k in range(50)], "row long, doc_id long, text binary")
+    whole, part = (order(lm_scoring.score(words, lm_scoring.settled(lm_scoring.word_counts(words)), None, n).collect()) for n in (1000, 3))
+    assert [r[:4] for r in whole] == [r[:4] for r in part] and [r[4] for r in whole] == pytest.approx([r[4] for r in part])
