@@ -24,19 +24,23 @@ def _small_star(links: DataFrame) -> DataFrame:
     return near.where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(near.select("u", F.col("least").alias("v")))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, per_task: int = 50_000) -> DataFrame:
     """(node, component) for every node in `links` (two long columns); component is its least reachable node.
 
     Steps repeat until the links no longer change, then every link leads from a node to its component.
-    Links are never gathered in one place; each round is written to the shared checkpoint folder.
+    Links are never gathered in one place; each round is written to the shared checkpoint folder, by as many tasks
+    as its links need, and at least 8, so that few links make few files.
     """
     a, b = links.columns
-    links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    before = None
-    while True:
-        links = settled(_small_star(_large_star(links)).where("u <> v").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20)"))).first()
-        if now == before:
-            break
-        before = now
+    links = settled(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    before, now = None, _digest(links)
+    while now != before:
+        tasks = max(8, now[0] // per_task)
+        wide = _large_star(links.coalesce(tasks)).coalesce(tasks)
+        links = settled(_small_star(wide).where("u <> v").distinct().coalesce(tasks))
+        before, now = now, _digest(links)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
+
+
+def _digest(links: DataFrame):
+    return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20)"))).first()

@@ -1,5 +1,8 @@
-"""Near-duplicate texts: those whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicate texts: those whose SimHash fingerprints differ in few bits, and those whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more.
 
+Fingerprints and their links are those of `simhash`, with all pairs within its radius. Texts at similarity 0.8 differ in
+some 10 of 64 bits, far beyond any radius that covering tables can serve, so links on the sets come beside them.
 Candidates share one of `BANDS` bands of `ROWS` minimum hashes, and each is checked on the sets themselves. A
 pair at similarity s is no candidate with probability (1 - s^ROWS)^BANDS: 3.0e-6 at 0.8, less above.
 
@@ -19,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import only, settled, settled_table, slices
+from barwise.llm.common import light, only, settled, settled_table, slices
 from barwise.llm.components import components
+from barwise.llm.simhash import fingerprint, near_links
 
 SHINGLE, BANDS, ROWS, SEED = 5, 32, 5, 7
 _RNG = np.random.default_rng(SEED)
@@ -61,22 +65,23 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """(near_doc, near_row, near_size, near_set, near_bands): each row, its number, and its set's size, 128-bit digest and band keys."""
+def _signed(docs: DataFrame, simhash: bool) -> DataFrame:
+    """(near_doc, near_row, near_size, near_set, near_bands, near_fp): each row, its number, its set's size, 128-bit digest and band keys, and its fingerprint."""
     from xxhash import xxh3_128_digest
 
-    @F.arrow_udf("near_size long, near_set binary, near_bands array<long>")
+    @F.arrow_udf("near_size long, near_set binary, near_bands array<long>, near_fp long")
     def signed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for whole in texts:
-            sizes, digests, keys = [], [], [np.zeros(0, dtype=np.int64)]
+            sizes, digests, keys, fps = [], [], [np.zeros(0, dtype=np.int64)], []
             for part in slices(pa.record_batch([whole], names=["text"]), 0, 2_000_000):
                 for text in part.column(0).to_pylist():
                     shingles = shingle_set(text)
                     sizes.append(len(shingles))
                     digests.append(xxh3_128_digest(shingles.tobytes()))
                     keys.append(band_keys(shingles).view(np.int64))
+                    fps.append(fingerprint(text) if simhash else 0)
             ends = np.cumsum([len(k) for k in keys]).astype(np.int32)
-            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], names=["near_size", "near_set", "near_bands"])
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["near_size", "near_set", "near_bands", "near_fp"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("near_doc"), F.monotonically_increasing_id().alias("near_row"))
     return settled_table(rows.withColumn("near", signed(F.col("near_doc.text").cast("binary"))).select("near_doc", "near_row", "near.*"))
@@ -142,7 +147,7 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             for batch in slices(whole, 1, 4_000_000):
                 yield pa.record_batch([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    texts = rows.select(F.col("near_row").alias("node"), F.col("near_doc.text").cast("binary").alias("text")).join(nodes, "node", "left_semi")
+    texts = rows.select(F.col("near_row").alias("node"), F.col("near_doc.text").cast("binary").alias("text")).join(light(nodes), "node", "left_semi")
     return texts.mapInArrow(made, "node long, shingles binary")
 
 
@@ -201,7 +206,7 @@ def _similar_links(rows: DataFrame, firsts: DataFrame, small: int) -> DataFrame:
     found = settled(sorted_entries.mapInArrow(_pairs(small), "a long, b long, bucket long"))
     pairs = settled(found.where("b is not null").select("a", "b").distinct())
     large = found.where("b is null").select(F.col("a").alias("node"), "bucket")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    nodes = settled(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct())
     sets = settled(_sets(rows, nodes))
     links = settled(_checked(pairs, sets))
     if large.isEmpty():
@@ -217,14 +222,28 @@ def _first_row() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("near_row").alias("row")))
 
 
-def keep_distinct(docs: DataFrame, small: int = 16) -> DataFrame:
+def _fingerprint_links(signed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b) links between the numbers in `firsts` of sets whose rows have fingerprints that SimHash links, or equal ones."""
+    members = settled(signed.join(firsts, "near_set").select(F.col("near_fp").alias("fp"), "node"))
+    heads = settled(members.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = members.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    left, right = heads.toDF("a", "left"), heads.toDF("b", "right")
+    near = near_links(heads.select("fp")).join(left, "a").join(right, "b").select(F.col("left").alias("a"), F.col("right").alias("b"))
+    return equal.union(near)
+
+
+def keep_distinct(docs: DataFrame, small: int = 16, simhash: bool = False) -> DataFrame:
     """`docs` with exactly one row of each group chained by similar texts: that of the smallest doc_id. All columns stay.
 
-    Texts without words are one group. Null and repeated ids are rows like any other.
+    With `simhash`, fingerprints within its radius chain texts too. Texts without words are one group. Null and
+    repeated ids are rows like any other.
     """
-    rows = _signed(docs)
-    firsts = settled(rows.select("near_set", "near_row", "near_doc.doc_id").groupBy("near_set").agg(_first_row().alias("first")).select("first", F.col("first.row").alias("node")))
-    chained = components(_similar_links(rows, firsts.select("node"), small))
-    named = firsts.join(chained, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
+    rows = _signed(docs, simhash)
+    signed = settled(rows.select("near_set", "near_fp", "near_row", "near_doc.doc_id").groupBy("near_set", "near_fp").agg(_first_row().alias("first")))
+    firsts = settled(signed.groupBy("near_set").agg(F.min("first").alias("first")).select("near_set", "first", F.col("first.row").alias("node")))
+    links = _similar_links(rows, firsts.select("node"), small)
+    if simhash:
+        links = links.union(_fingerprint_links(signed, firsts))
+    named = firsts.join(components(links), "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     kept = settled(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("near_row")))
     return only(rows, kept, "near_row").select("near_doc.*")

@@ -27,11 +27,12 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by five-word shingles at similarity 0.8 or more.
+    """One document, that of the smallest doc_id, of each group linked by SimHash or by five-word shingles.
 
-    The links of op1_simhash at 4 or fewer bits are far tighter; this stage has its own method, of minimum hashes.
+    Fingerprints link as in op1_simhash, at 4 or fewer bits. That is far tighter than near copies go, so sets of
+    five-word shingles at similarity 0.8 or more link too.
     """
-    return keep_distinct(docs)
+    return keep_distinct(docs, simhash=True)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

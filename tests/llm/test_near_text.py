@@ -5,7 +5,9 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from barwise.llm.near_text import BANDS, bucket_links, keep_distinct, band_keys, shingle_set
+from barwise.llm.components import components
+from barwise.llm.near_text import BANDS, bucket_links, keep_distinct, band_keys, shingle_set, similar
+from barwise.llm.simhash import RADIUS, fingerprint
 
 
 def brute_set(text):
@@ -77,3 +79,28 @@ def test_bucket_links_join_like_all_pairs():
     sets = [shingle_set(" ".join(t).encode()) for t in texts]
     links = bucket_links(np.arange(len(sets)), np.arange(len(sets)), sets)
     assert len(links) == len(sets) - 2 and all(len(sets) - 1 not in pair for pair in links)
+
+
+def test_pipeline_stage_links_fingerprints_beside_sets(spark):
+    """b is within SimHash's radius of a, but its set isn't similar to a's; c is like b in its set only."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(5000)}" for _ in range(40)]
+    fp = fingerprint(" ".join(base).encode())
+    while True:
+        near = list(base)
+        for k in rng.sample(range(40), 2):
+            near[k] = f"w{rng.randrange(5000)}"
+        if (fingerprint(" ".join(near).encode()) ^ fp).bit_count() <= RADIUS and not similar(*(shingle_set(" ".join(t).encode()) for t in (base, near))):
+            break
+    texts = [base, near, [*near, "x"], [f"y{k}" for k in range(40)], [f"y{k}" for k in range(20)] * 2, [f"y{k}" for k in range(20)] * 3]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(9, None), (8, "")], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.distinct(spark, docs, "").collect()}
+    assert kept == {0, 3, 4, 8}
+    assert {r.doc_id for r in keep_distinct(docs).collect()} == {0, 1, 3, 4, 8}
+
+
+def test_components_of_many_links_in_few_tasks(spark):
+    links = spark.createDataFrame([(k + 1, k) for k in range(0, 300) if k % 50 != 49] + [(400, 500), (500, 400), (7, 7)], "a long, b long")
+    for per_task in (50_000, 3):
+        got = {r.node: r.component for r in components(links, per_task).collect()}
+        assert got == {k: k // 50 * 50 for k in range(300)} | {400: 400, 500: 400}
