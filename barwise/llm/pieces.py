@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -52,17 +53,18 @@ class PieceTransducer:
         byte_of = {k: b for b, k in self.byte_id.items()}
         self.bytes_of = [bytes([byte_of[k]]) if k in byte_of else p.piece.replace(BLANK, " ").encode() if p.type == 1 else b"" for k, p in enumerate(model.pieces)]
         self.is_byte = np.array([p.type == 6 for p in model.pieces])
-        #: The piece machine: nested maps by character; the id of a piece that ends at a node is under "".
+        #: The piece machine: maps by character to (such a map of the next state, the id of the piece that ends there).
         self.arcs: dict = {}
         for piece, number in self.id_of.items():
             if len(piece) > 1 and self._merged(piece) != [piece]:
                 continue  # merging never makes it
-            node = self.arcs
-            for char in piece:
-                node = node.setdefault(char, {})
-            node[""] = number
+            arcs = self.arcs
+            for char in piece[:-1]:
+                arcs = arcs.setdefault(char, ({}, None))[0]
+            arcs[piece[-1]] = (arcs.get(piece[-1], ({}, None))[0], number)
+        self.longest = max(map(len, self.id_of), default=1)
         self.chunk = self._chunks()
-        self.pairs, self.known = Kept(32_000_000), Kept(96_000_000)
+        self.pairs, self.known = Kept(128_000_000), Kept(96_000_000)
 
     def _chunks(self) -> re.Pattern:
         """A pattern of chunks that no piece reaches across."""
@@ -98,14 +100,13 @@ class PieceTransducer:
 
     def _arcs(self, chunk: str, at: int) -> list[tuple[int, int]]:
         """(end, piece) of the piece machine's arcs from a place, the longest first; of the byte fallback where it has none."""
-        node, end, n, arcs = self.arcs.get(chunk[at]), at + 1, len(chunk), []
-        while node is not None:
-            if (piece := node.get("")) is not None:
-                arcs.append((end, piece))
-            if end == n:
+        node, arcs = self.arcs, []
+        for end, char in enumerate(chunk[at : at + self.longest], at + 1):
+            if (found := node.get(char)) is None:
                 break
-            node = node.get(chunk[end])
-            end += 1
+            node, piece = found
+            if piece is not None:
+                arcs.append((end, piece))
         return arcs[::-1] or [(at + 1, _START)]
 
     def shortest_path(self, chunk: str) -> list[int]:
@@ -114,29 +115,33 @@ class PieceTransducer:
         Finite weights are all 0, so the first whole path without an infinite arc is a shortest one: the search
         goes depth first and never enters a state (place, last piece) that is known to lead nowhere.
         """
-        n, arcs, dead, weights = len(chunk), {}, set(), self.pairs
-        trail = [[0, _START, 0]]  # (place, last piece, next arc to try)
-        while (at := trail[-1][0]) < n:
-            _, last, k = trail[-1]
+        n, dead, weights, arcs_at, heavy = len(chunk), set(), self.pairs, self._arcs, _INFINITE
+        at, last, arcs = 0, _START, {}
+        trail: list[tuple] = []  # (place, last piece, arcs not tried yet) of the states before
+        while at < n:
             if (out := arcs.get(at)) is None:
-                out = arcs[at] = self._arcs(chunk, at)
-            while k < len(out):
-                end, piece = out[k]
-                k += 1
-                if last != _START and piece != _START:
-                    weight = weights.get((last, piece))
-                    if (self.pair_weight(last, piece) if weight is None else weight) == _INFINITE:
-                        continue
-                if (end, piece) not in dead:
-                    trail[-1][2] = k
-                    trail.append([end, piece, 0])
-                    break
-            else:
-                dead.add((at, last))
-                trail.pop()
-        ids: list[int] = []
-        for (before, *_), (at, piece, _) in zip(trail, trail[1:]):
-            ids += [piece] if piece != _START else [self.byte_id[b] for b in chunk[before:at].encode()]
+                out = arcs[at] = arcs_at(chunk, at)
+            left = iter(out)
+            while True:
+                for end, piece in left:
+                    if last != _START and piece != _START:
+                        weight = weights.get((last, piece))
+                        if (self.pair_weight(last, piece) if weight is None else weight) == heavy:
+                            continue
+                    if not dead or (end, piece) not in dead:
+                        break
+                else:
+                    dead.add((at, last))
+                    at, last, left = trail.pop()
+                    continue
+                break
+            trail.append((at, last, left))
+            at, last = end, piece
+        ids = [piece for _, piece, _ in trail[1:]]
+        ids.append(last)
+        if _START in ids:
+            places = [*(t[0] for t in trail), n]
+            ids = [k for a, b, piece in zip(places, places[1:], ids) for k in ([piece] if piece != _START else [self.byte_id[x] for x in chunk[a:b].encode()])]
         return ids
 
     def encode_bytes(self, text: str) -> bytes:
@@ -153,7 +158,7 @@ class PieceTransducer:
         for chunk in chunks:
             ids = known.get(chunk)
             if ids is None:
-                ids = np.array(self.shortest_path(chunk), dtype="<i4").tobytes()
+                ids = struct.pack(f"<{len(path := self.shortest_path(chunk))}i", *path)
                 if len(chunk) <= 48:
                     known.keep(chunk, ids, 2 * len(chunk) + len(ids))
             found.append(ids)
