@@ -21,7 +21,7 @@ RARE = CODES - 1
 MOST = np.float32(60)
 _LATE = WINDOW - STRIDE
 _ONES = np.ones(4096, dtype=np.float32)
-_CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(_LATE, WINDOW)[:, None], 0, -1e9).astype(np.float32)
+_CAUSAL = np.where(np.arange(STRIDE)[None, :] <= np.arange(STRIDE)[:, None], 0, -1e9).astype(np.float32)
 #: Parameters whose rows belong to single codes or bands; the others belong to every window.
 BY_ROW = ("E", "U5")
 
@@ -92,25 +92,51 @@ def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return inputs, targets, ends
 
 
+class Space:
+    """Arrays that are used again: memory of a megabyte for each step of each batch costs more than the arithmetic on it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple, like: np.ndarray) -> np.ndarray:
+        """An array of this shape and of the kind of `like`, with whatever it held before."""
+        size, flat = int(np.prod(shape)), self.held.get(name)
+        if flat is None or len(flat) < size or flat.dtype != like.dtype:
+            flat = self.held[name] = np.empty(size, dtype=like.dtype)
+        return flat[:size].reshape(shape)
+
+    def rows(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rows of `table` with the numbers `at`, which must all exist."""
+        return table.take(at, axis=0, out=self(name, (*at.shape, *table.shape[1:]), table), mode="clip")
+
+    def product(self, name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """x @ y; the last axis but one of x is merged with those before if y is one matrix."""
+        if y.ndim == 2:
+            return np.matmul(x.reshape(-1, x.shape[-1]), y, out=self(name, (x.size // x.shape[-1], y.shape[1]), x)).reshape(*x.shape[:-1], y.shape[1])
+        return np.matmul(x, y, out=self(name, (*x.shape[:-1], y.shape[-1]), x))
+
+
 def gathered(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The codes of each window, whose first scored input is given."""
     at = first[:, None] + np.arange(-_LATE, STRIDE)
     return inputs[np.clip(at, 0, len(inputs) - 1)]
 
 
-def _attend(late, q, k, v, out, padded: np.ndarray):
+def _attend(late, q, k, v, out, padded: np.ndarray, space: Space):
     """Attention weights, their values, and the states they add to; `padded` marks windows without anything before.
 
     Attention scores count as `MOST` at most, so that their exponentials need no shift.
     """
-    a = q @ k.transpose(0, 2, 1)
+    a = space.product("a", q, k.transpose(0, 2, 1))
     np.minimum(a, MOST, out=a)
-    a += _CAUSAL
+    a[:, :, _LATE:] += _CAUSAL
     a[padded, :, :_LATE] = -1e9
     np.exp(a, out=a)
     a *= 1 / (a @ _ONES[:WINDOW])[:, :, None]
-    o = a @ v
-    return a, o, (late.reshape(-1, WIDTH) + o.reshape(-1, WIDTH) @ out).reshape(o.shape)
+    o = space.product("o", a, v)
+    h = space.product("h", o, out)
+    h += late
+    return a, o, h
 
 
 def _by_head(want: np.ndarray) -> np.ndarray:
@@ -124,7 +150,7 @@ def _runs(numbers: np.ndarray, n: int):
     return [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-def _digits(m: dict, h: np.ndarray, before: np.ndarray, want: np.ndarray):
+def _digits(m: dict, h: np.ndarray, before: np.ndarray, want: np.ndarray, space: Space):
     """For each digit: (logits of all tokens, wanted places, factors' name, the runs of tokens that share factors).
 
     `before` is below CODES, and `want` in the order of `_by_head`, in which tokens with the same upper digits are runs.
@@ -132,12 +158,15 @@ def _digits(m: dict, h: np.ndarray, before: np.ndarray, want: np.ndarray):
     a, b, c = DIGITS
     upper, third = np.divmod(np.minimum(want, RARE), c)
     first, second = np.divmod(upper, b)
-    one, two, three = m["B1"][before], m["B2"][before, first], m["B3"][before, upper]
-    one += h @ m["U1"]
+    at = before.astype(np.int64)
+    one, two, three = (space.rows(name, m[name].reshape(-1, m[name].shape[-1]), rows) for name, rows in (("B1", at), ("B2", at * a + first), ("B3", at * (a * b) + upper)))
+    one += space.product("U1", h, m["U1"])
     runs = _runs(first, a), _runs(upper, a * b)
     for logits, name, some in zip((two, three), ("U2", "U3"), runs):
+        factors, change = m[name], space(name, logits.shape, h)
         for k, at in some:
-            logits[at] += h[at] @ m[name][k]
+            np.matmul(h[at], factors[k], out=change[at])
+        logits += change
     return (one, first, "U1", [(..., slice(None))]), (two, second, "U2", runs[0]), (three, third, "U3", runs[1])
 
 
@@ -164,8 +193,12 @@ def ready(m: dict) -> dict:
     return m | {f"{a}{b}": m[a] @ m[b] for a in "EP" for b in "QKV"}
 
 
-def token_logs(m: dict, texts: list[np.ndarray], chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """(natural log-probability of every token, where each text ends), under a `ready` model."""
+def token_logs(m: dict, texts: list[np.ndarray], chunk: int = 2048, block: int = 128, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(natural log-probability of every token, where each text ends), under a `ready` model.
+
+    The states of `block` windows at a time stay near the processor; the outputs of `chunk` windows share products.
+    """
+    space = space or Space()
     inputs, targets, ends = joined(texts)
     doc, first, padded = windows(np.diff(ends, prepend=0))
     out = np.zeros(len(targets))
@@ -173,18 +206,23 @@ def token_logs(m: dict, texts: list[np.ndarray], chunk: int = 2048) -> tuple[np.
         part = slice(a, a + chunk)
         seen = gathered(inputs, first[part])
         scored = seen[:, _LATE:]
-        k, v = m["EK"][seen], m["EV"][seen]
-        k += m["PK"]
-        v += m["PV"]
-        late, q = m["E"][scored] + m["P"][_LATE:], m["EQ"][scored] + m["PQ"][_LATE:]
-        h = _attend(late, q, k, v, m["O"], padded[part])[2].reshape(-1, WIDTH)
+        states = space("states", (*scored.shape, WIDTH), m["E"])
+        for b in range(0, len(seen), block):
+            some = slice(b, b + block)
+            k, v = space.rows("k", m["EK"], seen[some]), space.rows("v", m["EV"], seen[some])
+            k += m["PK"]
+            v += m["PV"]
+            late, q = space.rows("late", m["E"], scored[some]), space.rows("q", m["EQ"], scored[some])
+            late += m["P"][_LATE:]
+            q += m["PQ"][_LATE:]
+            states[some] = _attend(late, q, k, v, m["O"], padded[part][some], space)[2]
         place = first[part][:, None] + np.arange(STRIDE)
         live = np.flatnonzero((place < ends[doc[part]][:, None]).ravel())
         live = live[_by_head(targets[place.ravel()[live]])]
         before, at = np.minimum(scored.ravel()[live], RARE), place.ravel()[live]
-        h = h[live]
+        h = space.rows("hs", states.reshape(-1, WIDTH), live)
         got = np.zeros(len(at), dtype=np.float32)
-        for logits, spot, *_ in _digits(m, h, before, targets[at]):
+        for logits, spot, *_ in _digits(m, h, before, targets[at], space):
             got += _log_share(logits, spot)
         for some, logits, factors, spot, *_ in _rare_steps(m, targets[at]):
             logits += h[some] @ factors
@@ -193,11 +231,11 @@ def token_logs(m: dict, texts: list[np.ndarray], chunk: int = 2048) -> tuple[np.
     return out, ends
 
 
-def log_probabilities(m: dict, texts: list[np.ndarray]) -> np.ndarray:
+def log_probabilities(m: dict, texts: list[np.ndarray], space: Space | None = None) -> np.ndarray:
     """The natural log-probability of each text, given as codes without the end."""
     if not texts:
         return np.zeros(0)
-    logs, ends = token_logs(m, texts)
+    logs, ends = token_logs(m, texts, space=space)
     return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]]))
 
 
@@ -212,29 +250,36 @@ def _error(logits: np.ndarray, want: np.ndarray, n: int) -> tuple[float, np.ndar
     return float((np.log(whole) - got).sum()) / n, p
 
 
-def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray, padded: np.ndarray) -> tuple[float, dict]:
+def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray, padded: np.ndarray, space: Space | None = None) -> tuple[float, dict]:
     """(mean loss of the live tokens, its derivatives) for windows of codes; targets and live are of the scored places.
 
     Those of `BY_ROW` parameters are (row numbers, derivatives of these rows).
     """
+    space = space or Space()
+    product = space.product
     flat = lambda y: y.reshape(-1, y.shape[-1])
-    x = m["E"][seen]
+    x = space.rows("x", m["E"], seen)
     x += m["P"]
-    late = np.ascontiguousarray(x[:, _LATE:])
-    q, k, v = (flat(late) @ m["Q"]).reshape(late.shape), (flat(x) @ m["K"]).reshape(x.shape), (flat(x) @ m["V"]).reshape(x.shape)
-    a, o, h = _attend(late, q, k, v, m["O"], padded)
+    late = space("late", (len(x), STRIDE, WIDTH), x)
+    late[:] = x[:, _LATE:]
+    q, k, v = product("q", late, m["Q"]), product("k", x, m["K"]), product("v", x, m["V"])
+    a, o, h = _attend(late, q, k, v, m["O"], padded, space)
     at = np.flatnonzero(live.ravel())
     at = at[_by_head(targets.ravel()[at])]
-    n, hs, want = len(at), flat(h)[at], targets.ravel()[at]
+    n, hs, want = len(at), space.rows("hs", flat(h), at), targets.ravel()[at]
     before = np.minimum(seen[:, _LATE:].ravel()[at], RARE)
     grad: dict = {k: np.zeros_like(m[k]) for k in ("U1", "U2", "U3", "U4")}
-    loss, dhs, rows, by_row = 0.0, np.zeros_like(hs), [], []
-    for logits, spot, name, runs in _digits(m, hs, before, want):
+    loss, dhs, rows, by_row = 0.0, space("dhs", hs.shape, hs), [], []
+    dhs[:] = 0
+    for logits, spot, name, runs in _digits(m, hs, before, want, space):
         more, error = _error(logits, spot, n)
         loss += more
+        factors, of_factors, change = m[name], grad[name], space("change", hs.shape, hs)
         for row, some in runs:
-            grad[name][row] = hs[some].T @ error[some]
-            dhs[some] += error[some] @ m[name][row].T
+            mine = error[some]
+            np.matmul(hs[some].T, mine, out=of_factors[row])
+            np.matmul(mine, factors[row].T, out=change[some])
+        dhs += change
     for some, logits, factors, spot, name, row in _rare_steps(m, want):
         more, error = _error(logits + hs[some] @ factors, spot, n)
         change = hs[some].T @ error
@@ -246,20 +291,24 @@ def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray,
         else:
             grad[name] = change
     grad["U5"] = np.array(rows, dtype=np.int64), np.array(by_row).reshape(-1, WIDTH, BAND)
-    dh = np.zeros_like(flat(h))
+    dh = space("dh", flat(h).shape, h)
+    dh[:] = 0
     dh[at] = dhs
-    do = (dh @ m["O"].T).reshape(h.shape)
-    dg = do @ v.transpose(0, 2, 1)
-    dg -= (do * o).sum(axis=2, keepdims=True)
+    do = product("do", dh, m["O"].T).reshape(h.shape)
+    dg = product("dg", do, v.transpose(0, 2, 1))
+    dg -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
     dg *= a
-    dq, dk, dv = dg @ k, dg.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-    dx = (flat(dk) @ m["K"].T + flat(dv) @ m["V"].T).reshape(x.shape)
-    dx[:, _LATE:] += (dh + flat(dq) @ m["Q"].T).reshape(h.shape)
+    dq, dk, dv = product("dq", dg, k), product("dk", dg.transpose(0, 2, 1), q), product("dv", a.transpose(0, 2, 1), do)
+    dx = product("dx", dk, m["K"].T)
+    dx += product("by_v", dv, m["V"].T)
+    dx[:, _LATE:] += dh.reshape(h.shape)
+    dx[:, _LATE:] += product("by_q", dq, m["Q"].T)
     codes = seen.ravel().astype(np.uint16 if len(m["E"]) <= 1 << 16 else np.int64)  # 16-bit numbers are sorted by counting
     order = np.argsort(codes, kind="stable")
-    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
-    rows_of = np.add.reduceat(flat(dx)[order], first, axis=0)
-    grad |= {"O": flat(o).T @ dh, "Q": flat(late).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "P": dx.sum(axis=0), "E": (codes[order[first]].astype(np.int64), rows_of)}
+    codes = codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    rows_of = np.add.reduceat(space.rows("sorted", flat(dx), order), first, axis=0)
+    grad |= {"O": flat(o).T @ dh, "Q": flat(late).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "P": dx.sum(axis=0), "E": (codes[first].astype(np.int64), rows_of)}
     return loss, grad
 
 
@@ -271,18 +320,25 @@ class Trainer:
         self.rate, self.steps, self.windows = rate, 0, 0
         self.mean, self.var = ({k: np.zeros_like(m[k]) for k in learnt(m)} for _ in range(2))
         self.touched = {k: np.zeros(len(m[k]), dtype=np.float32) for k in BY_ROW}
+        self.space = Space()
 
     def step(self, seen: np.ndarray, targets: np.ndarray, live: np.ndarray, padded: np.ndarray) -> float:
-        loss, grad = gradients(self.m, seen, targets, live, padded)
+        loss, grad = gradients(self.m, seen, targets, live, padded, self.space)
         self.steps += 1
         self.windows += len(seen)
         for name, g in grad.items():
             rows, g = g if name in BY_ROW else (slice(None), g)
-            self.mean[name][rows] = 0.9 * self.mean[name][rows] + 0.1 * g
-            self.var[name][rows] = 0.99 * self.var[name][rows] + 0.01 * g * g
+            mean, var = self.mean[name][rows], self.var[name][rows]
+            mean *= np.float32(0.9)
+            mean += np.float32(0.1) * g
+            var *= np.float32(0.99)
+            var += np.float32(0.01) * g * g
             times = self.steps
             if name in BY_ROW:
+                self.mean[name][rows], self.var[name][rows] = mean, var
                 self.touched[name][rows] += 1
                 times = self.touched[name][rows].reshape(-1, *[1] * (g.ndim - 1))
-            self.m[name][rows] -= self.rate * (self.mean[name][rows] / (1 - 0.9**times)) / (np.sqrt(self.var[name][rows] / (1 - 0.99**times)) + 1e-8)
+            down = np.sqrt(var / (1 - 0.99**times))
+            down += np.float32(1e-8)
+            self.m[name][rows] -= mean * (self.rate / (1 - 0.9**times)) / down
         return loss

@@ -28,7 +28,8 @@ from barwise.llm.common import Kept, id_remainder, settled, settled_table, slice
 #: Stands for the end of a text in the count table; no word holds a blank.
 END = b" "
 _SLICE = 2_000_000
-_BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+#: A-Z in lower case, and every ASCII white space as a line feed.
+_PLAIN = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\v\f\r ", b"\n\n\n\n\n"))
 
 
 class Words:
@@ -39,15 +40,20 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes | None]):
-        whole = b"\n".join([*(t or b"" for t in texts), b""]).lower()
-        letters = np.frombuffer(whole, dtype=np.uint8)
-        inner = ~_BLANK[letters]
-        edges = np.flatnonzero(np.diff(inner, prepend=False, append=False))
+        letters = np.frombuffer(b"\n".join([b"", *(t or b"" for t in texts), b""]).translate(_PLAIN), dtype=np.uint8)
+        inner = letters != 10
+        edges = np.flatnonzero(inner[1:] != inner[:-1])
         offsets = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters[inner])]).dictionary_encode()
         self.distinct, self.which = coded.dictionary, coded.indices.to_numpy()
         self.ends = np.searchsorted(edges[::2], np.cumsum([len(t or b"") + 1 for t in texts]))
 
+    def listed(self) -> list[bytes]:
+        """The distinct words, cut from one string."""
+        ends = np.frombuffer(self.distinct.buffers()[1], dtype=np.int32)[: len(self.distinct) + 1].tolist()
+        whole = self.distinct.buffers()[2].to_pybytes() if ends[-1] else b""
+        return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
     def text_of(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
@@ -102,7 +108,7 @@ class SubwordIds:
     def __call__(self, texts: list[bytes | None]) -> pa.Array:
         """The ids of each text's words, as bytes."""
         words = Words(texts)
-        distinct = words.distinct.to_pylist()
+        distinct = words.listed()
         new = [w for w in distinct if w not in self.known]
         own = dict(zip(new, (array(self.dtype.char, x).tobytes() for x in self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1))))
         get, made = self.known.get, own.get
@@ -292,15 +298,15 @@ def score(tokens: DataFrame, counts: DataFrame, trained: dict | None, head_words
     def scored(batches):
         get = frequent.value.get
         if trained:
-            codes, m = model.value["code_of"], attention.ready(model.value["model"])
+            codes, m, space = model.value["code_of"], attention.ready(model.value["model"]), attention.Space()
         for whole in batches:
             for batch in slices(whole, 2, _SLICE):
                 n, row = batch.num_rows, batch.column(0)
                 words = Words(batch.column(2).to_pylist())
                 logs = pa.nulls(n, pa.float64())
                 if trained:
-                    logs = pa.array(attention.log_probabilities(m, [codes[np.frombuffer(r, dtype=dtype)] for r in batch.column(3).to_pylist()]) / np.log(10))
-                found = np.array([get(w, np.nan) for w in words.distinct.to_pylist()], dtype=np.float64)[words.which]
+                    logs = pa.array(attention.log_probabilities(m, [codes[np.frombuffer(r, dtype=dtype)] for r in batch.column(3).to_pylist()], space) / np.log(10))
+                found = np.array([get(w, np.nan) for w in words.listed()], dtype=np.float64)[words.which]
                 known, text = ~np.isnan(found), words.text_of()
                 n_head, head_log = np.bincount(text[known], minlength=n), np.bincount(text[known], found[known], minlength=n)
                 n_tokens = np.diff(words.ends, prepend=0) + 1
