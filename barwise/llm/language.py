@@ -15,7 +15,8 @@ import re
 import sys
 import unicodedata
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Collection
 from itertools import groupby
 
 import numpy as np
@@ -44,6 +45,8 @@ def _marks() -> str:
 
 
 _WORD = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
+#: ASCII letters in lower case; every other ASCII character as a blank.
+_ASCII = {c: chr(c).lower() if chr(c).isalpha() else " " for c in range(128)}
 UNDETERMINED = "und"
 
 
@@ -53,7 +56,7 @@ def script(char: str) -> str:
 
 def letter_runs(text: str) -> list[str]:
     """Runs of letters in lower case; a run without any letter (such as of superscript digits) is none."""
-    return _WORD.findall(text.lower())
+    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text.lower())
 
 
 def trigrams(word: str) -> list[str]:
@@ -112,6 +115,10 @@ class WordScores:
 
     def __init__(self, model: dict, most_bytes: int = 72_000_000):
         self.model, self.most_bytes = model, most_bytes
+        #: What a word of each script loses in each language; the last row is for scripts that no language uses.
+        used = {name: uses for name, uses in model["scripts"].items() if uses.any()}
+        self.row_of = {name: k for k, name in enumerate(used)}
+        self.lost = np.array([*(np.where(uses, 0, 1e4) for uses in used.values()), np.zeros(len(model["langs"]))], dtype=np.float32)
         self.reset()
 
     def reset(self) -> None:
@@ -120,7 +127,7 @@ class WordScores:
         self.rows = np.zeros((0, len(self.model["langs"])), dtype=np.float32)
         self.needed = np.zeros(0, dtype=np.float32)
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Collection[str]) -> None:
         new = [w for w in words if w not in self.number]
         size = lambda ws: sum(map(len, ws)) * 2 + len(ws) * (200 + 4 * len(self.model["langs"]))
         if self.used + size(new) > self.most_bytes and self.number:
@@ -133,19 +140,17 @@ class WordScores:
         self.needed = np.concatenate([self.needed, *(n for _, n in parts)])
 
     def _scores(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        unseen = len(self.model["trigrams"])
-        ids = [[self.model["trigrams"].get(g, unseen) for g in trigrams(w)] for w in new]
-        sizes = np.array([len(x) for x in ids])
+        get, unseen = self.model["trigrams"].get, len(self.model["trigrams"])
+        framed = "".join([f"\x02{w}\x03" for w in new])
+        sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
         word = np.repeat(np.arange(len(new)), sizes)
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=len(word))
+        own = np.arange(len(word)) + 2 * word  # the first places of a framed word begin its trigrams, the last two none
+        flat = np.array([get(framed[k : k + 3], unseen) for k in range(len(framed) - 2)], dtype=np.int64)[own]
         first, n = self.model["starts"][flat], np.diff(self.model["starts"])[flat]
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())  # the entries of each trigram
         place = np.repeat(word, n) * len(self.model["langs"]) + self.model["gain_langs"][at]
         scores = np.bincount(place, self.model["gains"][at], minlength=len(new) * len(self.model["langs"])).astype(np.float32).reshape(len(new), -1)
-        for k, word in enumerate(new):
-            uses = self.model["scripts"].get(script(word[0]))
-            if uses is not None and uses.any():
-                scores[k, ~uses] -= 1e4  # a script narrows the candidates
+        scores -= self.lost[[self.row_of.get(script(w[0]), -1) for w in new]]  # a script narrows the candidates
         return scores, (sizes * self.model["background"]).astype(np.float32)
 
 
@@ -187,15 +192,21 @@ def viterbi(scores: np.ndarray, words: list[np.ndarray], penalty: float) -> list
 def _labelled(texts: list[str | None], scorer: WordScores, penalty: float):
     """Per text: (language, share of letters, runs); runs is a list of (language number, words, letters)."""
     langs = scorer.model["langs"]
-    once: dict[str, str] = {}  # a word that comes again is held once
-    runs = [[once.setdefault(w, w) for w in letter_runs(t) if w[0].isalpha() or any(map(str.isalpha, w))] if t and langs else [] for t in texts]
-    scorer.learn(set(once))
-    words = [np.fromiter(map(scorer.number.__getitem__, r), dtype=np.int64, count=len(r)) for r in runs]
+    met: defaultdict[str, int] = defaultdict()  # a word's number in these texts; a word that comes again is held once
+    met.default_factory = met.__len__
+    found = [np.fromiter(map(met.__getitem__, run := letter_runs(t)), dtype=np.int32, count=len(run)) if t and langs else np.zeros(0, dtype=np.int32) for t in texts]
+    met.default_factory = None  # else it holds itself
+    lettered = [w[0].isalpha() or any(map(str.isalpha, w)) for w in met]
+    scorer.learn([w for w, has in zip(met, lettered) if has])
+    number = np.array([scorer.number[w] if has else -1 for w, has in zip(met, lettered)], dtype=np.int64)
+    size = np.fromiter(map(len, met), dtype=np.int64, count=len(met))
+    runs = [f if len(f) == 0 else f[number[f] >= 0] for f in found]
+    words = [number[r] for r in runs]
     for run, numbers, path in zip(runs, words, viterbi(scorer.rows, words, penalty)):
-        if not run:
+        if not len(run):
             yield UNDETERMINED, 0.0, []
             continue
-        letters = np.fromiter(map(len, run), dtype=np.int64, count=len(run))
+        letters = size[run]
         supports = scorer.rows[numbers, path] >= scorer.needed[numbers]
         sure, all_of = (np.bincount(path, weights=letters * x, minlength=len(langs)) for x in (supports, 1))
         best = int(np.lexsort((-np.arange(len(langs)), all_of, sure))[-1])
