@@ -53,15 +53,16 @@ class PieceTransducer:
         byte_of = {k: b for b, k in self.byte_id.items()}
         self.bytes_of = [bytes([byte_of[k]]) if k in byte_of else p.piece.replace(BLANK, " ").encode() if p.type == 1 else b"" for k, p in enumerate(model.pieces)]
         self.is_byte = np.array([p.type == 6 for p in model.pieces])
-        #: The piece machine: maps by character to (such a map of the next state, the id of the piece that ends there).
+        #: The piece machine: maps by character to (such a map of the next state, the (length, id) of the pieces that
+        #: end there or on the way there, the longest first).
         self.arcs: dict = {}
-        for piece, number in self.id_of.items():
+        for piece in sorted(self.id_of, key=len):  # what a piece begins with comes before it
             if len(piece) > 1 and self._merged(piece) != [piece]:
                 continue  # merging never makes it
-            arcs = self.arcs
+            arcs, ends = self.arcs, ()
             for char in piece[:-1]:
-                arcs = arcs.setdefault(char, ({}, None))[0]
-            arcs[piece[-1]] = (arcs.get(piece[-1], ({}, None))[0], number)
+                arcs, ends = arcs.setdefault(char, ({}, ends))
+            arcs[piece[-1]] = ({}, ((len(piece), self.id_of[piece]), *ends))
         self.longest = max(map(len, self.id_of), default=1)
         self.chunk = self._chunks()
         self.pairs, self.known = Kept(128_000_000), Kept(96_000_000)
@@ -98,37 +99,66 @@ class PieceTransducer:
             self.pairs.keep((a, b), weight, 0)
         return weight
 
-    def _arcs(self, chunk: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the piece machine's arcs from a place, the longest first; of the byte fallback where it has none."""
-        node, arcs = self.arcs, []
-        for end, char in enumerate(chunk[at : at + self.longest], at + 1):
+    def _arcs(self, chunk: str, at: int) -> tuple[tuple[int, int], ...]:
+        """(length, piece) of the piece machine's arcs from a place, the longest first; of the byte fallback where it has none."""
+        node, arcs = self.arcs, ()
+        for char in chunk[at : at + self.longest]:
             if (found := node.get(char)) is None:
                 break
-            node, piece = found
-            if piece is not None:
-                arcs.append((end, piece))
-        return arcs[::-1] or [(at + 1, _START)]
+            node, arcs = found
+        return arcs or ((1, _START),)
+
+    def _straight_path(self, chunk: str, met: dict) -> list[int] | None:
+        """The ids of the path that the search of `shortest_path` finds if it never has to turn back; None if it has to,
+        or a character is in no piece. The arcs of the places on the way are put into `met`.
+        """
+        weights, n, longest, root, heavy = self.pairs, len(chunk), self.longest, self.arcs, _INFINITE
+        at, last, ids = 0, _START, []
+        while at < n:
+            node, arcs = root, ()
+            for char in chunk[at : at + longest]:
+                if (found := node.get(char)) is None:
+                    break
+                node, arcs = found
+            if not arcs:
+                return None
+            met[at] = arcs
+            for size, piece in arcs:
+                if last == _START:
+                    break
+                weight = weights.get((last, piece))
+                if (self.pair_weight(last, piece) if weight is None else weight) != heavy:
+                    break
+            else:
+                return None
+            ids.append(piece)
+            at, last = at + size, piece
+        return ids
 
     def shortest_path(self, chunk: str) -> list[int]:
         """The ids along the shortest path through normalised `chunk` composed with the piece and pair machines.
 
         Finite weights are all 0, so the first whole path without an infinite arc is a shortest one: the search
-        goes depth first and never enters a state (place, last piece) that is known to lead nowhere.
+        goes depth first and never enters a state (place, last piece) that is known to lead nowhere. Most chunks need
+        no turning back, so that way is tried first, without keeping a trail.
         """
+        arcs: dict[int, tuple] = {}
+        if (straight := self._straight_path(chunk, arcs)) is not None:
+            return straight
         n, dead, weights, arcs_at, heavy = len(chunk), set(), self.pairs, self._arcs, _INFINITE
-        at, last, arcs = 0, _START, {}
+        at, last = 0, _START
         trail: list[tuple] = []  # (place, last piece, arcs not tried yet) of the states before
         while at < n:
             if (out := arcs.get(at)) is None:
                 out = arcs[at] = arcs_at(chunk, at)
             left = iter(out)
             while True:
-                for end, piece in left:
+                for size, piece in left:
                     if last != _START and piece != _START:
                         weight = weights.get((last, piece))
                         if (self.pair_weight(last, piece) if weight is None else weight) == heavy:
                             continue
-                    if not dead or (end, piece) not in dead:
+                    if not dead or (at + size, piece) not in dead:
                         break
                 else:
                     dead.add((at, last))
@@ -136,7 +166,7 @@ class PieceTransducer:
                     continue
                 break
             trail.append((at, last, left))
-            at, last = end, piece
+            at, last = at + size, piece
         ids = [piece for _, piece, _ in trail[1:]]
         ids.append(last)
         if _START in ids:
