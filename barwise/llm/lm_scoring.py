@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z), cut into words at ASCII white space, and end with one end token. Word counts are
 exact and cover every training document. The most frequent words' counts go to all tasks (a fixed number of
-words); the other words of each document are joined with the count table, so nothing grows on the driver.
+words at most); the other words of each document are joined with the count table, so nothing grows on the driver.
 
 The attention model scores the words' subword ids. Texts are turned into ids once, into a table. All pairs of
 neighbouring ids of all training documents, across words too, are counted for the model's tables. Its layer is
@@ -279,6 +279,16 @@ def train(tokens: DataFrame, path: str, rounds: int = 2, batch_windows: int = 51
     return {"code_of": code_of, "model": m}
 
 
+def _most_in_tail(words: DataFrame, head_words: int) -> int:
+    """The least c such that at most `head_words` of `words` occur more often. As many numbers come to the driver as
+    there are different counts, fewer than the root of twice all words; the words themselves are not sorted."""
+    met = words.groupBy("c").agg(F.count("*").alias("n")).toArrow()
+    c, n = (met.column(k).to_numpy() for k in ("c", "n"))
+    falling = np.argsort(-c)
+    beyond = np.flatnonzero(np.cumsum(n[falling]) > head_words)
+    return int(c[falling[beyond[0]]]) if len(beyond) else 0
+
+
 def score(tokens: DataFrame, counts: DataFrame, trained: dict | None, head_words: int = 131_072) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of `tokens`; scores are log10 probabilities.
 
@@ -287,40 +297,36 @@ def score(tokens: DataFrame, counts: DataFrame, trained: dict | None, head_words
     """
     sc = tokens.sparkSession.sparkContext
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("end")).first()
-    head = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(head_words).toArrow()
+    words = counts.where(F.col("word") != F.lit(END))
+    most_in_tail = _most_in_tail(words, head_words)
+    head = words.where(F.col("c") > most_in_tail).toArrow()
     frequent = sc.broadcast(dict(zip(head.column("word").to_pylist(), np.log10(head.column("c").to_numpy() + 1.0).tolist())))
-    model = sc.broadcast(trained)
-    least_in_head = int(head.column("c")[-1].as_py()) if len(head) >= head_words else 0
     end_log, end_known = float(np.log10(total["end"] + 1.0)), int(total["end"] > 0)
-    schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64()), ("score", pa.float64())])
-    dtype = id_type(len(trained["code_of"])) if trained else None
+    schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64())])
 
-    def scored(batches):
+    def looked_up(batches):
         get = frequent.value.get
-        if trained:
-            codes, m, space = model.value["code_of"], attention.ready(model.value["model"]), attention.Space()
         for whole in batches:
             for batch in slices(whole, 2, _SLICE):
                 n, row = batch.num_rows, batch.column(0)
                 words = Words(batch.column(2).to_pylist())
-                logs = pa.nulls(n, pa.float64())
-                if trained:
-                    logs = pa.array(attention.log_probabilities(m, [codes[np.frombuffer(r, dtype=dtype)] for r in batch.column(3).to_pylist()], space) / np.log(10))
                 found = np.array([get(w, np.nan) for w in words.listed()], dtype=np.float64)[words.which]
                 known, text = ~np.isnan(found), words.text_of()
                 n_head, head_log = np.bincount(text[known], minlength=n), np.bincount(text[known], found[known], minlength=n)
                 n_tokens = np.diff(words.ends, prepend=0) + 1
-                own = [row, pa.array([b" %d" % k for k in row.to_pylist()]), batch.column(1), pa.array(np.zeros(n, dtype=np.int64)), pa.array(n_tokens), pa.array(n_head + end_known), pa.array(head_log + end_log), logs]
+                own = [row, pa.array([b" %d" % k for k in row.to_pylist()]), batch.column(1), pa.array(np.zeros(n, dtype=np.int64)), pa.array(n_tokens), pa.array(n_head + end_known), pa.array(head_log + end_log)]
                 yield pa.RecordBatch.from_arrays(own, schema=schema)
                 rest, times = np.unique(text[~known] * len(words.distinct) + words.which[~known], return_counts=True)
                 at, which = np.divmod(rest, max(1, len(words.distinct)))
                 tail = [row.take(pa.array(at)), words.distinct.take(pa.array(which)), pa.nulls(len(at), pa.int64()), pa.array(times), *(pa.nulls(len(at), f.type) for f in list(schema)[4:])]
                 yield pa.RecordBatch.from_arrays(tail, schema=schema)
 
-    rows = tokens.select("row", "doc_id", "text", *["ids"] * bool(trained)).mapInArrow(scored, "row long, word binary, doc_id long, n long, n_tokens long, head_known long, head_log double, score double")
-    # words outside the head are at most as frequent as its last one
-    others = counts.where(F.col("c") <= least_in_head) if least_in_head else counts.limit(0)
-    joined = rows.join(others, "word", "left").groupBy("row").agg(
+    rows = tokens.select("row", "doc_id", "text").mapInArrow(looked_up, "row long, word binary, doc_id long, n long, n_tokens long, head_known long, head_log double")
+    others = words.where(F.col("c") <= most_in_tail) if most_in_tail else words.limit(0)
+    parts = rows.join(others, "word", "left").drop("word").withColumn("score", F.lit(None).cast("double"))
+    if trained:
+        parts = parts.unionByName(model_scores(tokens, trained), allowMissingColumns=True)
+    joined = parts.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_tokens").alias("n_tokens"),
         (F.max("head_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
@@ -331,6 +337,22 @@ def score(tokens: DataFrame, counts: DataFrame, trained: dict | None, head_words
     return joined.select("doc_id", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
+def model_scores(tokens: DataFrame, trained: dict) -> DataFrame:
+    """(row, score): the model's log10 probability of each row's ids. Texts stay where they are: beside ids, model
+    and counts in one task they took the most of an executor's memory."""
+    model = tokens.sparkSession.sparkContext.broadcast(trained)
+    dtype = id_type(len(trained["code_of"]))
+
+    def scored(batches):
+        codes, m, space = model.value["code_of"], attention.ready(model.value["model"]), attention.Space()
+        for whole in batches:
+            for batch in slices(whole, 1, _SLICE // 4):
+                logs = attention.log_probabilities(m, [codes[np.frombuffer(r, dtype=dtype)] for r in batch.column(1).to_pylist()], space)
+                yield pa.record_batch([batch.column(0), pa.array(logs / np.log(10))], names=["row", "score"])
+
+    return tokens.select("row", "ids").mapInArrow(scored, "row long, score double")
+
+
 def base_scores(docs: DataFrame) -> DataFrame:
     """The columns of `held_out_scores` but `score`: the same counts and sums, without ids and without a model."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary"))
