@@ -21,7 +21,10 @@ RARE = CODES - 1
 MOST = np.float32(60)
 _LATE = WINDOW - STRIDE
 _ONES = np.ones(4096, dtype=np.float32)
-_CAUSAL = np.where(np.arange(STRIDE)[None, :] <= np.arange(STRIDE)[:, None], 0, -1e9).astype(np.float32)
+#: 1 where an output may look at a place of its window.
+_CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(_LATE, WINDOW)[:, None]).astype(np.float32)
+#: Tokens with the same upper digits are multiplied this many at a time.
+_TOGETHER = 16
 #: Parameters whose rows belong to single codes or bands; the others belong to every window.
 BY_ROW = ("E", "U5")
 
@@ -122,21 +125,25 @@ def gathered(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
     return inputs[np.clip(at, 0, len(inputs) - 1)]
 
 
-def _attend(late, q, k, v, out, padded: np.ndarray, space: Space):
-    """Attention weights, their values, and the states they add to; `padded` marks windows without anything before.
+def _attend(late, q, x, out, padded: np.ndarray, space: Space, a: np.ndarray):
+    """(one over the sums of the attention weights, the inputs' means by them, the states); `a` gets the weights themselves.
 
-    Attention scores count as `MOST` at most, so that their exponentials need no shift.
+    Keys and values are the inputs `x`: the matrices that make keys are in the queries `q`, those of values in `out`.
+    `padded` marks windows without anything before. Attention scores count as `MOST` at most, so that their
+    exponentials need no shift.
     """
-    a = space.product("a", q, k.transpose(0, 2, 1))
-    np.minimum(a, MOST, out=a)
-    a[:, :, _LATE:] += _CAUSAL
-    a[padded, :, :_LATE] = -1e9
+    np.matmul(q, x.transpose(0, 2, 1), out=a)
+    if not a.max() <= MOST:
+        np.minimum(a, MOST, out=a)
     np.exp(a, out=a)
-    a *= 1 / (a @ _ONES[:WINDOW])[:, :, None]
-    o = space.product("o", a, v)
+    a *= _CAUSAL
+    a[padded, :, :_LATE] = 0
+    share = 1 / (a @ _ONES[:WINDOW])
+    o = space.product("o", a, x)
+    o *= share[:, :, None]
     h = space.product("h", o, out)
     h += late
-    return a, o, h
+    return share, o, h
 
 
 def _by_head(want: np.ndarray) -> np.ndarray:
@@ -150,24 +157,41 @@ def _runs(numbers: np.ndarray, n: int):
     return [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-def _digits(m: dict, h: np.ndarray, before: np.ndarray, want: np.ndarray, space: Space):
-    """For each digit: (logits of all tokens, wanted places, factors' name, the runs of tokens that share factors).
+def _dealt(want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(upper digits of each block, each token's slot, the wanted code of each slot) of tokens in the order of `_by_head`.
 
-    `before` is below CODES, and `want` in the order of `_by_head`, in which tokens with the same upper digits are runs.
+    Tokens with the same upper digits fill blocks of `_TOGETHER` slots, so that the products of all blocks are one
+    call; slots left over want the block's first code.
     """
     a, b, c = DIGITS
+    each = np.bincount(np.minimum(want, RARE) // c, minlength=a * b)
+    blocks = -(-each // _TOGETHER)
+    upper = np.repeat(np.arange(a * b), blocks)
+    slot = np.arange(len(want)) + np.repeat((np.cumsum(blocks) - blocks) * _TOGETHER - np.cumsum(each) + each, each)
+    wants = np.repeat(upper * c, _TOGETHER)
+    wants[slot] = want
+    return upper, slot, wants
+
+
+def _digits(m: dict, h: np.ndarray, before: np.ndarray, want: np.ndarray, blocks: np.ndarray, space: Space):
+    """For each digit: (logits of all slots, wanted places, factors' name). `before` is below CODES; `want` and `blocks` are as `_dealt`."""
+    a, b, c = DIGITS
     upper, third = np.divmod(np.minimum(want, RARE), c)
     first, second = np.divmod(upper, b)
     at = before.astype(np.int64)
     one, two, three = (space.rows(name, m[name].reshape(-1, m[name].shape[-1]), rows) for name, rows in (("B1", at), ("B2", at * a + first), ("B3", at * (a * b) + upper)))
     one += space.product("U1", h, m["U1"])
-    runs = _runs(first, a), _runs(upper, a * b)
-    for logits, name, some in zip((two, three), ("U2", "U3"), runs):
-        factors, change = m[name], space(name, logits.shape, h)
-        for k, at in some:
-            np.matmul(h[at], factors[k], out=change[at])
-        logits += change
-    return (one, first, "U1", [(..., slice(None))]), (two, second, "U2", runs[0]), (three, third, "U3", runs[1])
+    change = space("U2", two.shape, h)
+    for k, some in _firsts(blocks):
+        np.matmul(h[some], m["U2"][k], out=change[some])
+    two += change
+    three += space.product("U3", h.reshape(-1, _TOGETHER, WIDTH), space.rows("factors", m["U3"], blocks)).reshape(three.shape)
+    return (one, first, "U1"), (two, second, "U2"), (three, third, "U3")
+
+
+def _firsts(blocks: np.ndarray):
+    """(first digit, its slots) for each that occurs."""
+    return [(k, slice(some.start * _TOGETHER, some.stop * _TOGETHER)) for k, some in _runs(blocks // DIGITS[1], DIGITS[0])]
 
 
 def _rare_steps(m: dict, want: np.ndarray):
@@ -183,14 +207,20 @@ def _rare_steps(m: dict, want: np.ndarray):
 
 def _log_share(logits: np.ndarray, want: np.ndarray) -> np.ndarray:
     """The log of each row's softmax at its wanted place; logits are used up. They are corrected log-probabilities and need no shift."""
-    got = logits[np.arange(len(want)), want]
+    got = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + want)
     np.exp(logits, out=logits)
     return got - np.log(logits @ _ONES[: logits.shape[1]])
 
 
+def _merged(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What the inputs are multiplied by to meet other inputs as queries meet keys, and to be added up as values are."""
+    return m["Q"] @ m["K"].T, m["V"] @ m["O"]
+
+
 def ready(m: dict) -> dict:
-    """`m` with its keys, queries and values tabulated by code and by place, as scoring uses them."""
-    return m | {f"{a}{b}": m[a] @ m[b] for a in "EP" for b in "QKV"}
+    """`m` with its queries tabulated by code and by place, as scoring uses them."""
+    meet, out = _merged(m)
+    return m | {"EQ": m["E"] @ meet, "PQ": m["P"] @ meet, "out": out}
 
 
 def token_logs(m: dict, texts: list[np.ndarray], chunk: int = 2048, block: int = 128, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -209,25 +239,25 @@ def token_logs(m: dict, texts: list[np.ndarray], chunk: int = 2048, block: int =
         states = space("states", (*scored.shape, WIDTH), m["E"])
         for b in range(0, len(seen), block):
             some = slice(b, b + block)
-            k, v = space.rows("k", m["EK"], seen[some]), space.rows("v", m["EV"], seen[some])
-            k += m["PK"]
-            v += m["PV"]
-            late, q = space.rows("late", m["E"], scored[some]), space.rows("q", m["EQ"], scored[some])
-            late += m["P"][_LATE:]
+            x, q = space.rows("x", m["E"], seen[some]), space.rows("q", m["EQ"], scored[some])
+            x += m["P"]
             q += m["PQ"][_LATE:]
-            states[some] = _attend(late, q, k, v, m["O"], padded[part][some], space)[2]
+            states[some] = _attend(x[:, _LATE:], q, x, m["out"], padded[part][some], space, space("a", (len(x), STRIDE, WINDOW), x))[2]
         place = first[part][:, None] + np.arange(STRIDE)
         live = np.flatnonzero((place < ends[doc[part]][:, None]).ravel())
         live = live[_by_head(targets[place.ravel()[live]])]
-        before, at = np.minimum(scored.ravel()[live], RARE), place.ravel()[live]
-        h = space.rows("hs", states.reshape(-1, WIDTH), live)
-        got = np.zeros(len(at), dtype=np.float32)
-        for logits, spot, *_ in _digits(m, h, before, targets[at], space):
+        at = place.ravel()[live]
+        blocks, slot, want = _dealt(targets[at])
+        rows = np.zeros(len(want), dtype=np.int64)
+        rows[slot] = live
+        h = space.rows("hs", states.reshape(-1, WIDTH), rows)
+        got = np.zeros(len(want), dtype=np.float32)
+        for logits, spot, _ in _digits(m, h, np.minimum(scored.ravel().take(rows), RARE), want, blocks, space):
             got += _log_share(logits, spot)
-        for some, logits, factors, spot, *_ in _rare_steps(m, targets[at]):
+        for some, logits, factors, spot, *_ in _rare_steps(m, want):
             logits += h[some] @ factors
             got[some] += _log_share(logits, spot)
-        out[at] = got
+        out[at] = got[slot]
     return out, ends
 
 
@@ -239,15 +269,36 @@ def log_probabilities(m: dict, texts: list[np.ndarray], space: Space | None = No
     return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]]))
 
 
-def _error(logits: np.ndarray, want: np.ndarray, n: int) -> tuple[float, np.ndarray]:
-    """Loss of a softmax and its derivative by the logits, a part of a mean over n tokens; logits are used up as in `_log_share`."""
-    at = np.arange(len(want)), want
-    got = logits[at]
+def _error(logits: np.ndarray, want: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted loss of a softmax and its derivative by the logits, which are used up as in `_log_share`."""
+    at = np.arange(0, logits.size, logits.shape[1]) + want
+    got = logits.ravel().take(at)
     p = np.exp(logits, out=logits)
     whole = p @ _ONES[: p.shape[1]]
-    p *= (1 / (n * whole))[:, None]
-    p[at] -= np.float32(1 / n)
-    return float((np.log(whole) - got).sum()) / n, p
+    p *= (weight / whole)[:, None]
+    p.ravel()[at] -= weight
+    return float((np.log(whole) - got) @ weight), p
+
+
+def _by_code(m: dict, seen: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes that occur in the windows, sums of `dx` over their places).
+
+    A window's context is mostly what the window before has scored: the two are added up place by place first.
+    """
+    alone = np.append(True, (seen[1:, :_LATE] != seen[:-1, _LATE:]).any(axis=1))
+    codes = np.concatenate([seen[:, _LATE:].ravel(), seen[alone, :_LATE].ravel()])
+    rows = np.concatenate([dx[:, _LATE:].reshape(-1, WIDTH), dx[alone, :_LATE].reshape(-1, WIDTH)])
+    dx[alone, :_LATE] = 0
+    scored = rows[: seen.shape[0] * STRIDE].reshape(-1, STRIDE, WIDTH)
+    scored[:-1] += dx[1:, :_LATE]
+    number = np.zeros(len(m["E"]), dtype=np.int64)
+    number[codes] = 1
+    met = np.flatnonzero(number)
+    number[met] = np.arange(len(met))
+    which, sums = number[codes], np.empty((len(met), WIDTH), dtype=dx.dtype)
+    for k, column in enumerate(np.ascontiguousarray(rows.T)):
+        sums[:, k] = np.bincount(which, column, len(met))
+    return met, sums
 
 
 def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray, padded: np.ndarray, space: Space | None = None) -> tuple[float, dict]:
@@ -258,57 +309,68 @@ def gradients(m: dict, seen: np.ndarray, targets: np.ndarray, live: np.ndarray,
     space = space or Space()
     product = space.product
     flat = lambda y: y.reshape(-1, y.shape[-1])
+    meet, out = _merged(m)
     x = space.rows("x", m["E"], seen)
     x += m["P"]
     late = space("late", (len(x), STRIDE, WIDTH), x)
     late[:] = x[:, _LATE:]
-    q, k, v = product("q", late, m["Q"]), product("k", x, m["K"]), product("v", x, m["V"])
-    a, o, h = _attend(late, q, k, v, m["O"], padded, space)
+    # beside each other: attention weights and the derivatives of their logarithms, derivatives of means and queries
+    both, sides = space("both", (len(x), 2, STRIDE, WINDOW), x), space("sides", (len(x), 2, STRIDE, WIDTH), x)
+    (a, da), (do, q) = both.swapaxes(0, 1), sides.swapaxes(0, 1)
+    q[:] = product("q", late, meet)
+    share, o, h = _attend(late, q, x, out, padded, space, a)
     at = np.flatnonzero(live.ravel())
     at = at[_by_head(targets.ravel()[at])]
-    n, hs, want = len(at), space.rows("hs", flat(h), at), targets.ravel()[at]
-    before = np.minimum(seen[:, _LATE:].ravel()[at], RARE)
-    grad: dict = {k: np.zeros_like(m[k]) for k in ("U1", "U2", "U3", "U4")}
-    loss, dhs, rows, by_row = 0.0, space("dhs", hs.shape, hs), [], []
-    dhs[:] = 0
-    for logits, spot, name, runs in _digits(m, hs, before, want, space):
-        more, error = _error(logits, spot, n)
-        loss += more
-        factors, of_factors, change = m[name], grad[name], space("change", hs.shape, hs)
-        for row, some in runs:
-            mine = error[some]
-            np.matmul(hs[some].T, mine, out=of_factors[row])
-            np.matmul(mine, factors[row].T, out=change[some])
-        dhs += change
+    blocks, slot, want = _dealt(targets.ravel()[at])
+    rows = np.zeros(len(want), dtype=np.int64)
+    rows[slot] = at
+    hs, before = space.rows("hs", flat(h), rows), np.minimum(seen[:, _LATE:].ravel().take(rows), RARE)
+    weight = np.zeros(len(want), dtype=h.dtype)
+    weight[slot] = 1 / len(at)
+    grad: dict = {k: np.zeros_like(m[k]) for k in ("U2", "U3", "U4")}
+    loss, dhs, change, names, by_row = 0.0, space("dhs", hs.shape, hs), space("change", hs.shape, hs), [], []
+    one, two, three = _digits(m, hs, before, want, blocks, space)
+    more, error = _error(*one[:2], weight)
+    loss += more
+    grad["U1"] = hs.T @ error
+    np.matmul(error, m["U1"].T, out=dhs)
+    more, error = _error(*two[:2], weight)
+    loss += more
+    for k, some in _firsts(blocks):
+        np.matmul(hs[some].T, error[some], out=grad["U2"][k])
+        np.matmul(error[some], m["U2"][k].T, out=change[some])
+    dhs += change
+    more, error = _error(*three[:2], weight)
+    loss += more
+    if len(blocks):
+        dealt, first = error.reshape(len(blocks), _TOGETHER, -1), np.flatnonzero(np.diff(blocks, prepend=-1))
+        grad["U3"][blocks[first]] = np.add.reduceat(product("by_block", hs.reshape(len(blocks), _TOGETHER, WIDTH).transpose(0, 2, 1), dealt), first, axis=0)
+        dhs += flat(product("by_factors", dealt, space.rows("factors", m["U3"], blocks).transpose(0, 2, 1)))
     for some, logits, factors, spot, name, row in _rare_steps(m, want):
-        more, error = _error(logits + hs[some] @ factors, spot, n)
-        change = hs[some].T @ error
+        more, error = _error(logits + hs[some] @ factors, spot, weight[some])
+        of_factors = hs[some].T @ error
         dhs[some] += error @ factors.T
         loss += more
         if name == "U5":
-            rows.append(row)
-            by_row.append(change)
+            names.append(row)
+            by_row.append(of_factors)
         else:
-            grad[name] = change
-    grad["U5"] = np.array(rows, dtype=np.int64), np.array(by_row).reshape(-1, WIDTH, BAND)
-    dh = space("dh", flat(h).shape, h)
+            grad[name] = of_factors
+    grad["U5"] = np.array(names, dtype=np.int64), np.array(by_row).reshape(-1, WIDTH, BAND)
+    dh = space("dh", h.shape, h)
     dh[:] = 0
-    dh[at] = dhs
-    do = product("do", dh, m["O"].T).reshape(h.shape)
-    dg = product("dg", do, v.transpose(0, 2, 1))
-    dg -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
-    dg *= a
-    dq, dk, dv = product("dq", dg, k), product("dk", dg.transpose(0, 2, 1), q), product("dv", a.transpose(0, 2, 1), do)
-    dx = product("dx", dk, m["K"].T)
-    dx += product("by_v", dv, m["V"].T)
-    dx[:, _LATE:] += dh.reshape(h.shape)
-    dx[:, _LATE:] += product("by_q", dq, m["Q"].T)
-    codes = seen.ravel().astype(np.uint16 if len(m["E"]) <= 1 << 16 else np.int64)  # 16-bit numbers are sorted by counting
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    first = np.flatnonzero(np.diff(codes, prepend=-1))
-    rows_of = np.add.reduceat(space.rows("sorted", flat(dx), order), first, axis=0)
-    grad |= {"O": flat(o).T @ dh, "Q": flat(late).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "P": dx.sum(axis=0), "E": (codes[first].astype(np.int64), rows_of)}
+    flat(dh)[at] = dhs[slot]
+    of_out = flat(o).T @ flat(dh)
+    np.multiply(product("by_out", dh, out.T), share[:, :, None], out=do)
+    np.matmul(do, x.transpose(0, 2, 1), out=da)
+    da -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
+    da *= a
+    dq = product("dq", da, x)
+    dx = product("dx", both.reshape(-1, 2 * STRIDE, WINDOW).transpose(0, 2, 1), sides.reshape(-1, 2 * STRIDE, WIDTH))
+    of_meet = flat(late).T @ flat(dq)
+    dh += product("by_meet", dq, meet.T)
+    dx[:, _LATE:] += dh
+    grad |= {"Q": of_meet @ m["K"], "K": of_meet.T @ m["Q"], "V": of_out @ m["O"].T, "O": m["V"].T @ of_out, "P": dx.sum(axis=0), "E": _by_code(m, seen, dx)}
     return loss, grad
 
 

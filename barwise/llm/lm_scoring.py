@@ -18,6 +18,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,18 +110,17 @@ class SubwordIds:
         """The ids of each text's words, as bytes."""
         words = Words(texts)
         distinct = words.listed()
-        new = [w for w in distinct if w not in self.known]
-        own = dict(zip(new, (array(self.dtype.char, x).tobytes() for x in self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1))))
-        get, made = self.known.get, own.get
-        ids = [made(w) or get(w, b"") for w in distinct] if new else list(map(get, distinct))
-        for word, x in own.items():
-            self.known.keep(word, x, len(word) + len(x))
-        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
-        each = n[words.which]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        place = np.repeat((np.cumsum(n) - n)[words.which] - ends[:-1], each) + np.arange(ends[-1])
-        offsets = np.concatenate([[0], ends[words.ends] * self.dtype.itemsize]).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(b"".join(ids), dtype=self.dtype)[place])])
+        ids = list(map(self.known.get, distinct))
+        if None in ids:
+            new = [k for k, x in enumerate(ids) if x is None]
+            for k, x in zip(new, self.pieces.encode([distinct[k].decode("utf-8", "replace") for k in new], num_threads=1)):
+                ids[k] = array(self.dtype.char, x).tobytes()
+                self.known.keep(distinct[k], ids[k], len(distinct[k]) + len(ids[k]))
+        by_word = pa.array(ids, pa.binary()).take(pa.array(words.which))
+        _, ends, whole = by_word.buffers()
+        ends = np.frombuffer(ends, dtype=np.int32)[: len(by_word) + 1]
+        offsets = np.concatenate([[0], ends[words.ends]]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), whole])
 
 
 def id_type(size: int) -> np.dtype:
@@ -300,17 +300,17 @@ def score(tokens: DataFrame, counts: DataFrame, trained: dict | None, head_words
     words = counts.where(F.col("word") != F.lit(END))
     most_in_tail = _most_in_tail(words, head_words)
     head = words.where(F.col("c") > most_in_tail).toArrow()
-    frequent = sc.broadcast(dict(zip(head.column("word").to_pylist(), np.log10(head.column("c").to_numpy() + 1.0).tolist())))
+    frequent = sc.broadcast((pa.concat_arrays([pa.array([], pa.binary()), *head.column("word").chunks]), np.append(np.log10(head.column("c").to_numpy() + 1.0), np.nan)))
     end_log, end_known = float(np.log10(total["end"] + 1.0)), int(total["end"] > 0)
     schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64())])
 
     def looked_up(batches):
-        get = frequent.value.get
+        met, logs = frequent.value
         for whole in batches:
             for batch in slices(whole, 2, _SLICE):
                 n, row = batch.num_rows, batch.column(0)
                 words = Words(batch.column(2).to_pylist())
-                found = np.array([get(w, np.nan) for w in words.listed()], dtype=np.float64)[words.which]
+                found = logs[pc.fill_null(pc.index_in(words.distinct, value_set=met), -1).to_numpy()][words.which]
                 known, text = ~np.isnan(found), words.text_of()
                 n_head, head_log = np.bincount(text[known], minlength=n), np.bincount(text[known], found[known], minlength=n)
                 n_tokens = np.diff(words.ends, prepend=0) + 1
